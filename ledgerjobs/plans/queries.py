@@ -1 +1,171 @@
-QUERIES, SQL = {}, {}
+"""One query per operator over the driver's tables."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ledgerjobs.functions.helpers import normalize
+from ledgerjobs.operators import classify as C
+from ledgerjobs.operators import coverage, daily, dates, metrics, peaks, reserve, summary
+from ledgerjobs.sources import rates as R
+from ledgerjobs.sources import statements as S
+
+from .oracles import SQL  # noqa: F401
+from .statements import accounts, files
+from .views import Ledger
+
+
+class Jobs:
+    """The tables of one run; each property is a plan, nothing runs before an action."""
+
+    def __init__(self, spark: SparkSession, sf_dir: str):
+        self.v = Ledger(spark, sf_dir)
+        self._made: dict[str, DataFrame] = {}
+
+    def get(self, name: str) -> DataFrame:
+        if name not in self._made:
+            self._made[name] = getattr(self, f"_{name}")()
+        return self._made[name]
+
+    def _dated(self):
+        return dates.add_operation_dates(self.v.ledger).persist()
+
+    def _balances(self):
+        return daily.daily_balances(self.v.ledger, self.v.snapshots)
+
+    def _flows(self):
+        return daily.daily_flows(self.get("dated"))
+
+    def _identified(self):
+        return C.identify(self.v.ledger.drop("nature", "category", "subcategory", "recurrence", "cost_treatment", "peak_eligible", "channel", "counterparty_display", "analytical_transaction_id", "parent_transaction_id"))
+
+    def _classified(self):
+        return C.classify(self.get("identified"), self.v.rules, self.v.overrides)
+
+    def _expanded(self):
+        return C.expand_allocations(self.get("classified"), self.v.allocations)
+
+    def _groups(self):
+        return C.group_statistics(self.get("identified"), self.get("expanded"))
+
+    def _rates(self):
+        """A rate for each weekday of the orders' span, by way of a JSON payload per month."""
+        span = self.v.table("orders").agg(F.min(F.to_date("o_orderdate")).alias("a"), F.max(F.to_date("o_orderdate")).alias("b"))
+        days = span.select(F.explode(F.sequence(F.trunc("a", "MM"), F.col("b"), F.expr("interval 1 day"))).alias("d")).where(F.weekday("d") < 5)
+        text = F.concat(F.lit("0"), F.lit(","), F.lpad((F.lit(20000) + F.pmod(F.date_diff("d", F.lit("1990-01-01").cast("date")) * 37, F.lit(30000))).cast("string"), 6, "0"))
+        item = F.struct(F.date_format("d", "dd/MM/yyyy").alias("data"), text.alias("valor"))
+        payloads = days.groupBy(F.trunc("d", "MM")).agg(F.to_json(F.collect_list(item)).alias("value"))
+        return R.parse_payload(payloads)
+
+    def _assumptions(self):
+        """The anchor lies at the start of the last year of the ledger."""
+        return self.v.ledger.groupBy("portfolio_id").agg(F.trunc(F.max("transaction_date"), "YEAR").alias("anchor_date")).select(
+            "portfolio_id", "anchor_date", F.lit(1_000_000_000).cast("long").alias("anchor_balance_cents"), F.lit("100.0000").cast("decimal(9,4)").alias("yield_percentage")
+        )
+
+    def _reserve_events(self):
+        return reserve.reserve_events(self.get("dated"))
+
+    def _reserve_daily(self):
+        return reserve.reserve_daily(self.get("reserve_events"), self.get("rates"), self.get("assumptions"))
+
+    def _reserve_monthly(self):
+        return reserve.reserve_monthly(self.get("reserve_daily"))
+
+    def _monthly(self):
+        return metrics.monthly_metrics(self.get("dated"), self.get("balances"), self.get("reserve_monthly"))
+
+    def _categories(self):
+        return metrics.monthly_category_spending(self.get("dated"))
+
+    def _candidates(self):
+        return peaks.peak_candidates(self.get("dated"), self.v.tx_events)
+
+    def _files(self):
+        return S.identified(S.with_account(files(self.v), accounts(self.v.ledger)))
+
+    def _parsed(self):
+        return S.parse(self.get("files"))
+
+    def _statement_rows(self):
+        return S.transactions(self.get("parsed"))
+
+    def _canonical(self):
+        return S.canonical(self.get("statement_rows"))
+
+    def _read_snapshots(self):
+        return S.snapshots(self.get("parsed"))
+
+
+def _query(make):
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return make(Jobs(spark, sf_dir))
+
+    return run
+
+
+def _report(j: Jobs) -> DataFrame:
+    m, c = j.get("monthly"), j.get("candidates")
+    out = summary.report_summary(j.get("dated"), m, j.get("categories"), metrics.metrics_summary(m), c, peaks.peaks_summary(c, m), j.get("reserve_monthly"))
+    cats = F.array_join(F.transform("top_categories", lambda x: F.concat_ws(":", x.category, x.amount_cents.cast("string"))), ",")
+    tops = F.array_join(F.transform("top_peaks", lambda x: F.concat_ws(":", F.date_format(x.start_date, "yyyy-MM-dd"), x.label, x.category, x.amount_cents.cast("string"))), ",")
+    return out.withColumn("top_categories", cats).withColumn("top_peaks", tops)
+
+
+def _event_flows(j: Jobs) -> DataFrame:
+    """The second flow table: the users of the event stream as accounts of one portfolio."""
+    rows = j.v.table("events").select(
+        F.lit("web").alias("portfolio_id"), F.col("user_id").cast("string").alias("account_id"), F.lit("events").alias("institution"), F.to_date("ts").alias("operation_date"),
+        (F.round(F.col("value") * 100).cast("long") * F.when(F.col("event_type") == "purchase", 1).otherwise(-1)).alias("amount_cents"),
+        F.when(F.col("event_type") == "purchase", "income").otherwise("expense").alias("nature"),
+    )
+    return daily.daily_flows(rows)
+
+
+def _knowledge(j: Jobs) -> DataFrame:
+    groups = j.get("identified").select("group_id", "channel").distinct()
+    inquiries = groups.select(F.concat(F.lit("i-"), "group_id").alias("investigation_id"), "group_id", F.when(F.col("channel") == "pix_transfer", "open").otherwise("resolved").alias("status"))
+    return C.knowledge_violations(j.get("identified"), j.v.rules, j.v.overrides, j.v.allocations, inquiries, j.v.tx_events)
+
+
+QUERIES = {
+    name: _query(make)
+    for name, make in {
+        "monthly_metrics": lambda j: j.get("monthly"),
+        "monthly_category_spending": lambda j: j.get("categories"),
+        "metrics_summary": lambda j: metrics.metrics_summary(j.get("monthly")),
+        "metrics_quality": lambda j: metrics.metrics_quality(j.get("monthly"), j.get("categories")),
+        "category_ranking": lambda j: metrics.category_ranking(j.get("categories"), j.get("monthly")),
+        "operation_dates": lambda j: j.get("dated").select("transaction_id", "posting_date", "operation_date", "operation_date_source", "operation_posting_lag_days"),
+        "daily_flows": lambda j: j.get("flows"),
+        "flow_feed": lambda j: daily.flow_feed(j.get("flows")),
+        "event_flows": _event_flows,
+        "daily_balances": lambda j: j.get("balances"),
+        "data_quality": lambda j: daily.data_quality(j.get("dated"), j.get("balances")),
+        "anchor_checks": lambda j: daily.anchors(j.v.ledger, j.v.snapshots.where("year(balance_date) < 2000")),
+        "source_inventory": lambda j: S.inventory(j.get("files"), j.get("parsed"), j.get("statement_rows")).drop("source_sha256", "file_size_bytes"),
+        "canonical_transactions": lambda j: j.get("canonical").drop("source_sha256", "source_position", "source_file"),
+        "source_checks": lambda j: S.violations(j.get("files"), j.get("parsed"), j.get("statement_rows")),
+        "statement_snapshots": lambda j: j.get("read_snapshots").drop("source_sha256"),
+        "coverage_summary": lambda j: coverage.coverage_summary(j.v.ledger, j.v.snapshots),
+        "reconciliation": lambda j: coverage.reconciliation(j.v.ledger, j.v.snapshots),
+        "transactions_classified": lambda j: j.get("expanded").select("analytical_transaction_id", "parent_transaction_id", "amount_cents", "original_amount_cents", "is_allocation", "group_id", "channel", "counterparty_key", "counterparty_display", *C.DIMENSIONS, "classification_provenance"),
+        "classification_groups": lambda j: j.get("groups"),
+        "review_queue": lambda j: C.review_queue(j.get("groups")).select("portfolio_id", "rank", "group_id", "maximum_abs_cents", "total_abs_cents", "missing_fields"),
+        "unclassified_rows": lambda j: C.unclassified(j.get("expanded")).select("analytical_transaction_id", "amount_cents", *C.DIMENSIONS),
+        "channel_of_canonical": lambda j: daily.attach_channel(j.v.ledger, j.get("expanded")).select("transaction_id", "channel"),
+        "knowledge_checks": _knowledge,
+        "normalized_text": lambda j: j.v.table("documents").select("doc_id", normalize("text").alias("normalized")),
+        "daily_rates": lambda j: j.get("rates"),
+        "reserve_events": lambda j: j.get("reserve_events"),
+        "reserve_daily": lambda j: j.get("reserve_daily"),
+        "reserve_monthly": lambda j: j.get("reserve_monthly"),
+        "reserve_quality": lambda j: reserve.reserve_quality(j.get("reserve_daily"), j.get("reserve_events"), j.get("rates"), j.get("assumptions")),
+        "tracked_assets": lambda j: reserve.tracked_assets(j.get("reserve_daily"), j.get("balances")),
+        "peak_candidates": lambda j: j.get("candidates"),
+        "peaks_monthly": lambda j: peaks.peaks_monthly(j.get("candidates"), j.get("monthly")),
+        "peaks_summary": lambda j: peaks.peaks_summary(j.get("candidates"), j.get("monthly")),
+        "report_summary": _report,
+    }.items()
+}
