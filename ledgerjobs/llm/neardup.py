@@ -162,17 +162,29 @@ def _exact(k: int, percent: int):
 
 
 def near_dedup(
-    docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", k: int = 5, percent: int = 80, bands: int = 42, rows: int = 6, slack: float = 0.15, star_rounds: int = 2
+    docs: DataFrame,
+    *,
+    doc_id: str = "doc_id",
+    text: str = "text",
+    k: int = 5,
+    percent: int = 80,
+    bands: int = 42,
+    rows: int = 6,
+    slack: float = 0.12,
+    few: int = 8,
+    block: int = 512,
 ) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_shingles, component_id, kept.
 
     Two texts are linked if 100 * common >= ``percent`` * all of their distinct ``k``-word
     shingles, checked on the full sets. Candidates are texts that agree in a band of minhashes
     (two of similarity 0.8 miss each other once in 300,000). Texts of equal words are one
-    class from the start. Within a bucket the members are first compared with one of them, in
-    ``star_rounds`` rounds with different ones; members that are then in different components
-    are compared with each other, all of them, so no bucket is capped. A candidate whose
-    signature agrees less than ``percent`` / 100 - ``slack`` (six standard deviations) is not checked.
+    class from the start. Within a bucket the members are first compared with its smallest.
+    Members that are then in different components are compared with each other, all of them,
+    so no bucket is capped: as pairs in buckets of up to ``few`` members, in blocks of
+    2 * ``block`` members inside a task in larger ones, which emit nothing but links. A
+    candidate whose signature agrees less than ``percent`` / 100 - ``slack`` (almost five
+    standard deviations) is not checked.
 
     component_id is the smallest id reachable. Null and empty texts have no shingles and link
     with nothing. Null ids take part only as copies: they get the component of their class,
@@ -193,21 +205,16 @@ def near_dedup(
     sigs = reps.select(F.col("doc_id").alias("id"), "n", "sig", "digest")
     known = space.stage(sigs.join(wanted, "id", "left_semi").dropDuplicates(["id"]), "candidates")
     bodies = space.stage(_bodies(texts, known), "texts")
-    edges: DataFrame | None = None
-    where: DataFrame | None = None
-    open_buckets = members
-    for turn in range(star_rounds + 1):
-        pairs = _stars(open_buckets, turn) if turn < star_rounds else _across(open_buckets)
-        found = space.stage(_verified(pairs, known, bodies, k, percent, slack), "links")
-        edges = found if edges is None else edges.union(found)
+    edges = space.stage(_verified(_stars(members), known, bodies, k, percent, slack), "links")
+    where = space.stage(connected_components(edges, space), "components")
+    placed = members.join(where, members["id"] == where["node"], "left").select("bucket", "id", F.coalesce("component", "id").alias("component"))
+    split = placed.groupBy("bucket").agg(F.count("*").alias("size"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("bucket", "size")
+    opened = space.stage(placed.join(split, "bucket"), "open")
+    if not opened.isEmpty():
+        small = _verified(_across(opened.where(F.col("size") <= few)), known, bodies, k, percent, slack)
+        large = _in_blocks(opened.where(F.col("size") > few), known, bodies, k, percent, slack, block)
+        edges = edges.union(space.stage(small.union(large), "links"))
         where = space.stage(connected_components(edges, space), "components")
-        if turn == star_rounds:
-            break
-        placed = members.join(where, members["id"] == where["node"], "left").select("bucket", "id", F.coalesce("component", "id").alias("component"))
-        split = placed.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("bucket")
-        open_buckets = space.stage(placed.join(split, "bucket"), "open")
-        if open_buckets.isEmpty():
-            break
     comp = classes.join(where, classes["rep"] == where["node"], "left").select(F.col("digest").alias("c_digest"), F.coalesce("component", "rep").alias("c_id"))
     out = all_rows.select("doc_id", "digest", "n").join(comp, F.when(F.col("n") > 0, F.col("digest")) == F.col("c_digest"), "left")
     component = F.coalesce("c_id", "doc_id")
@@ -228,13 +235,10 @@ def _bodies(texts: DataFrame, known: DataFrame) -> DataFrame:
     return both.where(digest("text") == F.col("k_digest")).select("id", "text").dropDuplicates(["id"])
 
 
-def _stars(buckets: DataFrame, turn: int) -> DataFrame:
-    """(a, b): each member of a bucket with one of them: the smallest id, or in later rounds that of the smallest hash."""
-    key = F.struct("id") if turn == 0 else F.struct(F.xxhash64("id", F.lit(turn)), "id")
-    centre = buckets.groupBy("bucket").agg(F.min_by(F.struct(*[c for c in buckets.columns if c != "bucket"]), key).alias("c"))
-    both = buckets.join(centre, "bucket")
-    other = F.col("id") != F.col("c.id") if turn == 0 else F.col("component") != F.col("c.component")
-    return both.where(other).select(F.least("id", "c.id").alias("a"), F.greatest("id", "c.id").alias("b")).distinct()
+def _stars(buckets: DataFrame) -> DataFrame:
+    """(a, b): each member of a bucket with its smallest."""
+    centre = buckets.groupBy("bucket").agg(F.min("id").alias("c"))
+    return buckets.join(centre, "bucket").where("id <> c").select(F.col("c").alias("a"), F.col("id").alias("b")).distinct()
 
 
 def _across(buckets: DataFrame) -> DataFrame:
@@ -244,6 +248,59 @@ def _across(buckets: DataFrame) -> DataFrame:
     return both.select(F.least("l.id", "r.id").alias("a"), F.greatest("l.id", "r.id").alias("b")).distinct()
 
 
+def _in_blocks(buckets: DataFrame, known: DataFrame, bodies: DataFrame, k: int, percent: int, slack: float, block: int) -> DataFrame:
+    """(u, v): links between members of one bucket that are in different components.
+
+    A bucket is dealt into chunks of about ``block`` members; each two chunks (and each by
+    itself) make one group. A pair is left to the first bucket that its members share. Links
+    within what a group has already joined add nothing to components and are passed over.
+    """
+
+    def links(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values("id").reset_index(drop=True)
+        ids, chunk, bucket = frame["id"].tolist(), frame["chunk"].to_numpy(), frame["bucket"].iloc[0]
+        first = frame["i"].iloc[0] == frame["j"].iloc[0]
+        sigs = np.frombuffer(b"".join(frame["sig"]), dtype=np.uint16).reshape(len(ids), -1)
+        n, least = frame["n"].to_numpy(), (percent / 100 - slack) * sigs.shape[1]
+        mine = [set(m) for m in frame["mine"]]
+        root = {c: c for c in frame["component"]}
+        comp = frame["component"].tolist()
+        known_words, sets, out = _Words(), {}, []
+
+        def top(c):
+            while root[c] != c:
+                root[c] = c = root[root[c]]
+            return c
+
+        def words(x):
+            if x not in sets:
+                sets[x] = shingles(words_of(frame["text"].iat[x]), k, known_words)
+            return sets[x]
+
+        for x in range(len(ids) - 1):
+            agree = (sigs[x + 1 :] == sigs[x]).sum(axis=1)
+            fit = (agree >= least) & (np.minimum(n[x + 1 :], n[x]) * 100 >= np.maximum(n[x + 1 :], n[x]) * percent)
+            if not first:
+                fit &= chunk[x + 1 :] != chunk[x]
+            for y in (np.flatnonzero(fit) + x + 1).tolist():
+                if top(comp[x]) == top(comp[y]) or min(mine[x] & mine[y]) != bucket:
+                    continue
+                s, t = words(x), words(y)
+                both = len(np.intersect1d(s, t, assume_unique=True))
+                if 100 * both >= percent * (len(s) + len(t) - both):
+                    root[top(comp[y])] = top(comp[x])
+                    out.append((ids[x], ids[y]))
+        return pd.DataFrame(out, columns=["u", "v"])
+
+    chunks = F.ceil(F.col("size") / block).cast("int")
+    chunk = F.pmod(F.xxhash64("id"), chunks).cast("int")
+    others = F.transform(F.sequence(F.lit(0), chunks - 1), lambda o: F.struct(F.least(o, F.col("chunk")).alias("i"), F.greatest(o, F.col("chunk")).alias("j")))
+    at = buckets.withColumn("chunk", chunk).select("bucket", "id", "component", "chunk", F.explode(others).alias("b")).select("bucket", "id", "component", "chunk", "b.*")
+    mine = buckets.groupBy("id").agg(F.collect_list("bucket").alias("mine"))
+    load = mine.join(known.select("id", "n", "sig"), "id").join(bodies, "id")
+    return at.join(load, "id").groupBy("bucket", "i", "j").applyInPandas(links, "u long, v long")
+
+
 def _verified(pairs: DataFrame, known: DataFrame, bodies: DataFrame, k: int, percent: int, slack: float) -> DataFrame:
     """The (u, v) of ``pairs`` that are linked: by set sizes, by signature, then by the full sets."""
     a = known.select(F.col("id").alias("a"), F.col("n").alias("an"), F.col("sig").alias("as"))
