@@ -23,14 +23,15 @@ class _Ids(dict):
     def __missing__(self, token: str) -> int:
         if len(self) > 400_000:
             self.clear()
-        data = token.encode("utf-8", "replace")
+        data = token.lower().encode("utf-8", "replace")
         x = (crc32(data) | crc32(data, 0x9E3779B9) << 32) * 0xBF58476D1CE4E5B9 & (1 << 64) - 1
         self[token] = x = x ^ x >> 29
         return x
 
 
 def tokens_of(text: str | None) -> list[str]:
-    return TOKEN.findall((text or "").lower())
+    """Runs of word characters; case is folded when they get their numbers."""
+    return TOKEN.findall(text or "")
 
 
 def _numbers(tokens: list[str], ids: _Ids) -> np.ndarray:
@@ -38,17 +39,21 @@ def _numbers(tokens: list[str], ids: _Ids) -> np.ndarray:
 
 
 _ODD = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9), np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA0761D6478BD642F), np.uint64(0xE7037ED1A0B428DB))
-
-
-def seeds(numbers: np.ndarray, mask: str) -> np.ndarray:
-    """Hash of the tokens under the ones of ``mask``, for each place it fits."""
-    n = len(numbers) - len(mask) + 1
-    if n <= 0:
-        return np.empty(0, dtype=np.uint64)
-    out = np.full(n, crc32(mask.encode()), dtype=np.uint64)
-    for k, j in enumerate(i for i, x in enumerate(mask) if x == "1"):
-        out = (out ^ numbers[j : j + n]) * _ODD[k % len(_ODD)]
-        out ^= out >> np.uint64(31)
+_MIX = np.uint64(0xBF58476D1CE4E5B9)
+
+
+def seeds(numbers: np.ndarray, masks: list[str]) -> dict[str, np.ndarray]:
+    """By mask, the hash of the tokens under its ones, for each place it fits."""
+    scaled = [numbers * m for m in _ODD]
+    out = {}
+    for mask in masks:
+        n = max(0, len(numbers) - len(mask) + 1)
+        total = np.zeros(n, dtype=np.uint64)
+        for k, j in enumerate(i for i, x in enumerate(mask) if x == "1"):
+            total += scaled[k % len(_ODD)][j : j + n]
+        total ^= total >> np.uint64(32)
+        total *= _MIX
+        out[mask] = total
     return out
 
 
@@ -82,8 +87,8 @@ def index_items(bench: DataFrame, *, item_id: str = "item_id", text: str = "text
                 if pd.isna(item):
                     continue
                 numbers = _numbers(tokens_of(body), ids)
-                for mask in masks_for(len(numbers), masks):
-                    rows += [(int(item), mask, s, p) for p, s in enumerate(seeds(numbers, mask).view(np.int64).tolist())]
+                for mask, found in seeds(numbers, masks_for(len(numbers), masks)).items():
+                    rows += [(int(item), mask, s, p) for p, s in enumerate(found.view(np.int64).tolist())]
             yield pd.DataFrame(rows, columns=["item_id", "mask", "seed", "pos"])
 
     return bench.select(F.col(item_id).cast("long").alias("item_id"), F.col(text).cast("string").alias("text")).mapInPandas(run, "item_id long, mask string, seed long, pos int")
@@ -105,8 +110,8 @@ def hits_udf(bench: DataFrame, *, similarity: float = 0.8, window: int = 20, ite
     variants = [(r[0], _numbers(tokens_of(r[1]), ids)) for r in rows]
     table: dict[str, list[tuple[int, int, int]]] = {}
     for v, (_, numbers) in enumerate(variants):
-        for mask in masks_for(len(numbers), masks):
-            table.setdefault(mask, []).extend((s, v, p) for p, s in enumerate(seeds(numbers, mask).tolist()))
+        for mask, found in seeds(numbers, masks_for(len(numbers), masks)).items():
+            table.setdefault(mask, []).extend((s, v, p) for p, s in enumerate(found.tolist()))
     packed = {}
     for mask, entries in table.items():
         entries.sort()
@@ -117,25 +122,40 @@ def hits_udf(bench: DataFrame, *, similarity: float = 0.8, window: int = 20, ite
     shared = bench.sparkSession.sparkContext.broadcast((variants, packed))
     known = _Ids()
 
-    def overlaps(body: str | None) -> list[dict]:
+    def overlaps(bodies: list[str | None]) -> list[list[dict]]:
+        """Seeds are hashed over many texts in a row; what lies across two of them fails the check."""
         variants, packed = shared.value
-        doc = _numbers(tokens_of(body), known)
-        pairs = set()
-        for mask, (s, v, p, bits) in packed.items():
-            mine = seeds(doc, mask)
+        docs = [_numbers(tokens_of(b), known) for b in bodies]
+        starts = np.cumsum([0, *map(len, docs)])
+        pairs: dict[int, set] = {}
+        row = np.concatenate(docs)
+        for mask, mine in seeds(row, list(packed)).items():
+            s, v, p, bits = packed[mask]
             for at in np.flatnonzero(bits[(mine >> np.uint64(44)).astype(np.int64)]).tolist():
                 low, high = np.searchsorted(s, mine[at], "left"), np.searchsorted(s, mine[at], "right")
-                pairs.update((int(v[i]), at - int(p[i])) for i in range(low, high))
-        found: dict[int, dict] = {}
-        for hit in _accept(doc, pairs, {i: n for i, (_, n) in enumerate(variants)} if pairs else {}, similarity, window):
-            item = variants[hit["item_id"]][0]
-            if item not in found or hit["matched"] > found[item]["matched"]:
-                found[item] = hit | {"item_id": item}
-        return [found[k] for k in sorted(found)]
+                if low < high:
+                    doc = int(np.searchsorted(starts, at, "right")) - 1
+                    pairs.setdefault(doc, set()).update((int(v[i]), at - int(starts[doc]) - int(p[i])) for i in range(low, high))
+        out: list[list[dict]] = [[] for _ in docs]
+        for doc, some in pairs.items():
+            found: dict[int, dict] = {}
+            for hit in _accept(docs[doc], some, {i: variants[i][1] for i, _ in some}, similarity, window):
+                item = variants[hit["item_id"]][0]
+                if item not in found or hit["matched"] > found[item]["matched"]:
+                    found[item] = hit | {"item_id": item}
+            out[doc] = [found[k] for k in sorted(found)]
+        return out
 
     @F.pandas_udf(HITS)
     def hits(bodies: pd.Series) -> pd.Series:
-        return pd.Series([overlaps(b) for b in bodies])
+        rows, out, some, size = bodies.tolist(), [], [], 0
+        for body in rows:
+            some.append(body)
+            size += len(body or "")
+            if size > 400_000:
+                out += overlaps(some)
+                some, size = [], 0
+        return pd.Series(out + (overlaps(some) if some else []), dtype=object)
 
     return hits
 
@@ -151,17 +171,17 @@ def _joined(docs: DataFrame, bench: DataFrame, similarity: float, window: int, m
             for doc, body in zip(batch["doc_id"], batch["text"], strict=True):
                 numbers = _numbers(tokens_of(body), ids)
                 key = "" if body is None else body
-                for mask in lengths:
-                    s = seeds(numbers, mask).view(np.int64)
+                for mask, found in seeds(numbers, lengths).items():
+                    s = found.view(np.int64)
                     if len(s):
                         yield pd.DataFrame({"text_key": crc32(key.encode("utf-8", "replace")), "doc_id": doc, "mask": mask, "seed": s, "at": np.arange(len(s), dtype=np.int32)})
 
     mine = docs.mapInPandas(emit, "text_key long, doc_id long, mask string, seed long, at int")
     diagonals = mine.join(index, ["mask", "seed"]).select("doc_id", "text_key", "item_id", (F.col("at") - F.col("pos")).alias("diagonal")).distinct()
-    texts = docs.withColumn("text_key", F.crc32(F.coalesce("text", F.lit("")).cast("binary")))
-    same = texts["doc_id"].eqNullSafe(diagonals["doc_id"]) & (texts["text_key"] == diagonals["text_key"])
-    items = bench.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").alias("item_text"))
-    matched = diagonals.join(items, "item_id").join(texts.distinct(), same).select(texts["doc_id"], texts["text"], "item_id", "item_text", "diagonal")
+    texts = docs.select(F.col("doc_id").alias("t_id"), "text", F.crc32(F.coalesce("text", F.lit("")).cast("binary")).alias("t_key")).distinct()
+    items = bench.select(F.col("item_id").cast("long").alias("i_id"), F.col("text").alias("item_text"))
+    near = diagonals.join(items, F.col("item_id") == F.col("i_id"))
+    matched = near.join(texts, F.col("t_id").eqNullSafe(F.col("doc_id")) & (F.col("t_key") == F.col("text_key"))).select("doc_id", "text", "item_id", "item_text", "diagonal")
 
     @F.pandas_udf("struct<item_id:long,start:int,matched:int,length:int>")
     def verify(body: pd.Series, item_text: pd.Series, item: pd.Series, diagonal: pd.Series) -> pd.DataFrame:

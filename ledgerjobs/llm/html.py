@@ -186,7 +186,7 @@ class _Page:
 
 def _cells(table: Box) -> tuple[list[list[str]], list[str]]:
     """Rows of cell texts, and captions, of a table; rows of nested tables stay in their cells."""
-    rows, captions, todo = [], [], [table]
+    rows, captions, open_row = [], [], None
     stack = [(table, iter(table.parts))]
     loose: list = []
     while stack:
@@ -199,16 +199,16 @@ def _cells(table: Box) -> tuple[list[list[str]], list[str]]:
             if part.hidden or part.tag in UNSEEN:
                 continue
             if part.tag in ("td", "th"):
-                if box.tag != "tr" and (not rows or box is not todo[0]):
+                if box is not open_row:  # a cell without a row begins one
                     rows.append([])
-                    todo[0] = box
+                    open_row = box
                 rows[-1].append(BLANKS.sub(" ", render(part)).strip())
             elif part.tag == "caption":
                 captions.append(BLANKS.sub(" ", render(part)).strip())
             elif part.tag in ("tr", "tbody", "thead", "tfoot"):
                 if part.tag == "tr":
                     rows.append([])
-                    todo[0] = part
+                    open_row = part
                 stack.append((part, iter(part.parts)))
                 break
             else:
@@ -266,7 +266,7 @@ def render(root: Box) -> str:
                 page.block(2)
                 continue
             gap = 2 if tag in SPACED else 1 if tag in BLOCK else 0
-            if gap == 2 and tag in ("ul", "ol") and len(page.indent) > 0:
+            if gap == 2 and tag in ("ul", "ol", "menu", "dir") and counter is not None:
                 gap = 1
             if gap:
                 page.block(gap)

@@ -199,11 +199,14 @@ def fit(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: str
 
     def features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            yield pd.DataFrame({"x": [r.tobytes() for r in _pooled(shared.value, batch["text"])], "y": batch["l_y"]})
-
-    bound = wanted.orderBy(F.xxhash64("l_id"), "l_id").limit(most_labelled)
-    both = docs.join(bound, docs[doc_id] == bound["l_id"]).select(F.col(text).cast("string").alias("text"), "l_y", "l_id").orderBy("l_id", F.xxhash64("text")).limit(most_labelled)
-    sample = both.select("text", "l_y").mapInPandas(features, "x binary, y int").toPandas().sort_values(["x", "y"])
+            yield pd.DataFrame({"l_id": batch["l_id"], "x": [r.tobytes() for r in _pooled(shared.value, batch["text"])], "y": batch["l_y"]})
+
+    # at most most_labelled rows of two numbers: a proven bound for the broadcast
+    bound = F.broadcast(wanted.orderBy(F.xxhash64("l_id"), "l_id").limit(most_labelled))
+    both = docs.join(bound, docs[doc_id] == bound["l_id"]).select(F.col("l_id").cast("long").alias("l_id"), F.col(text).cast("string").alias("text"), "l_y")
+    # of repeated rows of an id one is learned from
+    one = both.mapInPandas(features, "l_id long, x binary, y int").groupBy("l_id").agg(F.min(F.struct("x", "y")).alias("r"))
+    sample = one.select("l_id", "r.x", "r.y").toPandas().sort_values("l_id")
     x = np.stack([np.frombuffer(b, dtype=np.float32) for b in sample["x"]]).astype(np.float64) if len(sample) else np.zeros((0, 2 * space.dim + 5))
     return Model(space, context, train(x, sample["y"].to_numpy(dtype=np.float64)))
 
