@@ -91,7 +91,8 @@ def index_items(bench: DataFrame, *, item_id: str = "item_id", text: str = "text
                     rows += [(int(item), mask, s, p) for p, s in enumerate(found.view(np.int64).tolist())]
             yield pd.DataFrame(rows, columns=["item_id", "mask", "seed", "pos"])
 
-    return bench.select(F.col(item_id).cast("long").alias("item_id"), F.col(text).cast("string").alias("text")).mapInPandas(run, "item_id long, mask string, seed long, pos int")
+    # ids travel as text: with nulls among them pandas would make them floats
+    return bench.select(F.col(item_id).cast("long").cast("string").alias("item_id"), F.col(text).cast("string").alias("text")).mapInPandas(run, "item_id long, mask string, seed long, pos int")
 
 
 def _accept(doc: np.ndarray, pairs, items: dict, similarity: float, window: int) -> list[dict]:
@@ -176,7 +177,8 @@ def _joined(docs: DataFrame, bench: DataFrame, similarity: float, window: int, m
                     if len(s):
                         yield pd.DataFrame({"text_key": crc32(key.encode("utf-8", "replace")), "doc_id": doc, "mask": mask, "seed": s, "at": np.arange(len(s), dtype=np.int32)})
 
-    mine = docs.mapInPandas(emit, "text_key long, doc_id long, mask string, seed long, at int")
+    slim = docs.select(F.col("doc_id").cast("string").alias("doc_id"), "text")
+    mine = slim.mapInPandas(emit, "text_key long, doc_id string, mask string, seed long, at int").withColumn("doc_id", F.col("doc_id").cast("long"))
     diagonals = mine.join(index, ["mask", "seed"]).select("doc_id", "text_key", "item_id", (F.col("at") - F.col("pos")).alias("diagonal")).distinct()
     texts = docs.select(F.col("doc_id").alias("t_id"), "text", F.crc32(F.coalesce("text", F.lit("")).cast("binary")).alias("t_key")).distinct()
     items = bench.select(F.col("item_id").cast("long").alias("i_id"), F.col("text").alias("item_text"))

@@ -203,7 +203,8 @@ def fit(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: str
 
     # at most most_labelled rows of two numbers: a proven bound for the broadcast
     bound = F.broadcast(wanted.orderBy(F.xxhash64("l_id"), "l_id").limit(most_labelled))
-    both = docs.join(bound, docs[doc_id] == bound["l_id"]).select(F.col("l_id").cast("long").alias("l_id"), F.col(text).cast("string").alias("text"), "l_y")
+    slim = docs.select(F.col(doc_id).alias("d_id"), F.col(text).cast("string").alias("text"))
+    both = slim.join(bound, slim["d_id"] == bound["l_id"]).select(F.col("l_id").cast("long").alias("l_id"), "text", "l_y")
     # of repeated rows of an id one is learned from
     one = both.mapInPandas(features, "l_id long, x binary, y int").groupBy("l_id").agg(F.min(F.struct("x", "y")).alias("r"))
     sample = one.select("l_id", "r.x", "r.y").toPandas().sort_values("l_id")

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from .common import Workspace
 
 SPACES = b" \t\n\x0b\x0c\r"
-RECIPE = "doc_id long, n_cp long, text_sha256 string, recipe_key binary, recipe array<struct<fp:long,sha:binary,len:int>>"
+RECIPE = "doc_id string, n_cp long, text_sha256 string, recipe_key binary, recipe array<struct<fp:long,sha:binary,len:int>>"
 
 
 def cut_points(data: bytes, bits: int = 10, least: int = 256, most: int = 8192) -> list[int]:
@@ -59,7 +59,7 @@ def _recipes(bits: int, least: int, most: int):
                     last = end
                 key = hashlib.blake2b(b"".join(r["sha"] for r in recipe), digest_size=16).digest()
                 rows.append((len(text), hashlib.sha256(data).hexdigest(), key, recipe))
-            yield pd.DataFrame(rows, columns=["n_cp", "text_sha256", "recipe_key", "recipe"]).assign(doc_id=batch["doc_id"].astype("Int64").to_numpy(dtype=object, na_value=None))[
+            yield pd.DataFrame(rows, columns=["n_cp", "text_sha256", "recipe_key", "recipe"]).assign(doc_id=batch["doc_id"].to_numpy())[
                 ["doc_id", "n_cp", "text_sha256", "recipe_key", "recipe"]
             ]
 
@@ -82,7 +82,11 @@ def exact_dedup(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
     """
     space = Workspace(docs.sparkSession)
     rows = space.stage(
-        docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInPandas(_recipes(bits, least, most), RECIPE), "recipes"
+        # ids travel as text: with nulls among them pandas would make them floats
+        docs.select(F.col(doc_id).cast("long").cast("string").alias("doc_id"), F.col(text).cast("string").alias("text"))
+        .mapInPandas(_recipes(bits, least, most), RECIPE)
+        .withColumn("doc_id", F.col("doc_id").cast("long")),
+        "recipes",
     )
     # one recipe per key; keys that stand for several recipes are told apart by the list itself
     recipes = rows.select("recipe_key", F.transform("recipe", lambda c: F.struct(c.fp.alias("fp"), c.sha.alias("sha"), c.len.alias("len"))).alias("recipe")).distinct()

@@ -330,3 +330,50 @@ def test_pipeline_stages(spark, tmp_path):
     assert set(ids[3]) <= set(ids[2]) and max(Counter(ids[3]).values()) <= 2
     out = corpus_pipeline.run(spark, str(tmp_path)).collect()
     assert sorted(x["doc_id"] for x in out) == sorted(ids[3])
+
+
+CLASHING = "row l_id l_y d_id size key slice shard slot source_size target taken finish digest n bucket bundle id sig k_id t_id item_id start h c w lines u spans fp recipe_key kept component rep held_out score".split()
+
+
+def test_extra_columns_with_clashing_names_change_nothing(spark, corpus):
+    docs, rows = corpus
+    more = docs.withColumns({c: F.lit(f"clash {c}") for c in CLASHING})
+    labels = spark.createDataFrame([(r[0], i % 2) for i, r in enumerate(rows)], "doc_id long, quality int").withColumns({c: F.lit("x") for c in ("l_id", "l_y", "text", "d_id")})
+    bench = spark.createDataFrame([(1, rows[0][1]), (2, None)], "item_id long, text string").withColumns({c: F.lit(7) for c in ("doc_id", "h", "i_id")})
+    small = quality.Space(buckets=512, dim=16)
+    jobs = {
+        "secrets": lambda d: secrets.scan_secrets(d, secrets.learn(d)),
+        "quality": lambda d: quality.classify(d, labels, space=small),
+        "overlaps": lambda d: decontamination.find_overlaps(d, bench),
+        "overlaps_joined": lambda d: decontamination.find_overlaps(d, bench, broadcast_tokens=0),
+        "mix": mixing.mix,
+        "licenses": lambda d: licenses.scan_licenses(d, licenses.known_table(spark)),
+        "near": neardup.near_dedup,
+        "exact": recipes.exact_dedup,
+        "shard": sharding.shard,
+    }
+    for name, job in jobs.items():
+        assert Counter(map(str, job(more).collect())) == Counter(map(str, job(docs).collect())), name
+    stages = {
+        "quality": lambda d: quality.keep_good(d, labels, space=small),
+        "near": neardup.one_of_each,
+        "decontaminated": lambda d: decontamination.decontaminated(d, bench),
+        "decontaminated_joined": lambda d: decontamination.decontaminated(d, bench, broadcast_tokens=0),
+        "repeated": mixing.repeated,
+    }
+    for name, job in stages.items():
+        got = job(more)
+        assert got.columns == more.columns, name
+        assert Counter(map(str, got.select(docs.columns).collect())) == Counter(map(str, job(docs).select(docs.columns).collect())), name
+
+
+def test_large_ids_stay_exact_beside_null_ones(spark):
+    big = 2**53 + 1
+    body = prose(30, random.Random(2))
+    docs = spark.createDataFrame([(big, body, "en", "a", 1), (None, body + " x", "en", None, None), (big + 2, None, None, None, None)], DOC)
+    bench = spark.createDataFrame([(big, body), (None, "x y")], "item_id long, text string")
+    ids = {big, None, big + 2}
+    for got in (recipes.exact_dedup(docs), neardup.near_dedup(docs), sharding.shard(docs), mixing.mix(docs), secrets.scan_secrets(docs, secrets.learn(docs))):
+        assert {r["doc_id"] for r in got.collect()} == ids
+    for limit in (2_000_000, 0):
+        assert {(r["doc_id"], r["item_id"]) for r in decontamination.find_overlaps(docs, bench, broadcast_tokens=limit).collect()} == {(big, big), (None, big)}
