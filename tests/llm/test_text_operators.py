@@ -150,6 +150,17 @@ def test_decontamination_broadcast_and_joined(spark):
     assert decontamination.find_overlaps(docs, bench.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("n", range(2, 15))
+def test_short_items_with_a_fifth_of_changed_tokens_are_hit(n):
+    numbers = np.arange(100, 100 + n, dtype=np.uint64)
+    masks = decontamination.masks_for(n)
+    index = {m: set(x.tolist()) for m, x in decontamination.seeds(numbers, masks).items()}
+    for places in combinations(range(n), n // 5):
+        changed = numbers.copy()
+        changed[list(places)] = 7
+        assert any(index[m] & set(x.tolist()) for m, x in decontamination.seeds(changed, masks).items())
+
+
 def test_mixing_matches_a_plain_queue(spark, corpus):
     docs, rows = corpus
     size = lambda t: len(re.findall(r"[^\x20\x09-\x0D]+", t or ""))
