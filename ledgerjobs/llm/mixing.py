@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Workspace, spread, word_count
+from .common import Workspace, packed, spread, word_count
 
 
 def source_targets(sources: DataFrame, weights=(5, 2, 1), share: float = 1.5, max_repeats: int = 2) -> DataFrame:
@@ -60,7 +60,7 @@ def mix(
 
     Null or empty texts have size 0 and take nothing; null sources are one source; documents
     that tie in (md5, doc_id, size) are alike in every column returned; repeated rows count
-    each; an empty table gives an empty result. ``extra`` are further columns of ``docs`` to carry.
+    each; an empty table gives an empty result. ``extra`` are further columns of ``docs`` to carry, which also break such ties.
     """
     space = Workspace(docs.sparkSession)
     extra = extra or {}
@@ -86,7 +86,7 @@ def mix(
     )
     t = targets.select(F.col("source").alias("t_source"), "source_size", "target")
     before = before.join(t, F.col("b_source").eqNullSafe(F.col("t_source"))).drop("t_source")
-    inside = Window.partitionBy("source", "slice").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
+    inside = Window.partitionBy("source", "slice").orderBy("key", "doc_id", "size", *extra).rowsBetween(Window.unboundedPreceding, 0)
     queued = base.withColumn("within", F.sum("size").over(inside)).join(before, F.col("source").eqNullSafe(F.col("b_source")) & (F.col("slice") == F.col("b_slice")))
     finish = [
         F.when(F.col("size") > 0, (F.lit(r) * F.col("source_size") + F.col("before") + F.col("within")).cast("double") / F.col("target"))
@@ -119,8 +119,26 @@ def _cut(queued: DataFrame, targets: DataFrame, slices: int) -> float:
     return last if last is not None else first["slot"] / slices - 1e-12
 
 
-def repeated(docs: DataFrame, **options) -> DataFrame:
-    """The mix itself: the rows of ``docs``, each as often as it is taken, with the same columns."""
-    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
-    chosen = mix(docs, extra={"row": whole}, **options)
-    return chosen.where("copies > 0").select(F.explode(F.array_repeat("row", F.col("copies"))).alias("row")).select("row.*")
+def repeated(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", source: str = "source", max_repeats: int = 2, **options) -> DataFrame:
+    """The mix itself: the rows of ``docs``, each as often as it is taken, with the same columns.
+
+    Only sizes, ids and hashes of texts go through the queue. Finish times rise with (md5,
+    doc_id, size, hash) in a source, so for each source and copy the first place that is not
+    taken tells all rows; the rows meet a table of one row per source and never move. Rows of
+    equal id and text that tie at such a place are none of them taken there. Rows without words are not taken; an empty table gives an empty one.
+    """
+    space = Workspace(docs.sparkSession)
+    queued = mix(docs, doc_id=doc_id, text=text, source=source, max_repeats=max_repeats, extra={"src": F.col(source).cast("string"), "mark": F.xxhash64(F.col(text))}, **options)
+
+    def place(id_: Column, mark: Column) -> Column:
+        key = F.md5(F.coalesce(id_.cast("string"), F.lit("")).cast("binary"))
+        return F.struct(key.alias("key"), id_.alias("id"), F.col("size"), mark.alias("mark"))
+
+    here = place(F.col("doc_id"), F.col("mark"))
+    ends = [F.min(F.when((F.col("size") > 0) & (F.col("copies") <= r), here)).alias(f"end{r}") for r in range(max_repeats)]
+    ends = space.stage(queued.groupBy(F.col("src").alias("e_source")).agg(*ends), "ends")
+    rows = packed(docs).withColumn("size", word_count(F.col(f"row.`{text}`"))).where("size > 0")
+    rows = rows.withColumn("place", place(F.col(f"row.`{doc_id}`"), F.xxhash64(F.col(f"row.`{text}`"))))
+    rows = rows.join(ends, F.col(f"row.`{source}`").cast("string").eqNullSafe(F.col("e_source")))
+    copies = sum((F.when(F.col(f"end{r}").isNull() | (F.col("place") < F.col(f"end{r}")), 1).otherwise(0) for r in range(max_repeats)), F.lit(0))
+    return rows.select(F.explode(F.array_repeat("row", copies)).alias("row")).select("row.*")

@@ -189,6 +189,12 @@ def test_mixing_matches_a_plain_queue(spark, corpus):
     assert mixing.mix(docs).exceptAll(mixing.mix(docs.repartition(5))).count() == 0
     assert mixing.mix(empty(spark)).count() == 0
     assert sum(r["n_chars"] is not None for r in mixing.repeated(docs).collect()) > 0 and mixing.repeated(docs).columns == docs.columns
+    # the rows are as many as the queue takes, document by document
+    took = Counter()
+    for r in mixing.mix(docs, extra={"mark": F.xxhash64("text")}).collect():
+        took[r["doc_id"]] += r["copies"]
+    assert sum(took.values()) > 0
+    assert Counter(r["doc_id"] for r in mixing.repeated(docs).select("doc_id").collect()) == +took
 
 
 def test_sharding_keeps_groups_and_is_even(spark, corpus):
