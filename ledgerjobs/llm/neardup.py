@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Workspace
+from .common import Workspace, packed
 
 UPPER, LOWER = b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz"
 _FOLD = bytes.maketrans(UPPER, LOWER)
@@ -314,13 +314,16 @@ def _verified(pairs: DataFrame, known: DataFrame, bodies: DataFrame, k: int, per
 
 
 def one_of_each(docs: DataFrame, **options) -> DataFrame:
-    """The rows of ``docs`` whose document is kept; of repeated rows of a kept id (null ids: of a kept null text) one stays."""
+    """The rows of ``docs`` whose document is kept; of repeated rows of a kept id (null ids: of a kept null text) one stays.
+
+    The kept ids are written with their number of rows, so Spark sees how small they are when
+    it joins them, and texts move once at most; only rows of repeated ids are grouped.
+    """
+    space = Workspace(docs.sparkSession)
     groups = near_dedup(docs, **options)
-    kept = groups.where("kept").select(F.col("doc_id").alias("k_id")).distinct()
-    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
-    stay = packed.join(kept, packed["row.doc_id"].cast("long").eqNullSafe(kept["k_id"]), "left_semi")
-    ties = F.xxhash64(F.to_json("row"))
-    repeated = stay.groupBy(F.col("row.doc_id").alias("r_id")).agg(F.count("*").alias("n")).where("n > 1 and r_id is not null").select("r_id")
-    alone = stay.join(repeated, stay["row.doc_id"] == repeated["r_id"], "left_anti")
-    first = stay.join(repeated, stay["row.doc_id"] == repeated["r_id"], "left_semi").groupBy("row.doc_id").agg(F.min_by("row", ties).alias("row")).select("row")
-    return alone.union(first).select("row.*")
+    kept = space.stage(groups.where("kept").groupBy(F.col("doc_id").alias("k_id")).agg(F.count("*").alias("n")), "kept")
+    rows = packed(docs)
+    once, often = kept.where("n = 1 or k_id is null").select("k_id"), kept.where("n > 1 and k_id is not null").select("k_id")
+    same = F.col("row.doc_id").cast("long").eqNullSafe(F.col("k_id"))
+    several = rows.join(often, same, "left_semi").groupBy("row.doc_id").agg(F.min_by("row", F.xxhash64(F.to_json("row"))).alias("row"))
+    return rows.join(once, same, "left_semi").union(several.select("row")).select("row.*")
