@@ -161,6 +161,41 @@ def test_short_items_with_a_fifth_of_changed_tokens_are_hit(n):
         assert any(index[m] & set(x.tolist()) for m, x in decontamination.seeds(changed, masks).items())
 
 
+@pytest.mark.parametrize("n", range(2, 21))
+def test_items_with_a_fifth_of_changed_or_cut_off_tokens_are_hit(n):
+    masks = decontamination.masks_for(n)
+    shown = [sum(1 << at + i for i, x in enumerate(m) if x == "1") for m in masks for at in range(n - len(m) + 1)]
+    for places in combinations(range(n), n // 5):
+        changed = sum(1 << i for i in places)
+        assert any(not s & changed for s in shown), places
+    for cut in range(n // 5 + 1):  # the document ends, or begins, inside the item
+        assert any(len(m) <= n - cut for m in masks)
+
+
+def test_decontamination_finds_every_overlap(spark):
+    """Items of the usual lengths, whole in a document or at its edge, in the placings that fixed masks of weight 6 miss."""
+    r = random.Random(13)
+    bench = [(n, " ".join(f"i{n}t{k}" for k in range(n))) for n in (5, 7, 10, 11, 15, 16, 20, 45)]
+    shown = [[i for i, x in enumerate(m) if x == "1"] for m in decontamination.MASKS]
+    rows = []
+    for n, body in bench:
+        size = min(n, 20)
+        every = list(combinations(range(size), size // 5))
+        hard = [c for c in every if not any(not {at + i for i in m} & set(c) for m in shown for at in range(size - m[-1]))]
+        for places in hard + r.sample(every, 5) + [tuple(range(size - size // 5, size)), tuple(range(size // 5))]:
+            words = body.split()[:size]
+            for x in places:
+                words[x] = "other"
+            pre, post = prose(3, r), prose(3, r)
+            rows += [(len(rows), f"{pre} {' '.join(words)} {post}")]
+        rows += [(len(rows), " ".join(body.split()[: size - size // 5])), (len(rows) + 1, " ".join(body.split()[size // 5 : size]))]
+    docs, items = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(bench, "item_id long, text string")
+    want = {(d, i) for d, t in rows for i, b in bench if brute_overlaps(t, b)}
+    assert len(want) == len(rows)
+    for limit in (2_000_000, 0):
+        assert {(x["doc_id"], x["item_id"]) for x in decontamination.find_overlaps(docs, items, broadcast_tokens=limit).collect()} == want
+
+
 def test_mixing_matches_a_plain_queue(spark, corpus):
     docs, rows = corpus
     size = lambda t: len(re.findall(r"[^\x20\x09-\x0D]+", t or ""))
