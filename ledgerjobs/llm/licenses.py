@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+from pathlib import Path
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -70,23 +73,62 @@ limitations under the License.""",
     ("MPL-2.0", "SPDX-License-Identifier: MPL-2.0"),
 )
 
+#: Where the text proper ends: what follows are hints for users, which copies often leave out.
+_HINTS = re.compile(r"(?im)(?<=END OF TERMS AND CONDITIONS)\s[\s\S]*|^[ \t]*(ADDENDUM: How to use|How to Apply These Terms|Exhibit A ?-)[\s\S]*")
+_TITLES = {"BSD-2-Clause": ("", "BSD 2-Clause License", 'BSD 2-Clause "Simplified" License'), "BSD-3-Clause": ("", "BSD 3-Clause License", 'BSD 3-Clause "New" or "Revised" License')}
+
+
+def _whole_texts() -> tuple[tuple[str, str], ...]:
+    """(license id, text) of the entire licenses in ``known``: with and without hints, by http and https, numbered or starred."""
+    out = []
+    for path in sorted((Path(__file__).parent / "known").glob("*.txt")):
+        body = path.read_text("utf-8")
+        for form in {body, _HINTS.sub("", body), re.sub(r"(?m)^( *)\d\. ", r"\1* ", body)} if path.stem in _TITLES else {body, _HINTS.sub("", body)}:
+            links = {form, form.replace("https://", "http://"), form.replace("http://", "https://")}
+            out += [(path.stem, f"{title}\n\n{x}") for title in _TITLES.get(path.stem, ("",)) for x in links]
+    return tuple(sorted(out))
+
+
+#: Entire texts known by default besides ``KNOWN``.
+WHOLE = _whole_texts()
+
+#: Copyright lines as the SQL takes them out; ``NOTICE`` takes out these and more, but not what follows a notice.
 COPYRIGHT_LINE = r"(?m)^[^\p{L}\p{N}\n]*(copyright|\(c\)|©)[^\n]*[0-9]{4}[^\n]*$"
 
+#: What ends a notice on its line: a sentence, or the text itself, about the license.
+_AFTER = (
+    r"(?:[.;,|\u2013\u2014-][ \t\"'>)]*[ \t](?i:licen[sc]ed|released|distributed|permission|redistribution|this (?:work|software|program|file)|spdx-)"
+    r"|[ \t](?i:permission (?:is hereby granted|to use)|redistribution and use|(?:licen[sc]ed|released|distributed) under|spdx-license-identifier))"
+)
+#: A copyright notice without the rest of its line: with a year, a sign, a place for a name, or a name.
+NOTICE = (
+    r"(?m)(?:^[^\p{L}\p{N}\n]*|(?<=(?i:licen[sc]e)[.:]{0,1}[ \t]{1,4}))"
+    r"(?:(?i:copyright|\(c\)|©)(?=[^\n]*[0-9]{4})|(?i:copyright)[ \t]*(?i:\(c\)|©|[\[<{])|©|\([cC]\)[ \t]*(?i:copyright)"
+    r"|Copyright:?[ \t]+(?:by[ \t]+)?(?!(?i:holder|owner|notice|licen|law|and |or |statement|disclaimer|treat|interest|protection|office|act\b))(?=\p{Lu}))"
+    r"(?:(?!" + _AFTER + r")[^\n])*"
+    r"(?:\n[^\p{L}\p{N}\n]*(?i:all rights reserved)[^\p{L}\p{N}\n]*$)?"
+)
+
+
+def _equivalent(text: Column) -> Column:
+    for old, new in EQUIVALENT:
+        text = F.replace(text, F.lit(old), F.lit(new))
+    return text
+
 
 def canonical(text: Column) -> Column:
-    """Lower case, no copyright lines (those that name a year), words parted by one blank, lines kept."""
-    out = F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), COPYRIGHT_LINE, "")
+    """Lower case, no copyright notices (nor "all rights reserved" below), words parted by one blank, lines kept."""
+    out = F.lower(F.regexp_replace(F.coalesce(text, F.lit("")), NOTICE, ""))
     out = F.regexp_replace(out, r"[^\p{L}\p{N}\n]+", " ")
-    for old, new in EQUIVALENT:
-        out = F.replace(out, F.lit(old), F.lit(new))
-    return out
+    return _equivalent(out)
 
 
 def whole(canon: Column) -> Column:
-    return F.trim(F.regexp_replace(canon, r"[ \n]+", " "))
+    """The lines as one, with the equivalent words that a line break had parted."""
+    return _equivalent(F.trim(F.regexp_replace(canon, r"[ \n]+", " ")))
 
 
-def known_table(spark: SparkSession, known=KNOWN) -> DataFrame:
+def known_table(spark: SparkSession, known=KNOWN + WHOLE) -> DataFrame:
     return spark.createDataFrame(list(known), "license_id string, text string")
 
 

@@ -280,6 +280,23 @@ def test_licenses(spark):
     assert licenses.scan_licenses(docs.limit(0), known).count() == 0
 
 
+def test_licenses_whole_texts_and_notices(spark):
+    mit, bsd = licenses.KNOWN[1][1], [t for i, t in licenses.WHOLE if i == "BSD-3-Clause" and t.startswith("\n\nRedistribution") and "\n1." in t][0]
+    files = {p.stem: p.read_text("utf-8") for p in (licenses.Path(licenses.__file__).parent / "known").glob("*.txt")}
+    assert {"Apache-2.0", "BSD-2-Clause", "BSD-3-Clause", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "MPL-2.0"} <= files.keys()
+    texts = [(i, files[i]) for i in sorted(files)]
+    texts += [(i, " ".join(files[i].split())) for i in ("BSD-3-Clause", "BSD-2-Clause", "Artistic-1.0-Perl")]  # wrapped otherwise
+    texts += [("Apache-2.0", files["Apache-2.0"].split("   APPENDIX:")[0]), ("GPL-3.0", files["GPL-3.0"].replace("https", "http")), ("GPL-2.0", files["GPL-2.0"].split("How to Apply")[0])]
+    texts += [("BSD-3-Clause", f"BSD 3-Clause License\n\nCopyright (c) 2020, A. Person, Inc.\nAll rights reserved.\n\n{bsd}"), ("Apache-2.0", files["Apache-2.0"].replace("[yyyy] [name of copyright owner]", "2020 A. Person"))]
+    for notice in ("Copyright (c) A. Person", "Copyright A. Person and others", "(c) Copyright A. Person", "© A. Person", "Copyright [yyyy] [name of copyright owner]", "Copyright © 2020 A. Person. All rights reserved.", "# Copyright 2020 Foo Inc. Bar Ltd."):
+        texts.append(("MIT", f"{notice}\n\n{mit}"))
+    texts += [("MIT", "Copyright 2020 X. Licensed under the MIT License."), ("MIT", "Copyright (c) Foo, Inc. Released under the MIT License."), ("MIT", "MIT License Copyright (c) 2020 X " + " ".join(mit.split()))]
+    none = ["Copyright holders\n" + mit, files["GPL-3.0"].replace("freedom", "liberty"), mit[:-30]]
+    docs = spark.createDataFrame([(n, t) for n, (_, t) in enumerate(texts)] + [(1000 + n, t) for n, t in enumerate(none)], "doc_id long, text string")
+    got = {(r["doc_id"], r["license_id"]) for r in licenses.scan_licenses(docs, licenses.known_table(spark)).where("scope = 'text'").collect()}
+    assert got == {(n, i) for n, (i, _) in enumerate(texts)}
+
+
 def test_preferences(spark):
     turns = [
         (0, 0, "user", "hi"), (0, 1, "assistant", "hello"), (0, 2, "user", "why"), (0, 3, "assistant", "because it is"), (1, 0, "user", "hi"), (1, 1, "assistant", "hello"), (1, 2, "user", "why"), (1, 3, "assistant", "no"),
