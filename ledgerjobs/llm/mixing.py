@@ -124,8 +124,9 @@ def repeated(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", sou
 
     Only sizes, ids and hashes of texts go through the queue. Finish times rise with (md5,
     doc_id, size, hash) in a source, so for each source and copy the first place that is not
-    taken tells all rows; the rows meet a table of one row per source and never move. Rows of
-    equal id and text that tie at such a place are none of them taken there. Rows without words are not taken; an empty table gives an empty one.
+    taken tells all rows; the rows meet a table of one row per source and do not move. Of rows of
+    equal id and text that tie at such a place as many are taken as the queue takes there; only
+    these are grouped, and equal ones counted. Rows without words are not taken; an empty table gives an empty one.
     """
     space = Workspace(docs.sparkSession)
     queued = mix(docs, doc_id=doc_id, text=text, source=source, max_repeats=max_repeats, extra={"src": F.col(source).cast("string"), "mark": F.xxhash64(F.col(text))}, **options)
@@ -136,9 +137,21 @@ def repeated(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", sou
 
     here = place(F.col("doc_id"), F.col("mark"))
     ends = [F.min(F.when((F.col("size") > 0) & (F.col("copies") <= r), here)).alias(f"end{r}") for r in range(max_repeats)]
-    ends = space.stage(queued.groupBy(F.col("src").alias("e_source")).agg(*ends), "ends")
+    ends = queued.groupBy(F.col("src").alias("e_source")).agg(*ends)
+    # how many of those that tie at an end are taken all the same
+    at_end = queued.join(ends, F.col("src").eqNullSafe(F.col("e_source")))
+    left = [F.sum(F.when((here == F.col(f"end{r}")) & (F.col("copies") > r), 1).otherwise(0)).alias(f"left{r}") for r in range(max_repeats)]
+    ends = space.stage(at_end.groupBy("e_source", *[f"end{r}" for r in range(max_repeats)]).agg(*left), "ends")
     rows = packed(docs).withColumn("size", word_count(F.col(f"row.`{text}`"))).where("size > 0")
     rows = rows.withColumn("place", place(F.col(f"row.`{doc_id}`"), F.xxhash64(F.col(f"row.`{text}`"))))
     rows = rows.join(ends, F.col(f"row.`{source}`").cast("string").eqNullSafe(F.col("e_source")))
     copies = sum((F.when(F.col(f"end{r}").isNull() | (F.col("place") < F.col(f"end{r}")), 1).otherwise(0) for r in range(max_repeats)), F.lit(0))
-    return rows.select(F.explode(F.array_repeat("row", copies)).alias("row")).select("row.*")
+    out = rows.select(F.explode(F.array_repeat("row", copies)).alias("row"))
+    most = ends.agg(*[F.coalesce(F.max(f"left{r}"), F.lit(0)) for r in range(max_repeats)]).first()
+    for r in range(max_repeats):
+        if most[r]:
+            tied = rows.where((F.col("place") == F.col(f"end{r}")) & (F.col(f"left{r}") > 0)).groupBy("e_source", f"left{r}", "row").agg(F.count("*").alias("n"))
+            before = F.sum("n").over(Window.partitionBy("e_source").orderBy(F.xxhash64(F.to_json("row")), "row").rowsBetween(Window.unboundedPreceding, 0)) - F.col("n")
+            taken = F.greatest(F.least(F.col("n"), F.col(f"left{r}") - F.col("before")), F.lit(0)).cast("int")
+            out = out.union(tied.withColumn("before", before).select(F.explode(F.array_repeat("row", taken)).alias("row")))
+    return out.select("row.*")

@@ -173,8 +173,9 @@ def near_dedup(
     slack: float = 0.12,
     few: int = 8,
     block: int = 512,
+    digests: bool = False,
 ) -> DataFrame:
-    """One row per row of ``docs``: doc_id, n_shingles, component_id, kept.
+    """One row per row of ``docs``: doc_id, n_shingles, component_id, kept, with ``digests`` that of the words, too.
 
     Two texts are linked if 100 * common >= ``percent`` * all of their distinct ``k``-word
     shingles, checked on the full sets. Candidates are texts that agree in a band of minhashes
@@ -218,18 +219,26 @@ def near_dedup(
     comp = classes.join(where, classes["rep"] == where["node"], "left").select(F.col("digest").alias("c_digest"), F.coalesce("component", "rep").alias("c_id"))
     out = all_rows.select("doc_id", "digest", "n").join(comp, F.when(F.col("n") > 0, F.col("digest")) == F.col("c_digest"), "left")
     component = F.coalesce("c_id", "doc_id")
-    out = space.stage(out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept")), "result")
+    more = ["digest"] if digests else []
+    out = space.stage(out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"), *more), "result")
     space.drop(out)
     return out
 
 
-def _bodies(texts: DataFrame, known: DataFrame) -> DataFrame:
-    """(id, text) of the candidates; where an id has several texts, the one whose digest is known."""
+def _digest():
+    """Pandas UDF from a text to the digest of its words."""
 
     @F.pandas_udf("binary")
     def digest(t: pd.Series) -> pd.Series:
-        return pd.Series([hashlib.blake2b(b" ".join(words_of(x)), digest_size=16).digest() for x in t])
+        return pd.Series([hashlib.blake2b(b" ".join(words_of(x)), digest_size=16).digest() for x in t], dtype=object)
+
+    return digest
+
+
+def _bodies(texts: DataFrame, known: DataFrame) -> DataFrame:
+    """(id, text) of the candidates; where an id has several texts, the one whose digest is known."""
 
+    digest = _digest()
     ids = known.select("id", F.col("digest").alias("k_digest"))
     both = texts.join(ids, texts["t_id"] == ids["id"])
     return both.where(digest("text") == F.col("k_digest")).select("id", "text").dropDuplicates(["id"])
@@ -314,16 +323,22 @@ def _verified(pairs: DataFrame, known: DataFrame, bodies: DataFrame, k: int, per
 
 
 def one_of_each(docs: DataFrame, **options) -> DataFrame:
-    """The rows of ``docs`` whose document is kept; of repeated rows of a kept id (null ids: of a kept null text) one stays.
+    """The rows of ``docs`` whose document is kept: of rows of equal id (or null id) and equal words one stays.
 
     The kept ids are written with their number of rows, so Spark sees how small they are when
-    it joins them, and texts move once at most; only rows of repeated ids are grouped.
+    it joins them, and texts move once at most; only rows of repeated ids are told apart by
+    the digest of their words and grouped by id and digest.
     """
     space = Workspace(docs.sparkSession)
-    groups = near_dedup(docs, **options)
-    kept = space.stage(groups.where("kept").groupBy(F.col("doc_id").alias("k_id")).agg(F.count("*").alias("n")), "kept")
-    rows = packed(docs)
-    once, often = kept.where("n = 1 or k_id is null").select("k_id"), kept.where("n > 1 and k_id is not null").select("k_id")
-    same = F.col("row.doc_id").cast("long").eqNullSafe(F.col("k_id"))
-    several = rows.join(often, same, "left_semi").groupBy("row.doc_id").agg(F.min_by("row", F.xxhash64(F.to_json("row"))).alias("row"))
+    text, doc_id = options.get("text", "text"), options.get("doc_id", "doc_id")
+    groups = near_dedup(docs, digests=True, **options)
+    ids = groups.groupBy(F.col("doc_id").alias("k_id")).agg(F.count("*").alias("n"), F.max("kept").alias("some"))
+    ids = space.stage(ids.where("some").select("k_id", "n"), "kept")
+    rows, id_ = packed(docs), F.col(f"row.`{doc_id}`").cast("long")
+    same = id_.eqNullSafe(F.col("k_id"))
+    once, often = ids.where("n = 1").select("k_id"), ids.where("n > 1").select("k_id")
+    stays = groups.where("kept").join(often, F.col("doc_id").eqNullSafe(F.col("k_id")), "left_semi").select(F.col("doc_id").alias("s_id"), F.col("digest").alias("s_digest")).distinct()
+    several = rows.join(often, same, "left_semi").withColumn("digest", _digest()(F.col(f"row.`{text}`").cast("string")))
+    several = several.join(stays, id_.eqNullSafe(F.col("s_id")) & (F.col("digest") == F.col("s_digest")), "left_semi")
+    several = several.groupBy(id_.alias("id"), "digest").agg(F.min_by("row", F.xxhash64(F.to_json("row"))).alias("row"))
     return rows.join(once, same, "left_semi").union(several.select("row")).select("row.*")

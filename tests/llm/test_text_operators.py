@@ -100,6 +100,28 @@ def test_near_dedup_against_brute_force(spark, corpus, few):
     assert neardup.near_dedup(empty(spark)).count() == 0
 
 
+def test_one_of_each_keeps_texts_of_repeated_and_null_ids(spark):
+    r = random.Random(21)
+    a, b, c, d, e = (prose(30, r) for _ in range(5))
+    rows = [(1, a), (1, b), (1, b), (2, c), (3, c), (3, d), (None, e), (None, e), (None, a), (None, None), (None, ""), (7, None)]
+    got = neardup.one_of_each(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert Counter((x["doc_id"], x["text"] or "") for x in got) == Counter([(1, a), (1, b), (2, c), (3, d), (None, e), (None, ""), (7, "")])
+
+
+def test_mix_takes_rows_that_tie_as_the_queue_does(spark):
+    body = "one two three four five"
+    rows = [(1, body, "a", n // 2) for n in range(9)] + [(2, body + " six", "a", 0), (None, body, "b", 1), (None, body, "b", 2), (None, body, "b", 2)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, n_chars int")
+    for share in (0.3, 0.7, 1.1, 1.5, 1.8):
+        took, mixed = Counter(), mixing.repeated(docs, share=share)
+        for x in mixing.mix(docs, share=share, extra={"src": F.col("source"), "mark": F.xxhash64("text")}).collect():
+            took[x["doc_id"]] += x["copies"]
+        got = mixed.collect()
+        assert Counter(x["doc_id"] for x in got) == +took
+        most = Counter(rows)
+        assert all(n <= 2 * most[tuple(x)] for x, n in Counter(got).items())
+
+
 def test_large_group_of_near_copies_in_blocks(spark):
     r = random.Random(9)
     base, rows = prose(60, r).split(), []
