@@ -105,12 +105,17 @@ def index_items(bench: DataFrame, *, item_id: str = "item_id", text: str = "text
     return bench.select(F.col(item_id).cast("long").cast("string").alias("item_id"), F.col(text).cast("string").alias("text")).mapInPandas(run, "item_id long, mask string, seed long, pos int")
 
 
+def _rank(start: int, matched: int, length: int) -> tuple[int, int, int]:
+    """The order of an item's overlaps: most matched first, then the smallest start, then the shortest."""
+    return -matched, start, length
+
+
 def _accept(doc: np.ndarray, pairs, items: dict, similarity: float, window: int) -> list[dict]:
     best: dict[int, tuple] = {}
     for item, diagonal in sorted(pairs):
-        start, matched, length = best_overlap(doc, items[item], diagonal, window)
-        if matched >= similarity * length - 1e-9 and (item not in best or matched > best[item][1]):
-            best[item] = (start, matched, length)
+        hit = start, matched, length = best_overlap(doc, items[item], diagonal, window)
+        if matched >= similarity * length - 1e-9 and (item not in best or _rank(*hit) < _rank(*best[item])):
+            best[item] = hit
     return [{"item_id": k, "start": v[0], "matched": v[1], "length": v[2]} for k, v in sorted(best.items())]
 
 
@@ -152,7 +157,7 @@ def hits_udf(bench: DataFrame, *, similarity: float = 0.8, window: int = 20, ite
             found: dict[int, dict] = {}
             for hit in _accept(docs[doc], some, {i: variants[i][1] for i, _ in some}, similarity, window):
                 item = variants[hit["item_id"]][0]
-                if item not in found or hit["matched"] > found[item]["matched"]:
+                if item not in found or _rank(hit["start"], hit["matched"], hit["length"]) < _rank(found[item]["start"], found[item]["matched"], found[item]["length"]):
                     found[item] = hit | {"item_id": item}
             out[doc] = [found[k] for k in sorted(found)]
         return out
@@ -172,7 +177,7 @@ def hits_udf(bench: DataFrame, *, similarity: float = 0.8, window: int = 20, ite
 
 
 def _joined(docs: DataFrame, bench: DataFrame, similarity: float, window: int, masks) -> DataFrame:
-    """(doc_id, text, hits) for benchmarks too large for each task: seeds of both sides meet in a shuffle join."""
+    """(doc_id, text, rows, hits), ``rows`` being how often a document is repeated, for benchmarks too large for each task: seeds of both sides meet in a shuffle join."""
     index = index_items(bench, masks=masks)
     lengths = [m for m in masks] + [r[0] for r in index.where(~F.col("mask").isin(list(masks))).select("mask").distinct().collect()]
 
@@ -190,10 +195,10 @@ def _joined(docs: DataFrame, bench: DataFrame, similarity: float, window: int, m
     slim = docs.select(F.col("doc_id").cast("string").alias("doc_id"), "text")
     mine = slim.mapInPandas(emit, "text_key long, doc_id string, mask string, seed long, at int").withColumn("doc_id", F.col("doc_id").cast("long"))
     diagonals = mine.join(index, ["mask", "seed"]).select("doc_id", "text_key", "item_id", (F.col("at") - F.col("pos")).alias("diagonal")).distinct()
-    texts = docs.select(F.col("doc_id").alias("t_id"), "text", F.crc32(F.coalesce("text", F.lit("")).cast("binary")).alias("t_key")).distinct()
+    texts = docs.select(F.col("doc_id").alias("t_id"), "text", F.crc32(F.coalesce("text", F.lit("")).cast("binary")).alias("t_key")).groupBy("t_id", "text", "t_key").agg(F.count("*").alias("rows"))
     items = bench.select(F.col("item_id").cast("long").alias("i_id"), F.col("text").alias("item_text"))
     near = diagonals.join(items, F.col("item_id") == F.col("i_id"))
-    matched = near.join(texts, F.col("t_id").eqNullSafe(F.col("doc_id")) & (F.col("t_key") == F.col("text_key"))).select("doc_id", "text", "item_id", "item_text", "diagonal")
+    matched = near.join(texts, F.col("t_id").eqNullSafe(F.col("doc_id")) & (F.col("t_key") == F.col("text_key"))).select("doc_id", "text", "rows", "item_id", "item_text", "diagonal")
 
     @F.pandas_udf("struct<item_id:long,start:int,matched:int,length:int>")
     def verify(body: pd.Series, item_text: pd.Series, item: pd.Series, diagonal: pd.Series) -> pd.DataFrame:
@@ -203,8 +208,8 @@ def _joined(docs: DataFrame, bench: DataFrame, similarity: float, window: int, m
             out.append((i, s, m, n))
         return pd.DataFrame(out, columns=["item_id", "start", "matched", "length"])
 
-    scored = matched.select("doc_id", "text", verify("text", "item_text", "item_id", "diagonal").alias("h")).where(F.col("h.matched") >= similarity * F.col("h.length") - 1e-9)
-    return scored.groupBy("doc_id", "text", "h.item_id").agg(F.max_by("h", F.struct("h.matched", -F.col("h.start"))).alias("h"))
+    scored = matched.select("doc_id", "text", "rows", verify("text", "item_text", "item_id", "diagonal").alias("h")).where(F.col("h.matched") >= similarity * F.col("h.length") - 1e-9)
+    return scored.groupBy("doc_id", "text", "rows", "h.item_id").agg(F.max_by("h", F.struct("h.matched", -F.col("h.start"), -F.col("h.length"))).alias("h"))
 
 
 def find_overlaps(
@@ -223,14 +228,15 @@ def find_overlaps(
     Benchmarks up to ``broadcast_tokens`` characters go to every task; larger ones meet the
     documents in a shuffle join on the seeds. Null and empty texts overlap with nothing; items
     with a null id are left out; an id with several texts matches by any; repeated rows of a
-    document give repeated rows when broadcast; empty tables give empty results.
+    document give repeated rows; of equal overlaps the smallest start counts; empty tables give empty results.
     """
     docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     bench = bench.select(F.col(item_id).cast("long").alias("item_id"), F.col(item_text).cast("string").alias("text"))
     if fits(bench, broadcast_tokens):
         hits = hits_udf(bench, similarity=similarity, window=window, masks=masks)
         return docs.select("doc_id", F.explode(hits("text")).alias("h")).select("doc_id", "h.*")
-    return _joined(docs, bench, similarity, window, masks).select("doc_id", "h.*")
+    found = _joined(docs, bench, similarity, window, masks)
+    return found.select("doc_id", "h", F.explode(F.array_repeat(F.lit(0), F.col("rows").cast("int")))).select("doc_id", "h.*")
 
 
 def fits(bench: DataFrame, most: int) -> bool:

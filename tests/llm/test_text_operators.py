@@ -218,6 +218,20 @@ def test_decontamination_finds_every_overlap(spark):
         assert {(x["doc_id"], x["item_id"]) for x in decontamination.find_overlaps(docs, items, broadcast_tokens=limit).collect()} == want
 
 
+def test_decontamination_gives_the_same_rows_broadcast_and_joined(spark):
+    r = random.Random(17)
+    long, twice = prose(40, r), prose(12, r)
+    ones = " ".join(f"w{n}" for n in range(30))
+    # the two halves of the item in the other order: the later start has the smaller diagonal
+    halves = ones.split()
+    rows = [(1, long), (1, long), (1, "x " + long), (None, long), (None, long), (2, f"{twice} and {twice}"), (3, None), (3, ""), (4, " ".join(["so"] * 25))]
+    rows += [(5, " ".join(halves[15:] + ["a", "b"] + halves[:15] + ["c"])), (5, " ".join(halves[10:] + ["a"] + halves[:20]))] * 2
+    bench = [(1, long), (1, twice), (1, long), (2, twice), (3, ones), (4, "so " * 10), (5, " ".join(halves[:20])), (5, " ".join(halves[10:]))]
+    docs, items = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(bench, "item_id long, text string")
+    got = [Counter(tuple(x) for x in decontamination.find_overlaps(docs, items, broadcast_tokens=limit).collect()) for limit in (2_000_000, 0)]
+    assert got[0] == got[1] and max(got[0].values()) == 2 and (5, 3, 0, 20, 20) in got[0]
+
+
 def test_mixing_matches_a_plain_queue(spark, corpus):
     docs, rows = corpus
     size = lambda t: len(re.findall(r"[^\x20\x09-\x0D]+", t or ""))
