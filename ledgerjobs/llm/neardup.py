@@ -183,13 +183,15 @@ def near_dedup(
     class from the start. Within a bucket the members are first compared with its smallest.
     Members that are then in different components are compared with each other, all of them,
     so no bucket is capped: as pairs in buckets of up to ``few`` members, in blocks of
-    2 * ``block`` members inside a task in larger ones, which emit nothing but links. A
-    candidate whose signature agrees less than ``percent`` / 100 - ``slack`` (almost five
+    about 2 * ``block`` members inside a task in larger ones, which emit nothing but links. A
+    component of more than ``block`` members has blocks of its own, which never meet each
+    other, so a text moves as often as there are blocks of other components. A candidate whose signature agrees less than ``percent`` / 100 - ``slack`` (almost five
     standard deviations) is not checked.
 
     component_id is the smallest id reachable. Null and empty texts have no shingles and link
     with nothing. Null ids take part only as copies: they get the component of their class,
     else null. kept is doc_id = component_id, null-safe; a repeated row of a kept id is kept, too.
+    Classes of different texts that have the same smallest id are one node, linked by any of the texts.
     """
     space = Workspace(docs.sparkSession)
     slim = docs.select(F.col(doc_id).cast("long").cast("string").alias("doc_id"), F.col(text).cast("string").alias("text"))
@@ -204,7 +206,7 @@ def near_dedup(
     wanted = members.select("id").distinct()
     texts = slim.select(F.col("doc_id").cast("long").alias("t_id"), "text")
     sigs = reps.select(F.col("doc_id").alias("id"), "n", "sig", "digest")
-    known = space.stage(sigs.join(wanted, "id", "left_semi").dropDuplicates(["id"]), "candidates")
+    known = space.stage(sigs.join(wanted, "id", "left_semi").dropDuplicates(["id", "digest"]), "candidates")
     bodies = space.stage(_bodies(texts, known), "texts")
     edges = space.stage(_verified(_stars(members), known, bodies, k, percent, slack), "links")
     where = space.stage(connected_components(edges, space), "components")
@@ -236,12 +238,12 @@ def _digest():
 
 
 def _bodies(texts: DataFrame, known: DataFrame) -> DataFrame:
-    """(id, text) of the candidates; where an id has several texts, the one whose digest is known."""
+    """(id, digest, text) of the candidates: of texts of equal words one, of an id that stands for several classes one each."""
 
     digest = _digest()
     ids = known.select("id", F.col("digest").alias("k_digest"))
     both = texts.join(ids, texts["t_id"] == ids["id"])
-    return both.where(digest("text") == F.col("k_digest")).select("id", "text").dropDuplicates(["id"])
+    return both.where(digest("text") == F.col("k_digest")).select("id", F.col("k_digest").alias("digest"), "text").dropDuplicates(["id", "digest"])
 
 
 def _stars(buckets: DataFrame) -> DataFrame:
@@ -260,15 +262,17 @@ def _across(buckets: DataFrame) -> DataFrame:
 def _in_blocks(buckets: DataFrame, known: DataFrame, bodies: DataFrame, k: int, percent: int, slack: float, block: int) -> DataFrame:
     """(u, v): links between members of one bucket that are in different components.
 
-    A bucket is dealt into chunks of about ``block`` members; each two chunks (and each by
-    itself) make one group. A pair is left to the first bucket that its members share. Links
-    within what a group has already joined add nothing to components and are passed over.
+    A bucket is dealt into chunks of about ``block`` members: of one component where that has
+    more than ``block``, of all smaller ones together else. Each two chunks, but for two of one
+    component, make a group, and each mixed chunk one by itself. A pair is left to the first
+    bucket that its members share. Links within what a group has already joined add nothing to
+    components and are passed over.
     """
 
     def links(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values("id").reset_index(drop=True)
-        ids, chunk, bucket = frame["id"].tolist(), frame["chunk"].to_numpy(), frame["bucket"].iloc[0]
-        first = frame["i"].iloc[0] == frame["j"].iloc[0]
+        ids, side, bucket = frame["id"].tolist(), frame["side"].to_numpy(), frame["bucket"].iloc[0]
+        alone = len(set(side)) == 1
         sigs = np.frombuffer(b"".join(frame["sig"]), dtype=np.uint16).reshape(len(ids), -1)
         n, least = frame["n"].to_numpy(), (percent / 100 - slack) * sigs.shape[1]
         mine = [set(m) for m in frame["mine"]]
@@ -289,8 +293,8 @@ def _in_blocks(buckets: DataFrame, known: DataFrame, bodies: DataFrame, k: int,
         for x in range(len(ids) - 1):
             agree = (sigs[x + 1 :] == sigs[x]).sum(axis=1)
             fit = (agree >= least) & (np.minimum(n[x + 1 :], n[x]) * 100 >= np.maximum(n[x + 1 :], n[x]) * percent)
-            if not first:
-                fit &= chunk[x + 1 :] != chunk[x]
+            if not alone:
+                fit &= side[x + 1 :] != side[x]
             for y in (np.flatnonzero(fit) + x + 1).tolist():
                 if top(comp[x]) == top(comp[y]) or min(mine[x] & mine[y]) != bucket:
                     continue
@@ -301,13 +305,27 @@ def _in_blocks(buckets: DataFrame, known: DataFrame, bodies: DataFrame, k: int,
                     out.append((ids[x], ids[y]))
         return pd.DataFrame(out, columns=["u", "v"])
 
-    chunks = F.ceil(F.col("size") / block).cast("int")
-    chunk = F.pmod(F.xxhash64("id"), chunks).cast("int")
-    others = F.transform(F.sequence(F.lit(0), chunks - 1), lambda o: F.struct(F.least(o, F.col("chunk")).alias("i"), F.greatest(o, F.col("chunk")).alias("j")))
-    at = buckets.withColumn("chunk", chunk).select("bucket", "id", "component", "chunk", F.explode(others).alias("b")).select("bucket", "id", "component", "chunk", "b.*")
     mine = buckets.groupBy("id").agg(F.collect_list("bucket").alias("mine"))
-    load = mine.join(known.select("id", "n", "sig"), "id").join(bodies, "id")
-    return at.join(load, "id").groupBy("bucket", "i", "j").applyInPandas(links, "u long, v long")
+    load = mine.join(known.select("id", "digest", "n", "sig"), "id").join(bodies, ["id", "digest"]).drop("digest")
+    return _dealt(buckets, block).join(load, "id").groupBy("group").applyInPandas(links, "u long, v long")
+
+
+def _dealt(buckets: DataFrame, block: int) -> DataFrame:
+    """(bucket, id, component, side, group): the members of each two chunks that are to meet, by side of the pair."""
+    of_component = buckets.groupBy("bucket", "component").agg(F.count("*").alias("members"))
+    mixed = of_component.where(F.col("members") <= block).groupBy("bucket").agg(F.sum("members").alias("mixed"))
+    sized = buckets.join(of_component, ["bucket", "component"]).join(mixed, "bucket", "left")
+    own = F.col("members") > block
+    number = F.pmod(F.xxhash64("id"), F.ceil(F.when(own, F.col("members")).otherwise(F.col("mixed")) / block)).cast("int")
+    chunk = F.struct(own.alias("own"), F.when(own, F.col("component")).otherwise(0).alias("of"), number.alias("number"))
+    at = sized.select("bucket", "id", "component", chunk.alias("chunk"))
+    chunks = at.select("bucket", "chunk").distinct()
+    one, other = chunks.select("bucket", F.col("chunk").alias("i")), chunks.select(F.col("bucket").alias("b"), F.col("chunk").alias("j"))
+    apart = ~F.col("i.own") | ~F.col("j.own") | (F.col("i.of") != F.col("j.of"))
+    pairs = one.join(other, (F.col("bucket") == F.col("b")) & (F.col("i") <= F.col("j")) & apart).drop("b")
+    left = at.join(pairs.withColumn("chunk", F.col("i")), ["bucket", "chunk"]).withColumn("side", F.lit(0))
+    right = at.join(pairs.where("i < j").withColumn("chunk", F.col("j")), ["bucket", "chunk"]).withColumn("side", F.lit(1))
+    return left.unionByName(right).select("bucket", "id", "component", "side", F.to_json(F.struct("bucket", "i", "j")).alias("group"))
 
 
 def _verified(pairs: DataFrame, known: DataFrame, bodies: DataFrame, k: int, percent: int, slack: float) -> DataFrame:

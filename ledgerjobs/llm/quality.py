@@ -61,12 +61,24 @@ def context_vectors(docs: DataFrame, space: Space, *, text: str = "text", block:
         from pyspark import TaskContext
 
         words = _Words(space.buckets)
-        beside = np.zeros(space.buckets * space.buckets, dtype=np.int32)
+        beside = np.zeros(space.buckets * space.buckets, dtype=np.int64)
+
+        def add_up(pairs: list[np.ndarray]) -> None:
+            at, n = np.unique(np.concatenate(pairs), return_counts=True)
+            beside[at] += n
+
         for batch in batches:
+            pairs, size = [], 0
             for text in batch["text"]:
                 ids = _ids(text, words)
                 for lag in (1, 2):
-                    np.add.at(beside, ids[:-lag].astype(np.int64) * space.buckets + ids[lag:], 1)
+                    pairs.append(ids[:-lag] * np.int32(space.buckets) + ids[lag:])
+                size += len(ids)
+                if size > 1_000_000:
+                    add_up(pairs)
+                    pairs, size = [], 0
+            if pairs:
+                add_up(pairs)
         beside = beside.reshape(space.buckets, space.buckets)
         index, sums = space.index_vectors().astype(np.float64), []
         for i in range(0, space.buckets, block):
@@ -102,19 +114,17 @@ def word_vectors(sums: np.ndarray) -> np.ndarray:
     return unit.astype(np.float32)
 
 
-def pool(text: str | None, words: _Words, index: np.ndarray, context: np.ndarray) -> np.ndarray:
-    """Mean index and context vectors of the words, their lengths, how often words repeat next to each other, and log length."""
+def pool(text: str | None, words: _Words, index: np.ndarray, context: np.ndarray, block: int = 32_768) -> np.ndarray:
+    """Mean index vector and mean context vector of the words of a text, and mean product of the context vectors of each two neighbours."""
     ids = _ids(text, words)
-    if not len(ids):
-        return np.zeros(index.shape[1] + context.shape[1] + 5, dtype=np.float32)
-    counts = np.bincount(ids, minlength=len(index)) if len(ids) > len(index) else None
-    if counts is not None:
-        i, c = counts @ index / len(ids), counts @ context / len(ids)
-    else:
-        i, c = index[ids].mean(axis=0), context[ids].mean(axis=0)
-    near = float((ids[1:] == ids[:-1]).mean()) if len(ids) > 1 else 0.0
-    kinds = len(np.unique(ids)) / len(ids)
-    return np.concatenate([i, c, [np.linalg.norm(i), np.linalg.norm(c), near, kinds, np.log1p(len(ids)) / 10]]).astype(np.float32)
+    out = np.zeros(index.shape[1] + 2 * context.shape[1])
+    i, c = index.shape[1], index.shape[1] + context.shape[1]
+    for at in range(0, len(ids), block):
+        some = context[ids[at : at + block + 1]]
+        out[:i] += index[ids[at : at + block]].sum(axis=0)
+        out[i:c] += some[:block].sum(axis=0)
+        out[c:] += np.einsum("ij,ij->j", some[1:], some[:-1])
+    return (out / max(1, len(ids))).astype(np.float32)
 
 
 @dataclass
@@ -136,7 +146,7 @@ class Network:
         return 1 / (1 + np.exp(-np.clip(self.logits(x) / self.temperature, -30, 30)))
 
 
-def train(x: np.ndarray, y: np.ndarray, *, hidden: int = 32, epochs: int = 40, rate: float = 3e-3, decay: float = 1e-4, seed: int = 7) -> Network:
+def train(x: np.ndarray, y: np.ndarray, *, hidden: int = 32, epochs: int = 40, rate: float = 3e-3, decay: float = 1e-3, seed: int = 7) -> Network:
     """Adam on the logistic loss over four fifths of the rows; the temperature minimises the loss on the others.
 
     Without rows, or with one class only, the score is the smoothed share of label 1.
@@ -184,7 +194,7 @@ class Model:
 def _pooled(model: Model, frame: pd.Series) -> np.ndarray:
     words, index = _Words(model.space.buckets), model.space.index_vectors().astype(np.float32)
     rows = [pool(t, words, index, model.context) for t in frame]
-    return np.stack(rows) if rows else np.zeros((0, 2 * model.space.dim + 5), dtype=np.float32)
+    return np.stack(rows) if rows else np.zeros((0, 3 * model.space.dim), dtype=np.float32)
 
 
 def fit(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: str = "text", label: str = "quality", most_labelled: int = 20_000, space: Space = Space()) -> Model:
@@ -208,7 +218,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: str
     # of repeated rows of an id one is learned from
     one = both.mapInPandas(features, "l_id long, x binary, y int").groupBy("l_id").agg(F.min(F.struct("x", "y")).alias("r"))
     sample = one.select("l_id", "r.x", "r.y").toPandas().sort_values("l_id")
-    x = np.stack([np.frombuffer(b, dtype=np.float32) for b in sample["x"]]).astype(np.float64) if len(sample) else np.zeros((0, 2 * space.dim + 5))
+    x = np.stack([np.frombuffer(b, dtype=np.float32) for b in sample["x"]]).astype(np.float64) if len(sample) else np.zeros((0, 3 * space.dim))
     return Model(space, context, train(x, sample["y"].to_numpy(dtype=np.float64)))
 
 

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import zlib
 from collections import Counter, defaultdict
 from itertools import combinations
 
@@ -134,6 +135,27 @@ def test_large_group_of_near_copies_in_blocks(spark):
     assert got == components(rows, 4)
 
 
+def test_blocks_move_a_text_once_for_each_block_of_other_components(spark):
+    """Of 400 members of one component and one other text, the latter meets every block, the others only its own."""
+    members = [(1, i, 0) for i in range(400)] + [(1, 900, 900)] + [(2, i, 10 + i % 3) for i in range(30)]
+    got = neardup._dealt(spark.createDataFrame(members, "bucket long, id long, component long"), 20).collect()
+    times = Counter((x["bucket"], x["id"]) for x in got)
+    assert all(times[1, i] == 1 for i in range(400)) and times[1, 900] == len({x["group"] for x in got if x["bucket"] == 1}) == 21
+    sides = defaultdict(set)
+    for x in got:
+        sides[x["group"]].add(x["side"])
+    met = {frozenset((x["id"], y["id"])) for x in got for y in got if x["bucket"] == 2 and x["group"] == y["group"] and (x["side"] != y["side"] or len(sides[x["group"]]) == 1)}
+    assert {frozenset(p) for p in combinations(range(30), 2) if p[0] % 3 != p[1] % 3} <= met
+
+
+def test_links_of_all_texts_of_an_id_are_found(spark):
+    r = random.Random(23)
+    a, b = prose(60, r), prose(60, r)
+    near = [t + " tail" for t in (a, b)]
+    docs = spark.createDataFrame([(1, a), (1, b), (5, near[0]), (6, near[1]), (7, near[1])], "doc_id long, text string")
+    assert Counter((x["doc_id"], x["component_id"], x["kept"]) for x in neardup.near_dedup(docs).collect()) == Counter([(1, 1, True)] * 2 + [(5, 1, False), (6, 1, False), (7, 1, False)])
+
+
 def test_components_of_chains_and_stars(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 100 + i) for i in range(1, 30)] + [(7, 7)]
     got = {r["node"]: r["component"] for r in neardup.connected_components(spark.createDataFrame(edges, "u long, v long"), Workspace(spark)).collect()}
@@ -299,7 +321,47 @@ def test_best_fit_is_the_tightest_bin():
                 left.append(60)
             left[i] -= s
             want.append(i)
-        assert sharding.best_fit(sizes, 60) == want
+        runs = sorted(Counter(sizes).items(), reverse=True)
+        assert [b for _, n, b in sharding.best_fit(runs, 60) for _ in range(n)] == want
+
+
+@pytest.mark.parametrize("n, digits", [(1, 4), (15, 4), (17, 4), (4097, 4), (70_000, 16), (3 << 40, 16)])
+def test_size_classes_round_up_little(spark, n, digits):
+    got = spark.sql(f"SELECT {sharding.size_class(f'{n}L', digits)} AS c").first()["c"]
+    assert n <= got <= n * (1 + 2.0 ** (1 - digits)) and (n >= 1 << digits or got == n)
+
+
+def brute_shards(rows, shards, digits):
+    """Groups placed one by one, each scanning all bins, by the capacity that the operator settles on."""
+    total = Counter()
+    for _, t in rows:
+        total[hashlib.md5((t or "").encode()).digest()] += len((t or "").encode()) + 1
+    size = {g: n if n < 1 << digits else -(-n >> n.bit_length() - digits) << n.bit_length() - digits for g, n in total.items()}
+    runs = sorted(Counter(size.values()).items(), reverse=True)
+    load, room = defaultdict(int), {}
+    for run, n, b in sharding.pack(runs, shards):
+        load[b] += runs[run][0] * n
+    return Counter(load.values()), max(total.values()), sum(total.values())
+
+
+@pytest.mark.parametrize("digits", [16, 5])
+def test_sharding_packs_every_group_by_its_size(spark, digits):
+    """All groups are small: each shard's content is that of the packing, and near a sixteenth."""
+    r = random.Random(31)
+    rows = [(i if i % 50 else None, r.choice("abcdef") * r.randint(0, 60) + str(i % 700)) for i in range(1500)] + [(7, "same")] * 90 + [(i, "one text") for i in range(200)]
+    got = sharding.shard(spark.createDataFrame(rows, "doc_id long, text string"), digits=digits, rows_per_slice=100).collect()
+    assert Counter((x["doc_id"], x["size"]) for x in got) == Counter((i, len(t) + 1) for i, t in rows)
+    load, slots, at = Counter(), defaultdict(list), defaultdict(set)
+    for x in got:
+        load[x["shard"]] += x["size"]
+        slots[x["shard"]].append(x["slot"])
+        at[x["text_crc32"]].add(x["shard"])
+    want, largest, total = brute_shards(rows, 16, digits)
+    assert all(len(s) == 1 for s in at.values()) and all(sorted(s) == list(range(len(s))) for s in slots.values())
+    if digits == 16:
+        assert Counter(load.values()) == want
+        assert max(load.values()) - min(load.values()) <= 16
+    assert max(load.values()) <= 1.05 * max(largest, total / 16)
 
 
 def test_licenses(spark):
@@ -391,6 +453,27 @@ def test_html_query_rows(spark):
     assert html.extract_text(pages.limit(0)).count() == 0
 
 
+def test_context_vectors_and_pooling_against_plain_counting(spark):
+    r = random.Random(44)
+    texts = [prose(n, r) for n in (1, 2, 30, 400)] + [None, "", "so so so"]
+    space = quality.Space(buckets=64, dim=8)
+    index, want = space.index_vectors().astype(int), np.zeros((64, 8), dtype=int)
+    bucket = lambda w: zlib.crc32(w.encode()) * 0x9E3779B1 % (1 << 32) * 64 >> 32
+    words = [[bucket(w) for w in re.findall(r"\w+|[^\w\s]+", t or "")] for t in texts]
+    for w in words:
+        for i, x in enumerate(w):
+            for j in (i - 2, i - 1, i + 1, i + 2):
+                if 0 <= j < len(w):
+                    want[x] += index[w[j]]
+    docs = spark.createDataFrame([(t,) for t in texts], "text string").repartition(3)
+    assert (quality.context_vectors(docs, space, block=16) == want).all()
+    context = np.random.default_rng(1).random((64, 8)).astype(np.float32)
+    for t, w in zip(texts, words):
+        parts = [[sum(v[x][k] for x in w) for k in range(8)] for v in (index, context)] + [[sum(context[x][k] * context[y][k] for x, y in zip(w, w[1:])) for k in range(8)]]
+        for block in (3, 32_768):
+            assert np.allclose(quality.pool(t, quality._Words(64), index.astype(np.float32), context, block), np.concatenate(parts) / max(1, len(w)), atol=1e-5)
+
+
 def test_quality_held_out(spark):
     r = random.Random(8)
     good = [(i, prose(r.randint(20, 80), r) + ".") for i in range(240)]
