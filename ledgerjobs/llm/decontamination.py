@@ -184,31 +184,44 @@ def _joined(docs: DataFrame, bench: DataFrame, similarity: float, window: int, m
     def emit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         ids = _Ids()
         for batch in batches:
+            rows, size = [], 0
             for doc, body in zip(batch["doc_id"], batch["text"], strict=True):
                 numbers = _numbers(tokens_of(body), ids)
-                key = "" if body is None else body
+                key = crc32(("" if body is None else body).encode("utf-8", "replace"))
                 for mask, found in seeds(numbers, lengths).items():
-                    s = found.view(np.int64)
-                    if len(s):
-                        yield pd.DataFrame({"text_key": crc32(key.encode("utf-8", "replace")), "doc_id": doc, "mask": mask, "seed": s, "at": np.arange(len(s), dtype=np.int32)})
+                    rows.append((key, doc, mask, found.view(np.int64)))
+                    size += len(found)
+                if size > 200_000:
+                    yield frame(rows)
+                    rows, size = [], 0
+            yield frame(rows)
+
+    def frame(rows: list) -> pd.DataFrame:
+        n = [len(r[3]) for r in rows]
+        columns = {name: np.repeat(np.array([r[i] for r in rows], dtype=object), n) for i, name in enumerate(("text_key", "doc_id", "mask"))}
+        at = np.concatenate([np.arange(x, dtype=np.int32) for x in n]) if rows else np.empty(0, dtype=np.int32)
+        return pd.DataFrame({**columns, "seed": np.concatenate([r[3] for r in rows]) if rows else np.empty(0, dtype=np.int64), "at": at})
 
     slim = docs.select(F.col("doc_id").cast("string").alias("doc_id"), "text")
     mine = slim.mapInPandas(emit, "text_key long, doc_id string, mask string, seed long, at int").withColumn("doc_id", F.col("doc_id").cast("long"))
-    diagonals = mine.join(index, ["mask", "seed"]).select("doc_id", "text_key", "item_id", (F.col("at") - F.col("pos")).alias("diagonal")).distinct()
+    # a text travels once for each item that it shares a seed with; its diagonals are at most its tokens and the item's
+    near = mine.join(index, ["mask", "seed"]).groupBy("doc_id", "text_key", "item_id").agg(F.collect_set(F.col("at") - F.col("pos")).alias("diagonals"))
     texts = docs.select(F.col("doc_id").alias("t_id"), "text", F.crc32(F.coalesce("text", F.lit("")).cast("binary")).alias("t_key")).groupBy("t_id", "text", "t_key").agg(F.count("*").alias("rows"))
-    items = bench.select(F.col("item_id").cast("long").alias("i_id"), F.col("text").alias("item_text"))
-    near = diagonals.join(items, F.col("item_id") == F.col("i_id"))
-    matched = near.join(texts, F.col("t_id").eqNullSafe(F.col("doc_id")) & (F.col("t_key") == F.col("text_key"))).select("doc_id", "text", "rows", "item_id", "item_text", "diagonal")
+    items = bench.select(F.col("item_id").cast("long").alias("i_id"), F.col("text").alias("item_text")).distinct()
+    near = near.join(items, F.col("item_id") == F.col("i_id"))
+    matched = near.join(texts, F.col("t_id").eqNullSafe(F.col("doc_id")) & (F.col("t_key") == F.col("text_key"))).select("doc_id", "text", "rows", "item_id", "item_text", "diagonals")
 
-    @F.pandas_udf("struct<item_id:long,start:int,matched:int,length:int>")
-    def verify(body: pd.Series, item_text: pd.Series, item: pd.Series, diagonal: pd.Series) -> pd.DataFrame:
+    @F.pandas_udf("struct<start:int,matched:int,length:int>")
+    def verify(body: pd.Series, item_text: pd.Series, diagonals: pd.Series) -> pd.DataFrame:
         ids, out = _Ids(), []
-        for b, t, i, d in zip(body, item_text, item, diagonal, strict=True):
-            s, m, n = best_overlap(_numbers(tokens_of(b), ids), _numbers(tokens_of(t), ids), int(d), window)
-            out.append((i, s, m, n))
-        return pd.DataFrame(out, columns=["item_id", "start", "matched", "length"])
-
-    scored = matched.select("doc_id", "text", "rows", verify("text", "item_text", "item_id", "diagonal").alias("h")).where(F.col("h.matched") >= similarity * F.col("h.length") - 1e-9)
+        for b, t, several in zip(body, item_text, diagonals, strict=True):
+            doc, item = _numbers(tokens_of(b), ids), _numbers(tokens_of(t), ids)
+            out.append(min((best_overlap(doc, item, int(d), window) for d in several), key=lambda hit: _rank(*hit)))
+        return pd.DataFrame(out, columns=["start", "matched", "length"])
+
+    scored = matched.select("doc_id", "text", "rows", "item_id", verify("text", "item_text", "diagonals").alias("v")).where(F.col("v.matched") >= similarity * F.col("v.length") - 1e-9)
+    scored = scored.select("doc_id", "text", "rows", F.struct("item_id", "v.*").alias("h"))
+    # an item's id may have several texts
     return scored.groupBy("doc_id", "text", "rows", "h.item_id").agg(F.max_by("h", F.struct("h.matched", -F.col("h.start"), -F.col("h.length"))).alias("h"))
 
 
@@ -240,7 +253,7 @@ def find_overlaps(
 
 
 def fits(bench: DataFrame, most: int) -> bool:
-    return bench.agg(F.coalesce(F.sum(F.length("text") + 1), F.lit(0))).first()[0] <= most
+    return bench.agg(F.coalesce(F.sum(F.coalesce(F.length("text"), F.lit(0)) + 1), F.lit(0))).first()[0] <= most
 
 
 def decontaminated(docs: DataFrame, bench: DataFrame, *, similarity: float = 0.8, window: int = 20, broadcast_tokens: int = 2_000_000) -> DataFrame:

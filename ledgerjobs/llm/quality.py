@@ -139,6 +139,10 @@ class Network:
     b2: float
     temperature: float = 1.0
 
+    @property
+    def learned(self) -> bool:
+        return bool(np.any(self.w2))
+
     def logits(self, x: np.ndarray) -> np.ndarray:
         return np.tanh((x - self.mean) / self.scale @ self.w1 + self.b1) @ self.w2 + self.b2
 
@@ -230,7 +234,7 @@ def score_udf(spark, model: Model):
     def score(texts: pd.Series) -> pd.Series:
         m = shared.value
         x = _pooled(m, texts)
-        if not np.any(m.network.w2):
+        if not m.network.learned:
             x = np.zeros((len(texts), len(m.network.mean)))
         p = m.network.probability(x.astype(np.float64))
         return pd.Series(p)
@@ -256,8 +260,10 @@ def classify(docs: DataFrame, labels: DataFrame, *, threshold: float = 0.7, doc_
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, *, threshold: float = 0.7, **options) -> DataFrame:
-    """The rows of ``docs`` that score at least ``threshold``, with all their columns."""
+    """The rows of ``docs`` that score at least ``threshold``, with all their columns; all of them where the labels teach nothing (under ten, or of one class)."""
     model = fit(docs, labels.where(~held_out("doc_id")), **options)
+    if not model.network.learned:
+        return docs
     score = score_udf(docs.sparkSession, model)
     packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
     return packed.where(score(F.col("row.text").cast("string")) >= threshold).select("row.*")

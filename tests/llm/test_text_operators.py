@@ -520,6 +520,25 @@ def test_pipeline_stages(spark, tmp_path):
     assert sorted(x["doc_id"] for x in out) == sorted(ids[3])
 
 
+def test_pipeline_on_nulls_repeated_rows_and_empty_tables(spark, tmp_path):
+    import corpus_pipeline
+
+    r = random.Random(15)
+    good = [prose(40, r) for _ in range(30)]
+    rows = [(i, t, "en", None if i % 4 == 0 else "a", len(t)) for i, t in enumerate(good)] + [(None, prose(30, r), None, None, None), (40, None, None, None, None), (41, "", "en", "a", 0), (1, good[1], "en", "a", 1), (42, "w " * 120_000, "en", "b", 1)]
+    schemas = {"documents": DOC, "labels": "doc_id long, quality int, toxic int", "benchmark": "item_id long, text string"}
+    tables = {"documents": rows, "labels": [(i, 1, 0) for i in range(30)] + [(None, 0, None), (3, None, 0)], "benchmark": [(1, good[5]), (None, good[6]), (2, None)]}
+    for empty_ones in ((), ("labels", "benchmark"), tuple(tables)):
+        folder = f"{tmp_path}/{'-'.join(empty_ones)}x"
+        for name, schema in schemas.items():
+            spark.createDataFrame([] if name in empty_ones else tables[name], schema).write.parquet(f"{folder}/{name}.parquet")
+        out = [x["doc_id"] for x in corpus_pipeline.run(spark, folder).collect()]
+        assert bool(out) == ("documents" not in empty_ones)
+        assert max(Counter(out).values(), default=0) <= 2 and not {40, 41} & set(out)
+        if not empty_ones:
+            assert 5 not in out and {6, None} & set(out)
+
+
 CLASHING = "row l_id l_y d_id size key slice shard slot source_size target taken finish digest n bucket bundle id sig k_id t_id item_id start h c w lines u spans fp recipe_key kept component rep held_out score".split()
 
 
