@@ -1,9 +1,11 @@
-"""HTML extraction: a small tree of boxes, laid out as plain text."""
+"""HTML extraction: a tree of boxes, which of them are visible, and their text laid out in lines."""
 
 from __future__ import annotations
 
 import html
 import re
+from bisect import bisect_right
+from collections import defaultdict
 from collections.abc import Iterator
 
 import pandas as pd
@@ -11,123 +13,361 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 # Fixed values of the HTML standard: elements by how they are treated.
-VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template iframe noembed noframes textarea title xmp".split())
-UNSEEN = frozenset("head script style noscript template iframe noembed noframes title datalist area base link meta param source track object audio video canvas svg math map select rp".split())
+VOID = frozenset("area base basefont bgsound br col embed frame hr img input keygen link meta param source track wbr".split())
+RAW = frozenset("script style noscript template iframe noembed noframes textarea title xmp plaintext".split())
+UNSEEN = frozenset("head script style noscript template iframe noembed noframes title datalist area base link meta param source track object audio video canvas rp desc defs metadata symbol clippath annotation annotation-xml".split())
 BLOCK = frozenset(
-    "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li listing main menu nav ol optgroup option p pre search section summary table caption tbody thead tfoot tr ul xmp".split()
+    "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li listing main menu nav ol optgroup option p plaintext pre search section summary table caption tbody thead tfoot tr td th ul xmp".split()
 )
-SPACED = frozenset("p h1 h2 h3 h4 h5 h6 blockquote dl figure ol ul pre table hr fieldset menu dir".split())
-CLOSES_P = BLOCK - frozenset("body html caption tbody thead tfoot tr li dt dd legend option optgroup summary".split())
+SPACED = frozenset("p h1 h2 h3 h4 h5 h6 blockquote dl figure ol ul pre listing xmp plaintext table hr fieldset menu dir".split())
+PREFORMATTED = frozenset("pre listing textarea xmp plaintext".split())
+LISTS = frozenset("ul ol menu dir".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+CELLS, ROWS, GROUPS = frozenset("td th".split()), frozenset(["tr"]), frozenset("tbody thead tfoot".split())
+TABLE_PARTS = CELLS | ROWS | GROUPS | {"caption", "table"}
+IN_HEAD = frozenset("base basefont bgsound link meta title script noscript style template noframes head html body".split())
+CLOSES_P = BLOCK - CELLS - ROWS - GROUPS - frozenset("body html caption legend option optgroup summary".split())
+P_SCOPE = ("table", "td", "th", "caption", "button", "object", "marquee", "foreignobject")
+LEAVES_GRAPHICS = BLOCK | frozenset("b big br code em i img s small span strike strong sub sup tt u var".split())
 # what an opening tag ends, and where the search for it stops
 IMPLIED = {
-    "li": (frozenset(["li"]), frozenset(["ul", "ol", "menu", "dir"])),
-    "dt": (frozenset(["dt", "dd"]), frozenset(["dl"])),
-    "dd": (frozenset(["dt", "dd"]), frozenset(["dl"])),
-    "tr": (frozenset(["tr", "td", "th", "caption"]), frozenset(["table"])),
-    "td": (frozenset(["td", "th"]), frozenset(["tr", "table"])),
-    "th": (frozenset(["td", "th"]), frozenset(["tr", "table"])),
-    "tbody": (frozenset(["tbody", "thead", "tfoot", "tr", "td", "th", "caption"]), frozenset(["table"])),
-    "thead": (frozenset(["tbody", "thead", "tfoot", "tr", "td", "th", "caption"]), frozenset(["table"])),
-    "tfoot": (frozenset(["tbody", "thead", "tfoot", "tr", "td", "th", "caption"]), frozenset(["table"])),
-    "option": (frozenset(["option"]), frozenset(["select", "datalist"])),
-    "body": (frozenset(["head"]), frozenset(["html"])),
+    "li": (("li",), ("ul", "ol", "menu", "dir", "table", "td", "th")),
+    "dt": (("dt", "dd"), ("dl", "table", "td", "th")),
+    "dd": (("dt", "dd"), ("dl", "table", "td", "th")),
+    **{cell: (("td", "th", "caption"), ("tr", "table")) for cell in CELLS},
+    "tr": (("tr", "td", "th", "caption"), ("table",)),
+    **{group: (("tbody", "thead", "tfoot", "tr", "td", "th", "caption"), ("table",)) for group in GROUPS},
+    "option": (("option",), ("select", "datalist")),
+    "optgroup": (("option", "optgroup"), ("select", "datalist")),
 }
-TAG = re.compile(r"<(?:!--.*?(?:-->|\Z)|[!?][^>]*>?|(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>)", re.S)
-ATTRIBUTE = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
-HIDING = re.compile(r"display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse)", re.I)
+KEPT = frozenset("id class style hidden start value type size colspan rowspan selected multiple open".split())
+UNWRITTEN = frozenset("hidden password checkbox radio file image range color".split())
+
+PLAIN_END = re.compile(r"\s*>")
+BETWEEN, SPACES = re.compile(r"[\s/]*"), re.compile(r"\s*")
+TAG_NAME, NAME, UNQUOTED = re.compile(r"[A-Za-z][^\s/>]*"), re.compile(r"=?[^\s/>=]*"), re.compile(r"[^\s>]*")
+CLOSING = {tag: re.compile(rf"</{tag}(?=[\s/>])", re.I | re.A) for tag in RAW}
+HUGE_NUMBER = re.compile(r"&#[0-9]{8,};?")
 BLANKS = re.compile(r"[ \t\n\r\f]+")
+SIMPLE = re.compile(r"(\*|[A-Za-z][\w-]*)?((?:[.#][A-Za-z_-][\w-]*)*)")
 
 
 class Box:
-    __slots__ = ("tag", "parts", "hidden", "start")
-
-    def __init__(self, tag: str, hidden: bool = False, start: int = 1):
-        self.tag, self.parts, self.hidden, self.start = tag, [], hidden, start
-
-
-def _attributes(tag: str, raw: str) -> tuple[bool, int]:
-    """Is the element hidden, and the first number of its list."""
-    hidden, start = False, 1
-    if raw.strip(" \t\n\r\f/"):
-        for m in ATTRIBUTE.finditer(raw):
-            name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
-            if name == "hidden" and value.lower() != "until-found" or name == "aria-hidden" and value.lower() == "true":
-                hidden = True
-            elif name == "style" and HIDING.search(html.unescape(value)):
-                hidden = True
-            elif name == "type" and tag == "input" and value.lower() == "hidden":
-                hidden = True
-            elif name == "start" and tag == "ol" and re.fullmatch(r"-?\d{1,9}", value):
-                start = int(value)
-    return hidden, start
-
-
-def build_tree(source: str) -> Box:
-    """The tree of ``source``: implied end tags, void and raw elements, stray end tags dropped, open ones closed at the end."""
-    root = Box("html")
-    stack = [root]
-    at, end, low = 0, len(source), None
-    while at < end:
-        m = TAG.search(source, at)
-        text = source[at : m.start() if m else end]
+    """An element: its parts (strings and boxes), kept attributes, and what is worked out about it."""
+
+    __slots__ = ("tag", "parts", "attributes", "gone", "shown", "grid", "lines")
+
+    def __init__(self, tag: str, attributes: dict[str, str] | None = None):
+        self.tag, self.parts, self.attributes = tag, [], attributes or {}
+        self.gone, self.shown, self.grid, self.lines = False, True, None, None
+
+    def number(self, name: str, default: int) -> int:
+        value = self.attributes.get(name, "").strip()
+        return int(value) if re.fullmatch(r"[+-]?[0-9]{1,9}", value) else default
+
+
+def unescaped(text: str) -> str:
+    return html.unescape(HUGE_NUMBER.sub("�", text)) if "&" in text else text
+
+
+class _Reader:
+    """The source, read once from left to right; what is not found is not searched for again."""
+
+    def __init__(self, source: str):
+        self.source, self.end, self.missing = source, len(source), set()
+
+    def find(self, what: str, at: int) -> int:
+        if what in self.missing:
+            return -1
+        found = self.source.find(what, at)
+        if found < 0:
+            self.missing.add(what)
+        return found
+
+    def after(self, what: str, at: int) -> int:
+        found = self.find(what, at)
+        return self.end if found < 0 else found + len(what)
+
+    def attributes(self, at: int) -> tuple[dict[str, str], bool, int]:
+        """The attributes from ``at`` on, whether a slash ends the tag, and the place behind it; -1 if the tag does not end.
+
+        A quote counts where a value begins; one that is never closed ends with the tag.
+        """
+        source, out = self.source, {}
+        if m := PLAIN_END.match(source, at):
+            return out, False, m.end()
+        while True:
+            at = BETWEEN.match(source, at).end()
+            if at >= self.end:
+                return out, False, -1
+            if source[at] == ">":
+                return out, source[at - 1] == "/", at + 1
+            m = NAME.match(source, at)
+            name, value = m.group().lower(), ""
+            at = SPACES.match(source, m.end()).end()
+            if source.startswith("=", at):
+                at = SPACES.match(source, at + 1).end()
+                quote = source[at : at + 1]
+                if quote and quote in "\"'":
+                    close = self.find(quote, at + 1)
+                    stop = close if close >= 0 else self.find(">", at + 1)
+                    if stop < 0:
+                        return out, False, -1
+                    value, at = source[at + 1 : stop], stop + (close >= 0)
+                else:
+                    m = UNQUOTED.match(source, at)
+                    value, at = m.group(), m.end()
+            if name in KEPT and name not in out:
+                out[name] = unescaped(value)
+
+
+class _Stack:
+    """Open elements, and where in the stack those of each name are."""
+
+    def __init__(self, root: Box):
+        self.boxes, self.at = [root], defaultdict(list, {root.tag: [0]})
+
+    def last(self, *tags: str) -> int:
+        return max((self.at[t][-1] for t in tags if self.at[t]), default=-1)
+
+    def first_after(self, place: int, tags) -> int | None:
+        found = [self.at[t][i] for t in tags if (i := bisect_right(self.at[t], place)) < len(self.at[t])]
+        return min(found, default=None)
+
+    def push(self, box: Box) -> None:
+        self.at[box.tag].append(len(self.boxes))
+        self.boxes.append(box)
+
+    def cut(self, place: int | None) -> None:
+        if place is not None and place > 0:
+            while len(self.boxes) > place:
+                self.at[self.boxes.pop().tag].pop()
+
+
+def build_tree(source: str) -> tuple[Box, list[str]]:
+    """The tree of ``source`` and the style sheets in it: implied end tags, void and raw elements, stray end tags dropped, open ones closed at the end."""
+    root, styles, read = Box("html"), [], _Reader(source)
+    stack, at = _Stack(root), 0
+    while at < read.end:
+        begin = read.find("<", at)
+        text = source[at : begin if begin >= 0 else read.end]
         if text:
-            stack[-1].parts.append(html.unescape(text) if "&" in text else text)
-        if not m:
+            if stack.at["head"] and text.strip():
+                stack.cut(stack.last("head"))
+            stack.boxes[-1].parts.append(unescaped(text))
+        if begin < 0:
             break
-        at = m.end()
-        tag = m[2] and m[2].lower()
-        if not tag:
-            continue
-        if m[1]:
-            if tag == "br":
-                stack[-1].parts.append(Box("br"))
-            elif tag == "p" and not any(b.tag == "p" for b in stack):
-                stack[-1].parts.append(Box("p"))
-            else:
-                for i in range(len(stack) - 1, 0, -1):
-                    if stack[i].tag == tag:
-                        del stack[i:]
-                        break
-                    if stack[i].tag in ("table", "td", "th") and tag not in BLOCK | {"table", "tbody", "tr", "td", "th"}:
+        sign = source[begin + 1 : begin + 2]
+        if source.startswith("<!--", begin):
+            at = read.after("-->", begin + 2)
+        elif sign and sign in "!?":
+            at = read.after(">", begin)
+        elif sign == "/":
+            m = TAG_NAME.match(source, begin + 2)
+            if not m:
+                at = read.after(">", begin) if begin + 2 < read.end else read.end
+                continue
+            _, _, at = read.attributes(m.end())
+            at = at if at >= 0 else read.end
+            _close(stack, m.group().lower())
+        elif m := TAG_NAME.match(source, begin + 1):
+            tag = m.group().lower()
+            attributes, slash, at = read.attributes(m.end())
+            if at < 0:
+                break
+            box = _open(stack, tag, attributes, slash)
+            if box is not None and tag in RAW:
+                close = None if tag == "plaintext" else CLOSING[tag].search(source, at)
+                body = source[at : close.start() if close else read.end]
+                at = read.after(">", close.end()) if close else read.end
+                if tag == "style":
+                    styles.append(body)
+                elif tag not in UNSEEN:
+                    box.parts.append(unescaped(body) if tag == "textarea" else body)
+        else:
+            stack.boxes[-1].parts.append("<")
+            at = begin + 1
+    return root, styles
+
+
+def _open(stack: _Stack, tag: str, attributes: dict[str, str], slash: bool) -> Box | None:
+    """The new box where the standard puts it; None if it has nothing to be read as raw text."""
+    if tag in ("html", "body") and stack.at[tag]:
+        return None
+    if stack.at["head"] and (tag not in IN_HEAD or tag == "body"):
+        stack.cut(stack.last("head"))
+    graphics = stack.last("svg", "math")
+    if graphics > 0 and tag in LEAVES_GRAPHICS and graphics > stack.last("foreignobject"):
+        stack.cut(graphics)
+        graphics = -1
+    if tag in IMPLIED:
+        ends, stops = IMPLIED[tag]
+        stack.cut(stack.first_after(stack.last(*stops), ends))
+    if tag in CLOSES_P and stack.last("p") > stack.last(*P_SCOPE):
+        stack.cut(stack.last("p"))
+    if tag in HEADINGS and stack.boxes[-1].tag in HEADINGS:
+        stack.cut(len(stack.boxes) - 1)
+    box = Box(tag, attributes)
+    stack.boxes[-1].parts.append(box)
+    if tag in VOID or (slash and graphics > 0):
+        return None
+    if tag not in RAW:
+        stack.push(box)
+    return box
+
+
+def _close(stack: _Stack, tag: str) -> None:
+    if tag == "br" or (tag == "p" and stack.last("p") <= stack.last(*P_SCOPE)):
+        stack.boxes[-1].parts.append(Box(tag))
+        return
+    place = stack.last(*HEADINGS) if tag in HEADINGS else stack.last(tag)
+    wall = stack.last("table") if tag in TABLE_PARTS else stack.last("table", "td", "th", "caption")
+    if place >= wall:
+        stack.cut(place)
+
+
+def declarations(body: str) -> dict[str, tuple[bool, str]]:
+    """(important, value) of ``display`` and ``visibility`` in a list of declarations; the last counts, an important one more."""
+    out: dict[str, tuple[bool, str]] = {}
+    for part in body.split(";"):
+        name, colon, value = part.partition(":")
+        name = name.strip().lower()
+        if colon and name in ("display", "visibility"):
+            value, mark, _ = value.lower().partition("!")
+            if (mark == "!") >= out.get(name, (False, ""))[0]:
+                out[name] = (mark == "!", value.strip())
+    return out
+
+
+class _Styles:
+    """Rules of simple selectors (a name, ids and classes); others and those in at-rules are passed over."""
+
+    def __init__(self, sheets: list[str]):
+        self.rules: dict[str, dict[tuple, dict]] = defaultdict(dict)
+        for order, (selector, body) in enumerate(r for sheet in sheets for r in self._blocks(re.sub(r"/\*.*?(?:\*/|\Z)", " ", sheet, flags=re.S))):
+            if not (said := declarations(body)):
+                continue
+            for one in selector.split(","):
+                m = SIMPLE.fullmatch(one.strip())
+                if not m or not m.group():
+                    continue
+                name = (m[1] or "*").lower()
+                marks = frozenset(re.findall(r"[.#][^.#]+", m[2]))
+                ids = sum(x[0] == "#" for x in marks)
+                first = min(marks, default=name)
+                known = self.rules[first].setdefault((name, marks), {})
+                for prop, (important, value) in said.items():
+                    known[prop] = max(known.get(prop, ()), (important, 0, ids, len(marks) - ids, int(name != "*"), order, value))
+
+    @staticmethod
+    def _blocks(css: str) -> Iterator[tuple[str, str]]:
+        at = 0
+        while (begin := css.find("{", at)) >= 0:
+            selector = css[at:begin].rpartition(";")[2].strip()
+            if selector.startswith("@"):
+                depth, at = 1, len(css)
+                for m in re.compile("[{}]").finditer(css, begin + 1):
+                    depth += 1 if m.group() == "{" else -1
+                    if not depth:
+                        at = m.end()
                         break
-            continue
-        if tag in ("html", "body") and any(b.tag == tag for b in stack):
-            continue
-        if tag in IMPLIED:
-            ends, stop = IMPLIED[tag]
-            cut = None
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].tag in stop:
-                    break
-                if stack[i].tag in ends:
-                    cut = i
-            if cut is not None:
-                del stack[cut:]
-        if tag in CLOSES_P or tag in ("li", "dt", "dd"):
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].tag == "p":
-                    del stack[i:]
-                    break
-                if stack[i].tag in BLOCK or stack[i].tag in ("td", "th", "button"):
-                    break
-        hidden, start = _attributes(tag, m[3])
-        box = Box(tag, hidden, start)
-        stack[-1].parts.append(box)
-        if tag in VOID:
-            continue
-        if tag in RAW:
-            low = low if low is not None else source.lower()
-            low = low if len(low) == end else source
-            close = low.find("</" + tag, at)
-            close = close if close >= 0 else end
-            if tag == "textarea":
-                box.parts.append(html.unescape(source[at:close]))
-            after = source.find(">", close)
-            at = end if after < 0 else after + 1
-            continue
-        stack.append(box)
-    return root
+                continue
+            end = css.find("}", begin)
+            end = end if end >= 0 else len(css)
+            yield selector, css[begin + 1 : end]
+            at = end + 1
+
+    def of(self, box: Box) -> dict[str, str]:
+        """What the rules and the box's own style say about ``display`` and ``visibility``."""
+        own = box.attributes.get("style")
+        best = {p: (important, 1, 0, 0, 0, 0, v) for p, (important, v) in declarations(own).items()} if own else {}
+        if self.rules:
+            marks = {"." + c for c in box.attributes.get("class", "").split()}
+            marks |= {"#" + box.attributes["id"]} if "id" in box.attributes else set()
+            for key in (box.tag, "*", *sorted(marks)):
+                for (name, needed), said in self.rules.get(key, {}).items():
+                    if name in ("*", box.tag) and needed <= marks:
+                        for prop, value in said.items():
+                            best[prop] = max(best.get(prop, ()), value)
+        return {p: v[-1] for p, v in best.items()}
+
+
+def dress(root: Box, styles: list[str]) -> list[Box]:
+    """Works out for each box if it is gone or hidden; returns the tables with columns, outer ones first."""
+    rules, todo, tables = _Styles(styles), [root], []
+    while todo:
+        box = todo.pop()
+        for part in box.parts:
+            if isinstance(part, str) or part.gone:
+                continue
+            said = rules.of(part)
+            unseen = "hidden" in part.attributes or part.tag == "dialog" and "open" not in part.attributes
+            part.gone = part.tag in UNSEEN or said["display"] == "none" if "display" in said else part.tag in UNSEEN or unseen
+            part.gone |= part.tag == "input" and part.attributes.get("type", "").lower() == "hidden"
+            visibility = said.get("visibility", "inherit")
+            part.shown = visibility not in ("hidden", "collapse") if visibility in ("visible", "hidden", "collapse") else box.shown
+            if part.gone:
+                continue
+            if part.tag == "select":
+                _choose(part)
+            todo.append(part)
+    # rows are gathered once all is known about their boxes
+    todo = [root]
+    while todo:
+        box = todo.pop()
+        if box.tag == "table":
+            box.grid = _grid(box)
+            if box.grid:
+                tables.append(box)
+        todo += [p for p in box.parts if not isinstance(p, str) and not p.gone]
+    return tables
+
+
+def _choose(select: Box) -> None:
+    """Of a closed list only the chosen option is seen, in its line."""
+    options = [o for p in select.parts if not isinstance(p, str) for o in ([p] if p.tag == "option" else p.parts) if not isinstance(o, str) and o.tag == "option"]
+    if not options or "multiple" in select.attributes or select.number("size", 1) > 1:
+        return
+    chosen = [o for o in options if "selected" in o.attributes][-1:] or options[:1]
+    for option in options:
+        option.gone = option is not chosen[0]
+    chosen[0].tag = "span"
+
+
+def _grid(table: Box) -> tuple[list[list[Box]], list[Box]] | None:
+    """Rows of cells, and what stands outside of them, of a table; None if no row has two cells."""
+    rows, loose, holder = [], [], Box("div")
+    stack = [(table, iter(table.parts), 1)]
+    open_row = None
+    while stack:
+        box, parts, rank = stack[-1]
+        for part in parts:
+            if isinstance(part, str):
+                holder.parts.append(part)
+                continue
+            if part.gone:
+                continue
+            if part.tag in CELLS:
+                if box is not open_row:  # a cell without a row begins one
+                    rows.append((rank, []))
+                    open_row = box
+                rows[-1][1].append(part)
+            elif part.tag == "caption":
+                loose.append(part)
+            elif part.tag in ROWS or part.tag in GROUPS:
+                inner = {"thead": 0, "tfoot": 2}.get(part.tag, rank)
+                if part.tag in ROWS:
+                    rows.append((inner, []))
+                    open_row = part
+                stack.append((part, iter(part.parts), inner))
+                break
+            else:
+                holder.parts.append(part)
+        else:
+            stack.pop()
+    if max((len(cells) for _, cells in rows), default=0) < 2:
+        return None
+    return [cells for _, cells in sorted(rows, key=lambda r: r[0]) if cells], [holder, *loose]
 
 
 class _Page:
@@ -137,7 +377,6 @@ class _Page:
         self.out: list[str] = []
         self.breaks = 0
         self.blank = False
-        self.fresh = True
         self.indent = ""
         self.mark = ""
 
@@ -145,178 +384,189 @@ class _Page:
         self.blank = False
         self.breaks = max(self.breaks, breaks)
 
+    def deeper(self) -> None:
+        """Two more blanks, up to 40 levels."""
+        self.indent += "  " if len(self.indent) < 80 else ""
+
     def line(self) -> None:
         self.breaks += 1
         self.blank = False
 
-    def _begin(self) -> None:
+    def _begin(self) -> bool:
+        """Starts a line if one is due."""
+        starts = bool(self.breaks) or not self.out
         if self.breaks and self.out:
             self.out.append("\n" * min(self.breaks, 2))
-        if self.breaks or not self.out:
+        if starts:
             self.out.append(self.indent + self.mark)
-            if self.mark:
-                self.mark = ""
-        self.breaks, self.blank = 0, self.blank and not self.fresh
+            self.mark = ""
+        self.breaks = 0
+        return starts
 
     def text(self, s: str, pre: bool) -> None:
         if pre:
-            for i, row in enumerate(s.split("\n")):
-                if i:
-                    self.line()
-                if row:
-                    self._begin()
-                    self.out.append(row)
-                    self.fresh = False
+            self.rows(s.replace("\r\n", "\n").split("\n"))
             return
         words = BLANKS.sub(" ", s)
-        if not words:
-            return
-        if words == " ":
-            self.blank = True
+        if words in ("", " "):
+            self.blank |= words == " "
             return
         lead = words[0] == " " or self.blank
-        starts = bool(self.breaks) or not self.out
-        self._begin()
-        if lead and not starts:
+        if not self._begin() and lead:
             self.out.append(" ")
         self.out.append(words.strip(" "))
         self.blank = words[-1] == " "
-        self.fresh = False
 
+    def rows(self, rows: list[str]) -> None:
+        for i, row in enumerate(rows):
+            if i:
+                self.line()
+            if row:
+                self._begin()
+                self.out.append(row)
 
-def _cells(table: Box) -> tuple[list[list[str]], list[str]]:
-    """Rows of cell texts, and captions, of a table; rows of nested tables stay in their cells."""
-    rows, captions, open_row = [], [], None
-    stack = [(table, iter(table.parts))]
-    loose: list = []
-    while stack:
-        box, parts = stack[-1]
-        for part in parts:
-            if isinstance(part, str):
-                if part.strip():
-                    loose.append(part)
-                continue
-            if part.hidden or part.tag in UNSEEN:
-                continue
-            if part.tag in ("td", "th"):
-                if box is not open_row:  # a cell without a row begins one
-                    rows.append([])
-                    open_row = box
-                rows[-1].append(BLANKS.sub(" ", render(part)).strip())
-            elif part.tag == "caption":
-                captions.append(BLANKS.sub(" ", render(part)).strip())
-            elif part.tag in ("tr", "tbody", "thead", "tfoot"):
-                if part.tag == "tr":
-                    rows.append([])
-                    open_row = part
-                stack.append((part, iter(part.parts)))
-                break
-            else:
-                loose.append(part)
-        else:
-            stack.pop()
-    if loose:
-        holder = Box("div")
-        holder.parts = loose
-        captions.insert(0, BLANKS.sub(" ", render(holder)).strip())
-    return [r for r in rows if r], [c for c in captions if c]
-
-
-def _table(page: _Page, table: Box) -> None:
-    rows, captions = _cells(table)
-    for caption in captions:
-        page.block(1)
-        page.text(caption, False)
-    width = [0] * max(map(len, rows), default=0)
-    for row in rows:
-        for i, cell in enumerate(row):
-            width[i] = max(width[i], len(cell))
-    for row in rows:
-        page.block(1)
-        written = "  ".join(cell.ljust(width[i]) for i, cell in enumerate(row)).rstrip()
-        if written:
-            page.text(written, True)
-
-
-def render(root: Box) -> str:
-    """All visible text of the tree, without recursion over its depth (tables within tables recurse)."""
+    def lines(self) -> list[str]:
+        rows = [row.rstrip() for row in "".join(self.out).split("\n")]
+        while rows and not rows[-1]:
+            rows.pop()
+        first = next((i for i, row in enumerate(rows) if row), 0)
+        return rows[first:]
+
+
+def lay_out(table: Box, widest: int) -> list[str]:
+    """Lines of a table whose inner tables are laid out: columns aligned, spans kept, cells of several lines side by side.
+
+    Columns are padded up to ``widest`` characters; longer cells push what follows to the right.
+    """
+    rows, loose = table.grid
+    out = [line for part in loose for line in render(part)]
+    # places: (row, column, span, lines of the cell); a cell that spans rows keeps its columns in them
+    taken: dict[int, int] = {}
+    places, most = [], sum(c.number("rowspan", 1) != 1 for r in rows for c in r) + max(map(len, rows))
+    for y, row in enumerate(rows):
+        column, mine = 0, []
+        for cell in row:
+            while taken.get(column, 0) > y:
+                column += 1
+            span = min(max(1, cell.number("colspan", 1)), 100, most)
+            down = cell.number("rowspan", 1)
+            if down != 1:
+                until = y + down if 1 < down <= 65534 else len(rows)
+                taken.update((c, until) for c in range(column, column + span))
+            mine.append((column, span, render(cell)))
+            column += span
+        places.append(mine)
+    columns = max(c + s for row in places for c, s, _ in row)
+    width = [0] * columns
+    for wide in (False, True):
+        for row in places:
+            for column, span, lines in row:
+                if (span > 1) == wide:
+                    need = min(widest, max(map(len, lines), default=0)) - sum(width[column : column + span]) - 2 * (span - 1)
+                    width[column + span - 1] += max(0, need)
+    start = [0]
+    for w in width:
+        # a column without text takes no room
+        start.append(start[-1] + (w + 2 if w else 0))
+    for row in places:
+        for i in range(max((len(lines) for _, _, lines in row), default=0)):
+            line = ""
+            for column, _, lines in row:
+                if i < len(lines) and lines[i]:
+                    line = (line + "  " if len(line) > start[column] - 2 and line else line).ljust(start[column]) + lines[i]
+            out.append(line)
+    return out
+
+
+def render(root: Box) -> list[str]:
+    """The lines of all visible text below ``root``, without recursion; tables with columns are laid out before."""
     page = _Page()
-    # (parts, what to do at the end, pre, list)
-    stack: list[tuple] = [(iter(root.parts), None, root.tag in ("pre", "listing"), None)]
+    # (box, its parts, what to restore at its end, pre, number of the next list item in a list of one)
+    stack: list[tuple] = [(root, iter(root.parts), None, root.tag in PREFORMATTED, None)]
     while stack:
-        parts, finish, pre, counter = stack[-1]
+        box, parts, finish, pre, counter = stack[-1]
         for part in parts:
             if isinstance(part, str):
-                page.text(part, pre)
+                if box.shown:
+                    page.text(part, pre)
                 continue
             tag = part.tag
-            if part.hidden or tag in UNSEEN:
+            if part.gone:
                 continue
             if tag == "br":
                 page.line()
                 continue
+            if tag == "input" and part.shown and part.attributes.get("type", "").lower() not in UNWRITTEN:
+                page.text(part.attributes.get("value", ""), False)
             if tag == "hr":
                 page.block(2)
+            if tag in VOID:
                 continue
-            if tag == "wbr" or tag in VOID:
-                continue
-            if tag == "table":
+            if part.lines is not None:
                 page.block(2)
-                _table(page, part)
+                page.rows(part.lines)
                 page.block(2)
                 continue
-            gap = 2 if tag in SPACED else 1 if tag in BLOCK else 0
-            if gap == 2 and tag in ("ul", "ol", "menu", "dir") and counter is not None:
-                gap = 1
+            inside = tag in LISTS and counter is not None
+            gap = 1 if inside else 2 if tag in SPACED else 1 if tag in BLOCK else 0
             if gap:
                 page.block(gap)
-            undo = (gap, page.indent, page.mark)
-            inner = counter
-            if tag in ("ul", "ol", "menu", "dir"):
-                inner = [part.start if tag == "ol" else None]
+            undo, inner = (gap, page.indent, page.mark, tag), counter
+            if tag in LISTS:
+                inner = [part.number("start", 1) if tag == "ol" else None]
+                if inside:
+                    page.deeper()
+            elif tag in ("table", "td", "th"):
+                inner = None
             elif tag == "li":
                 number = counter[0] if counter else None
-                page.mark = "- " if number is None else f"{number}. "
                 if number is not None:
-                    counter[0] += 1
+                    number = part.number("value", number)
+                    counter[0] = number + 1
+                page.mark = "- " if number is None else f"{number}. "
             elif tag in ("dd", "blockquote"):
-                page.indent += "  "
-            stack.append((iter(part.parts), undo + (tag,), pre or tag in ("pre", "listing", "textarea"), inner))
-            if tag == "li":
-                page.indent = undo[1]
-            if tag in ("ul", "ol", "menu", "dir") and counter is not None:
-                page.indent += "  "
+                page.deeper()
+            stack.append((part, iter(part.parts), undo, pre or tag in PREFORMATTED, inner))
             break
         else:
             stack.pop()
             if finish:
                 gap, indent, mark, tag = finish
-                page.indent = indent
-                page.mark = mark if tag != "li" else ""
+                page.indent, page.mark = indent, "" if tag == "li" else page.mark and mark
                 if gap:
                     page.block(gap)
-    return "".join(page.out)
+    return page.lines()
 
 
-def visible_text(source: str | None) -> str:
+def visible_text(source: str | None, widest: int = 80) -> str:
     if not source:
         return ""
-    return "\n".join(line.rstrip() for line in render(build_tree(source)).split("\n")).strip("\n")
+    root, styles = build_tree(source)
+    for table in reversed(dress(root, styles)):
+        table.lines = lay_out(table, widest)
+    return "\n".join(render(root))
 
 
-def extract_text(pages: DataFrame, *, page_id: str = "page_id", html_column: str = "html") -> DataFrame:
+def extract_text(pages: DataFrame, *, page_id: str = "page_id", html_column: str = "html", widest: int = 80) -> DataFrame:
     """(page_id, text, n_chars): the visible text of each row of ``pages``, laid out.
 
     Paragraphs, headings, lists and tables stand apart by a blank line, other blocks by a line
-    break; list items carry ``-`` or their number and nested lists are indented; the columns of
-    a table are aligned. Scripts, styles, head, and elements with ``hidden``, ``aria-hidden``,
-    ``display:none`` or ``visibility:hidden`` are left out. Null and empty pages give empty
-    texts; broken markup is read as far as it goes; repeated rows and null ids stay as they are.
+    break; list items carry ``-`` or their number and nested lists are indented. Columns of a
+    table are aligned up to ``widest`` characters, with spans of columns and rows and cells of
+    several lines; a table of one column is a row of blocks. Left out is what a browser does
+    not show: head, scripts, styles, templates, fallbacks of embedded media, options that are
+    not chosen, closed dialogs, ``hidden``, and what ``display`` and ``visibility`` hide, in an
+    element's style or by rules of a style sheet with simple selectors (name, class, id). Text
+    of SVG and MathML, values of inputs and closed ``details`` are shown.
+
+    Null and empty pages give empty texts; broken markup is read as far as it goes: a tag that
+    does not end is dropped, a quote that is never closed ends with its tag. Reading is linear in
+    the page and no depth of nesting makes it recurse. Repeated rows and null ids stay as they are.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            texts = [visible_text(s) for s in batch["html"]]
+            texts = [visible_text(s, widest) for s in batch["html"]]
             yield pd.DataFrame({"page_id": batch["page_id"], "text": texts, "n_chars": [len(t) for t in texts]})
 
     slim = pages.select(F.col(page_id).cast("string").alias("page_id"), F.col(html_column).cast("string").alias("html"))

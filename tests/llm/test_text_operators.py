@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 from itertools import combinations
@@ -444,7 +445,161 @@ def test_html_layout():
     assert html.visible_text(page) == want
     assert html.visible_text(None) == "" and html.visible_text("") == "" and html.visible_text("a < b") == "a < b"
     assert html.visible_text("<div>" * 5000 + "deep") == "deep"
-    assert html.visible_text("<table><tr><td>a<table><tr><td>b</table><td>c</table>") == "a b  c"
+    assert html.visible_text("<table><tr><td>a<table><tr><td>b</table><td>c</table>") == "a  c\n\nb"
+
+
+@pytest.mark.parametrize(
+    "page, text",
+    [
+        ('<p style="backface-visibility:hidden">seen</p><p style="DISPLAY : none !important; display:block">not</p>', "seen"),
+        ("<style>/* .a{} */ @media print{p{display:none}} .h, b.x{display:none} #k.h{display:block}</style><p class=h>no<p class='x h' id=k>yes<b class=x>no</b><i class=x>too</i>", "yestoo"),
+        ('<div style="visibility:hidden">no<span style="visibility:visible">yes</span>no</div>', "yes"),
+        ("<svg><title>t</title><desc/><text>label</text></svg><p>after", "label\n\nafter"),
+        ("<select><option>one<option selected>two</select> x<math><mi>y</mi></math>", "two xy"),
+        ("<head><title>t</title><p>text", "text"),
+        ("<table><tr><td colspan=2>head<td>z<tr><td>a<td>b<td>c<tr><td rowspan=2>tall<td>d<td>e<tr><td>f<td>g</table>", "head     z\na     b  c\ntall  d  e\n      f  g"),
+        ("<table><tr><td>one<p>two<td>x<ul><li>q<li>r</ul></table>", "one  x\n\ntwo  - q\n     - r"),
+        ("<table><tfoot><tr><td>z<td>y<tbody><tr><td>a<td>b</table>", "a  b\nz  y"),
+        ('<a title="oops>text<p>more', "text\n\nmore"),
+        ("x<a href='un\"closed>link</a> y</p>z<b", "xlink y\n\nz"),
+        ("<!-->a<!-- > -->b<!doctype x><?php y ?>c</>d</3>e&#9999999999;&amp;", "abcdee&".replace("dee", "de\ufffd")),
+        ("<script>a</scriptx>b</SCRIPT >c<textarea>d<b></textarea><style>e", "cd<b>"),
+        ("<input value=v><input type=hidden value=h><button>b</button><dialog>no</dialog><details><summary>s</summary>t</details>", "vb\ns\nt"),
+        ("<ol><li value=5>a<li>b</ol><ul><li><ul><li>c</ul></ul>", "5. a\n6. b\n\n- - c".replace("- - c", "  - c")),
+    ],
+)
+def test_html_rules(page, text):
+    assert html.visible_text(page) == text
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        "<table><tr><td>a<td>" * 5000 + "x", "<table><tr><td>" * 5000 + "x" * 100_000, "<a " * 350_000, '<a "' * 250_000, "<a b=\"'" * 160_000, "<div></p>" * 60_000, "<b><table><td>" + "<i>" * 60_000 + "</b>" * 60_000,
+        "<!--" * 250_000, "<" * 300_000, "&" * 1_000_000, "&#" + "9" * 100_000 + ";", "<b" * 300_000, "<ul><li>" * 60_000 + "x", "<table><tr><td>" + "x" * 500_000 + "<td>b" + "<tr><td>a<td>b" * 5000, "<table>" + "<tr><td colspan=1000 rowspan=3>a" * 5000,
+        "<style>" + ".a{display:none}" * 30_000 + "</style><p class=a>q",
+    ],
+)
+def test_html_broken_and_nested_pages_end_soon(page):
+    began = time.time()
+    html.visible_text(page)
+    assert time.time() - began < 20
+
+
+def a_tree(r, depth, inline=False):
+    """A random part: a string, or (tag, attributes, parts)."""
+    if depth == 0 or r.random() < 0.25:
+        return " ".join(r.choices(VOCAB, k=r.randint(1, 4))) + r.choice(["", " "])
+    tag = r.choice(["b", "i", "span"] if inline else ["div", "p", "h2", "b", "span", "ul", "ol", "table", "section", "br"])
+    hide = r.choice([" hidden", ' style="display:none"']) if r.random() < 0.12 else ""
+    some = lambda n, flat: [a_tree(r, depth - 1, flat) for _ in range(r.randint(1, n))]
+    if tag in ("ul", "ol"):
+        return (tag, hide, [("li", "", some(2, r.random() < 0.6)) for _ in range(r.randint(1, 3))])
+    if tag == "table":
+        n = r.randint(2, 3)
+        return (tag, hide, [("tr", "", [("td", "", some(2, True)) for _ in range(n)]) for _ in range(r.randint(1, 3))])
+    return ("br", "", []) if tag == "br" else (tag, hide, some(3, tag in ("p", "h2", "b", "i", "span")))
+
+
+def written(part, r):
+    if isinstance(part, str):
+        return part
+    tag, attributes, parts = part
+    inner = "".join(written(p, r) for p in parts)
+    left_open = tag == "br" or tag in ("li", "td", "tr") and r.random() < 0.5
+    return f"<{tag}{attributes}>{inner}" + ("" if left_open else f"</{tag}>")
+
+
+def slow_lines(parts, listed=None, page=None):
+    """What the tree shows, straight from its parts: a list of [breaks before, text of the line]."""
+    page = [] if page is None else page
+
+    def brk(n):
+        page.append(("break", n))
+
+    for p in parts:
+        if isinstance(p, str):
+            page.append(("text", p))
+            continue
+        tag, attributes, inner = p
+        if attributes:
+            continue
+        if tag == "br":
+            page.append(("line", 1))
+        elif tag == "table":
+            rows = [["\n".join(slow_text(td[2])).split("\n") for td in tr[2]] for tr in inner]
+            widths = [max((len(x) for row in rows if i < len(row) for x in row[i]), default=0) for i in range(max(map(len, rows)))]
+            brk(2)
+            for row in rows:
+                for k in range(max(map(len, row))):
+                    cells = [(c[k] if k < len(c) else "").ljust(w) + ("  " if w else "") for c, w in zip(row, widths)]
+                    if "".join(cells).strip() or any(len(c) > 1 or c[0] for c in row):
+                        page.append(("raw", "".join(cells).rstrip()))
+            brk(2)
+        elif tag in ("ul", "ol"):
+            gap = 1 if listed else 2
+            brk(gap)
+            depth = (listed[0] + 1) if listed else 1
+            for n, li in enumerate(inner, 1):
+                brk(1)
+                page.append(("mark", (depth, "- " if tag == "ul" else f"{n}. ")))
+                slow_lines(li[2], (depth,), page)
+                page.append(("unmark", depth))
+                brk(1)
+            brk(gap)
+        else:
+            gap = 2 if tag in ("p", "h2") else 1 if tag in ("div", "section") else 0
+            if gap:
+                brk(gap)
+            slow_lines(inner, listed, page)
+            if gap:
+                brk(gap)
+    return page
+
+
+def slow_text(parts):
+    lines, breaks, marks, blank = [], 1, [], False
+    now = None
+    for kind, x in slow_lines(parts):
+        if kind == "break":
+            breaks, blank, now = max(breaks, x), False, None
+        elif kind == "line":
+            breaks, blank, now = breaks + 1, False, None
+        elif kind == "mark":
+            marks.append([x[0], x[1]])
+        elif kind == "unmark":
+            marks.pop()
+        elif kind == "raw" and not x:
+            breaks += 1
+        else:
+            words = " ".join(x.split())
+            if kind == "raw":
+                breaks = max(breaks, 1) if now is None else breaks
+            elif not words:
+                blank = blank or bool(x)
+                continue
+            if breaks or kind == "raw":
+                lines += [""] * (min(max(breaks, 1), 2) - 1) if lines else []
+                # an outer item's mark that has not been written is lost to the inner one's
+                lead = "  " * ((marks[-1][0] - 1) if marks else 0) + (marks[-1][1] if marks else "")
+                lines.append(lead + (x if kind == "raw" else words))
+                for m in marks:
+                    m[1] = ""
+                breaks = 0 if kind == "text" else 0
+            else:
+                lines[-1] += (" " if blank or x[0] == " " else "") + words
+            blank, now = (x[-1] == " ") if kind == "text" else False, kind
+            if kind == "raw":
+                breaks = 1
+    return [line.rstrip() for line in lines]
+
+
+def test_html_against_a_slow_renderer_of_random_trees():
+    r = random.Random(77)
+    for _ in range(400):
+        parts = [a_tree(r, 4) for _ in range(r.randint(1, 4))]
+        page = "".join(written(p, r) for p in parts)
+        assert html.visible_text(page, widest=10_000) == "\n".join(slow_text(parts)), page
 
 
 def test_html_query_rows(spark):
