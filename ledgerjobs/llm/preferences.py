@@ -10,28 +10,38 @@ TEMPLATE = ("<|", "|>\n", "<|end|>\n")
 
 
 def gather_turns(turns: DataFrame, *, conv_id: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
-    """(conv_id, turns array<struct<turn, role, text>>): turns in order of (turn, role, text), nulls first.
+    """(beside, conv_id, turns array<struct<turn, role, text>>): turns in order of (turn, role, text), nulls first.
 
-    Null roles and texts become empty. Repeated turn numbers stay, one after the other.
+    ``beside`` is conv_id without its last bit: conversations 2k and 2k + 1 stand beside each
+    other, and one shuffle by it serves them both. Null roles and texts become empty. Repeated
+    turn numbers stay, one after the other. Turns without a conversation are left out.
     """
-    one = F.struct(F.col(turn).cast("long").alias("turn"), F.coalesce(F.col(role), F.lit("")).alias("role"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    return turns.select(F.col(conv_id).cast("long").alias("conv_id"), one.alias("t")).groupBy("conv_id").agg(F.array_sort(F.collect_list("t")).alias("turns"))
+    one = F.struct(F.col(turn).cast("long").alias("turn"), F.coalesce(F.col(role).cast("string"), F.lit("")).alias("role"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
+    rows = turns.select(F.col(conv_id).cast("long").alias("conv_id"), one.alias("t")).where("conv_id is not null")
+    rows = rows.select(F.shiftright("conv_id", 1).alias("beside"), "conv_id", "t").repartition("beside")
+    return rows.groupBy("beside", "conv_id").agg(F.array_sort(F.collect_list("t")).alias("turns"))
 
 
-def adjacent_pairs(conversations: DataFrame) -> DataFrame:
-    """(pair_id, chosen_id, rejected_id, chosen, rejected) of conversations 2k and 2k + 1, stored side by side.
+def reply_pairs(conversations: DataFrame) -> DataFrame:
+    """(pair_id, chosen_id, rejected_id, chosen, rejected), one row per conversation of ``gather_turns``.
 
-    The one with more characters of assistant turns is chosen, on a tie the smaller id.
-    Conversations without a partner, or with a null id, form no pair.
+    Chosen is the conversation up to its last reply (turn of the assistant), rejected the same
+    history with a reply of the conversation beside it: the one of the same number, or the
+    last if there are fewer. Where there is no such reply, rejected_id is null and rejected is
+    the history alone; a conversation without a reply is its own rejected one.
     """
-    mass = F.aggregate(F.filter("turns", lambda t: t.role == "assistant"), F.lit(0), lambda n, t: n + F.length(t.text))
-    ranked = conversations.where("conv_id is not null").select(
-        F.floor(F.col("conv_id") / 2).cast("long").alias("pair_id"), F.struct((-mass).alias("m"), "conv_id", "turns").alias("c")
-    )
-    both = ranked.groupBy("pair_id").agg(F.array_sort(F.collect_list("c")).alias("c")).where(F.size("c") == 2)
-    return both.select(
-        "pair_id", F.col("c")[0].conv_id.alias("chosen_id"), F.col("c")[1].conv_id.alias("rejected_id"), F.col("c")[0].turns.alias("chosen"), F.col("c")[1].turns.alias("rejected")
-    )
+    replies = lambda turns: F.filter(turns, lambda t: t.role == "assistant")
+    both = conversations.groupBy("beside").agg(F.collect_list(F.struct("conv_id", "turns")).alias("c"))
+    each = both.select(F.explode("c").alias("own"), "c")
+    each = each.select("own.*", F.get(F.filter("c", lambda c: c.conv_id != F.col("own.conv_id")), F.lit(0)).alias("other"))
+    last = F.size("turns") - F.array_position(F.transform(F.reverse("turns"), lambda t: t.role), "assistant") + 1
+    each = each.withColumn("upto", F.when(F.size(replies(F.col("turns"))) > 0, last).otherwise(0).cast("int")).withColumn("answers", replies(F.coalesce("other.turns", F.array())))
+    history = F.slice("turns", F.lit(1), F.greatest(F.col("upto") - 1, F.lit(0)))
+    can = (F.col("upto") > 0) & (F.size("answers") > 0)
+    answer = F.element_at("answers", F.least(F.size(replies(F.col("turns"))), F.size("answers")))
+    chosen = F.when(F.col("upto") > 0, F.slice("turns", F.lit(1), F.col("upto"))).otherwise(F.col("turns"))
+    rejected = F.when(can, F.concat(history, F.array(answer))).when(F.col("upto") > 0, history).otherwise(F.col("turns"))
+    return each.select(F.col("conv_id").alias("pair_id"), F.col("conv_id").alias("chosen_id"), F.when(can, F.col("other.conv_id")).alias("rejected_id"), chosen.alias("chosen"), rejected.alias("rejected"))
 
 
 def rendered(turn: Column) -> Column:

@@ -19,7 +19,7 @@ def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = preferences.gather_turns(table(spark, sf_dir, "conversations"))
-    return preferences.format_preferences(preferences.adjacent_pairs(turns))
+    return preferences.format_preferences(preferences.reply_pairs(turns))
 
 
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -104,27 +104,23 @@ def _licenses_sql() -> str:
 
 
 _CHAT_SQL = """
-    WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text,
+    WITH t AS (SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
                       row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS n
                FROM conversations WHERE conv_id IS NOT NULL),
-    mass AS (SELECT conv_id, CAST(floor(conv_id / 2.0) AS BIGINT) AS pair_id, coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS m, count(*) AS turns FROM t GROUP BY conv_id),
-    ranked AS (SELECT *, row_number() OVER (PARTITION BY pair_id ORDER BY m DESC, conv_id) AS r, count(*) OVER (PARTITION BY pair_id) AS c FROM mass),
-    pairs AS (SELECT a.pair_id, a.conv_id AS chosen_id, b.conv_id AS rejected_id, least(a.turns, b.turns) AS shorter
-              FROM ranked a JOIN ranked b ON a.pair_id = b.pair_id AND a.r = 1 AND b.r = 2 WHERE a.c = 2),
-    differ AS (SELECT p.pair_id, min(x.n) AS first FROM pairs p JOIN t x ON x.conv_id = p.chosen_id JOIN t y ON y.conv_id = p.rejected_id AND y.n = x.n
-               WHERE x.role <> y.role OR x.text <> y.text GROUP BY p.pair_id),
-    cut AS (SELECT pairs.*, coalesce(first - 1, shorter) AS prompt_turns FROM pairs LEFT JOIN differ USING (pair_id)),
-    parts AS (SELECT pair_id, side, t.n, role, '<|' || role || '|>' || chr(10) || text || '<|end|>' || chr(10) AS w, 5 + length(role) AS head,
-                     t.n <= prompt_turns AS common, sum(length(role) + length(text) + 13) OVER (PARTITION BY pair_id, side, t.n <= prompt_turns ORDER BY t.n) AS upto
-              FROM (SELECT pair_id, prompt_turns, 'c' AS side, chosen_id AS id FROM cut UNION ALL SELECT pair_id, prompt_turns, 'r', rejected_id FROM cut) s JOIN t ON t.conv_id = s.id),
-    spans AS (SELECT *, CAST(upto - length(w) + head AS VARCHAR) || ':' || CAST(upto AS VARCHAR) AS span FROM parts)
-    SELECT pair_id, any_value(chosen_id) AS chosen_id, any_value(rejected_id) AS rejected_id, CAST(any_value(prompt_turns) AS INTEGER) AS prompt_turns,
-           coalesce(string_agg(w, '' ORDER BY n) FILTER (side = 'c' AND common), '') AS prompt,
-           coalesce(string_agg(w, '' ORDER BY n) FILTER (side = 'c' AND NOT common), '') AS chosen,
-           coalesce(string_agg(w, '' ORDER BY n) FILTER (side = 'r' AND NOT common), '') AS rejected,
-           coalesce(string_agg(span, ',' ORDER BY n) FILTER (side = 'c' AND NOT common AND role = 'assistant'), '') AS chosen_mask,
-           coalesce(string_agg(span, ',' ORDER BY n) FILTER (side = 'r' AND NOT common AND role = 'assistant'), '') AS rejected_mask
-    FROM cut JOIN spans USING (pair_id) GROUP BY pair_id"""
+    replies AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY n) AS nth, count(*) OVER (PARTITION BY conv_id) AS k FROM t WHERE role = 'assistant'),
+    convs AS (SELECT t.conv_id, count(*) AS turns, max(r.n) AS upto, max(r.k) AS k FROM t LEFT JOIN replies r ON r.conv_id = t.conv_id AND r.n = t.n GROUP BY t.conv_id),
+    pairs AS (SELECT c.conv_id, c.turns, c.upto, o.conv_id AS other, o.role AS o_role, o.text AS o_text, own.text AS own_text
+              FROM convs c LEFT JOIN replies own ON own.conv_id = c.conv_id AND own.n = c.upto
+              LEFT JOIN replies o ON c.upto IS NOT NULL AND o.conv_id = xor(c.conv_id, 1) AND o.nth = least(c.k, o.k)),
+    cut AS (SELECT *, coalesce(upto - 1, turns) + CASE WHEN own_text = o_text THEN 1 ELSE 0 END AS prompt_turns FROM pairs),
+    parts AS (SELECT cut.conv_id, t.n, t.n <= prompt_turns AS common, '<|' || role || '|>' || chr(10) || text || '<|end|>' || chr(10) AS w
+              FROM cut JOIN t ON t.conv_id = cut.conv_id AND t.n <= coalesce(upto, turns)),
+    texts AS (SELECT conv_id, coalesce(string_agg(w, '' ORDER BY n) FILTER (common), '') AS prompt, coalesce(string_agg(w, '' ORDER BY n) FILTER (NOT common), '') AS chosen FROM parts GROUP BY conv_id)
+    SELECT conv_id AS pair_id, conv_id AS chosen_id, other AS rejected_id, CAST(prompt_turns AS INTEGER) AS prompt_turns, prompt, chosen,
+           CASE WHEN o_text IS NULL OR own_text = o_text THEN '' ELSE '<|assistant|>' || chr(10) || o_text || '<|end|>' || chr(10) END AS rejected,
+           CASE WHEN upto IS NULL OR own_text = o_text THEN '' ELSE '14:' || CAST(22 + length(own_text) AS VARCHAR) END AS chosen_mask,
+           CASE WHEN o_text IS NULL OR own_text = o_text THEN '' ELSE '14:' || CAST(22 + length(o_text) AS VARCHAR) END AS rejected_mask
+    FROM cut JOIN texts USING (conv_id)"""
 
 _MIX_SQL = rf"""
     WITH base AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '{_WORD}')) AS size, md5(coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents),

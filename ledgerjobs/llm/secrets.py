@@ -7,23 +7,28 @@ import math
 import re
 from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import Workspace
+
 KINDS = ("assign", "access", "hex", "format")
 WORDS = ("password", "passwd", "secret", "token", "api_key", "apikey")
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 HEX = re.compile(r"[0-9a-f]{24,}")
-#: What may be a credential: a whole run of its alphabet, with a letter and a digit.
-CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_.=-])[A-Za-z0-9+/_.=-]{20,}")
-LETTER, DIGIT = re.compile(r"[A-Za-z]"), re.compile(r"[0-9]")
+#: What credentials are written in; a candidate is a run of it, or a part of a run between separators.
+ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_.=-"
+RUN = re.compile(r"[A-Za-z0-9+/_.=-]{6,}")
+PARTS = (re.compile(r"[^=/.]+"), re.compile(r"[A-Za-z0-9]+"))
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
-    """(start, kind, end) of the base patterns, ordered; an assignment's span is that of its value."""
+    """(start, kind, end) of the base patterns, ordered; an assignment's span is that of its value (group 2)."""
     spans = []
     low = text.lower()
     if any(w in low for w in WORDS):
@@ -34,50 +39,62 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(spans)
 
 
-def candidates(text: str, spans: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
-    """Runs that no base span touches."""
-    out = []
-    for m in CANDIDATE.finditer(text):
-        run, s, e = m.group(), m.start(), m.end()
-        if DIGIT.search(run) and LETTER.search(run) and not any(a < e and s < b for a, _, b in spans):
-            out.append((s, e))
-    return out
+def apart_from(text: str, spans: list[tuple[int, int, int]]) -> str:
+    """The text with a blank for each character of a span, so that what is beside one is read by itself."""
+    out, at = [], 0
+    for start, _, end in spans:
+        if end > at:
+            start = max(start, at)
+            out += [text[at:start], " " * (end - start)]
+            at = end
+    return "".join([*out, text[at:]])
 
 
 class Automaton:
-    """A probabilistic automaton: per state the counts of its symbols, of its ends, and the next states."""
+    """A probabilistic automaton: per state the counts of its symbols, of its ends, and the next states.
+
+    Built as a prefix tree in which a state is known by its depth, too. From ``depth`` on all
+    places are one state that goes on to itself, so a value of any length is learned from whole.
+    """
 
-    def __init__(self, words: list[str]):
+    def __init__(self, words: list[str], depth: int = 128):
         self.next: list[dict[str, int]] = [{}]
         self.count: list[dict[str, int]] = [{}]
         self.end: list[int] = [0]
+        tail = None
         for word in words:
             q = 0
-            for c in word:
+            for at, c in enumerate(word):
                 if c not in self.next[q]:
-                    self.next[q][c] = len(self.next)
-                    self.next.append({})
-                    self.count.append({})
-                    self.end.append(0)
+                    if at < depth:
+                        self.next[q][c] = self._new()
+                    else:
+                        tail = self._new() if tail is None else tail
+                        self.next[q][c] = tail
                 self.count[q][c] = self.count[q].get(c, 0) + 1
                 q = self.next[q][c]
             self.end[q] += 1
 
+    def _new(self) -> int:
+        self.next.append({})
+        self.count.append({})
+        self.end.append(0)
+        return len(self.next) - 1
+
     def total(self, q: int) -> int:
         return self.end[q] + sum(self.count[q].values())
 
     def compatible(self, a: int, b: int, alpha: float) -> bool:
         """Hoeffding's bound holds for ends and symbols of both states, and of what follows."""
         width = math.sqrt(0.5 * math.log(2 / alpha))
-        todo = [(a, b)]
+        todo, seen = [(a, b)], set()
         while todo:
             x, y = todo.pop()
             n, m = self.total(x), self.total(y)
-            if not n or not m:
+            if not n or not m or (x, y) in seen:
                 continue
+            seen.add((x, y))
             bound = width * (1 / math.sqrt(n) + 1 / math.sqrt(m))
-            if bound >= 1:
-                continue
             if abs(self.end[x] / n - self.end[y] / m) > bound:
                 return False
             for c in self.count[x].keys() | self.count[y].keys():
@@ -89,10 +106,13 @@ class Automaton:
 
     def fold(self, parent: int, symbol: str, into: int) -> None:
         """Merge the tree below ``parent``'s ``symbol`` into the state ``into``."""
-        todo = [(into, self.next[parent][symbol])]
+        todo, gone = [(into, self.next[parent][symbol])], set()
         self.next[parent][symbol] = into
         while todo:
             x, y = todo.pop()
+            if x == y or y in gone:
+                continue
+            gone.add(y)
             self.end[x] += self.end[y]
             for c, n in self.count[y].items():
                 self.count[x][c] = self.count[x].get(c, 0) + n
@@ -102,23 +122,35 @@ class Automaton:
                     self.next[x][c] = self.next[y][c]
 
     def merged(self, alpha: float = 0.05) -> Automaton:
-        """States merged red by blue: each state beside the kept ones joins the first compatible, or is kept."""
-        red = [0]
-        while True:
-            kept = set(red)
-            blue = [(-self.total(q), p, c, q) for p in red for c, q in sorted(self.next[p].items()) if q not in kept]
-            if not blue:
-                return self
-            _, p, c, q = min(blue)
-            for r in red:
-                if self.compatible(r, q, alpha):
-                    self.fold(p, c, r)
-                    break
-            else:
-                red.append(q)
-
-    def frozen(self) -> list[tuple[dict[str, tuple[float, int]], float]]:
-        """The states that are left: log2 likelihood and next state by symbol, and that of ending here."""
+        """Depth by depth, each state joins the first kept one of its depth that it is compatible with, or is kept.
+
+        States of one depth alone are merged: a state's depth is how much of the credential has
+        been read, so a fixed prefix and the length stay in the automaton. Those with most
+        words go first, so that rare states meet well-known ones.
+        """
+        level = [0]
+        while level:
+            ahead = sorted(((-self.count[p][c], p, c) for p in level for c in self.next[p] if self.next[p][c] not in level))
+            kept: list[int] = []
+            for _, p, c in ahead:
+                q = self.next[p][c]
+                if q in kept:
+                    continue
+                for r in kept:
+                    if self.compatible(r, q, alpha):
+                        self.fold(p, c, r)
+                        break
+                else:
+                    kept.append(q)
+            level = kept
+        return self
+
+    def frozen(self) -> list[tuple[dict[str, tuple[float, int]], float, float, int]]:
+        """The states that are left: log2 likelihood and next state by symbol, that of ending here, that of an unseen symbol, and where it leads.
+
+        A state that has been passed n times leaves one part in n + 1 to the unseen, evenly over
+        the alphabet and the end; an unseen symbol leads where most of the seen ones do.
+        """
         order, number = [0], {0: 0}
         for q in order:
             for c in sorted(self.next[q]):
@@ -127,98 +159,188 @@ class Automaton:
                     order.append(r)
         out = []
         for q in order:
-            n = self.total(q) or 1
+            n = self.total(q) + 1
+            unseen = -math.log2(n * (len(ALPHABET) + 1))
             steps = {c: (math.log2(k / n), number[self.next[q][c]]) for c, k in self.count[q].items()}
-            out.append((steps, math.log2(self.end[q] / n) if self.end[q] else UNSEEN))
+            ahead: Counter = Counter()
+            for c, k in self.count[q].items():
+                ahead[number[self.next[q][c]]] += k
+            out.append((steps, math.log2(self.end[q] / n) if self.end[q] else unseen, unseen, max(ahead, key=lambda r: (ahead[r], -r), default=number[q])))
         return out
 
 
-#: Log2 likelihood of what a state has not seen; after an unseen symbol the root goes on.
-UNSEEN = -20.0
-
-
-def automaton_bits(states, word: str) -> float:
+def automaton_bits(states, word: str, least: float = -math.inf) -> float:
+    """Log2 likelihood of ``word``, or minus infinity as soon as it is below ``least``."""
     q, total = 0, 0.0
     for c in word:
-        cost, q = states[q][0].get(c, (UNSEEN, 0))
+        steps, _, unseen, ahead = states[q]
+        cost, q = steps.get(c) or (unseen, ahead)
         total += cost
+        if total < least:
+            return -math.inf
     return total + states[q][1]
 
 
-def plain_bits(words: list[str]):
-    """Log2 likelihood under an order-0 model of characters of ``words``, smoothed by one count each."""
-    seen = Counter(c for w in words for c in w)
-    alphabet = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_.=-"
-    n, ends = sum(seen.values()) + len(alphabet), len(words) + 1
-    cost = {c: math.log2((seen[c] + 1) / n * (1 - ends / (n + ends))) for c in alphabet}
-    stop = math.log2(ends / (n + ends))
-    return cost, stop
+class Plain:
+    """How likely a run of the alphabet is as ordinary text: by the character before, from counts over distinct runs.
+
+    Symbols are numbered from 1, 0 stands for the ends. A run counts once however often it
+    stands in the texts, so a credential that many copies share does not become ordinary.
+    """
 
+    N = len(ALPHABET) + 1
+    NUMBER = {c: i + 1 for i, c in enumerate(ALPHABET)}
 
-def labelled(docs: DataFrame, per_kind: int) -> DataFrame:
-    """(kind, value): distinct base credentials by kind, and ordinary long words as kind ``plain``, ``per_kind`` of each at most."""
+    def __init__(self, counts: dict[int, int], weight: float = 20.0):
+        two = np.zeros((self.N, self.N))
+        for code, n in counts.items():
+            two.flat[code] += n
+        flat = (two.sum(axis=0) + 1) / (two.sum() + self.N)
+        self.bits = np.log2((two + weight * flat) / (two.sum(axis=1, keepdims=True) + weight)).tolist()
+
+    @classmethod
+    def count(cls, runs: list[str]) -> np.ndarray:
+        """How often each symbol follows each other one, as a flat table; a run's ends count, too."""
+        raw = np.frombuffer(f" {' '.join(runs)} ".encode("latin-1", "replace"), dtype=np.uint8)
+        x = _NUMBERS[raw].astype(np.int64)
+        return np.bincount(x[:-1] * cls.N + x[1:], minlength=cls.N**2)
+
+    def word_bits(self, word: str) -> float:
+        a, total = 0, 0.0
+        for c in word:
+            b = self.NUMBER[c]
+            total += self.bits[a][b]
+            a = b
+        return total + self.bits[a][0]
+
+
+_NUMBERS = np.zeros(256, dtype=np.uint8)
+_NUMBERS[[ord(c) for c in ALPHABET]] = np.arange(1, len(ALPHABET) + 1)
+
+
+@dataclass
+class Models:
+    """An automaton per kind of credential, the plain model, and the shortest value learned from."""
+
+    automata: dict[str, list]
+    plain: Plain
+    shortest: int
+
+    def gain(self, word: str, least: float = -math.inf) -> float:
+        """Bits by which the best automaton explains ``word`` better than the plain model; minus infinity if less than ``least``."""
+        if not self.automata or len(word) < self.shortest:
+            return -math.inf
+        plain = self.plain.word_bits(word)
+        gain = max(automaton_bits(a, word, plain + least) for a in self.automata.values()) - plain
+        return gain if gain >= least else -math.inf
+
+
+def observed(docs: DataFrame) -> DataFrame:
+    """(kind, value), distinct: values of base credentials by kind, and as kind ``plain`` the other runs of the alphabet."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        word = re.compile(r"(?<![A-Za-z0-9+/_.=-])[A-Za-z0-9+/_.=-]{16,}")
         for batch in batches:
-            found = set()
+            found, plain = set(), set()
             for text in batch["text"]:
-                if not text:
-                    continue
-                spans = base_spans(text)
-                found.update((KINDS[k], text[s:e]) for s, k, e in spans if e - s <= 512)
-                for m in word.finditer(text):
-                    if m.end() - m.start() <= 512 and not any(s < m.end() and m.start() < e for s, _, e in spans):
-                        found.add(("plain", m.group()))
-            yield pd.DataFrame(sorted(found), columns=["kind", "value"])
+                if text:
+                    spans = base_spans(text)
+                    found.update((KINDS[k], text[s:e]) for s, k, e in spans)
+                    plain.update(RUN.findall(apart_from(text, spans) if spans else text))
+            yield pd.DataFrame(sorted(found) + [("plain", x) for x in sorted(plain)], columns=["kind", "value"])
 
-    ranked = docs.select(F.col("text")).mapInPandas(run, "kind string, value string").distinct()
-    order = Window.partitionBy("kind").orderBy(F.xxhash64("value"), "value")
-    return ranked.withColumn("n", F.row_number().over(order)).where(F.col("n") <= per_kind).drop("n")
+    return docs.mapInPandas(run, "kind string, value string").distinct()
 
 
-def learn(docs: DataFrame, *, per_kind: int = 2000, alpha: float = 0.05, text: str = "text"):
-    """One automaton per kind of base credential, and the plain model, from a bounded sample.
+def plain_counts(runs: DataFrame) -> dict[int, int]:
+    """How often each two characters stand in a row in ``runs`` (value): at most one number per pair of the alphabet comes to the driver."""
 
-    The labels are the base patterns' own finds in all texts; of the distinct values of a kind
-    the ``per_kind`` with the smallest hashes are used, a stated bound of the fitted model.
-    Values over 512 characters are not learned from (they are reported all the same).
-    """
-    sample: dict[str, list[str]] = {}
-    for r in labelled(docs.select(F.col(text).cast("string").alias("text")), per_kind).collect():
-        sample.setdefault(r["kind"], []).append(r["value"])
-    return {k: Automaton(sorted(sample[k])).merged(alpha).frozen() for k in KINDS[:3] if sample.get(k)}, plain_bits(sorted(sample.get("plain", [])))
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        table = sum((Plain.count(batch["value"].tolist()) for batch in batches), np.zeros(Plain.N**2, dtype=np.int64))
+        at = np.flatnonzero(table)
+        yield pd.DataFrame({"code": at, "n": table[at]})
 
+    return {r["code"]: r["n"] for r in runs.select("value").mapInPandas(count, "code long, n long").groupBy("code").agg(F.sum("n").alias("n")).collect()}
 
-def format_gain(models, word: str) -> float:
-    """Bits per character by which the best automaton explains ``word`` better than the plain model."""
-    automata, (cost, stop) = models
-    if not automata:
-        return -math.inf
-    return (max(automaton_bits(a, word) for a in automata.values()) - sum(cost[c] for c in word) - stop) / len(word)
 
+def learn(docs: DataFrame, known: DataFrame | None = None, *, per_kind: int = 2000, alpha: float = 0.05, depth: int = 128, text: str = "text") -> Models:
+    """One automaton per kind of labelled credential, from a bounded sample, and the plain model of all texts.
 
-def scan_secrets(docs: DataFrame, models, *, doc_id: str = "doc_id", text: str = "text", min_gain: float = 0.5) -> DataFrame:
+    Labels are the base patterns' own finds in all texts and the rows (kind, value) of
+    ``known``, of further kinds if need be. Of the distinct values of a kind the ``per_kind``
+    with the smallest hashes are learned from, whole, a stated bound of the fitted model: each
+    task keeps its ``per_kind`` smallest, which are then merged. The plain model counts all
+    distinct runs of all texts. Null texts and values are left out; without labels nothing is a format.
+    """
+    space = Workspace(docs.sparkSession)
+    seen = space.stage(observed(docs.select(F.col(text).cast("string").alias("text"))), "observed")
+    labels = seen.where("kind <> 'plain'")
+    if known is not None:
+        labels = labels.union(known.select("kind", "value").where("kind is not null and value <> ''")).distinct()
+    kinds = sorted(r["kind"] for r in labels.select("kind").distinct().collect())
+    samples = {k: [r["value"] for r in labels.where(F.col("kind") == k).orderBy(F.xxhash64("value"), "value").limit(per_kind).collect()] for k in kinds}
+    plain = Plain(plain_counts(seen.where("kind = 'plain'")))
+    space.drop()
+    automata = {k: Automaton(sorted(words), depth).merged(alpha).frozen() for k, words in samples.items()}
+    return Models(automata, plain, min((len(w) for words in samples.values() for w in words), default=0))
+
+
+def formats(models: Models, run: str, least: float, rate: float, level: int = 0) -> list[tuple[int, int]]:
+    """Where credentials stand in a run: the whole of it, else its parts at =, / and ., else those at any separator."""
+    if len(run) < models.shortest:
+        return []
+    if models.gain(run, max(least, rate * len(run))) > -math.inf:
+        return [(0, len(run))]
+    if level == len(PARTS):
+        return []
+    parts = [(m.start(), m.group()) for m in PARTS[level].finditer(run)]
+    if len(parts) == 1 and len(parts[0][1]) == len(run):
+        return formats(models, run, least, rate, level + 1) if level + 1 < len(PARTS) else []
+    return [(at + s, at + e) for at, part in parts for s, e in formats(models, part, least, rate, level + 1)]
+
+
+class _Formats(dict):
+    """Where credentials stand in a run, remembered for runs of usual length up to a bound."""
+
+    def __init__(self, models: Models, least: float, rate: float):
+        super().__init__()
+        self.of = models, least, rate
+
+    def __missing__(self, run: str) -> list[tuple[int, int]]:
+        models, least, rate = self.of
+        found = formats(models, run, least, rate)
+        if len(self) > 200_000:
+            self.clear()
+        if len(run) <= 64:
+            self[run] = found
+        return found
+
+
+def scan_secrets(docs: DataFrame, models: Models, *, doc_id: str = "doc_id", text: str = "text", least_bits: float = 24.0, bits_per_char: float = 0.5) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_format.
 
-    Base spans are those of the patterns. Every other run of 20 or more credential characters
-    with a letter and a digit is scored; it is a ``format`` span if an automaton gains at least
-    ``min_gain`` bits a character. Null texts count as empty: no spans, the digest of nothing.
+    Base spans are those of the patterns. What is left of the text beside them is read in runs
+    of the credential alphabet; each run of the shortest learned length or more, or else each
+    of its parts between separators, is scored. It is a ``format`` span if an automaton
+    explains it at least ``least_bits`` better than the plain model of all texts, and at least
+    ``bits_per_char`` a character. Null texts count as empty: no spans, the digest of nothing.
     Rows with null or repeated ids each get their own row; empty tables give empty results.
     """
     shared = docs.sparkSession.sparkContext.broadcast(models)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        where = _Formats(shared.value, least_bits, bits_per_char)
         for batch in batches:
             rows = []
             for body in batch["text"]:
                 body = body or ""
                 spans = base_spans(body)
-                written = [f"{KINDS[k]}:{s}:{e}" for s, k, e in spans]
-                extra = [(s, 3, e) for s, e in candidates(body, spans) if format_gain(shared.value, body[s:e]) >= min_gain]
+                rest = apart_from(body, spans) if spans else body
+                extra = []
+                if shared.value.automata and any(map(where.__getitem__, RUN.findall(rest))):
+                    extra = [(m.start() + s, 3, m.start() + e) for m in RUN.finditer(rest) for s, e in where[m.group()]]
                 n = Counter(k for _, k, _ in spans)
-                everything = ",".join(f"{KINDS[k]}:{s}:{e}" for s, k, e in sorted(spans + extra))
-                rows.append((n[0], n[1], n[2], hashlib.sha256(",".join(written).encode()).hexdigest(), everything, len(extra)))
+                base, every = (",".join(f"{KINDS[k]}:{s}:{e}" for s, k, e in some) for some in (spans, sorted(spans + extra)))
+                rows.append((n[0], n[1], n[2], hashlib.sha256(base.encode()).hexdigest(), every, len(extra)))
             out = pd.DataFrame(rows, columns=["n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_format"])
             out.insert(0, "doc_id", batch["doc_id"].to_numpy())
             yield out

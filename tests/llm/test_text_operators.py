@@ -396,27 +396,117 @@ def test_licenses_whole_texts_and_notices(spark):
     assert got == {(n, i) for n, (i, _) in enumerate(texts)}
 
 
-def test_preferences(spark):
-    turns = [
-        (0, 0, "user", "hi"), (0, 1, "assistant", "hello"), (0, 2, "user", "why"), (0, 3, "assistant", "because it is"), (1, 0, "user", "hi"), (1, 1, "assistant", "hello"), (1, 2, "user", "why"), (1, 3, "assistant", "no"),
-        (2, 0, "user", "a"), (2, 1, "assistant", None), (3, 0, "system", "b"), (4, 0, "user", "alone"), (6, 0, "user", "x"), (7, 0, "user", "x"), (None, 0, "user", "x"), (7, None, None, "y"),
-    ]
-    conv = preferences.gather_turns(spark.createDataFrame(turns, "conv_id long, turn long, role string, text string"))
-    got = {r["pair_id"]: r for r in preferences.format_preferences(preferences.adjacent_pairs(conv)).collect()}
-    assert set(got) == {0, 1, 3}
-    r = got[0]
-    assert (r["chosen_id"], r["prompt_turns"]) == (0, 3) and r["prompt"].endswith("<|user|>\nwhy<|end|>\n")
-    s, e = map(int, r["chosen_mask"].split(":"))
-    assert r["chosen"][s:e] == "because it is<|end|>\n" and r["rejected"].startswith("<|assistant|>\nno")
-    assert got[1]["prompt"] == "" and got[3]["prompt_turns"] == 0
+TURNS = "conv_id long, turn long, role string, text string"
+
+
+def shown(role, text):
+    return f"<|{role}|>\n{text}<|end|>\n"
+
+
+def test_preferences_share_the_longest_common_prefix(spark):
+    t = lambda *turns: [(i, r, x) for i, (r, x) in enumerate(turns)]
+    u, a = "user", "assistant"
+    sides = {
+        1: (t((u, "hi"), (a, "hello"), (u, "why"), (a, "because")), t((u, "hi"), (a, "hello"), (u, "why"), (a, "no"), (u, "oh"), (a, "yes"))),
+        2: (t((u, "a")), t((u, "a"))),
+        3: (t((u, "a"), (a, "")), t((a, "a"))),
+        4: (t((u, "a"), (a, "x")), t((u, "a"))),
+        5: ([], t((a, "x"))),
+    }
+    pairs = spark.createDataFrame([(k, k, -k, c, r) for k, (c, r) in sides.items()], "pair_id long, chosen_id long, rejected_id long, chosen array<struct<turn:long,role:string,text:string>>, rejected array<struct<turn:long,role:string,text:string>>")
+    for x in preferences.format_preferences(pairs).collect():
+        c, r = sides[x["pair_id"]]
+        n = next((i for i, (p, q) in enumerate(zip(c, r)) if p[1:] != q[1:]), min(len(c), len(r)))
+        assert (x["prompt_turns"], x["prompt"]) == (n, "".join(shown(*p[1:]) for p in c[:n]))
+        for side, text, mask in ((c, x["chosen"], x["chosen_mask"]), (r, x["rejected"], x["rejected_mask"])):
+            assert text == "".join(shown(*p[1:]) for p in side[n:])
+            learned = [text[int(s) : int(e)] for s, e in (m.split(":") for m in mask.split(",") if m)]
+            assert learned == [p[2] + "<|end|>\n" for p in side[n:] if p[1] == "assistant"]
+
+
+def test_preferences_of_conversations_against_plain_python(spark):
+    r = random.Random(58)
+    rows = [(c, n, r.choice(["user", "assistant", "assistant", "system", None]), r.choice(["yes", "no", "é " + prose(3, r), "", None])) for c in range(-6, 90) if c % 7 for n in range(r.randint(1, 6))]
+    rows += [(40, 2, "user", "again"), (40, None, None, "first"), (None, 0, "user", "lost"), (200, 0, "user", "w " * 100_000), (200, 1, "assistant", "long " * 50_000), (201, 0, "assistant", "x"), (201, 0, "assistant", "x")]
+    docs = spark.createDataFrame(rows, TURNS).withColumns({c: F.lit("clash") for c in ("beside", "t", "turns", "own", "c", "upto", "pair_id")})
+    convs = defaultdict(list)
+    for c, n, role, text in rows:
+        if c is not None:
+            convs[c].append((n is not None, n or 0, role or "", text or ""))
+    convs = {c: [t[2:] for t in sorted(ts)] for c, ts in convs.items()}
+    want = set()
+    for c, ts in convs.items():
+        mine = [i for i, t in enumerate(ts) if t[0] == "assistant"]
+        others = [t for t in convs.get(c ^ 1, []) if t[0] == "assistant"]
+        chosen = ts[: mine[-1] + 1] if mine else ts
+        answer = others[min(len(mine), len(others)) - 1] if mine and others else None
+        rejected = chosen[:-1] + ([answer] if answer else []) if mine else ts
+        n = next((i for i, (p, q) in enumerate(zip(chosen, rejected)) if p != q), min(len(chosen), len(rejected)))
+        want.add((c, c, c ^ 1 if answer else None, n, *("".join(shown(*p) for p in part) for part in (chosen[:n], chosen[n:], rejected[n:]))))
+    got = preferences.format_preferences(preferences.reply_pairs(preferences.gather_turns(docs))).collect()
+    assert {tuple(x)[:7] for x in got} == want and len(got) == len(convs) and sum(x["prompt_turns"] > 0 for x in got) > 0.6 * len(got)
+    assert preferences.format_preferences(preferences.reply_pairs(preferences.gather_turns(docs.limit(0)))).count() == 0
+
+
+def brute_spans(text):
+    """The base patterns by a scan of single characters, without their regular expressions."""
+    text, found = text or "", []
+    value = set("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_.=-")
+    low = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text)
+
+    def run(at, of):
+        while at < len(text) and text[at] in of:
+            at += 1
+        return at
+
+    at = 0
+    while at < len(text):
+        for word in ("password", "passwd", "secret", "token", "api_key", "apikey"):
+            if not low.startswith(word, at):
+                continue
+            i = at + len(word)
+            i += text[i : i + 1] in ("'", '"')
+            i = run(i, " ")
+            if text[i : i + 1] not in (":", "="):
+                continue
+            i = run(i + 1, " ")
+            i += text[i : i + 1] in ("'", '"')
+            if (end := run(i, value)) > i:
+                found += [(i, "assign", end)] if end - i >= 6 else []
+                at = end - 1
+                break
+        at += 1
+    for kind, head, of, least in (("access", "AKIA", set("ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"), 20), ("hex", "", set("0123456789abcdef"), 24)):
+        at = 0
+        while at < len(text):
+            end = run(at + len(head), of) if text.startswith(head, at) else at
+            if end > at + len(head):
+                found += [(at, kind, end)] if end - at >= least else []
+                at = end
+            else:
+                at += 1
+    return sorted(found, key=lambda x: (x[0], ("assign", "access", "hex").index(x[1])))
+
+
+def test_base_spans_against_a_scan_of_characters(spark):
+    r = random.Random(64)
+    bits = ["password", "PassWD", "secret", "token", "api_key", "APIkey", "AKIA", "akia", "AKIAAKIA", " ", "  ", "=", ":", '"', "'", "é", "ſecret", "\n", "A1B2C3D4E5F6G7H8", "0123456789abcdef", "deadbeef", "abc", "x", ".", "-", "Z9", "g"]
+    rows = [(i, "".join(r.choices(bits, k=r.randint(0, 30)))) for i in range(3000)] + [(9000, None), (9001, "token=" + "k" * 2_000_000 + " é " + "0f" * 500_000), (None, "secret: abcdef")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {(x["doc_id"], x["n_assign"], x["n_access"], x["n_hex"], x["base_sha256"]) for x in secrets.scan_secrets(docs, secrets.Models({}, secrets.Plain({}), 0)).collect()}
+    want = set()
+    for i, t in rows:
+        spans = brute_spans(t)
+        n = Counter(k for _, k, _ in spans)
+        want.add((i, n["assign"], n["access"], n["hex"], hashlib.sha256(",".join(f"{k}:{s}:{e}" for s, k, e in spans).encode()).hexdigest()))
+    assert got == want
 
 
 def test_secrets(spark):
     r = random.Random(4)
     hexes = ["".join(r.choices("0123456789abcdef", k=40)) for _ in range(80)]
     rows = [(i, f'words token = "{h}" and more plainwordsofsomelength{i}x') for i, h in enumerate(hexes)]
-    upper = "".join(r.choices("0123456789abcdef", k=22)) + "9f"
-    rows += [(100, None), (101, ""), (102, "AKIA" + "A1" * 8 + " é passwd: abc secret=short7x"), (103, "AKIA123 deadbeef"), (104, "id " + "z" * 10 + " key " + upper[:22] + "."), (None, "api_key: 'q/w+e=r.t_y'")]
+    rows += [(100, None), (101, ""), (102, "AKIA" + "A1" * 8 + " é passwd: abc secret=short7x"), (103, "AKIA123 deadbeef"), (None, "api_key: 'q/w+e=r.t_y'")]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     got = {x["doc_id"]: x for x in secrets.scan_secrets(docs, secrets.learn(docs)).collect()}
     assert got[0]["spans"] == "assign:15:55,hex:15:55" and (got[0]["n_assign"], got[0]["n_access"], got[0]["n_hex"]) == (1, 0, 1)
@@ -424,17 +514,69 @@ def test_secrets(spark):
     assert got[100]["base_sha256"] == hashlib.sha256(b"").hexdigest() and got[100]["spans"] == ""
     assert got[102]["spans"] == "access:0:20,assign:42:49" and got[103]["spans"] == ""
     assert got[None]["spans"] == "assign:10:21"
-    assert got[104]["n_format"] == 1 and all(got[i]["n_format"] == 0 for i in range(80))
+    assert all(got[i]["n_format"] == 0 for i in range(80))
     assert secrets.scan_secrets(docs.limit(0), secrets.learn(docs.limit(0))).count() == 0
 
 
-def test_automaton_merges_to_the_format():
+LETTERS, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "abcdefghijklmnopqrstuvwxyz0123456789"
+
+
+def made(r, kind):
+    if kind == "assign":
+        return "ghp_" + "".join(r.choices(LETTERS + LOWER, k=30))
+    if kind == "access":
+        return "AKIA" + "".join(r.choices(LETTERS, k=16))
+    return "".join(r.choices("0123456789abcdef", k=40))
+
+
+def test_formats_that_no_base_pattern_finds(spark):
+    """Learned from labelled values, found without their labels: bare, after a prefix, beside separators; words and numbers are not."""
+    r = random.Random(41)
+    rows = [(i, f"{prose(40, r)} token = {made(r, 'assign')} {prose(5, r)} {made(r, 'access')} {prose(9, r)}") for i in range(300)]
+    bare = [made(r, "assign") for _ in range(60)]
+    rows += [(i, prose(150, r) + " " + " ".join(f"{w.upper()}{r.randrange(1000)} {w.title()}_{r.choice(VOCAB)}" for w in r.choices(VOCAB, k=40))) for i in range(300, 600)]
+    rows += [(1000 + i, f"{prose(6, r)} {x} {prose(6, r)}") for i, x in enumerate(bare)]
+    rows += [(2000 + i, f"{prose(6, r)} auth={x} host/{x}/q {prose(6, r)}") for i, x in enumerate(bare)]
+    rows += [(3000 + i, f"{prose(90, r)} {r.randrange(10**15, 10**16)} https://{r.choice(VOCAB)}.example.com/{r.choice(VOCAB)} some-long-hyphened-words") for i in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    models = secrets.learn(docs)
+    assert all(len(a) > 20 for a in models.automata.values()) and set(models.automata) == {"assign", "access"}
+    texts = dict(rows)
+    got = {x["doc_id"]: [tuple(map(int, s.split(":")[1:])) for s in x["spans"].split(",") if s.startswith("format")] for x in secrets.scan_secrets(docs, models).collect()}
+    found = [[texts[i][s:e] for s, e in got[i]] for i in texts]
+    assert all(not f for i, f in zip(texts, found) if i < 1000 or i >= 3000)
+    one = sum(got_ == [bare[i - 1000]] for i, got_ in zip(texts, found) if 1000 <= i < 2000)
+    two = sum(got_ == [bare[i - 2000]] * 2 for i, got_ in zip(texts, found) if 2000 <= i < 3000)
+    assert one >= 58 and two >= 58
+    # values of known labels of another kind, and of any length, are learned from whole
+    known = spark.createDataFrame([("vault", "s." + "".join(r.choices(LETTERS + LOWER, k=24))) for _ in range(300)] + [("long", "Q" * 3000), (None, "x"), ("vault", None)], "kind string, value string")
+    more = secrets.learn(docs, known)
+    assert set(more.automata) == {"assign", "access", "vault", "long"} and len(more.automata["long"]) == 130
+    text = f"a s.{''.join(r.choices(LETTERS + LOWER, k=24))} b {'Q' * 3000}"
+    assert secrets.scan_secrets(spark.createDataFrame([(1, text)], "doc_id long, text string"), more).first()["n_format"] == 2
+
+
+def test_plain_counts_against_a_loop(spark):
+    runs = ["mailers", "abc/def", "x_y.z=9", "mailing"]
+    number = lambda c: secrets.Plain.NUMBER.get(c, 0)
+    want = Counter(number(a) * secrets.Plain.N + number(b) for w in runs for a, b in zip(" " + w, w + " "))
+    assert secrets.plain_counts(spark.createDataFrame([(w,) for w in runs], "value string").repartition(3)) == dict(want)
+    plain = secrets.Plain(dict(enumerate(secrets.Plain.count(["thethe", "thingthen"] * 50))))
+    assert abs(sum(2 ** plain.bits[0][k] for k in range(secrets.Plain.N)) - 1) < 1e-9
+    assert plain.word_bits("then") > plain.word_bits("xqzw") + 20
+
+
+@pytest.mark.parametrize("kind, states", [("access", 21), ("assign", 35), ("hex", 41)])
+def test_automaton_keeps_prefix_and_length(kind, states):
     r = random.Random(6)
-    words = ["AKIA" + "".join(r.choices("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", k=16)) for _ in range(400)]
-    states = secrets.Automaton(words).merged().frozen()
-    assert len(states) < 60
-    fresh = "AKIA" + "".join(r.choices("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", k=16))
-    assert secrets.automaton_bits(states, fresh) > secrets.automaton_bits(states, "the-usual-words-here") + 100
+    automaton = secrets.Automaton([made(r, kind) for _ in range(400)]).merged().frozen()
+    assert states <= len(automaton) <= states + 12
+    fresh = [made(r, kind) for _ in range(50)]
+    bits = [secrets.automaton_bits(automaton, w) for w in fresh]
+    usual = [(w, b) for w, b in zip(fresh, bits) if b > np.median(bits) - 8]
+    assert len(usual) > 25
+    for w, b in usual:  # of symbols that were all seen: a changed prefix, one character less or more cost at least five bits
+        assert all(secrets.automaton_bits(automaton, v) < b - 5 for v in (["zz" + w[2:]] if kind != "hex" else []) + [w[:-1], w + w[-1]])
 
 
 def test_html_layout():
