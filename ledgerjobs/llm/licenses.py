@@ -8,6 +8,8 @@ from pathlib import Path
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import Workspace
+
 # Spellings that count as the same word.
 EQUIVALENT = (
     ("licence", "license"),
@@ -35,21 +37,7 @@ _ISC = """Permission to use, copy, modify, and/or distribute this software for a
 
 THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."""
 
-# Texts and notices known by default, (license id, text).
-KNOWN = (
-    ("MIT", "MIT License\n\n" + _MIT),
-    ("MIT", _MIT),
-    ("MIT", "Released under the MIT License."),
-    ("MIT", "Licensed under the MIT License."),
-    ("MIT", "SPDX-License-Identifier: MIT"),
-    ("ISC", "ISC License\n\n" + _ISC),
-    ("ISC", _ISC),
-    ("ISC", "SPDX-License-Identifier: ISC"),
-    ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
-    ("Apache-2.0", "SPDX-License-Identifier: Apache-2.0"),
-    (
-        "Apache-2.0",
-        """Licensed under the Apache License, Version 2.0 (the "License");
+_APACHE = """Licensed under the Apache License, Version 2.0 (the "License");
 you may not use this file except in compliance with the License.
 You may obtain a copy of the License at
 
@@ -59,20 +47,52 @@ Unless required by applicable law or agreed to in writing, software
 distributed under the License is distributed on an "AS IS" BASIS,
 WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
 See the License for the specific language governing permissions and
-limitations under the License.""",
-    ),
-    ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."),
-    ("GPL-3.0", "Licensed under the GNU General Public License, version 3."),
-    ("GPL-3.0", "SPDX-License-Identifier: GPL-3.0-only"),
-    ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
-    ("CC-BY-4.0", "Licensed under CC BY 4.0."),
-    ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0."),
-    ("CC0-1.0", "Licensed under CC0 1.0."),
-    ("BSD-3-Clause", "SPDX-License-Identifier: BSD-3-Clause"),
-    ("BSD-2-Clause", "SPDX-License-Identifier: BSD-2-Clause"),
-    ("MPL-2.0", "SPDX-License-Identifier: MPL-2.0"),
+limitations under the License."""
+
+# SPDX identifiers and the names by which notices call the licenses.
+NAMES = {
+    "AGPL-3.0": ("GNU Affero General Public License, version 3", "AGPL 3.0", "AGPLv3"),
+    "Apache-2.0": ("Apache License, Version 2.0", "Apache License 2.0", "Apache 2.0 License"),
+    "Artistic-2.0": ("Artistic License 2.0",),
+    "BSD-2-Clause": ("BSD 2-Clause License", "Simplified BSD License"),
+    "BSD-3-Clause": ("BSD 3-Clause License", "New BSD License"),
+    "BSL-1.0": ("Boost Software License, Version 1.0", "Boost Software License 1.0"),
+    "CC-BY-4.0": ("CC BY 4.0", "Creative Commons Attribution 4.0 International License"),
+    "CC-BY-NC-4.0": ("CC BY-NC 4.0", "Creative Commons Attribution-NonCommercial 4.0 International License"),
+    "CC-BY-NC-SA-4.0": ("CC BY-NC-SA 4.0", "Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License"),
+    "CC-BY-ND-4.0": ("CC BY-ND 4.0", "Creative Commons Attribution-NoDerivatives 4.0 International License"),
+    "CC-BY-SA-3.0": ("CC BY-SA 3.0", "Creative Commons Attribution-ShareAlike 3.0 Unported License"),
+    "CC-BY-SA-4.0": ("CC BY-SA 4.0", "Creative Commons Attribution-ShareAlike 4.0 International License"),
+    "CC0-1.0": ("CC0 1.0", "CC0 1.0 Universal"),
+    "EPL-2.0": ("Eclipse Public License 2.0", "Eclipse Public License v2.0"),
+    "GPL-2.0": ("GNU General Public License, version 2", "GPL 2.0", "GPLv2"),
+    "GPL-3.0": ("GNU General Public License, version 3", "GPL 3.0", "GPLv3"),
+    "ISC": ("ISC License",),
+    "LGPL-2.1": ("GNU Lesser General Public License, version 2.1", "LGPL 2.1", "LGPLv2.1"),
+    "LGPL-3.0": ("GNU Lesser General Public License, version 3", "LGPL 3.0", "LGPLv3"),
+    "MIT": ("MIT License",),
+    "MPL-2.0": ("Mozilla Public License 2.0", "Mozilla Public License, version 2.0"),
+    "OFL-1.1": ("SIL Open Font License, Version 1.1", "SIL Open Font License 1.1"),
+    "Unlicense": ("Unlicense",),
+    "Zlib": ("zlib License",),
+}
+NOTICES = tuple(f"{start} under {the}{{}}." for start in ("Licensed", "Released", "Distributed", "Published", "This work is licensed", "This software is licensed", "This file is licensed") for the in ("the ", "a ", ""))
+_FAMILY = ("AGPL-3.0", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0")
+
+#: Texts and notices known by default, (license id, text): each name in each notice, SPDX lines, and short whole texts.
+KNOWN = (
+    *((i, notice.format(name)) for i, names in NAMES.items() for name in names for notice in NOTICES),
+    *((i, f"SPDX-License-Identifier: {i}{end}") for i in NAMES for end in (("", "-only", "-or-later") if i in _FAMILY else ("",))),
+    ("MIT", "MIT License\n\n" + _MIT),
+    ("MIT", "The MIT License (MIT)\n\n" + _MIT),
+    ("MIT", _MIT),
+    ("ISC", "ISC License\n\n" + _ISC),
+    ("ISC", _ISC),
+    ("Apache-2.0", _APACHE),
 )
 
+PHRASES = tuple((old, new) for old, new in EQUIVALENT if " " in old)
+
 #: Where the text proper ends: what follows are hints for users, which copies often leave out.
 _HINTS = re.compile(r"(?im)(?<=END OF TERMS AND CONDITIONS)\s[\s\S]*|^[ \t]*(ADDENDUM: How to use|How to Apply These Terms|Exhibit A ?-)[\s\S]*")
 _TITLES = {"BSD-2-Clause": ("", "BSD 2-Clause License", 'BSD 2-Clause "Simplified" License'), "BSD-3-Clause": ("", "BSD 3-Clause License", 'BSD 3-Clause "New" or "Revised" License')}
@@ -110,47 +130,86 @@ NOTICE = (
 )
 
 
-def _equivalent(text: Column) -> Column:
-    for old, new in EQUIVALENT:
+def _equivalent(text: Column, pairs=EQUIVALENT) -> Column:
+    for old, new in pairs:
         text = F.replace(text, F.lit(old), F.lit(new))
     return text
 
 
 def canonical(text: Column) -> Column:
     """Lower case, no copyright notices (nor "all rights reserved" below), words parted by one blank, lines kept."""
-    out = F.lower(F.regexp_replace(F.coalesce(text, F.lit("")), NOTICE, ""))
+    text = F.coalesce(text, F.lit(""))
+    out = F.lower(F.when(text.rlike(r"(?i)copyright|\(c\)|©"), F.regexp_replace(text, NOTICE, "")).otherwise(text))
     out = F.regexp_replace(out, r"[^\p{L}\p{N}\n]+", " ")
     return _equivalent(out)
 
 
 def whole(canon: Column) -> Column:
-    """The lines as one, with the equivalent words that a line break had parted."""
-    return _equivalent(F.trim(F.regexp_replace(canon, r"[ \n]+", " ")))
+    """The lines as one, with the equivalent phrases that a line break had parted."""
+    return _equivalent(F.trim(F.regexp_replace(canon, r"[ \n]+", " ")), PHRASES)
+
+
+def paragraphs(canon: Column) -> Column:
+    """Digests of the paragraphs of a canonical text, which blank lines part."""
+    some = F.filter(F.split(canon, r"\n *\n[ \n]*"), lambda p: F.trim(F.replace(p, F.lit("\n"), F.lit(" "))) != "")
+    return F.transform(some, lambda p: F.struct(digest_of(whole(p)).alias("digest"), F.trim(p).contains("\n").alias("several")))
+
+
+def digest_of(text: Column) -> Column:
+    return F.md5(text.cast("binary"))
 
 
 def known_table(spark: SparkSession, known=KNOWN + WHOLE) -> DataFrame:
     return spark.createDataFrame(list(known), "license_id string, text string")
 
 
+def lookup_table(known: DataFrame) -> DataFrame:
+    """(part, digest, license_id, variant, kpos, k): what the units of a text are looked up in.
+
+    ``part`` false: the digest of an entire known text. ``part`` true: that of its paragraph
+    number ``kpos`` of ``k``; ``variant`` is the digest of all of it.
+    """
+    texts = known.select("license_id", canonical(F.col("text")).alias("c")).select("license_id", whole(F.col("c")).alias("w"), paragraphs(F.col("c")).alias("ps"))
+    texts = texts.where("w <> '' and license_id is not null").select("license_id", digest_of(F.col("w")).alias("variant"), "ps").dropDuplicates(["license_id", "variant", "ps"])
+    entire = texts.select(F.lit(False).alias("part"), F.col("variant").alias("digest"), "license_id", "variant", F.lit(0).alias("kpos"), F.lit(0).alias("k")).distinct()
+    # one variant may be cut into paragraphs in several ways
+    cut = texts.select("license_id", digest_of(F.to_json("ps")).alias("variant"), F.size("ps").alias("k"), F.posexplode("ps").alias("kpos", "p"))
+    return entire.union(cut.select(F.lit(True), "p.digest", "license_id", "variant", "kpos", "k"))
+
+
 def scan_licenses(docs: DataFrame, known: DataFrame, *, doc_id: str = "doc_id", text: str = "text", broadcast_rows: int = 100_000) -> DataFrame:
     """Rows (doc_id, scope, license_id, matches) for each license that a document holds.
 
-    The units looked up are the entire text (scope ``text``) and each of its lines (scope
-    ``line``); a unit matches if its digest equals that of an entire known text. Digests of
-    known texts are broadcast up to ``broadcast_rows`` rows, joined by a shuffle beyond. A
-    text that is one line counts as ``text`` only. Null and empty texts match nothing; known
-    texts that are null or empty after normalising are left out; repeated rows of one id add up.
+    The units looked up are the entire text (scope ``text``), each of its lines (scope
+    ``line``) and its runs of consecutive paragraphs (scope ``passage``); a unit matches if its
+    digest, or those of its paragraphs in turn, equal those of an entire known text. A text
+    that is one line counts as ``text`` only, a paragraph of one line as ``line``, and the run
+    of all paragraphs as ``text``; passages of one license that begin or end together count once, as the longest.
+    Digests of known texts are broadcast up to ``broadcast_rows`` rows, joined by a shuffle
+    beyond. Null and empty texts match nothing; known texts that are null or empty after
+    normalising are left out; repeated rows of one id add up.
     """
-    canon = canonical(F.col("text"))
-    digests = (
-        known.select(F.col("license_id"), whole(canonical(F.col("text"))).alias("t")).where("t <> '' and license_id is not null").select(F.md5(F.col("t").cast("binary")).alias("digest"), "license_id").distinct()
-    )
-    if digests.limit(broadcast_rows + 1).count() <= broadcast_rows:
-        digests = F.broadcast(digests)
-    texts = docs.select(F.col(doc_id).alias("doc_id"), canon.alias("c") if text == "text" else canonical(F.col(text)).alias("c"))
+    lookup = lookup_table(known)
+    if lookup.limit(broadcast_rows + 1).count() <= broadcast_rows:
+        lookup = F.broadcast(lookup)
+    texts = docs.select(F.col(doc_id).alias("doc_id"), canonical(F.col(text).cast("string")).alias("c"))
     lines = F.filter(F.transform(F.split("c", "\n"), lambda x: F.trim(x)), lambda x: x != "")
-    units = texts.select("doc_id", whole(F.col("c")).alias("w"), lines.alias("lines")).where("w <> ''")
-    unit = lambda scope, value: F.struct(F.lit(scope).alias("scope"), F.md5(value.cast("binary")).alias("digest"))
-    several = F.when(F.size("lines") > 1, F.transform("lines", lambda x: unit("line", x))).otherwise(F.array().cast("array<struct<scope:string,digest:string>>"))
-    found = units.select("doc_id", F.explode(F.concat(F.array(unit("text", F.col("w"))), several)).alias("u")).select("doc_id", "u.*").join(digests, "digest")
-    return found.groupBy("doc_id", "scope", "license_id").agg(F.count("*").alias("matches"))
+    texts = texts.select("doc_id", F.xxhash64("c").alias("row"), whole(F.col("c")).alias("w"), lines.alias("lines"), paragraphs(F.col("c")).alias("ps"))
+    none = F.array().cast("array<struct<scope:string,digest:string,pos:int,several:boolean>>")
+    unit = lambda scope, value, pos, several: F.struct(F.lit(scope).alias("scope"), value.alias("digest"), pos.cast("int").alias("pos"), several.alias("several"))
+    entire = F.array(unit("text", digest_of(F.col("w")), F.lit(0), F.lit(False)))
+    by_line = F.when(F.size("lines") > 1, F.transform("lines", lambda x: unit("line", digest_of(x), F.lit(0), F.lit(False)))).otherwise(none)
+    by_paragraph = F.when(F.size("ps") > 1, F.transform("ps", lambda p, i: unit("passage", p.digest, i, p.several))).otherwise(none)
+    # explode_outer, as explode would have the array computed once more by a filter on its size
+    units = texts.select("doc_id", "row", F.size("ps").alias("n"), F.explode_outer(F.concat(entire, by_line, by_paragraph)).alias("u")).select("doc_id", "row", "n", "u.*")
+    space = Workspace(docs.sparkSession)
+    hits = units.withColumn("part", F.col("scope") == "passage").join(lookup, ["part", "digest"])
+    hits = space.stage(hits.where(~F.col("part") | ((F.col("k") < F.col("n")) & ((F.col("k") > 1) | F.col("several")))).drop("digest"), "hits")
+    units = hits.where("not part").groupBy("doc_id", "scope", "license_id").agg(F.count("*").alias("matches"))
+    at = hits.where("part").groupBy("doc_id", "row", "license_id", "variant", "k", (F.col("pos") - F.col("kpos")).alias("start")).agg(F.countDistinct("kpos").alias("found"), F.count("*").alias("times"))
+    # rows that are alike in id and text stand together: each paragraph comes as often as there are such rows
+    full = at.where("found = k").withColumns({"end": F.col("start") + F.col("k"), "times": (F.col("times") / F.col("k")).cast("long")})
+    longest = full.groupBy("doc_id", "row", "license_id", "start").agg(F.max("end").alias("end"), F.max("times").alias("times"))
+    runs = longest.groupBy("doc_id", "row", "license_id", "end").agg(F.max("times").alias("times"))
+    passages = runs.groupBy("doc_id", F.lit("passage").alias("scope"), "license_id").agg(F.sum("times").alias("matches"))
+    return units.union(passages)

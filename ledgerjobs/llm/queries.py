@@ -88,19 +88,35 @@ def _canonical_sql(column: str) -> str:
     return out
 
 
+def _whole_sql(column: str) -> str:
+    out = rf"trim(regexp_replace({column}, '[ \n]+', ' ', 'g'))"
+    for old, new in licenses.PHRASES:
+        out = f"replace({out}, '{old}', '{new}')"
+    return out
+
+
 def _licenses_sql() -> str:
+    """Without the long texts of ``licenses.WHOLE``; copyright notices are whole lines with a year."""
     quote = lambda s: "'" + s.replace("'", "''") + "'"
     known = ", ".join(f"({quote(i)}, {quote(t)})" for i, t in licenses.KNOWN)
-    whole = r"trim(regexp_replace(c, '[ \n]+', ' ', 'g'))"
+    cut = rf"""list_transform(list_filter(regexp_split_to_array(c, '\n *\n[ \n]*'), lambda p: trim(replace(p, chr(10), ' ')) <> ''), lambda p: {{'t': {_whole_sql('p')}, 'several': contains(trim(p), chr(10))}})"""
     return rf"""
-        WITH known AS (SELECT DISTINCT l AS license_id, {whole} AS t FROM (SELECT l, {_canonical_sql('t')} AS c FROM (VALUES {known}) k(l, t))),
+        WITH texts AS (SELECT DISTINCT l AS license_id, {_whole_sql('c')} AS t, {cut} AS ps FROM (SELECT l, {_canonical_sql('t')} AS c FROM (VALUES {known}) k(l, t))),
+        known AS (SELECT DISTINCT license_id, t FROM texts),
+        known_parts AS (SELECT license_id, ps AS variant, len(ps) AS k, unnest(ps).t AS t, generate_subscripts(ps, 1) AS kpos FROM texts),
         canon AS (SELECT row_number() OVER () AS r, doc_id, {_canonical_sql('text')} AS c FROM documents),
         lines AS (SELECT r, doc_id, trim(unnest(string_split(c, chr(10)))) AS t FROM canon),
         full_lines AS (SELECT * FROM lines WHERE t <> ''),
         several AS (SELECT r FROM full_lines GROUP BY r HAVING count(*) > 1),
-        units AS (SELECT doc_id, 'text' AS scope, {whole} AS t FROM canon
-                  UNION ALL SELECT doc_id, 'line', t FROM full_lines WHERE r IN (SELECT r FROM several))
-        SELECT doc_id, scope, license_id, count(*) AS matches FROM units JOIN known USING (t) WHERE t <> '' GROUP BY ALL"""
+        units AS (SELECT doc_id, 'text' AS scope, {_whole_sql('c')} AS t FROM canon
+                  UNION ALL SELECT doc_id, 'line', t FROM full_lines WHERE r IN (SELECT r FROM several)),
+        cut AS (SELECT r, doc_id, {cut} AS ps FROM canon),
+        parts AS (SELECT r, doc_id, len(ps) AS n, unnest(ps) AS p, generate_subscripts(ps, 1) AS pos FROM cut),
+        runs AS (SELECT DISTINCT r, doc_id, license_id, max(stop) OVER (PARTITION BY r, doc_id, license_id, start) AS stop FROM (
+                 SELECT r, doc_id, license_id, variant, k, pos - kpos AS start, pos - kpos + k AS stop FROM parts JOIN known_parts ON parts.p.t = known_parts.t
+                 WHERE k < n AND (k > 1 OR p.several) GROUP BY ALL HAVING count(DISTINCT kpos) = k))
+        SELECT doc_id, scope, license_id, count(*) AS matches FROM units JOIN known USING (t) WHERE t <> '' GROUP BY ALL
+        UNION ALL SELECT doc_id, 'passage', license_id, count(*) FROM runs GROUP BY ALL"""
 
 
 _CHAT_SQL = """

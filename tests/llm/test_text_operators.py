@@ -367,20 +367,50 @@ def test_sharding_packs_every_group_by_its_size(spark, digits):
 
 def test_licenses(spark):
     known = licenses.known_table(spark)
-    body = licenses.KNOWN[0][1]
+    body = "MIT License\n\n" + licenses._MIT
     rows = [
         (1, body), (2, "Copyright (c) 2020 A. Person\n\n" + body.upper().replace("\n", "\r\n")), (3, "Some words.\nReleased under the MIT Licence.\nmore"),
         (4, "Released under the MIT License."), (5, None), (6, ""), (7, "nothing here"), (None, "a\nLicensed under CC BY-NC 4.0!"), (3, "Released under the MIT License.\n\n"),
     ]
     docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("license_id", F.lit("clash"))
     got = {tuple(r) for r in licenses.scan_licenses(docs, known).collect()}
-    assert got == {(1, "text", "MIT", 1), (2, "text", "MIT", 1), (3, "line", "MIT", 1), (4, "text", "MIT", 1), (None, "line", "CC-BY-NC-4.0", 1), (3, "text", "MIT", 1)} | {r for r in got if r[:2] == (1, "line")}
+    assert got == {(1, "text", "MIT", 1), (2, "text", "MIT", 1), (3, "line", "MIT", 1), (4, "text", "MIT", 1), (None, "line", "CC-BY-NC-4.0", 1), (3, "text", "MIT", 1), (1, "passage", "MIT", 1), (2, "passage", "MIT", 1)} | {r for r in got if r[:2] == (1, "line")}
     assert {tuple(r) for r in licenses.scan_licenses(docs, known, broadcast_rows=0).collect()} == got
     assert licenses.scan_licenses(docs.limit(0), known).count() == 0
 
 
+def test_licenses_in_passages_of_longer_texts(spark):
+    files = {p.stem: p.read_text("utf-8") for p in (licenses.Path(licenses.__file__).parent / "known").glob("*.txt")}
+    mit = licenses._MIT
+    pre, post = "Some words here.\nAnd more.", "That was all,\nsaid the text."
+    rows = [
+        (1, f"{pre}\n\n{mit}\n\n{post}"),
+        (2, f"{pre}\n\nMIT License\n\nCopyright (c) 2020 A. Person\n\n{mit}\n\n{post}\n\n{mit}"),
+        (3, f"{files['GPL-3.0']}\n\n{post}\n \n{licenses._APACHE}"),
+        (4, f"{pre}\n\n{mit[:400]}\n\n{post}"),  # only its beginning
+        (5, "\n\n".join([pre, *reversed(mit.split("\n\n")), post])),  # its paragraphs in another order
+        (6, f"{pre}\n\n{mit}"), (6, f"{pre}\n\n{mit}"), (6, f"{mit}\n\n{post}"), (None, f"{mit}\n\n{post}"), (7, mit), (8, pre + "\n" + mit.replace("\n\n", "\n") + "\n" + post),
+    ]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumns({c: F.lit("clash") for c in ("scope", "digest", "row", "n", "part", "variant", "start", "k")})
+    got = Counter(tuple(r) for r in licenses.scan_licenses(docs, licenses.known_table(spark)).where("scope <> 'line'").collect())
+    assert got == Counter([(1, "passage", "MIT", 1), (2, "passage", "MIT", 2), (3, "passage", "GPL-3.0", 1), (3, "passage", "Apache-2.0", 1), (6, "passage", "MIT", 3), (None, "passage", "MIT", 1), (7, "text", "MIT", 1)])
+
+
+def test_licenses_compute_the_canonical_text_once(spark, tmp_path):
+    spark.createDataFrame([(1, "a"), (2, None)], "doc_id long, text string").write.parquet(f"{tmp_path}/d")
+    docs, ran = spark.read.parquet(f"{tmp_path}/d"), []
+    real = licenses.Workspace.stage
+    try:
+        licenses.Workspace.stage = lambda self, df, name: ran.append(df._jdf.queryExecution().optimizedPlan().toString()) or real(self, df, name)
+        licenses.scan_licenses(docs, licenses.known_table(spark, [("x", "y z")]))
+    finally:
+        licenses.Workspace.stage = real
+    of_docs = [line for line in ran[0].split("\n") if "RLIKE" in line and "doc_id" in line]
+    assert len(of_docs) == 1 and "Filter" not in of_docs[0]
+
+
 def test_licenses_whole_texts_and_notices(spark):
-    mit, bsd = licenses.KNOWN[1][1], [t for i, t in licenses.WHOLE if i == "BSD-3-Clause" and t.startswith("\n\nRedistribution") and "\n1." in t][0]
+    mit, bsd = licenses._MIT, [t for i, t in licenses.WHOLE if i == "BSD-3-Clause" and t.startswith("\n\nRedistribution") and "\n1." in t][0]
     files = {p.stem: p.read_text("utf-8") for p in (licenses.Path(licenses.__file__).parent / "known").glob("*.txt")}
     assert {"Apache-2.0", "BSD-2-Clause", "BSD-3-Clause", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "MPL-2.0"} <= files.keys()
     texts = [(i, files[i]) for i in sorted(files)]
