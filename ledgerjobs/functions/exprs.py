@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Account ids, names and memos that the two statement layouts use.
@@ -66,8 +66,28 @@ def blank_to_null(c: Column) -> Column:
 
 
 def raw_field(text: Column, name: str) -> Column:
-    """Text after the first ``<NAME>`` tag (any prefix, any case), up to a tag or line end; empty without one."""
-    return strip(F.regexp_extract(text, rf"(?iU)<(?:\w+:)?{name}>\s*([^<\r\n]*)", 1))
+    """What follows the first tag of that name (any prefix, any case), blanks skipped, up to the next tag or line end; empty without one."""
+    after = F.try_element_at(F.split(text, rf"(?i)<(?:[\w.-]+:)?{name}>", 2), F.lit(2))
+    value = F.regexp_replace(after, r"^\s+", "")
+    for end in ("<", "\n", "\r"):
+        value = F.substring_index(value, end, 1)
+    return F.coalesce(strip(value), F.lit(""))
+
+
+def tag_fields(block: Column) -> Column:
+    """array<struct<name, value>> of all tags of a block in order: the block is cut at each ``<``; names in upper case without prefix, values to the line's end."""
+
+    def one(piece: Column) -> Column:
+        tag = F.substring_index(piece, ">", 1)
+        value = F.regexp_replace(F.substr(piece, F.length(tag) + 2), r"^\s+", "")
+        return F.struct(F.upper(F.substring_index(tag, ":", -1)).alias("name"), strip(F.substring_index(F.substring_index(value, "\n", 1), "\r", 1)).alias("value"))
+
+    return F.transform(F.split(block, "<"), one)
+
+
+def field_of(fields: Column, name: str) -> Column:
+    """Value of the first tag of that name; empty without one."""
+    return F.coalesce(F.get(F.filter(fields, lambda f: f["name"] == name), F.lit(0))["value"], F.lit(""))
 
 
 def statement_date(value: Column) -> Column:
@@ -77,8 +97,11 @@ def statement_date(value: Column) -> Column:
 
 def money_to_cents(value: Column) -> Column:
     """Decimal text, dot or comma, as whole cents; null if it is no number or has parts of a cent."""
-    number = F.replace(strip(value), F.lit(","), F.lit(".")).try_cast("decimal(30,10)") * F.lit(100).cast("decimal(3,0)")
-    return F.when(number == F.round(number, 0), F.round(number, 0).cast("long"))
+    text = F.replace(strip(value), F.lit(","), F.lit("."))
+    number = text.try_cast("decimal(30,10)") * F.lit(100).cast("decimal(3,0)")
+    # digits beyond the tenth place would be rounded away before they are looked at
+    tiny = text.rlike(r"\.[0-9]{10}0*[1-9]")
+    return F.when((number == F.round(number, 0)) & ~tiny, F.round(number, 0).cast("long"))
 
 
 def fingerprint(bank_id: Column, account: Column) -> Column:
@@ -87,7 +110,7 @@ def fingerprint(bank_id: Column, account: Column) -> Column:
 
 def description(name: Column, memo: Column) -> Column:
     """name | memo, without blanks; a memo that repeats the name in any case is left out."""
-    return F.when((F.lower(name) == F.lower(memo)) & (name != ""), name).otherwise(F.concat_ws(" | ", blank_to_null(name), blank_to_null(memo)))
+    return F.when((F.lower(F.upper(name)) == F.lower(F.upper(memo))) & (name != ""), name).otherwise(F.concat_ws(" | ", blank_to_null(name), blank_to_null(memo)))
 
 
 def transaction_id(owner: Column, bank_tx: Column, date: Column, cents: Column, text: Column, occurrence: Column) -> Column:
@@ -122,8 +145,8 @@ def half_up(value: Column) -> Column:
 
 
 def channel(layout: Column, name: Column, memo: Column) -> Column:
-    """The payment channel: by exact name in layout bb, by memo in the others."""
-    name, memo = strip(F.coalesce(name, F.lit(""))), F.upper(strip(F.coalesce(memo, F.lit(""))))
+    """The payment channel: by exact name in layout bb, by memo in the others; both without outer blanks and not null."""
+    memo = F.upper(memo)
     bb = F.lit("bb_other")
     for text, value in reversed(BB_CHANNELS):
         bb = F.when(name == text, value).otherwise(bb)
@@ -135,27 +158,62 @@ def channel(layout: Column, name: Column, memo: Column) -> Column:
     return F.when(layout == "bb", bb).otherwise(other)
 
 
-def counterparty(layout: Column, name: Column, memo: Column) -> Column:
-    """struct(display, id_hash): who the money went to or came from; id_hash only for received transfers that begin with a number."""
-    name, memo = strip(F.coalesce(name, F.lit(""))), strip(F.coalesce(memo, F.lit("")))
-    body = strip(F.regexp_replace(memo, r"(?U)^\d{2}/\d{2}\s+\d{2}:\d{2}\s+", ""))
+def shape(c: Column) -> Column:
+    """Digits all become 9."""
+    return F.translate(c, "0123456789", "9" * 10)
+
+
+def word(words: Column, n: int) -> Column:
+    """The n-th of the words, counted from the end if negative; empty without one."""
+    return F.coalesce(F.try_element_at(words, F.lit(n)), F.lit(""))
+
+
+def without_first(c: Column, n: int) -> Column:
+    """The text after its first ``n`` words; as it is if nothing follows them."""
+    return F.regexp_replace(c, r"^" + r"\S+\s+" * n + r"(?=\S)", "")
+
+
+def begins_with_time(words: Column) -> Column:
+    """Layout bb: a day and month, then hours and minutes."""
+    return (shape(word(words, 1)) == "99/99") & (shape(word(words, 2)) == "99:99")
+
+
+def ends_with_day(words: Column) -> Column:
+    """Layout itau: the last two words are one that ends in a letter and a day, and a month."""
+    return (shape(word(words, -1)) == "99") & (F.size(words) > 1) & word(words, -2).rlike("[A-Za-z][0-9][0-9]$")
+
+
+def memo_columns(rows: DataFrame, memo: str = "memo_raw") -> DataFrame:
+    """Adds memo_text, without outer blanks and never null, and memo_words: what texts of memos are read from."""
+    return rows.withColumn("memo_text", strip(F.coalesce(memo, F.lit("")))).withColumn("memo_words", F.split("memo_text", r"\s+"))
+
+
+def counterparty(layout: Column, name: Column, memo: Column, words: Column) -> Column:
+    """struct(display, id_hash): who the money went to or came from; id_hash only for received transfers that begin with a number.
+
+    ``memo`` and ``words`` are those of ``memo_columns``.
+    """
+    timed = begins_with_time(words)
+    body = F.when(timed, without_first(memo, 2)).otherwise(memo)
     candidate = F.coalesce(blank_to_null(body), name)
-    numbered = r"(?U)^(\d{11,14})\s+(.+)$"
-    is_numbered = (name == "Pix - Recebido") & candidate.rlike(numbered)
-    number = F.regexp_extract(candidate, numbered, 1)
-    bare = F.coalesce(blank_to_null(F.regexp_replace(number, "^0+", "")), F.lit("0"))
+    number = F.when(timed, word(words, 3)).otherwise(word(words, 1))
+    only_digits = (F.translate(number, "0123456789", "") == "") & F.length(number).between(11, 14)
+    is_numbered = (name == "Pix - Recebido") & only_digits & (F.size(words) > F.when(timed, 3).otherwise(1))
+    bare = F.coalesce(blank_to_null(F.ltrim(number, F.lit("0"))), F.lit("0"))
     id_hash = F.when((layout == "bb") & is_numbered, F.substring(F.sha2(bare, 256), 1, 12)).otherwise("")
-    named = F.when(is_numbered, F.regexp_extract(candidate, numbered, 2)).otherwise(candidate)
+    named = F.when(is_numbered, without_first(candidate, 1)).otherwise(candidate)
     bb = (
         F.when(name == SWEEP_NAME, SWEEP_NAME)
         .when(name.isin(*MEMO_AS_PARTY), F.coalesce(blank_to_null(memo), name))
         .otherwise(F.coalesce(blank_to_null(named), blank_to_null(name), F.lit(NO_COUNTERPARTY)))
     )
-    value = strip(F.regexp_replace(memo, r"(?<=[A-Za-z])\d{2}\s+\d{2}$", ""))
-    big = F.upper(value)
-    other = F.when(big.startswith("TED "), strip(F.regexp_replace(value, r"(?i)^TED\s+\d+\s+\d+\s+", ""))).otherwise(F.coalesce(blank_to_null(value), F.lit(NO_COUNTERPARTY)))
+    # layout itau: a day at the end goes, then what the bank puts before the party
+    value = F.when(ends_with_day(words), strip(F.regexp_replace(memo, r"[0-9]{2}\s+[0-9]{2}$", ""))).otherwise(memo)
+    banks = F.translate(F.concat(word(words, 2), word(words, 3)), "0123456789", "") == ""
+    heads = F.when(F.upper(memo).startswith("TED "), F.when(banks, without_first(value, 3)).otherwise(value))
     for prefix in PARTY_PREFIXES:
-        other = F.when(big.startswith(prefix), strip(F.substr(value, F.lit(len(prefix) + 1)))).otherwise(other)
+        heads = heads.when(F.upper(memo).startswith(prefix), strip(F.substr(value, F.lit(len(prefix) + 1))))
+    other = heads.otherwise(F.coalesce(blank_to_null(value), F.lit(NO_COUNTERPARTY)))
     return F.struct(F.when(layout == "bb", bb).otherwise(other).alias("display"), id_hash.alias("id_hash"))
 
 
@@ -163,21 +221,20 @@ def group_id(chan: Column, key: Column) -> Column:
     return F.substring(F.sha2(F.concat(chan, F.lit("\0"), key), 256), 1, 20)
 
 
-def operation_date(layout: Column, posting: Column, memo: Column, most_days: int = 4) -> Column:
+def operation_date(layout: Column, posting: Column, words: Column, most_days: int = 4) -> Column:
     """struct(value, source, lag): the day a memo names, if at most ``most_days`` before posting, else the posting day.
 
     Only the posting year and the one before can hold such a day; days that do not exist are null.
     """
-    memo = strip(F.coalesce(memo, F.lit("")))
-    prefix, suffix = r"(?U)^(\d{2})/(\d{2})\s+\d{2}:\d{2}(?:\s+|$)", r"(?<=[A-Za-z])(\d{2})\s+(\d{2})$"
-    pick = lambda k: F.when(layout == "bb", F.regexp_extract(memo, prefix, k)).when(layout == "itau", F.regexp_extract(memo, suffix, k))
-    day, month = pick(1), pick(2)
+    of_bb, of_itau = (layout == "bb") & begins_with_time(words), (layout == "itau") & ends_with_day(words)
+    day = F.when(of_bb, F.left(word(words, 1), F.lit(2))).when(of_itau, F.right(word(words, -2), F.lit(2)))
+    month = F.when(of_bb, F.right(word(words, 1), F.lit(2))).when(of_itau, word(words, -1))
 
     def on(year: Column) -> Column:
         date = F.try_to_date(F.concat_ws("-", year.cast("string"), month, day), "yyyy-MM-dd")
         return F.when(F.date_diff(date, posting).between(-most_days, 0), date)
 
-    found = F.when(day != "", F.coalesce(on(F.year(posting)), on(F.year(posting) - 1)))
+    found = F.when(day.isNotNull(), F.coalesce(on(F.year(posting)), on(F.year(posting) - 1)))
     source = F.when(found.isNull(), "posting_date").when(layout == "bb", "bb_memo_prefix").otherwise("itau_memo_suffix")
     value = F.coalesce(found, posting)
     return F.struct(value.alias("value"), source.alias("source"), F.date_diff(value, posting).alias("lag"))

@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 from ledgerjobs.functions import exprs as X
 from ledgerjobs.functions.helpers import normalize
 
+from .ranks import running
+
+# The dimensions of a classification, statuses of inquiries and what rules may match.
 DIMENSIONS = ("nature", "category", "subcategory", "recurrence", "flexibility", "cost_treatment", "peak_eligible")
 STATUSES = ("needs_investigation", "deprioritized", "resolved")
 MATCH_TYPES = ("group_id", "channel", "counterparty_key")
@@ -18,8 +21,9 @@ MATCH_TYPES = ("group_id", "channel", "counterparty_key")
 def identify(rows: DataFrame) -> DataFrame:
     """Adds channel, counterparty_key, counterparty_display and group_id; texts are normalised once per distinct display."""
     layout = F.col("layout") if "layout" in rows.columns else X.layout_of(F.col("account_id"))
-    party = X.counterparty(layout, F.col("name_raw"), F.col("memo_raw"))
-    known = rows.withColumn("channel", X.channel(layout, F.col("name_raw"), F.col("memo_raw"))).withColumn("party", party)
+    read = X.memo_columns(rows).withColumn("name_text", X.strip(F.coalesce("name_raw", F.lit(""))))
+    party = X.counterparty(layout, F.col("name_text"), F.col("memo_text"), F.col("memo_words"))
+    known = read.withColumn("channel", X.channel(layout, F.col("name_text"), F.col("memo_text"))).withColumn("party", party).drop("name_text", "memo_text", "memo_words")
     displays = known.select(F.col("party.display").alias("d")).distinct().withColumn("normal", normalize("d"))
     keyed = known.join(displays, F.col("party.display") == F.col("d"), "left")
     key = F.when(F.col("party.id_hash") != "", F.concat(F.lit("ID "), "party.id_hash")).otherwise(F.col("normal"))
@@ -32,11 +36,22 @@ def identify(rows: DataFrame) -> DataFrame:
 
 
 def load_rules(base: DataFrame, private: DataFrame | None = None) -> DataFrame:
-    """Base rules before private ones; ``load_order`` breaks ties of priority."""
-    out = base.withColumn("layer", F.lit(0))
-    if private is not None:
-        out = out.unionByName(private.withColumn("layer", F.lit(1)), allowMissingColumns=True)
-    return out
+    """Base rules before private ones; ``load_order`` (layer, then place in its table) breaks ties of priority.
+
+    The place is the ``load_order`` that a table brings, else that of the row as it is read.
+    """
+    layers = [base] if private is None else [base, private]
+    line = lambda df: F.col("load_order").cast("long") if "load_order" in df.columns else F.monotonically_increasing_id()
+    placed = [df.withColumn("load_order", F.struct(F.lit(i).alias("layer"), line(df).alias("line"))) for i, df in enumerate(layers)]
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), placed)
+
+
+def last_overrides(overrides: DataFrame) -> DataFrame:
+    """One row per transaction: of repeated overrides the last, by ``load_order`` if there is one, else as they are read."""
+    line = F.col("load_order").cast("long") if "load_order" in overrides.columns else F.monotonically_increasing_id()
+    row = F.struct(*[F.nullif(F.col(f), F.lit("")).alias(f"o_{f}") for f in DIMENSIONS])
+    placed = overrides.where(F.col("transaction_id").isNotNull()).select(F.col("transaction_id").alias("o_id"), row.alias("o"), line.alias("line"))
+    return placed.groupBy("o_id").agg(F.max_by("o", "line").alias("o")).select("o_id", "o.*")
 
 
 def rules_by_group(rows: DataFrame, rules: DataFrame) -> DataFrame:
@@ -82,8 +97,7 @@ def classify(rows: DataFrame, rules: DataFrame, overrides: DataFrame | None = No
         out = held.withColumns({f: F.col(f"by_{f}") for f in DIMENSIONS})
         given = F.array().cast("array<string>")
     else:
-        o = overrides.select(F.col("transaction_id").alias("o_id"), *[F.nullif(F.col(f), F.lit("")).alias(f"o_{f}") for f in DIMENSIONS])
-        held = held.join(o, F.col("transaction_id") == F.col("o_id"), "left")
+        held = held.join(last_overrides(overrides), F.col("transaction_id") == F.col("o_id"), "left")
         out = held.withColumns({f: F.coalesce(f"o_{f}", f"by_{f}") for f in DIMENSIONS})
         given = F.when(F.col("o_id").isNotNull(), F.array(F.concat(F.lit("override:"), "transaction_id"))).otherwise(F.array().cast("array<string>"))
     out = out.withColumn("classification_provenance", F.array_join(F.concat("rule_ids", given), ";"))
@@ -157,8 +171,9 @@ def group_statistics(rows: DataFrame, expanded: DataFrame) -> DataFrame:
 
 def review_queue(groups: DataFrame) -> DataFrame:
     """Groups with missing dimensions, ranked by materiality: largest single amount, then total, then key."""
-    order = Window.partitionBy("portfolio_id").orderBy(F.desc("maximum_abs_cents"), F.desc("total_abs_cents"), "counterparty_key", "group_id")
-    return groups.where("missing_fields <> ''").withColumn("rank", F.row_number().over(order))
+    order = [F.desc("maximum_abs_cents"), F.desc("total_abs_cents"), F.col("counterparty_key"), F.col("group_id")]
+    placed = running(groups.where("missing_fields <> ''"), ["portfolio_id"], "maximum_abs_cents", F.lit(1), order, falling=True)
+    return placed.withColumn("rank", (F.col("before") + 1).cast("int")).drop("before")
 
 
 def _twice(df: DataFrame, column: str, kind: str) -> DataFrame:

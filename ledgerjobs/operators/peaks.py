@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ledgerjobs.functions import exprs as X
 
 from .metrics import ALL
+from .ranks import twice_median
 
 # Factor and threshold of the modified z-score, and the recurrences that count.
 FACTOR, THRESHOLD = 6745, 35000
@@ -47,33 +48,40 @@ def episodes(rows: DataFrame, events: DataFrame) -> DataFrame:
     return single.unionByName(linked)
 
 
-def peak_candidates(rows: DataFrame, events: DataFrame) -> DataFrame:
+def peak_candidates(rows: DataFrame, events: DataFrame, keep=None) -> DataFrame:
     """Episodes with median, median absolute deviation and score of their portfolio; peaks lie above 3.5.
 
     Twice the median and four times the deviation are whole numbers, so the test is exact.
+    Episodes are read five times; ``keep`` (table, name) may write them down first.
     """
-    found = episodes(rows, events)
-    centre = found.groupBy("portfolio_id").agg(F.percentile("amount_cents", 0.5).alias("med"))
-    centred = found.join(centre, "portfolio_id").withColumn("off2", (2 * F.col("amount_cents") - (2 * F.col("med")).cast("long")))
-    spread = centred.groupBy("portfolio_id").agg((2 * F.percentile(F.abs("off2"), 0.5)).cast("long").alias("mad4"))
-    both = centred.join(spread, "portfolio_id")
+    found, key = episodes(rows, events), ["portfolio_id"]
+    found = keep(found, "episodes") if keep else found
+    centred = found.join(twice_median(found, key, "amount_cents", "med2"), key).withColumn("off2", 2 * F.col("amount_cents") - F.col("med2"))
+    both = centred.join(twice_median(centred.select(*key, F.abs("off2").alias("off")), key, "off", "mad4"), key)
     # 0.6745 * (off2 / 2) / (mad4 / 4)
     score = (F.col("off2").cast("decimal(20,0)") * F.lit(2 * FACTOR).cast("decimal(6,0)")).cast("decimal(26,0)") / (F.col("mad4").cast("decimal(20,0)") * F.lit(10000).cast("decimal(5,0)"))
     z = F.when(F.col("mad4") > 0, F.bround(score, 4)).when(F.col("off2") == 0, F.lit(0)).cast("decimal(18,4)")
     peak = (F.col("mad4") > 0) & (F.col("off2").cast("decimal(20,0)") * (2 * FACTOR) > F.col("mad4").cast("decimal(20,0)") * THRESHOLD)
     cents = lambda c, k: X.half_up(F.col(c).cast("decimal(20,2)") / k)
     return both.select(
-        *found.columns, X.half_up(F.col("med")).alias("population_median_cents"), cents("mad4", 4).alias("population_mad_cents"), z.alias("modified_z_score"), F.lit("3.5").cast("decimal(3,1)").alias("threshold"), peak.alias("is_peak")
+        *found.columns, cents("med2", 2).alias("population_median_cents"), cents("mad4", 4).alias("population_mad_cents"), z.alias("modified_z_score"), F.lit("3.5").cast("decimal(3,1)").alias("threshold"), peak.alias("is_peak")
     )
 
 
+def _median(high: DataFrame, key: list[str]) -> DataFrame:
+    twice = twice_median(high, key, "amount_cents", "twice")
+    return twice.select(*key, X.half_up(F.col("twice").cast("decimal(20,2)") / 2).alias("median_peak_cents"))
+
+
 def peaks_monthly(candidates: DataFrame, monthly: DataFrame) -> DataFrame:
     """Every month with the peaks that begin in it."""
     a = F.col("amount_cents")
-    found = candidates.where("is_peak").groupBy("portfolio_id", X.month_key(F.col("start_date")).alias("month")).agg(
+    key, high = ["portfolio_id", "month"], candidates.where("is_peak").withColumn("month", X.month_key(F.col("start_date")))
+    found = high.groupBy(*key).agg(
         F.count("*").alias("peak_count"), F.sum(a).alias("peak_total_cents"), X.half_up(F.sum(a).cast("decimal(30,10)") / F.count("*")).alias("average_peak_cents"),
-        X.half_up(F.percentile(a, 0.5)).alias("median_peak_cents"), F.max(a).alias("largest_peak_cents"),
+        F.max(a).alias("largest_peak_cents"),
     )
+    found = found.join(_median(high, key), key)
     full = monthly.join(found, ["portfolio_id", "month"], "left").fillna(0, [c for c in found.columns if c not in ("portfolio_id", "month")])
     return full.select(
         "portfolio_id", "month", "is_complete_month", "account_coverage", "peak_count", "peak_total_cents", "average_peak_cents", "median_peak_cents", "largest_peak_cents",
@@ -92,10 +100,10 @@ def peaks_summary(candidates: DataFrame, monthly: DataFrame) -> DataFrame:
         F.count("*").alias("candidate_count"), F.count_if(p).alias("peak_count"), F.count_if(p & (F.col("classification_status") == "known")).alias("known_peak_count"),
         F.count_if(p & (F.col("classification_status") == "unknown")).alias("unknown_peak_count"), F.count_if(p & F.col("covered")).alias("full_coverage_peak_count"),
         F.coalesce(F.sum(a), F.lit(0)).alias("peak_total_cents"), X.half_up(F.sum(a).cast("decimal(30,10)") / F.count(a)).alias("average_peak_cents"),
-        X.half_up(F.percentile(a, 0.5)).alias("median_peak_cents"), F.max(a).alias("largest_peak_cents"), F.min(a).alias("smallest_peak_cents"),
+        F.max(a).alias("largest_peak_cents"), F.min(a).alias("smallest_peak_cents"),
     )
     counts = [c for c in facts.columns if c.endswith("_count")] + ["peak_total_cents"]
-    out = months.join(facts, "portfolio_id", "left").fillna(0, counts)
+    out = months.join(facts, "portfolio_id", "left").join(_median(candidates.where("is_peak"), ["portfolio_id"]), "portfolio_id", "left").fillna(0, counts)
     return out.select(
         "portfolio_id", F.lit("upper_modified_z_score_on_non_recurring_amounts").alias("method"), F.lit("3.5").cast("decimal(3,1)").alias("threshold"),
         "candidate_count", "peak_count", "known_peak_count", "unknown_peak_count", "complete_month_count", X.ratio(F.col("peak_count"), F.col("complete_month_count")).alias("peaks_per_complete_month"),

@@ -5,10 +5,11 @@ from __future__ import annotations
 from functools import reduce
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerjobs.functions import exprs as X
+from ledgerjobs.sources.tables import small
 
 # The channels of the reserve.
 CONTRIBUTION, WITHDRAWAL = "cofrinho_application", "cofrinho_redemption"
@@ -50,7 +51,7 @@ def reserve_daily(events: DataFrame, rates: DataFrame, assumptions: DataFrame) -
         F.sum(F.when(F.col("event_type") == "deporte", F.col("amount_cents")).otherwise(0)).alias("deporte_cents"),
     )
     effective = (F.col("daily_rate_percent").cast("decimal(18,6)") * F.col("yield_percentage").cast("decimal(9,4)") / F.lit(100)).cast("decimal(20,12)")
-    days = _spine(events, assumptions).join(F.broadcast(rates.select("date", "daily_rate_percent")), "date", "left").join(cash, ["portfolio_id", "date"], "left")
+    days = _spine(events, assumptions).join(small(rates.select("date", "daily_rate_percent")), "date", "left").join(cash, ["portfolio_id", "date"], "left")
     days = days.select(
         "portfolio_id", "date", "anchor_date", "anchor_balance_cents", F.coalesce(effective, F.lit(0)).cast("decimal(20,12)").alias("rate"),
         F.coalesce("contribution_cents", F.lit(0)).alias("contribution_cents"), F.coalesce("deporte_cents", F.lit(0)).alias("deporte_cents"),
@@ -91,8 +92,8 @@ def reserve_daily(events: DataFrame, rates: DataFrame, assumptions: DataFrame) -
 
 
 def reserve_monthly(daily: DataFrame) -> DataFrame:
+    """The days by month; a month is complete if the reserve's last day is not before its end. ``daily`` is read once."""
     month = X.month_key(F.col("date"))
-    end = daily.groupBy("portfolio_id").agg(F.max("date").alias("model_end"))
     rows = daily.groupBy("portfolio_id", month.alias("month")).agg(
         F.min_by("opening_balance_cents", "date").alias("opening_balance_cents"),
         F.sum("contribution_cents").alias("contribution_cents"),
@@ -101,8 +102,10 @@ def reserve_monthly(daily: DataFrame) -> DataFrame:
         F.sum("estimated_interest_cents").alias("estimated_interest_cents"),
         F.max_by("closing_balance_cents", "date").alias("closing_balance_cents"),
         F.max("is_anchor_date").alias("is_anchor_month"),
+        F.max("date").alias("last"),
     )
-    return rows.join(end, "portfolio_id").withColumn("is_complete_month", X.month_end(F.col("month")) <= F.col("model_end")).drop("model_end")
+    model_end = F.max("last").over(Window.partitionBy("portfolio_id"))
+    return rows.withColumn("is_complete_month", X.month_end(F.col("month")) <= model_end).drop("last")
 
 
 def reserve_quality(daily: DataFrame, events: DataFrame, rates: DataFrame, assumptions: DataFrame) -> DataFrame:

@@ -128,7 +128,9 @@ SELECT portfolio_id, strftime(date, '%Y-%m') AS month, arg_min(opening_balance_c
 FROM reserve_daily JOIN (SELECT portfolio_id, max(date) AS model_end FROM reserve_daily GROUP BY ALL) USING (portfolio_id) GROUP BY portfolio_id, strftime(date, '%Y-%m')"""
 
 
-def _monthly() -> str:
+def _monthly(source: str = "dated", alone: bool = False) -> str:
+    """``alone``: without balances and reserve."""
+    none = " AND false" if alone else ""
     a = "amount_cents"
     c = lambda cond, v: f"CAST(sum(CASE WHEN {cond} THEN {v} ELSE 0 END) AS BIGINT)"
     spent = f"nature IN {EXPENSE} AND {a} < 0"
@@ -157,10 +159,10 @@ def _monthly() -> str:
                  current_accounts_balance_cents, reserve_balance_cents
           FROM (SELECT portfolio_id, last, all_from, CAST(m AS DATE) AS m, strftime(m, '%Y-%m') AS month
                 FROM (SELECT portfolio_id, max(l) AS last, max(f) AS all_from, unnest(generate_series(date_trunc('month', min(f)), date_trunc('month', max(l)), INTERVAL 1 MONTH)) AS m
-                      FROM (SELECT portfolio_id, account_id, min(operation_date) AS f, max(operation_date) AS l FROM dated GROUP BY ALL) GROUP BY portfolio_id)) spine
-          LEFT JOIN (SELECT portfolio_id, strftime(operation_date, '%Y-%m') AS month, {sums} FROM dated GROUP BY ALL) facts USING (portfolio_id, month)
-          LEFT JOIN (SELECT portfolio_id, strftime(date, '%Y-%m') AS month, arg_max(analysis_balance_cents, date) AS current_accounts_balance_cents FROM balances WHERE account_id = '{TOTAL}' GROUP BY ALL) b USING (portfolio_id, month)
-          LEFT JOIN (SELECT portfolio_id, month, closing_balance_cents AS reserve_balance_cents FROM reserve_monthly) r USING (portfolio_id, month)) q"""
+                      FROM (SELECT portfolio_id, account_id, min(operation_date) AS f, max(operation_date) AS l FROM {source} GROUP BY ALL) GROUP BY portfolio_id)) spine
+          LEFT JOIN (SELECT portfolio_id, strftime(operation_date, '%Y-%m') AS month, {sums} FROM {source} GROUP BY ALL) facts USING (portfolio_id, month)
+          LEFT JOIN (SELECT portfolio_id, strftime(date, '%Y-%m') AS month, arg_max(analysis_balance_cents, date) AS current_accounts_balance_cents FROM balances WHERE account_id = '{TOTAL}'{none} GROUP BY ALL) b USING (portfolio_id, month)
+          LEFT JOIN (SELECT portfolio_id, month, closing_balance_cents AS reserve_balance_cents FROM reserve_monthly WHERE true{none}) r USING (portfolio_id, month)) q"""
 
 
 CATEGORIES = f"""
@@ -223,7 +225,7 @@ LEFT JOIN (SELECT p.portfolio_id, count(*) AS n, count(*) FILTER (classification
 IDENTIFIED = r"""
 SELECT * EXCLUDE (party), regexp_replace(upper(trim(regexp_replace(strip_accents(party), '[^A-Za-z0-9]+', ' ', 'g'))), ' +', ' ', 'g') AS counterparty_key, party AS counterparty_display,
        substr(sha256(channel || chr(0) || trim(regexp_replace(upper(strip_accents(party)), '[^A-Z0-9]+', ' ', 'g'))), 1, 20) AS group_id
-FROM (SELECT portfolio_id, account_id, transaction_id, transaction_date, amount_cents, description_raw,
+FROM (SELECT portfolio_id, account_id, transaction_id, transaction_date, amount_cents, description_raw, layout, memo_raw,
        CASE WHEN layout = 'bb' THEN CASE name_raw WHEN 'Pix - Recebido' THEN 'pix_received' WHEN 'Compra com Cartão' THEN 'debit_card_purchase' WHEN 'Pagamento de Boleto' THEN 'bill_payment' WHEN 'Cobrança de I.O.F.' THEN 'bank_iof'
                  WHEN 'BB Rende Fácil' THEN 'bb_rende_facil' WHEN 'Pix - Enviado' THEN 'pix_sent' ELSE 'bb_other' END
             WHEN memo_raw = 'APLICACAO COFRINHOS' THEN 'cofrinho_application' WHEN memo_raw = 'RESGATE CDB COFRINHOS' THEN 'cofrinho_redemption' WHEN memo_raw LIKE 'PIX QRS %' THEN 'pix_qr_sent'
@@ -293,6 +295,7 @@ CHAIN = {
     "classified": CLASSIFIED,
     "expanded": EXPANDED,
     "groups": GROUPS,
+    "derived": DATED.replace("FROM ledger)", "FROM expanded)"),
     "flows": _flow_rows("dated"),
     "web": "SELECT 'web' AS portfolio_id, CAST(user_id AS VARCHAR) AS account_id, 'events' AS institution, CAST(ts AS DATE) AS operation_date, CAST(round(value * 100) AS BIGINT) * CASE event_type WHEN 'purchase' THEN 1 ELSE -1 END AS amount_cents, CASE event_type WHEN 'purchase' THEN 'income' ELSE 'expense' END AS nature FROM events",
 }
@@ -308,7 +311,97 @@ ORDER = [k for k in CHAIN if k not in ("back", "forth", "fold")]
 ORDER[ORDER.index("reserve_days") + 1 : ORDER.index("reserve_days") + 1] = ["back", "forth", "fold"]
 PREFIX = "WITH RECURSIVE " + ",\n".join(f"{k} AS ({CHAIN[k]})" for k in ORDER)
 
+_ACCOUNTS = "SELECT DISTINCT portfolio_id, account_id, institution FROM ledger"
+INVENTORY = f"""
+SELECT portfolio_id, source_file, institution, account_id, 'ofx' AS format, true AS supported, duplicate_of, 'parsed' AS status, sha256('bank-' || account_id || chr(0) || account_id) AS account_fingerprint,
+       a AS coverage_start, b AS coverage_end, balance_date, balance_cents, n + 1 AS ofx_rows, CAST(1 AS BIGINT) AS ignored_balance_markers, n AS transaction_rows
+FROM (WITH periods AS (SELECT portfolio_id, account_id, institution, period, count(*) AS n, count(DISTINCT strftime(d, '%Y-%m')) AS months, min(d) AS a, max(d) AS b
+                       FROM (SELECT portfolio_id, account_id, institution, transaction_date AS d, unnest(['m' || strftime(transaction_date, '%Y-%m'), 'q' || CAST(year(transaction_date) AS VARCHAR) || '-' || CAST(quarter(transaction_date) AS VARCHAR)]) AS period FROM ledger) GROUP BY ALL),
+           full_periods AS (SELECT p.*, s.balance_date, s.balance_cents FROM periods p LEFT JOIN snapshots s ON p.period LIKE 'q%' AND s.account_id = p.account_id AND s.balance_date = p.b)
+      SELECT *, account_id || '/' || period || '.ofx' AS source_file, CASE WHEN period LIKE 'q%' AND months = 1 AND balance_date IS NULL THEN account_id || '/m' || strftime(a, '%Y-%m') || '.ofx' END AS duplicate_of FROM full_periods
+      UNION ALL SELECT *, account_id || '/z/' || period || '.ofx', account_id || '/' || period || '.ofx' FROM full_periods WHERE period LIKE 'm%-01') f"""
+
+_FAULTS = (
+    ("unknown_account", "'none-' || account_id || '/a.ofx'"), ("ambiguous_account", "'twice-' || account_id || '/a.ofx'"), ("undecodable", "account_id || '/broken/bytes.ofx'"), ("unexpected_bank", "account_id || '/broken/bank.ofx'"),
+    ("missing_account_id", "account_id || '/broken/bank.ofx'"), ("missing_account_id", "account_id || '/broken/number.ofx'"), ("no_transactions", "account_id || '/broken/empty.ofx'"), ("bad_balance", "account_id || '/broken/balance.ofx'"),
+    ("several_fingerprints", "account_id"), ("bad_date_or_amount", "account_id || '/broken/row.ofx#1'"), ("conflicting_balance", "account_id || '@1990-01-01'"),
+)
+SOURCE_CHECKS = " UNION ALL ".join(f"SELECT '{kind}' AS kind, {key} AS key FROM ({_ACCOUNTS})" for kind, key in _FAULTS)
+
+KNOWLEDGE = """
+SELECT * FROM (WITH parts AS (SELECT * FROM allocations WHERE NOT allocation_id LIKE '%7-2'), g AS (SELECT DISTINCT group_id, channel FROM identified)
+SELECT 'rule_without_id' AS kind, '' AS key UNION ALL SELECT 'duplicate_rule_id', 'r01' UNION ALL SELECT 'bad_match_type', 'r12' UNION ALL SELECT 'rule_group', 'no such group'
+UNION ALL SELECT 'duplicate_allocation_id', allocation_id FROM parts WHERE allocation_id LIKE '%11-1' UNION ALL SELECT 'allocation_without_amount', allocation_id FROM parts WHERE allocation_id LIKE '%11-1'
+UNION ALL SELECT 'allocation_sum', p.transaction_id FROM parts p JOIN ledger l USING (transaction_id) GROUP BY p.transaction_id, l.amount_cents HAVING sum(p.amount_cents) <> l.amount_cents
+UNION ALL SELECT 'duplicate_investigation_id', 'i-' || group_id FROM g WHERE channel = 'pix_received' UNION ALL SELECT 'investigation_group', 'no-' || group_id FROM g WHERE channel = 'pix_received'
+UNION ALL SELECT 'bad_status', 'i-' || group_id FROM g WHERE channel = 'pix_transfer'
+UNION ALL SELECT 'transaction_in_several_events', transaction_id FROM tx_events WHERE transaction_id LIKE '%9' UNION ALL SELECT 'event_transaction', 'none-' || transaction_id FROM tx_events WHERE transaction_id LIKE '%1'
+UNION ALL SELECT 'override_transaction', 'none-' || transaction_id FROM overrides WHERE transaction_id LIKE '%5' UNION ALL SELECT DISTINCT 'allocation_transaction', 'none-' || transaction_id FROM allocations WHERE transaction_id LIKE '%3') k"""
+
+RESERVE_CHECKS = """
+SELECT DISTINCT 'no_events' AS kind, portfolio_id AS key FROM reserve_events WHERE portfolio_id = 'p0' UNION ALL SELECT DISTINCT 'anchor_before_events', portfolio_id FROM reserve_events WHERE portfolio_id = 'p1'
+UNION ALL SELECT 'missing_rates', portfolio_id FROM reserve_days WHERE portfolio_id NOT IN ('p0', 'p1') AND isodow(date) < 6 AND (rate IS NULL OR year(date) = 1995) GROUP BY portfolio_id HAVING count(*) > 25
+UNION ALL SELECT 'reserve_sign', analytical_transaction_id FROM dated WHERE channel IN ('cofrinho_application', 'cofrinho_redemption') AND year(operation_date) = 1996"""
+
+RESERVE_QUALITY = """
+SELECT portfolio_id, unnest(['anchor_balance', 'daily_roll_forward', 'recorded_events', 'cdi_rates', 'unrecorded_post_anchor_contributions']) AS check_type,
+       unnest([CASE WHEN at_anchor = 1000000000 THEN 'balanced' ELSE 'mismatch' END, CASE WHEN broken = 0 THEN 'balanced' ELSE 'mismatch' END, 'ok', 'ok', 'excluded']) AS status,
+       unnest([at_anchor, broken, events, rates, 0]) AS observed_value, unnest([1000000000, 0, events, rates, 0]) AS expected_value,
+       unnest([CAST(anchor AS VARCHAR), CAST(days AS VARCHAR) || ' days', CAST(ins AS VARCHAR) || ' contributions; ' || CAST(outs AS VARCHAR) || ' withdrawals', 'SGS 12; ' || CAST(r0 AS VARCHAR) || ' to ' || CAST(r1 AS VARCHAR), 'later contributions outside the statements are not estimated']) AS details
+FROM (SELECT portfolio_id, max(closing_balance_cents) FILTER (is_anchor_date) AS at_anchor, max(date) FILTER (is_anchor_date) AS anchor, count(*) FILTER (opening_balance_cents + estimated_interest_cents + net_cashflow_cents <> closing_balance_cents) AS broken, count(*) AS days FROM reserve_daily GROUP BY portfolio_id) d
+JOIN (SELECT portfolio_id, count(*) AS events, count(*) FILTER (event_type = 'contribution') AS ins, count(*) FILTER (event_type = 'deporte') AS outs FROM reserve_events GROUP BY portfolio_id) e USING (portfolio_id),
+(SELECT count(*) AS rates, min(date) AS r0, max(date) AS r1 FROM rates) r"""
+
+
+def _share(n: str, d: str) -> str:
+    return f"CAST(coalesce({ratio(n, d)}, 0) AS DECIMAL(18, 4))"
+
+
+REPORT = f"""
+SELECT portfolio_id, s.analysis_start_month AS first_month, s.analysis_end_month AS last_month, s.last_complete_month, s.average_recurring_living_cost_cents AS average_living_cost_cents, s.median_recurring_living_cost_cents AS median_living_cost_cents,
+       s.standard_deviation_living_cost_cents, s.coefficient_of_variation AS living_cost_cv, s.last_complete_recurring_living_cost_cents AS latest_living_cost_cents, s.last_complete_reserve_balance_cents AS latest_reserve_cents,
+       s.last_complete_survival_index_months AS latest_survival_months, comparable_months, lo.cost AS minimum_living_cost_cents, lo.month AS minimum_living_cost_month, hi.cost AS maximum_living_cost_cents, hi.month AS maximum_living_cost_month,
+       median_survival_months, {_share('s.last_complete_reserve_balance_cents', 'hi.cost')} AS conservative_survival_months, total_income_cents, total_gross_expense_cents, total_net_expense_cents, total_savings_cents, positive_savings_months,
+       w.month AS worst_savings_month, w.savings_cents AS worst_savings_cents, w.gross_external_expense_cents AS worst_month_gross_expense_cents, w.atypical_expense_cents AS worst_month_atypical_expense_cents,
+       total_savings_cents - w.savings_cents AS savings_without_worst_month_cents, reserve_opening_cents, reserve_closing_cents, reserve_interest_cents, m.reserve_contribution_cents, deportes_cents, m.net_reserve_contribution_cents,
+       unknown_transactions, transaction_count, unknown_outflows, outflow_count, comparable_unknown_outflow_count, comparable_outflow_count, comparable_unknown_outflow_cents, comparable_observed_outflow_cents,
+       peak_count, peak_total_cents, average_peak_cents, median_peak_cents, largest_peak_cents, smallest_peak_cents, unknown_peak_count, coalesce(comparable_peak_count, 0) AS comparable_peak_count,
+       {_share('unknown_transactions', 'transaction_count')} AS unknown_transaction_share, {_share('comparable_unknown_outflow_cents', 'comparable_observed_outflow_cents')} AS unknown_outflow_share,
+       {_share('first_two', 'comparable_observed_outflow_cents')} AS top_two_category_share, top_categories, top_peaks
+FROM ({SUMMARY}) s
+LEFT JOIN (SELECT portfolio_id, count(*) AS comparable_months, CAST(quantile_cont(CAST(survival_index_months AS DOUBLE), 0.5) AS DECIMAL(18, 5)) AS median_survival_months, CAST(sum(external_income_cents) AS BIGINT) AS total_income_cents,
+                  CAST(sum(gross_external_expense_cents) AS BIGINT) AS total_gross_expense_cents, CAST(sum(net_external_expense_cents) AS BIGINT) AS total_net_expense_cents, CAST(sum(savings_cents) AS BIGINT) AS total_savings_cents,
+                  count(*) FILTER (savings_cents > 0) AS positive_savings_months, CAST(sum(reserve_contribution_cents) AS BIGINT) AS reserve_contribution_cents, CAST(sum(deporte_cents) AS BIGINT) AS deportes_cents,
+                  CAST(sum(net_reserve_contribution_cents) AS BIGINT) AS net_reserve_contribution_cents FROM comparable GROUP BY portfolio_id) m USING (portfolio_id)
+LEFT JOIN (SELECT portfolio_id, month, savings_cents, gross_external_expense_cents, atypical_expense_cents FROM comparable QUALIFY row_number() OVER (PARTITION BY portfolio_id ORDER BY savings_cents, month) = 1) w USING (portfolio_id)
+LEFT JOIN (SELECT portfolio_id, month, recurring_living_cost_cents AS cost FROM comparable QUALIFY row_number() OVER (PARTITION BY portfolio_id ORDER BY recurring_living_cost_cents, month) = 1) lo USING (portfolio_id)
+LEFT JOIN (SELECT portfolio_id, month, recurring_living_cost_cents AS cost FROM comparable QUALIFY row_number() OVER (PARTITION BY portfolio_id ORDER BY recurring_living_cost_cents DESC, month) = 1) hi USING (portfolio_id)
+LEFT JOIN (SELECT r.portfolio_id, arg_min(opening_balance_cents, month) AS reserve_opening_cents, arg_max(closing_balance_cents, month) AS reserve_closing_cents, CAST(sum(estimated_interest_cents) AS BIGINT) AS reserve_interest_cents
+           FROM reserve_monthly r SEMI JOIN comparable USING (portfolio_id, month) WHERE is_complete_month GROUP BY r.portfolio_id) held USING (portfolio_id)
+LEFT JOIN (SELECT d.portfolio_id, count(*) FILTER (nature IN ('inflow_unclassified', 'outflow_unclassified')) AS unknown_transactions, count(*) AS transaction_count, count(*) FILTER (amount_cents < 0 AND nature = 'outflow_unclassified') AS unknown_outflows,
+                  count(*) FILTER (amount_cents < 0) AS outflow_count, count(*) FILTER (amount_cents < 0 AND nature = 'outflow_unclassified' AND c.month IS NOT NULL) AS comparable_unknown_outflow_count,
+                  count(*) FILTER (amount_cents < 0 AND c.month IS NOT NULL) AS comparable_outflow_count
+           FROM dated d LEFT JOIN comparable c ON c.portfolio_id = d.portfolio_id AND c.month = strftime(d.operation_date, '%Y-%m') GROUP BY d.portfolio_id) seen USING (portfolio_id)
+LEFT JOIN (SELECT k.portfolio_id, CAST(sum(unclassified_outflow_cents) AS BIGINT) AS comparable_unknown_outflow_cents, CAST(sum(total_observed_outflow_cents) AS BIGINT) AS comparable_observed_outflow_cents
+           FROM categories k SEMI JOIN comparable USING (portfolio_id, month) GROUP BY k.portfolio_id) shares USING (portfolio_id)
+LEFT JOIN ({PEAKS_SUMMARY}) p USING (portfolio_id)
+LEFT JOIN (SELECT c.portfolio_id, count(*) AS comparable_peak_count FROM candidates c JOIN comparable x ON x.portfolio_id = c.portfolio_id AND x.month = strftime(c.start_date, '%Y-%m') WHERE is_peak GROUP BY c.portfolio_id) near USING (portfolio_id)
+LEFT JOIN (SELECT portfolio_id, string_agg(category || ':' || CAST(amount AS VARCHAR), ',' ORDER BY r) AS top_categories, CAST(sum(amount) FILTER (r <= 2) AS BIGINT) AS first_two
+           FROM (SELECT *, row_number() OVER (PARTITION BY portfolio_id ORDER BY amount DESC, seen, category) AS r
+                 FROM (SELECT k.portfolio_id, category, CAST(sum(total_observed_outflow_cents) AS BIGINT) AS amount, min(month) AS seen FROM categories k SEMI JOIN comparable USING (portfolio_id, month) GROUP BY k.portfolio_id, category))
+           WHERE r <= 6 GROUP BY portfolio_id) tc USING (portfolio_id)
+LEFT JOIN (SELECT portfolio_id, string_agg(concat_ws(':', CAST(start_date AS VARCHAR), label, category, CAST(amount_cents AS VARCHAR)), ',' ORDER BY r) AS top_peaks
+           FROM (SELECT *, row_number() OVER (PARTITION BY portfolio_id ORDER BY amount_cents DESC, episode_id) AS r FROM candidates WHERE is_peak) WHERE r <= 5 GROUP BY portfolio_id) tp USING (portfolio_id)"""
+
 FINAL = {
+    "source_inventory": INVENTORY,
+    "source_checks": SOURCE_CHECKS,
+    "knowledge_checks": KNOWLEDGE,
+    "reserve_quality": RESERVE_QUALITY,
+    "reserve_checks": RESERVE_CHECKS,
+    "report_summary": REPORT,
+    "classified_metrics": _monthly("derived", alone=True),
+    "classified_categories": CATEGORIES.replace("FROM dated", "FROM derived"),
     "monthly_metrics": "SELECT * FROM monthly",
     "monthly_category_spending": "SELECT * FROM categories",
     "metrics_summary": SUMMARY,

@@ -12,12 +12,12 @@ from ledgerjobs.sources import rates as R
 from ledgerjobs.sources import statements as S
 
 from .oracles import SQL  # noqa: F401
-from .statements import accounts, files
+from .statements import accounts, broken_files, files, shared_prefixes
 from .views import Ledger
 
 
 class Jobs:
-    """The tables of one run; each property is a plan, nothing runs before an action."""
+    """The tables of one run. Each is a plan; ``kept`` ones, which several others read, are written to the shared folder first."""
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.v = Ledger(spark, sf_dir)
@@ -28,8 +28,13 @@ class Jobs:
             self._made[name] = getattr(self, f"_{name}")()
         return self._made[name]
 
+    def kept(self, *names: str) -> Jobs:
+        for name in names:
+            self._made[name] = self.v.staging.table(self.get(name), name)
+        return self
+
     def _dated(self):
-        return dates.add_operation_dates(self.v.ledger).persist()
+        return dates.add_operation_dates(self.v.ledger)
 
     def _balances(self):
         return daily.daily_balances(self.v.ledger, self.v.snapshots)
@@ -80,10 +85,13 @@ class Jobs:
         return metrics.monthly_category_spending(self.get("dated"))
 
     def _candidates(self):
-        return peaks.peak_candidates(self.get("dated"), self.v.tx_events)
+        return peaks.peak_candidates(self.get("dated"), self.v.tx_events, self.v.staging.table)
+
+    def _accounts(self):
+        return accounts(self.v.ledger)
 
     def _files(self):
-        return S.identified(S.with_account(files(self.v), accounts(self.v.ledger)))
+        return S.identified(S.with_account(files(self.v), self.get("accounts")))
 
     def _parsed(self):
         return S.parse(self.get("files"))
@@ -91,6 +99,10 @@ class Jobs:
     def _statement_rows(self):
         return S.transactions(self.get("parsed"))
 
+    def _derived(self):
+        """Classified rows with their operation dates: what metrics are made of when natures come from rules."""
+        return dates.add_operation_dates(self.get("expanded"))
+
     def _canonical(self):
         return S.canonical(self.get("statement_rows"))
 
@@ -106,6 +118,7 @@ def _query(make):
 
 
 def _report(j: Jobs) -> DataFrame:
+    j.kept("dated", "reserve_monthly", "monthly", "categories", "candidates")
     m, c = j.get("monthly"), j.get("candidates")
     out = summary.report_summary(j.get("dated"), m, j.get("categories"), metrics.metrics_summary(m), c, peaks.peaks_summary(c, m), j.get("reserve_monthly"))
     cats = F.array_join(F.transform("top_categories", lambda x: F.concat_ws(":", x.category, x.amount_cents.cast("string"))), ",")
@@ -123,20 +136,55 @@ def _event_flows(j: Jobs) -> DataFrame:
     return daily.daily_flows(rows)
 
 
+def _inventory(j: Jobs) -> DataFrame:
+    j.kept("files", "parsed")
+    return S.inventory(j.get("files"), j.get("parsed"), j.get("statement_rows")).drop("source_sha256", "file_size_bytes")
+
+
+def _source_checks(j: Jobs) -> DataFrame:
+    """All statements, and for each account one more of every unfit kind."""
+    j.kept("accounts")
+    known = j.get("accounts")
+    every = j.v.staging.table(files(j.v).union(broken_files(known)), "every_file")
+    found = S.identified(S.with_account(every, shared_prefixes(known)))
+    parsed = j.v.staging.table(S.parse(found), "every_parsed")
+    return S.violations(found, parsed, S.transactions(parsed))
+
+
 def _knowledge(j: Jobs) -> DataFrame:
-    groups = j.get("identified").select("group_id", "channel").distinct()
+    """The knowledge tables with faults of most kinds worked in, chosen by the last digits of ids."""
+    j.kept("identified")
+    ids, v = j.get("identified"), j.v
+    groups = ids.select("group_id", "channel").distinct()
     inquiries = groups.select(F.concat(F.lit("i-"), "group_id").alias("investigation_id"), "group_id", F.when(F.col("channel") == "pix_transfer", "open").otherwise("resolved").alias("status"))
-    return C.knowledge_violations(j.get("identified"), j.v.rules, j.v.overrides, j.v.allocations, inquiries, j.v.tx_events)
+    inquiries = inquiries.union(groups.where("channel = 'pix_received'").select(F.concat(F.lit("i-"), "group_id"), F.concat(F.lit("no-"), "group_id"), F.lit("resolved")))
+    twice = v.rules.where("rule_id = 'r01'")
+    rules = v.rules.union(twice).union(twice.withColumns({"rule_id": F.lit("r12"), "match_type": F.lit("name")})).union(twice.withColumn("rule_id", F.lit("")))
+    lost = lambda df, end: df.where(F.col("transaction_id").endswith(end)).withColumn("transaction_id", F.concat(F.lit("none-"), "transaction_id"))
+    overrides = v.overrides.union(lost(v.overrides, "5"))
+    parts = v.allocations.where("NOT allocation_id LIKE '%7-2'").union(lost(v.allocations, "3").withColumn("allocation_id", F.concat(F.lit("x"), "allocation_id")))
+    parts = parts.union(v.allocations.where("allocation_id LIKE '%11-1'").withColumn("amount_cents", F.lit(None).cast("long")))
+    events = v.tx_events.union(lost(v.tx_events, "1")).union(v.tx_events.where("transaction_id LIKE '%9'").withColumn("event_id", F.lit("again")))
+    return C.knowledge_violations(ids, rules, overrides, parts, inquiries, events)
+
+
+def _reserve_checks(j: Jobs) -> DataFrame:
+    """Movements of the wrong sign, and what makes a reserve impossible, with the events and rates of some portfolios cut."""
+    j.kept("dated", "rates", "assumptions")
+    events, early = j.get("reserve_events"), j.get("assumptions").withColumn("anchor_date", F.when(F.col("portfolio_id") == "p1", F.lit("1980-01-01").cast("date")).otherwise(F.col("anchor_date")))
+    found = reserve.input_violations(events.where("portfolio_id <> 'p0'"), j.get("rates").where("year(date) <> 1995"), early)
+    wrong = j.get("dated").withColumn("amount_cents", F.when(F.year("operation_date") == 1996, -F.col("amount_cents")).otherwise(F.col("amount_cents")))
+    return found.union(reserve.sign_violations(wrong))
 
 
 QUERIES = {
     name: _query(make)
     for name, make in {
-        "monthly_metrics": lambda j: j.get("monthly"),
+        "monthly_metrics": lambda j: j.kept("dated").get("monthly"),
         "monthly_category_spending": lambda j: j.get("categories"),
-        "metrics_summary": lambda j: metrics.metrics_summary(j.get("monthly")),
-        "metrics_quality": lambda j: metrics.metrics_quality(j.get("monthly"), j.get("categories")),
-        "category_ranking": lambda j: metrics.category_ranking(j.get("categories"), j.get("monthly")),
+        "metrics_summary": lambda j: metrics.metrics_summary(j.kept("monthly").get("monthly")),
+        "metrics_quality": lambda j: metrics.metrics_quality(j.kept("dated").get("monthly"), j.get("categories")),
+        "category_ranking": lambda j: metrics.category_ranking(j.kept("dated").get("categories"), j.get("monthly")),
         "operation_dates": lambda j: j.get("dated").select("transaction_id", "posting_date", "operation_date", "operation_date_source", "operation_posting_lag_days"),
         "daily_flows": lambda j: j.get("flows"),
         "flow_feed": lambda j: daily.flow_feed(j.get("flows")),
@@ -144,15 +192,15 @@ QUERIES = {
         "daily_balances": lambda j: j.get("balances"),
         "data_quality": lambda j: daily.data_quality(j.get("dated"), j.get("balances")),
         "anchor_checks": lambda j: daily.anchors(j.v.ledger, j.v.snapshots.where("year(balance_date) < 2000")),
-        "source_inventory": lambda j: S.inventory(j.get("files"), j.get("parsed"), j.get("statement_rows")).drop("source_sha256", "file_size_bytes"),
-        "canonical_transactions": lambda j: j.get("canonical").drop("source_sha256", "source_position", "source_file"),
-        "source_checks": lambda j: S.violations(j.get("files"), j.get("parsed"), j.get("statement_rows")),
+        "source_inventory": _inventory,
+        "canonical_transactions": lambda j: j.kept("parsed").get("canonical").drop("source_sha256", "source_position", "source_file"),
+        "source_checks": _source_checks,
         "statement_snapshots": lambda j: j.get("read_snapshots").drop("source_sha256"),
         "coverage_summary": lambda j: coverage.coverage_summary(j.v.ledger, j.v.snapshots),
         "reconciliation": lambda j: coverage.reconciliation(j.v.ledger, j.v.snapshots),
         "transactions_classified": lambda j: j.get("expanded").select("analytical_transaction_id", "parent_transaction_id", "amount_cents", "original_amount_cents", "is_allocation", "group_id", "channel", "counterparty_key", "counterparty_display", *C.DIMENSIONS, "classification_provenance"),
-        "classification_groups": lambda j: j.get("groups"),
-        "review_queue": lambda j: C.review_queue(j.get("groups")).select("portfolio_id", "rank", "group_id", "maximum_abs_cents", "total_abs_cents", "missing_fields"),
+        "classification_groups": lambda j: j.kept("identified", "expanded").get("groups"),
+        "review_queue": lambda j: C.review_queue(j.kept("identified", "expanded", "groups").get("groups")).select("portfolio_id", "rank", "group_id", "maximum_abs_cents", "total_abs_cents", "missing_fields"),
         "unclassified_rows": lambda j: C.unclassified(j.get("expanded")).select("analytical_transaction_id", "amount_cents", *C.DIMENSIONS),
         "channel_of_canonical": lambda j: daily.attach_channel(j.v.ledger, j.get("expanded")).select("transaction_id", "channel"),
         "knowledge_checks": _knowledge,
@@ -161,11 +209,14 @@ QUERIES = {
         "reserve_events": lambda j: j.get("reserve_events"),
         "reserve_daily": lambda j: j.get("reserve_daily"),
         "reserve_monthly": lambda j: j.get("reserve_monthly"),
-        "reserve_quality": lambda j: reserve.reserve_quality(j.get("reserve_daily"), j.get("reserve_events"), j.get("rates"), j.get("assumptions")),
+        "reserve_quality": lambda j: reserve.reserve_quality(j.kept("dated", "rates", "reserve_daily").get("reserve_daily"), j.get("reserve_events"), j.get("rates"), j.get("assumptions")),
         "tracked_assets": lambda j: reserve.tracked_assets(j.get("reserve_daily"), j.get("balances")),
-        "peak_candidates": lambda j: j.get("candidates"),
-        "peaks_monthly": lambda j: peaks.peaks_monthly(j.get("candidates"), j.get("monthly")),
-        "peaks_summary": lambda j: peaks.peaks_summary(j.get("candidates"), j.get("monthly")),
+        "peak_candidates": lambda j: peaks.peak_candidates(j.get("dated"), j.v.tx_events, j.v.staging.table),
+        "peaks_monthly": lambda j: peaks.peaks_monthly(j.kept("dated", "candidates").get("candidates"), j.get("monthly")),
+        "peaks_summary": lambda j: peaks.peaks_summary(j.kept("dated", "candidates").get("candidates"), j.kept("monthly").get("monthly")),
         "report_summary": _report,
+        "reserve_checks": _reserve_checks,
+        "classified_metrics": lambda j: metrics.monthly_metrics(j.kept("derived").get("derived")),
+        "classified_categories": lambda j: metrics.monthly_category_spending(j.get("derived")),
     }.items()
 }

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ledgerjobs.sources.tables import Staging
+
 #: orders as transactions of 25 accounts (nations) in 5 portfolios (regions). The last digits of
 #: the order number choose nature and channel, so that every measure has rows.
 LEDGER = """
@@ -90,10 +92,10 @@ TABLES = ("orders", "customer", "nation", "documents", "events")
 
 
 class Ledger:
-    """The views over one folder of tables, as DataFrames. The ledger is kept: most jobs read it several times."""
+    """The views over one folder of tables, as DataFrames. The ledger is written to the shared folder, as most jobs read it several times."""
 
     def __init__(self, spark: SparkSession, sf_dir: str):
-        self.spark, self.sf_dir, self._known = spark, sf_dir, {}
+        self.spark, self.sf_dir, self._known, self.staging = spark, sf_dir, {}, Staging(spark)
 
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
@@ -104,7 +106,8 @@ class Ledger:
         if name not in self._known:
             sql = VIEWS[name]
             if name == "ledger":
-                self._known[name] = self.spark.sql(sql.replace("FROM orders JOIN customer", "FROM {orders} orders JOIN {customer} customer").replace("JOIN nation", "JOIN {nation} nation"), **{t: self.table(t) for t in TABLES[:3]}).persist()
+                joined = self.spark.sql(sql.replace("FROM orders JOIN customer", "FROM {orders} orders JOIN {customer} customer").replace("JOIN nation", "JOIN {nation} nation"), **{t: self.table(t) for t in TABLES[:3]})
+                self._known[name] = self.staging.table(joined, name)
             elif name == "rules":
                 self._known[name] = self.spark.sql(sql)
             else:

@@ -2,15 +2,60 @@
 
 from __future__ import annotations
 
+import re
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
+# The orders in which the tables are written.
+ORDERS = {
+    "transactions": ("transaction_date", "account_id", "transaction_id"),
+    "snapshots": ("balance_date", "account_id"),
+    "groups": ("-transaction_count", "counterparty_key"),
+    "review_queue": ("-maximum_abs_cents", "-total_abs_cents", "counterparty_key"),
+    "peaks": ("-amount_cents", "episode_id"),
+    "daily": ("date", "account_id"),
+}
+
+
 class Unfit(ValueError):
     """Data that a strict run refuses."""
 
 
+def small(df: DataFrame, most_rows: int = 100_000) -> DataFrame:
+    """The table marked to be broadcast if it has at most ``most_rows`` rows, else as it is."""
+    return F.broadcast(df) if df.limit(most_rows + 1).count() <= most_rows else df
+
+
+class Staging:
+    """Tables written to the folder that the cluster shares, so that several jobs read one result and a lost executor costs nothing.
+
+    That is ``spark.checkpoint.dir`` of the session; where it is unset a local master gets a
+    temporary folder, a cluster is refused. A run's tables lie together and go with ``drop``.
+    """
+
+    def __init__(self, spark: SparkSession):
+        base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+        if not base:
+            if not re.fullmatch(r"local(\[[^,]*\])?", spark.sparkContext.master):
+                raise Unfit("spark.checkpoint.dir must name a folder that the whole cluster shares")
+            base = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+            spark.conf.set("spark.checkpoint.dir", base)
+        self.spark, self.root = spark, f"{base.rstrip('/')}/staged/{uuid.uuid4().hex}"
+
+    def table(self, df: DataFrame, name: str) -> DataFrame:
+        df.write.mode("overwrite").parquet(f"{self.root}/{name}")
+        return self.spark.read.schema(df.schema).parquet(f"{self.root}/{name}")
+
+    def drop(self) -> None:
+        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.root)
+        path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def read_table(spark: SparkSession, path: str, schema: T.StructType | str, required: tuple[str, ...] = ()) -> DataFrame:
     """A CSV table with a header; blanks are null. Columns that ``required`` names must stand in the header."""
     header = spark.read.option("header", True).csv(path).columns
@@ -19,14 +64,20 @@ def read_table(spark: SparkSession, path: str, schema: T.StructType | str, requi
     return spark.read.schema(schema).option("header", True).option("encoding", "UTF-8").option("enforceSchema", False).csv(path)
 
 
+def ordered(df: DataFrame, order: tuple[str, ...], partitions: int | None = None) -> DataFrame:
+    """Rows range-parted and sorted by ``order``, in which ``-name`` stands for descending; so files in their order are the table in its order."""
+    keys = [F.desc(c[1:]) if c.startswith("-") else F.asc(c) for c in order]
+    return (df.repartitionByRange(partitions, *keys) if partitions else df.repartitionByRange(*keys)).sortWithinPartitions(*keys)
+
+
 def write_table(df: DataFrame, path: str, columns: tuple[str, ...] | None = None, form: str = "parquet", order: tuple[str, ...] = ()) -> None:
-    """Replaces ``path``; refuses an empty table and columns that are not the declared ones. ``order`` sorts at the sink only."""
+    """Replaces ``path``; refuses an empty table and columns that are not the declared ones. ``order`` sorts at the sink only, see ``ordered`` and ``ORDERS``."""
     if columns is not None and set(columns) != set(df.columns):
         raise Unfit(f"columns {sorted(df.columns)} are not {sorted(columns)}")
     if df.isEmpty():
         raise Unfit("an empty table is not written")
     out = df.select(*(columns or df.columns))
-    out = out.orderBy(*order) if order else out
+    out = ordered(out, order) if order else out
     out = out.select(*[F.array_join(c, ";").alias(c) if form == "csv" and t.startswith("array") else F.col(c) for c, t in out.dtypes])
     writer = out.write.mode("overwrite")
     writer.option("header", True).csv(path) if form == "csv" else writer.parquet(path)

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from ledgerjobs.functions import exprs as X
-from ledgerjobs.functions.helpers import decode_statement, normalize
+from ledgerjobs.functions.helpers import decode_statement, normalize, unescape
 from ledgerjobs.operators import classify as C
 from ledgerjobs.operators import coverage, daily, dates, metrics, peaks, reserve
 from ledgerjobs.sources import rates as R
@@ -82,6 +82,81 @@ def test_same_bytes_and_overlaps_count_once(spark):
     assert {r["kind"] for r in S.violations(*read(spark, [("acc/a.ofx", a), ("zzz/a.ofx", a)], bank="9999")).collect()} == {"unexpected_bank", "unknown_account"}
 
 
+def broken(text=STATEMENT.format(enc="UTF-8", fitid="A1"), **changes):
+    for old, new in changes.values():
+        assert old in text
+        text = text.replace(old, new)
+    return text.encode()
+
+
+def kinds(spark, files, accounts=None):
+    accounts = accounts or [("p", "acc", "bank", "acc", "1234")]
+    known = spark.createDataFrame(accounts, "portfolio_id string, account_id string, institution string, path_prefix string, expected_bank_id string")
+    f = S.identified(S.with_account(spark.createDataFrame(files, "source_file string, content binary"), known))
+    parsed = S.parse(f)
+    rows = S.transactions(parsed)
+    return sorted(tuple(r) for r in S.violations(f, parsed, rows).collect()), {r["source_file"]: r["status"] for r in S.inventory(f, parsed, rows).collect()}
+
+
+def test_every_kind_of_unfit_source_is_named(spark):
+    good = ("acc/a.ofx", broken())
+    cases = {
+        "undecodable": ("acc/b.ofx", b"ENCODING:UTF-8\n<STMTTRN>\x81\xff"),
+        "unexpected_bank": ("acc/b.ofx", broken(a=("<BANKID>1234", "<BANKID>77"))),
+        "missing_account_id": ("acc/b.ofx", broken(a=("<ACCTID>99-1", "<ACCTID>"))),
+        "no_transactions": ("acc/b.ofx", broken(a=("STMTTRN", "OTHER"))),
+        "bad_balance": ("acc/b.ofx", broken(a=("87.66", "12.345"))),
+        "bad_date_or_amount": ("acc/b.ofx", broken(a=("20260106", "2026-01-06"))),
+        "conflicting_balance": ("acc/b.ofx", broken(a=("87.66", "87.67"))),
+        "unknown_account": ("zzz/b.ofx", broken(a=("A1", "A2"))),
+    }
+    for kind, file in cases.items():
+        found, status = kinds(spark, [good, file])
+        extra = {"missing_account_id": {"several_fingerprints"}, "unexpected_bank": {"several_fingerprints"}}.get(kind, set())
+        assert {k for k, _ in found} == {kind} | extra, kind
+        assert status[file[0]] == (kind if kind in ("undecodable", "no_transactions") else "parsed")
+    bad_day = broken(a=("<DTASOF>20260131", "<DTASOF>soon"))
+    assert kinds(spark, [("acc/b.ofx", bad_day)])[0] == [("bad_balance", "acc/b.ofx")]
+    two = [("p", x, "bank", "acc", "1234") for x in ("acc", "acd")]
+    found, status = kinds(spark, [good], two)
+    assert found == [("ambiguous_account", "acc/a.ofx")] and len(status) == 1
+    shared = [("p", x, "bank", x, "1234") for x in ("acc", "acd")]
+    found, _ = kinds(spark, [good, ("acd/a.ofx", broken(a=("87.66", "87.67")))], shared)
+    assert [k for k, _ in found] == ["conflicting_transaction"] * 2
+
+
+def test_blocks_end_as_the_format_allows(spark):
+    text = "<stmttrn>a</stmttrn>x<X:STMTTRN k=1>b<STMTTRN>c</BANKTRANLIST>d<STMTTRN>cut off"
+    assert spark.range(1).select(S.blocks(F.lit(text)).alias("b")).first()["b"] == ["a", "b", "c"]
+    assert spark.range(1).select(S.blocks(F.lit("none")).alias("b")).first()["b"] == []
+    field = lambda t, n: spark.range(1).select(X.raw_field(F.lit(t), n).alias("f")).first()["f"]
+    assert (field("<ofx:name>\n  A b \r\n<MEMO>m", "NAME"), field("<NAME><MEMO>m", "NAME"), field("<MEMO>m", "NAME"), field("<NAMES>x<NAME>y", "NAME")) == ("A b", "", "", "y")
+
+
+def test_decoding_entities_and_normal_form(spark):
+    import html
+    import unicodedata
+
+    rows = [b"ENCODING:UTF-8\n\xc3\xa9", b"CHARSET: utf-8\r\n\xe9", b"X:1\n\x80\x9f\xe9", b"X:1\n\x81", b"ENCODING:USASCII\nCHARSET:UTF-8\n\xc3\xa9", b"\xc3\x81", b"", None]
+    want = ["ENCODING:UTF-8\né", "CHARSET: utf-8\r\né", "X:1\n€Ÿé", None, "ENCODING:USASCII\nCHARSET:UTF-8\nÃ©", "Á", "", None]
+    df = spark.createDataFrame([(i, b) for i, b in enumerate(rows)], "i int, b binary")
+    assert [r["t"] for r in df.select("i", decode_statement("b").alias("t")).orderBy("i").collect()] == want
+    texts = ["a &amp; b", "plain", "&eacute;&#65;&lt", None, "", "Psicólogo: João! ", "ﬁn–Ⅷ ａ²ß", "ไทย 12", "A--b__C"]
+
+    def plain(s):
+        out = "".join(c for c in unicodedata.normalize("NFKD", s) if not unicodedata.combining(c))
+        return " ".join("".join(c if c.isascii() and c.isalnum() else " " for c in out).upper().split())
+
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    got = df.select("i", unescape(F.col("t")).alias("u"), normalize("t").alias("n")).orderBy("i").collect()
+    assert [r["u"] for r in got] == [t and html.unescape(t) for t in texts] and [r["n"] for r in got] == [t if t is None else plain(t) for t in texts]
+
+
+def test_money_with_many_decimals(spark):
+    r = spark.range(1).select(X.money_to_cents(F.lit("1.100000000000000")).alias("a"), X.money_to_cents(F.lit("1.100000000000001")).alias("b"), X.money_to_cents(F.lit("x")).alias("c"), X.description(F.lit("straße"), F.lit("STRASSE")).alias("d")).first()
+    assert (r.a, r.b, r.c, r.d) == (110, None, None, "straße")
+
+
 def test_ids_with_and_without_bank_id(spark):
     ident = lambda bank, n, cents=5: X.transaction_id(F.lit("fp"), F.lit(bank), F.lit("2026-01-01").cast("date"), F.lit(cents).cast("long"), F.lit("d"), F.lit(n))
     r = spark.range(1).select(ident("A", 1).alias("a"), ident("A", 99).alias("b"), ident("A", 1, 6).alias("c"), ident("", 1).alias("d"), ident("", 2).alias("e")).first()
@@ -116,17 +191,17 @@ def rule(i, prio, kind, value, nature=None, category=None, lo=None, hi=None, **o
 
 
 def test_rules_overrides_allocations(spark):
-    rows = C.identify(tx(spark, dict(name_raw="Pix - Enviado", memo_raw="LOJA", amount_cents=-147833), dict(name_raw="Pix - Enviado", memo_raw="LOJA", amount_cents=-5)).drop("channel", "counterparty_display", "nature", "category", "subcategory", "recurrence", "cost_treatment", "peak_eligible"))
+    rows = C.identify(tx(spark, dict(name_raw="Pix - Enviado", memo_raw="LOJA", amount_cents=-91000), dict(name_raw="Pix - Enviado", memo_raw="LOJA", amount_cents=-5)).drop("channel", "counterparty_display", "nature", "category", "subcategory", "recurrence", "cost_treatment", "peak_eligible"))
     rules = spark.createDataFrame([rule(1, 10, "channel", "pix_sent", "expense", "a"), rule(2, 5, "counterparty_key", "LOJA", "fee", "b"), rule(3, 20, "channel", "pix_sent", None, "big", hi=-100), rule(4, 30, "channel", "pix_sent", "income", start=D("2027-01-01"))], RULE)
     over = spark.createDataFrame([("t1", "refund", "", None, None, None, None, None)], "transaction_id string, " + ", ".join(f"{f} string" for f in C.DIMENSIONS))
     got = C.classify(rows, rules, over)
     by = {r["transaction_id"]: r for r in got.collect()}
     assert (by["t0"]["nature"], by["t0"]["category"], by["t0"]["classification_provenance"]) == ("expense", "big", "r2;r1;r3")
     assert (by["t1"]["nature"], by["t1"]["category"], by["t1"]["classification_provenance"]) == ("refund", "a", "r2;r1;override:t1")
-    alloc = spark.createDataFrame([("a1", "t0", -130500, *[None] * 7), ("a2", "t0", -17333, None, "gift", *[None] * 5)], "allocation_id string, transaction_id string, amount_cents long, " + ", ".join(f"{f} string" for f in C.DIMENSIONS))
+    alloc = spark.createDataFrame([("a1", "t0", -70000, *[None] * 7), ("a2", "t0", -21000, None, "gift", *[None] * 5)], "allocation_id string, transaction_id string, amount_cents long, " + ", ".join(f"{f} string" for f in C.DIMENSIONS))
     parts = {r["analytical_transaction_id"]: r for r in C.expand_allocations(got, alloc).collect()}
     assert set(parts) == {"a1", "a2", "t1"} and parts["a2"]["category"] == "gift" and parts["a1"]["category"] == "big"
-    assert parts["a1"]["original_amount_cents"] == -147833 and parts["a2"]["classification_provenance"] == "r2;r1;r3;allocation:a2"
+    assert parts["a1"]["original_amount_cents"] == -91000 and parts["a2"]["classification_provenance"] == "r2;r1;r3;allocation:a2"
     bad = alloc.where("allocation_id = 'a1'")
     inv = spark.createDataFrame([("i", "nope", "open")], "investigation_id string, group_id string, status string")
     ev = spark.createDataFrame([("e", "t0"), ("f", "t0"), ("g", "zz")], "event_id string, transaction_id string")
@@ -136,6 +211,42 @@ def test_rules_overrides_allocations(spark):
     assert len(groups) == 1 and groups[0]["median_abs_cents"] == 5 and groups[0]["transaction_count"] == 2 and "flexibility" in groups[0]["missing_fields"]
 
 
+def test_private_rules_come_after_base_rules_of_equal_priority(spark):
+    rows = C.identify(tx(spark, dict(name_raw="Pix - Enviado", memo_raw="LOJA", amount_cents=-10)).drop("channel", "counterparty_display", "nature", "category", "subcategory", "recurrence", "cost_treatment", "peak_eligible"))
+    no_order = RULE.replace(", load_order int", "")
+    of = lambda *rs: spark.createDataFrame([r[:-1] for r in rs], no_order).coalesce(1)
+    base, private = of(rule(1, 5, "channel", "pix_sent", "expense", "first"), rule(2, 5, "channel", "pix_sent", None, "second")), of(rule(3, 5, "channel", "pix_sent", None, "private"), rule(4, 1, "channel", "pix_sent", "fee", "low"))
+    over = spark.createDataFrame([("t0", "refund", None, None, None, None, None, None), ("t0", "tax_refund", None, None, None, None, None, None), (None, "fee", *[None] * 6)], "transaction_id string, " + ", ".join(f"{f} string" for f in C.DIMENSIONS)).coalesce(1)
+    got = C.classify(rows, C.load_rules(base, private), over).collect()
+    assert [(r["nature"], r["category"], r["classification_provenance"]) for r in got] == [("tax_refund", "private", "r4;r1;r2;r3;override:t0")]
+    assert C.classify(rows, C.load_rules(base)).first()["category"] == "second"
+
+
+def test_running_ranks_and_medians(spark):
+    import random
+    import statistics
+
+    from ledgerjobs.operators import ranks
+
+    r = random.Random(3)
+    values = {k: [r.choice([0, 5, r.randint(0, 9), r.randint(0, 10**12)]) for _ in range(n)] for k, n in (("a", 1), ("b", 2), ("c", 301), ("d", 200))}
+    df = spark.createDataFrame([(k, v) for k, vs in values.items() for v in vs] + [("e", None)], "k string, v long")
+    assert {x["k"]: x["m"] for x in ranks.twice_median(df, ["k"], "v", "m").collect()} == {k: round(2 * statistics.median(vs)) for k, vs in values.items()}
+    groups = spark.createDataFrame([("p", f"g{i}", f"k{i % 7}", v, v // 3, "x" if i % 9 else "") for i, v in enumerate(values["c"])], "portfolio_id string, group_id string, counterparty_key string, maximum_abs_cents long, total_abs_cents long, missing_fields string")
+    got = [x["group_id"] for x in C.review_queue(groups).orderBy("rank").collect()]
+    kept = sorted((x for x in groups.collect() if x["missing_fields"]), key=lambda x: (-x["maximum_abs_cents"], -x["total_abs_cents"], x["counterparty_key"], x["group_id"]))
+    assert got == [x["group_id"] for x in kept] and [x["rank"] for x in C.review_queue(groups).orderBy("rank").collect()] == list(range(1, len(kept) + 1))
+
+
+def test_tables_are_written_in_their_orders(spark, tmp_path):
+    df = spark.createDataFrame([(i % 3, f"k{i % 5}", i) for i in range(40)], "transaction_count int, counterparty_key string, n int").repartition(4)
+    tables.write_table(df, f"{tmp_path}/groups", order=tables.ORDERS["groups"])
+    files = sorted((tmp_path / "groups").glob("part-*"))
+    rows = [tuple(x) for f in files for x in spark.read.parquet(str(f)).select("transaction_count", "counterparty_key").collect()]
+    assert rows == sorted(rows, key=lambda x: (-x[0], x[1])) and len(rows) == 40
+    assert [x["kind"] for x in R.violations(spark.createDataFrame([], "date date, daily_rate_percent decimal(18,6), source_series string")).collect()] == ["no_rates"]
+
+
 @pytest.mark.parametrize(
     "account, posted, memo, want",
     [
@@ -156,9 +267,9 @@ def test_balances_and_reconciliation(spark):
     rows = tx(spark, dict(date="2026-01-01", amount_cents=10000), dict(date="2026-01-02", amount_cents=-2500))
     s = snaps(spark, (BB, "2026-01-02", 7500))
     assert [r["ledger_balance_cents"] for r in daily.ledger_balances(rows, s).orderBy("date").collect()] == [10000, 7500]
-    sweep = tx(spark, dict(date="2026-01-01", amount_cents=-85000, name_raw=X.SWEEP_NAME))
+    sweep = tx(spark, dict(date="2026-01-01", amount_cents=-64000, name_raw=X.SWEEP_NAME))
     r = daily.ledger_balances(sweep, snaps(spark, (BB, "2026-01-01", 0))).first()
-    assert (r["liquidity_adjustment_cents"], r["analysis_balance_cents"]) == (85000, 85000)
+    assert (r["liquidity_adjustment_cents"], r["analysis_balance_cents"]) == (64000, 64000)
     two = tx(spark, dict(date="2026-01-01", amount_cents=-200000), dict(date="2026-01-01", account_id=ITAU, amount_cents=200000))
     both = daily.daily_balances(two, snaps(spark, (BB, "2026-01-01", 0), (ITAU, "2026-01-01", 200000)))
     assert both.where(F.col("account_id") == X.CONSOLIDATED_ACCOUNT).first()["analysis_balance_cents"] == 200000
@@ -204,8 +315,8 @@ def test_reserve(spark):
     rows = tx(spark, dict(date="2026-01-05", channel="cofrinho_application", amount_cents=-100000), dict(date="2026-02-01", channel="cofrinho_redemption", amount_cents=40000))
     events = reserve.reserve_events(rows)
     assert sorted(r["reserve_cashflow_cents"] for r in events.collect()) == [-40000, 100000]
-    rates = R.parse_payload(spark.createDataFrame([('[{"data":"02/01/2026","valor":"0,055131"},{"data":"06/01/2026","valor":"0.05"}]',)], "value string"))
-    assert rates.orderBy("date").first()["daily_rate_percent"] == Decimal("0.055131")
+    rates = R.parse_payload(spark.createDataFrame([('[{"data":"02/01/2026","valor":"0,041270"},{"data":"06/01/2026","valor":"0.05"}]',)], "value string"))
+    assert rates.orderBy("date").first()["daily_rate_percent"] == Decimal("0.041270")
     assert [r["kind"] for r in R.violations(rates.union(rates.limit(1))).collect()] == ["duplicate_date"]
     a = spark.createDataFrame([("p", D("2026-01-31"), 1_000_000, Decimal("100"))], "portfolio_id string, anchor_date date, anchor_balance_cents long, yield_percentage decimal(9,4)")
     days = reserve.reserve_daily(events, rates, a).orderBy("date").collect()
