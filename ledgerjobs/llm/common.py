@@ -29,7 +29,10 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 class Workspace:
-    """Tables written to the shared folder, so that lineage ends there and a lost executor costs nothing."""
+    """Tables written to the shared folder, so that lineage ends there and a lost executor costs nothing.
+
+    An operator drops all but what its result reads; that goes with the folder.
+    """
 
     def __init__(self, spark: SparkSession):
         self.spark, self.root = spark, f"{shared_dir(spark)}/staged/{uuid.uuid4().hex}"

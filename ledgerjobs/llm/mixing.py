@@ -52,7 +52,7 @@ def mix(
 ) -> DataFrame:
     """One row per document: doc_id, size, source_size, target, taken, copies.
 
-    A document's order in its source is that of md5(doc_id), a fixed shuffle. Its n-th copy
+    A document's order in its source is that of (md5(doc_id), doc_id, size), a fixed shuffle. Its n-th copy
     finishes at ((n - 1) * source_size + words of its source up to and with it) / target; all
     copies of all sources stand in one queue by finish time, cut where the words reach the
     budget. Both running sums are taken over slices of the sorted range: sums by slice, then
@@ -76,7 +76,10 @@ def mix(
     )
     n = base.count()
     slices = max(1, math.ceil(n / rows_per_bucket))
-    base = base.withColumn("slice", spread(F.col("key"), slices))
+    # rows without an id share one digest: they are told apart by size, which is their order, too
+    no_id = F.md5(F.lit("").cast("binary"))
+    part = F.when(F.col("doc_id").isNull(), 1 + F.least(F.col("size"), F.lit(10_000))).when(F.col("key") < no_id, 0).otherwise(20_000)
+    base = base.withColumn("slice", F.struct(spread(F.col("key"), slices).alias("of_key"), part.cast("int").alias("of_size")))
     sums = space.stage(base.groupBy("source", "slice").agg(F.sum("size").alias("words")), "slices")
     targets = space.stage(source_targets(sums.groupBy("source").agg(F.sum("words").alias("source_size")), weights, share, max_repeats), "targets")
     before = sums.select(

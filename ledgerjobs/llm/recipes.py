@@ -107,4 +107,7 @@ def exact_dedup(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
     winners = slim.groupBy("recipe_key").agg(best.alias("best"), F.count("*").alias("n")).join(canonical, "recipe_key")
     of_group = winners.groupBy("group").agg(F.min("best").alias("best"), F.sum("n").alias("group_size"))
     keep = winners.select("recipe_key", "group").join(of_group, "group").select("recipe_key", F.col("best.c").alias("keep_id"), F.col("group_size").cast("long").alias("group_size"))
-    return slim.join(keep, "recipe_key").select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")
+    out = slim.join(keep, "recipe_key").select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")
+    out = space.stage(out, "result")
+    space.drop(out)
+    return out
