@@ -183,9 +183,9 @@ def near_dedup(
     class from the start. Within a bucket the members are first compared with its smallest.
     Members that are then in different components are compared with each other, all of them,
     so no bucket is capped: as pairs in buckets of up to ``few`` members, in blocks of
-    about 2 * ``block`` members inside a task in larger ones, which emit nothing but links. A
-    component of more than ``block`` members has blocks of its own, which never meet each
-    other, so a text moves as often as there are blocks of other components. A candidate whose signature agrees less than ``percent`` / 100 - ``slack`` (almost five
+    about 2 * ``block`` members inside a task in larger ones, which emit nothing but links.
+    Those in the component of the smallest have blocks of their own, which never meet each
+    other, so their texts move as often as there are blocks of all others. A candidate whose signature agrees less than ``percent`` / 100 - ``slack`` (almost five
     standard deviations) is not checked.
 
     component_id is the smallest id reachable. Null and empty texts have no shingles and link
@@ -211,7 +211,7 @@ def near_dedup(
     edges = space.stage(_verified(_stars(members), known, bodies, k, percent, slack), "links")
     where = space.stage(connected_components(edges, space), "components")
     placed = members.join(where, members["id"] == where["node"], "left").select("bucket", "id", F.coalesce("component", "id").alias("component"))
-    split = placed.groupBy("bucket").agg(F.count("*").alias("size"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("bucket", "size")
+    split = placed.groupBy("bucket").agg(F.count("*").alias("size"), F.min("component").alias("lo"), F.max("component").alias("hi"), F.min_by("component", "id").alias("centre")).where("lo < hi").select("bucket", "size", "centre")
     opened = space.stage(placed.join(split, "bucket"), "open")
     if not opened.isEmpty():
         small = _verified(_across(opened.where(F.col("size") <= few)), known, bodies, k, percent, slack)
@@ -262,11 +262,11 @@ def _across(buckets: DataFrame) -> DataFrame:
 def _in_blocks(buckets: DataFrame, known: DataFrame, bodies: DataFrame, k: int, percent: int, slack: float, block: int) -> DataFrame:
     """(u, v): links between members of one bucket that are in different components.
 
-    A bucket is dealt into chunks of about ``block`` members: of one component where that has
-    more than ``block``, of all smaller ones together else. Each two chunks, but for two of one
-    component, make a group, and each mixed chunk one by itself. A pair is left to the first
-    bucket that its members share. Links within what a group has already joined add nothing to
-    components and are passed over.
+    A bucket is dealt into chunks of about ``block`` members: those in the component of its
+    smallest member, with which all have been compared, and all others. Chunks of the others
+    meet each other chunk, and themselves, in a group. A pair is left to the first bucket that
+    its members share. Links within what a group has already joined add nothing to components
+    and are passed over.
     """
 
     def links(frame: pd.DataFrame) -> pd.DataFrame:
@@ -312,20 +312,18 @@ def _in_blocks(buckets: DataFrame, known: DataFrame, bodies: DataFrame, k: int,
 
 def _dealt(buckets: DataFrame, block: int) -> DataFrame:
     """(bucket, id, component, side, group): the members of each two chunks that are to meet, by side of the pair."""
-    of_component = buckets.groupBy("bucket", "component").agg(F.count("*").alias("members"))
-    mixed = of_component.where(F.col("members") <= block).groupBy("bucket").agg(F.sum("members").alias("mixed"))
-    sized = buckets.join(of_component, ["bucket", "component"]).join(mixed, "bucket", "left")
-    own = F.col("members") > block
-    number = F.pmod(F.xxhash64("id"), F.ceil(F.when(own, F.col("members")).otherwise(F.col("mixed")) / block)).cast("int")
-    chunk = F.struct(own.alias("own"), F.when(own, F.col("component")).otherwise(0).alias("of"), number.alias("number"))
-    at = sized.select("bucket", "id", "component", chunk.alias("chunk"))
-    chunks = at.select("bucket", "chunk").distinct()
-    one, other = chunks.select("bucket", F.col("chunk").alias("i")), chunks.select(F.col("bucket").alias("b"), F.col("chunk").alias("j"))
-    apart = ~F.col("i.own") | ~F.col("j.own") | (F.col("i.of") != F.col("j.of"))
-    pairs = one.join(other, (F.col("bucket") == F.col("b")) & (F.col("i") <= F.col("j")) & apart).drop("b")
-    left = at.join(pairs.withColumn("chunk", F.col("i")), ["bucket", "chunk"]).withColumn("side", F.lit(0))
-    right = at.join(pairs.where("i < j").withColumn("chunk", F.col("j")), ["bucket", "chunk"]).withColumn("side", F.lit(1))
-    return left.unionByName(right).select("bucket", "id", "component", "side", F.to_json(F.struct("bucket", "i", "j")).alias("group"))
+    others = buckets.groupBy("bucket").agg(F.count_if(F.col("component") != F.col("centre")).alias("others"))
+    own = F.col("component") == F.col("centre")
+    sized = buckets.join(others, "bucket").withColumns({"mine": F.ceil((F.col("size") - F.col("others")) / block).cast("int"), "rest": F.ceil(F.col("others") / block).cast("int")})
+    at = sized.withColumn("chunk", F.pmod(F.xxhash64("id"), F.when(own, F.col("mine")).otherwise(F.col("rest"))).cast("int"))
+    met = lambda i, j, side: F.struct(F.concat_ws(":", F.col("bucket").cast("string"), i, j).alias("group"), side.cast("int").alias("side"))
+    of_own = lambda n: F.concat(F.lit("own"), n.cast("string"))
+    mixed = lambda n: n.cast("string")
+    rest = F.sequence(F.lit(0), F.col("rest") - 1)
+    from_own = F.transform(rest, lambda k: met(of_own(F.col("chunk")), mixed(k), F.lit(0)))
+    to_own = F.transform(F.sequence(F.lit(0), F.col("mine") - 1), lambda k: met(of_own(k), mixed(F.col("chunk")), F.lit(1)))
+    to_rest = F.transform(rest, lambda k: met(mixed(F.least(k, F.col("chunk"))), mixed(F.greatest(k, F.col("chunk"))), k < F.col("chunk")))
+    return at.select("bucket", "id", "component", F.explode(F.when(own, from_own).otherwise(F.concat(to_own, to_rest))).alias("m")).select("bucket", "id", "component", "m.*")
 
 
 def _verified(pairs: DataFrame, known: DataFrame, bodies: DataFrame, k: int, percent: int, slack: float) -> DataFrame:
@@ -355,8 +353,12 @@ def one_of_each(docs: DataFrame, **options) -> DataFrame:
     rows, id_ = packed(docs), F.col(f"row.`{doc_id}`").cast("long")
     same = id_.eqNullSafe(F.col("k_id"))
     once, often = ids.where("n = 1").select("k_id"), ids.where("n > 1").select("k_id")
+    unique = rows.join(once, same, "left_semi")
+    if often.isEmpty():
+        return unique.select("row.*")
+    # written first, as else the texts of all rows would be digested and moved
+    several = space.stage(rows.join(often, same, "left_semi"), "several").withColumn("digest", _digest()(F.col(f"row.`{text}`").cast("string")))
     stays = groups.where("kept").join(often, F.col("doc_id").eqNullSafe(F.col("k_id")), "left_semi").select(F.col("doc_id").alias("s_id"), F.col("digest").alias("s_digest")).distinct()
-    several = rows.join(often, same, "left_semi").withColumn("digest", _digest()(F.col(f"row.`{text}`").cast("string")))
     several = several.join(stays, id_.eqNullSafe(F.col("s_id")) & (F.col("digest") == F.col("s_digest")), "left_semi")
     several = several.groupBy(id_.alias("id"), "digest").agg(F.min_by("row", F.xxhash64(F.to_json("row"))).alias("row"))
-    return rows.join(once, same, "left_semi").union(several.select("row")).select("row.*")
+    return unique.union(several.select("row")).select("row.*")
