@@ -56,12 +56,22 @@ class Staging:
         path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def read_table(spark: SparkSession, path: str, schema: T.StructType | str, required: tuple[str, ...] = ()) -> DataFrame:
-    """A CSV table with a header; blanks are null. Columns that ``required`` names must stand in the header."""
+def read_table(spark: SparkSession, path: str, schema: T.StructType | str, required: tuple[str, ...] = (), exact: bool = False, filled: bool = False) -> DataFrame:
+    """A CSV table with a header; blanks are null.
+
+    Columns that ``required`` names must stand in the header, with ``exact`` those of the schema
+    in its order and no others; with ``filled`` a table without rows is refused.
+    """
+    schema = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
     header = spark.read.option("header", True).csv(path).columns
     if missing := [c for c in required if c not in header]:
         raise Unfit(f"{path}: missing columns {missing}")
-    return spark.read.schema(schema).option("header", True).option("encoding", "UTF-8").option("enforceSchema", False).csv(path)
+    if exact and header != schema.names:
+        raise Unfit(f"{path}: columns {header} are not {schema.names}")
+    out = spark.read.schema(schema).option("header", True).option("encoding", "UTF-8").option("enforceSchema", False).csv(path)
+    if filled and out.isEmpty():
+        raise Unfit(f"{path}: no rows")
+    return out
 
 
 def ordered(df: DataFrame, order: tuple[str, ...], partitions: int | None = None) -> DataFrame:

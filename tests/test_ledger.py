@@ -247,6 +247,17 @@ def test_tables_are_written_in_their_orders(spark, tmp_path):
     assert [x["kind"] for x in R.violations(spark.createDataFrame([], "date date, daily_rate_percent decimal(18,6), source_series string")).collect()] == ["no_rates"]
 
 
+@pytest.mark.parametrize("name", sorted(tables.ORDERS))
+def test_orders_of_all_tables(spark, name):
+    import random
+
+    order, r = tables.ORDERS[name], random.Random(5)
+    names = [c.lstrip("-") for c in order]
+    df = spark.createDataFrame([tuple(r.randrange(4) for _ in names) for _ in range(60)], ", ".join(f"{c} int" for c in names))
+    got = [tuple(x) for x in tables.ordered(df, order, 3).collect()]
+    assert got == sorted(got, key=lambda x: tuple(-v if c.startswith("-") else v for c, v in zip(order, x))) and len(got) == 60
+
+
 @pytest.mark.parametrize(
     "account, posted, memo, want",
     [
@@ -333,7 +344,9 @@ def test_tables_at_the_edges(spark, tmp_path):
     tables.write_table(df, f"{tmp_path}/out", ("n", "tags"), "csv")
     back = tables.read_table(spark, f"{tmp_path}/out", "n int, tags string", ("n",)).first()
     assert tuple(back) == (1, "a;b")
-    for broken in (lambda: tables.write_table(df.limit(0), f"{tmp_path}/no"), lambda: tables.write_table(df, f"{tmp_path}/no", ("n",)), lambda: tables.read_table(spark, f"{tmp_path}/out", "n int, tags string", ("x",)), lambda: tables.require_empty(df)):
+    assert tables.read_table(spark, f"{tmp_path}/out", "n int, tags string", exact=True, filled=True).count() == 1
+    (tmp_path / "none.csv").write_text("n,tags\n")
+    for broken in (lambda: tables.read_table(spark, f"{tmp_path}/out", "n int", exact=True), lambda: tables.read_table(spark, f"{tmp_path}/none.csv", "n int, tags string", filled=True), lambda: tables.write_table(df.limit(0), f"{tmp_path}/no"), lambda: tables.write_table(df, f"{tmp_path}/no", ("n",)), lambda: tables.read_table(spark, f"{tmp_path}/out", "n int, tags string", ("x",)), lambda: tables.require_empty(df)):
         with pytest.raises(tables.Unfit):
             broken()
 
