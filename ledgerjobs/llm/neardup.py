@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Workspace, packed
+from .common import Workspace
 
 UPPER, LOWER = b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz"
 _FOLD = bytes.maketrans(UPPER, LOWER)
@@ -350,15 +350,16 @@ def one_of_each(docs: DataFrame, **options) -> DataFrame:
     groups = near_dedup(docs, digests=True, **options)
     ids = groups.groupBy(F.col("doc_id").alias("k_id")).agg(F.count("*").alias("n"), F.max("kept").alias("some"))
     ids = space.stage(ids.where("some").select("k_id", "n"), "kept")
-    rows, id_ = packed(docs), F.col(f"row.`{doc_id}`").cast("long")
-    same = id_.eqNullSafe(F.col("k_id"))
+    # the id and the text beside the packed row: conditions on fields of a struct mislead the optimizer
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(doc_id).cast("long").alias("row_id"), F.col(text).cast("string").alias("row_text"))
+    same = F.col("row_id").eqNullSafe(F.col("k_id"))
     once, often = ids.where("n = 1").select("k_id"), ids.where("n > 1").select("k_id")
-    unique = rows.join(once, same, "left_semi")
+    unique = rows.join(once, same, "left_semi").select("row")
     if often.isEmpty():
         return unique.select("row.*")
     # written first, as else the texts of all rows would be digested and moved
-    several = space.stage(rows.join(often, same, "left_semi"), "several").withColumn("digest", _digest()(F.col(f"row.`{text}`").cast("string")))
+    several = space.stage(rows.join(often, same, "left_semi"), "several").withColumn("digest", _digest()("row_text"))
     stays = groups.where("kept").join(often, F.col("doc_id").eqNullSafe(F.col("k_id")), "left_semi").select(F.col("doc_id").alias("s_id"), F.col("digest").alias("s_digest")).distinct()
-    several = several.join(stays, id_.eqNullSafe(F.col("s_id")) & (F.col("digest") == F.col("s_digest")), "left_semi")
-    several = several.groupBy(id_.alias("id"), "digest").agg(F.min_by("row", F.xxhash64(F.to_json("row"))).alias("row"))
+    several = several.join(stays, F.col("row_id").eqNullSafe(F.col("s_id")) & (F.col("digest") == F.col("s_digest")), "left_semi")
+    several = several.groupBy("row_id", "digest").agg(F.min_by("row", F.xxhash64(F.to_json("row"))).alias("row"))
     return unique.union(several.select("row")).select("row.*")
