@@ -188,56 +188,55 @@ def memo_columns(rows: DataFrame, memo: str = "memo_raw") -> DataFrame:
     return rows.withColumn("memo_text", strip(F.coalesce(memo, F.lit("")))).withColumn("memo_words", F.split("memo_text", r"\s+"))
 
 
-def counterparty(layout: Column, name: Column, memo: Column, words: Column) -> Column:
-    """struct(display, id_hash): who the money went to or came from; id_hash only for received transfers that begin with a number.
+def with_counterparty(rows: DataFrame, layout: Column) -> DataFrame:
+    """Adds channel and party, struct(display, id_hash): how the money moved, and who it went to or came from.
 
-    ``memo`` and ``words`` are those of ``memo_columns``.
+    id_hash is for received transfers that begin with a number only. Steps are columns of their
+    own, so that the generated code does not repeat the ones before.
     """
-    timed = begins_with_time(words)
-    body = F.when(timed, without_first(memo, 2)).otherwise(memo)
-    candidate = F.coalesce(blank_to_null(body), name)
-    number = F.when(timed, word(words, 3)).otherwise(word(words, 1))
-    only_digits = (F.translate(number, "0123456789", "") == "") & F.length(number).between(11, 14)
-    is_numbered = (name == "Pix - Recebido") & only_digits & (F.size(words) > F.when(timed, 3).otherwise(1))
-    bare = F.coalesce(blank_to_null(F.ltrim(number, F.lit("0"))), F.lit("0"))
-    id_hash = F.when((layout == "bb") & is_numbered, F.substring(F.sha2(bare, 256), 1, 12)).otherwise("")
-    named = F.when(is_numbered, without_first(candidate, 1)).otherwise(candidate)
+    c = F.col
+    words, memo, name = c("memo_words"), c("memo_text"), c("name_text")
+    read = memo_columns(rows).withColumn("name_text", strip(F.coalesce("name_raw", F.lit(""))))
+    read = read.withColumns({"of_layout": layout, "timed": begins_with_time(words), "dayed": ends_with_day(words), "second": word(words, 2), "third": word(words, 3)})
+    read = read.withColumns(
+        {
+            "channel": channel(c("of_layout"), name, memo),
+            "body": F.when(c("timed"), without_first(memo, 2)).otherwise(memo),
+            "number": F.when(c("timed"), c("third")).otherwise(word(words, 1)),
+            "value": F.when(c("dayed"), strip(F.regexp_replace(memo, r"[0-9]{2}\s+[0-9]{2}$", ""))).otherwise(memo),
+        }
+    )
+    only_digits = (F.translate("number", "0123456789", "") == "") & F.length("number").between(11, 14)
+    numbered = (name == "Pix - Recebido") & only_digits & (F.size(words) > F.when(c("timed"), 3).otherwise(1))
+    read = read.withColumns({"candidate": F.coalesce(blank_to_null(c("body")), name), "numbered": numbered})
+    bare = F.coalesce(blank_to_null(F.ltrim(c("number"), F.lit("0"))), F.lit("0"))
+    id_hash = F.when((c("of_layout") == "bb") & c("numbered"), F.substring(F.sha2(bare, 256), 1, 12)).otherwise("")
+    read = read.withColumns({"named": F.when(c("numbered"), without_first(c("candidate"), 1)).otherwise(c("candidate")), "id_hash": id_hash})
     bb = (
         F.when(name == SWEEP_NAME, SWEEP_NAME)
         .when(name.isin(*MEMO_AS_PARTY), F.coalesce(blank_to_null(memo), name))
-        .otherwise(F.coalesce(blank_to_null(named), blank_to_null(name), F.lit(NO_COUNTERPARTY)))
+        .otherwise(F.coalesce(blank_to_null(c("named")), blank_to_null(name), F.lit(NO_COUNTERPARTY)))
     )
-    # layout itau: a day at the end goes, then what the bank puts before the party
-    value = F.when(ends_with_day(words), strip(F.regexp_replace(memo, r"[0-9]{2}\s+[0-9]{2}$", ""))).otherwise(memo)
-    banks = F.translate(F.concat(word(words, 2), word(words, 3)), "0123456789", "") == ""
-    heads = F.when(F.upper(memo).startswith("TED "), F.when(banks, without_first(value, 3)).otherwise(value))
+    # layout itau: what the bank puts before the party goes
+    banks = F.translate(F.concat("second", "third"), "0123456789", "") == ""
+    other = F.when(F.upper(memo).startswith("TED "), F.when(banks, without_first(c("value"), 3)).otherwise(c("value")))
     for prefix in PARTY_PREFIXES:
-        heads = heads.when(F.upper(memo).startswith(prefix), strip(F.substr(value, F.lit(len(prefix) + 1))))
-    other = heads.otherwise(F.coalesce(blank_to_null(value), F.lit(NO_COUNTERPARTY)))
-    return F.struct(F.when(layout == "bb", bb).otherwise(other).alias("display"), id_hash.alias("id_hash"))
+        other = other.when(F.upper(memo).startswith(prefix), strip(F.substr(c("value"), F.lit(len(prefix) + 1))))
+    other = other.otherwise(F.coalesce(blank_to_null(c("value")), F.lit(NO_COUNTERPARTY)))
+    read = read.withColumn("party", F.struct(F.when(c("of_layout") == "bb", bb).otherwise(other).alias("display"), c("id_hash")))
+    return read.drop("memo_text", "memo_words", "name_text", "of_layout", "timed", "dayed", "second", "third", "body", "number", "value", "candidate", "numbered", "named", "id_hash")
 
 
 def group_id(chan: Column, key: Column) -> Column:
     return F.substring(F.sha2(F.concat(chan, F.lit("\0"), key), 256), 1, 20)
 
 
-def operation_date(layout: Column, posting: Column, words: Column, most_days: int = 4) -> Column:
-    """struct(value, source, lag): the day a memo names, if at most ``most_days`` before posting, else the posting day.
-
-    Only the posting year and the one before can hold such a day; days that do not exist are null.
-    """
+def memo_day(layout: Column, words: Column) -> Column:
+    """struct(day, month) that a memo names, two digits each, null without them: at its beginning in layout bb, at its end in layout itau."""
     of_bb, of_itau = (layout == "bb") & begins_with_time(words), (layout == "itau") & ends_with_day(words)
-    day = F.when(of_bb, F.left(word(words, 1), F.lit(2))).when(of_itau, F.right(word(words, -2), F.lit(2)))
-    month = F.when(of_bb, F.right(word(words, 1), F.lit(2))).when(of_itau, word(words, -1))
-
-    def on(year: Column) -> Column:
-        date = F.try_to_date(F.concat_ws("-", year.cast("string"), month, day), "yyyy-MM-dd")
-        return F.when(F.date_diff(date, posting).between(-most_days, 0), date)
-
-    found = F.when(day.isNotNull(), F.coalesce(on(F.year(posting)), on(F.year(posting) - 1)))
-    source = F.when(found.isNull(), "posting_date").when(layout == "bb", "bb_memo_prefix").otherwise("itau_memo_suffix")
-    value = F.coalesce(found, posting)
-    return F.struct(value.alias("value"), source.alias("source"), F.date_diff(value, posting).alias("lag"))
+    first = word(words, 1)
+    day = F.when(of_bb, F.left(first, F.lit(2))).when(of_itau, F.right(word(words, -2), F.lit(2)))
+    return F.struct(day.alias("day"), F.when(of_bb, F.right(first, F.lit(2))).when(of_itau, word(words, -1)).alias("month"))
 
 
 def to_units(cents: Column) -> Column:

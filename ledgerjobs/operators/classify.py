@@ -21,9 +21,7 @@ MATCH_TYPES = ("group_id", "channel", "counterparty_key")
 def identify(rows: DataFrame) -> DataFrame:
     """Adds channel, counterparty_key, counterparty_display and group_id; texts are normalised once per distinct display."""
     layout = F.col("layout") if "layout" in rows.columns else X.layout_of(F.col("account_id"))
-    read = X.memo_columns(rows).withColumn("name_text", X.strip(F.coalesce("name_raw", F.lit(""))))
-    party = X.counterparty(layout, F.col("name_text"), F.col("memo_text"), F.col("memo_words"))
-    known = read.withColumn("channel", X.channel(layout, F.col("name_text"), F.col("memo_text"))).withColumn("party", party).drop("name_text", "memo_text", "memo_words")
+    known = X.with_counterparty(rows, layout)
     displays = known.select(F.col("party.display").alias("d")).distinct().withColumn("normal", normalize("d"))
     keyed = known.join(displays, F.col("party.display") == F.col("d"), "left")
     key = F.when(F.col("party.id_hash") != "", F.concat(F.lit("ID "), "party.id_hash")).otherwise(F.col("normal"))
