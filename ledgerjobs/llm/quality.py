@@ -49,6 +49,23 @@ def _ids(text: str | None, words: _Words) -> np.ndarray:
     return np.fromiter(map(words.__getitem__, tokens), dtype=np.int32, count=len(tokens))
 
 
+def add_neighbours(total: np.ndarray, texts: list[np.ndarray], index: np.ndarray, step: int = 32_768) -> None:
+    """Adds to the row of each word of ``texts`` the index vectors of the words one and two places away.
+
+    The last row of ``index`` is zero: that word stands between texts.
+    """
+    between = np.full(2, len(index) - 1, dtype=np.int32)
+    row = np.concatenate([between, *(part for ids in texts for part in (ids, between))])
+    for low in range(2, len(row) - 2, step):
+        high = min(low + step, len(row) - 2)
+        # sums of four entries of -1, 0 or 1, then of up to ``step`` of those: neither overflows
+        near = index[row[low - 2 : high - 2]] + index[row[low - 1 : high - 1]] + index[row[low + 1 : high + 1]] + index[row[low + 2 : high + 2]]
+        order = np.argsort(row[low:high], kind="stable")
+        word = row[low:high][order]
+        first = np.flatnonzero(np.concatenate([[True], word[1:] != word[:-1]]))
+        total[word[first]] += np.add.reduceat(near[order].astype(np.int32), first, axis=0)
+
+
 def context_vectors(docs: DataFrame, space: Space, *, text: str = "text", block: int = 512) -> np.ndarray:
     """Sum, over all occurrences of each word bucket in all texts, of the index vectors one and two words away.
 
@@ -56,35 +73,24 @@ def context_vectors(docs: DataFrame, space: Space, *, text: str = "text", block:
     are summed in groups of 64 tasks at a time, so no group grows with the input. What comes to
     the driver is one matrix of fixed size. Integer sums do not depend on the partitioning.
     """
+    index = np.concatenate([space.index_vectors(), np.zeros((1, space.dim), dtype=np.int8)])
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyspark import TaskContext
 
-        words = _Words(space.buckets)
-        beside = np.zeros(space.buckets * space.buckets, dtype=np.int64)
-
-        def add_up(pairs: list[np.ndarray]) -> None:
-            at, n = np.unique(np.concatenate(pairs), return_counts=True)
-            beside[at] += n
-
+        words, total = _Words(space.buckets), np.zeros((space.buckets + 1, space.dim), dtype=np.int64)
         for batch in batches:
-            pairs, size = [], 0
+            some, size = [], 0
             for text in batch["text"]:
                 ids = _ids(text, words)
-                for lag in (1, 2):
-                    pairs.append(ids[:-lag] * np.int32(space.buckets) + ids[lag:])
+                some.append(ids)
                 size += len(ids)
-                if size > 1_000_000:
-                    add_up(pairs)
-                    pairs, size = [], 0
-            if pairs:
-                add_up(pairs)
-        beside = beside.reshape(space.buckets, space.buckets)
-        index, sums = space.index_vectors().astype(np.float64), []
-        for i in range(0, space.buckets, block):
-            both = beside[i : i + block] + beside[:, i : i + block].T
-            sums.append(np.rint(both.astype(np.float64) @ index).astype(np.int64).tobytes())
+                if size > 200_000:
+                    add_neighbours(total, some, index)
+                    some, size = [], 0
+            add_neighbours(total, some, index)
         part = TaskContext.get().partitionId()
+        sums = [total[i : i + block].tobytes() for i in range(0, space.buckets, block)]
         yield pd.DataFrame({"part": part, "block": np.arange(space.buckets // block), "sums": sums})
 
     def add(frame: pd.DataFrame) -> pd.DataFrame:
