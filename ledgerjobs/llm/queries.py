@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, html, licenses, mixing, neardup, preferences, quality, recipes, secrets, sharding
+from . import codes, decontamination, html, licenses, mixing, neardup, preferences, quality, recipes, secrets, sharding, tokens, whitening
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -54,6 +54,20 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(table(spark, sf_dir, "documents"))
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return codes.compress(table(spark, sf_dir, "embeddings"))
+
+
+def op13_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return tokens.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -73,6 +87,9 @@ QUERIES = {
         op8_near_dedup,
         op9_exact_dedup,
         op10_sharding,
+        op11_whitening,
+        op12_vector_codes,
+        op13_token_counts,
         pipeline,
     )
 }
@@ -163,4 +180,31 @@ _EXACT_SQL = r"""
     k AS (SELECT text_sha256, count(*) AS group_size, (arg_min(struct_pack(i := doc_id), struct_pack(a := -cp, b := doc_id IS NULL, c := coalesce(doc_id, 0)))).i AS keep_id FROM n GROUP BY text_sha256)
     SELECT doc_id, keep_id, group_size, doc_id IS NOT DISTINCT FROM keep_id AS kept, text_sha256 FROM n JOIN k USING (text_sha256)"""
 
-SQL = {"op2_chat_format": _CHAT_SQL, "op6_mixing": _MIX_SQL, "op7_licenses": _licenses_sql(), "op9_exact_dedup": _EXACT_SQL}
+
+
+def _codes_sql(parts: int = 4, width: int = 16, entries: int = 256, rounds: int = 4) -> str:
+    """For vectors of ``parts`` times ``width`` entries."""
+    steps = [
+        rf"""k AS MATERIALIZED (SELECT row_number() OVER () AS r, vec_id, label, list_transform(embedding, lambda c: floor(1024 * CAST(c AS DOUBLE))) AS x FROM embeddings
+             WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0),
+        p AS MATERIALIZED (SELECT r, vec_id, part, x[part * {width} + 1 : part * {width} + {width}] AS v, list_inner_product(v, v) AS vv FROM k, range({parts}) t(part)),
+        b0 AS MATERIALIZED (SELECT part, row_number() OVER (PARTITION BY part ORDER BY vec_id) - 1 AS e, v FROM p QUALIFY e < {entries})"""
+    ]
+    for n in range(rounds + 1):
+        steps.append(
+            rf"""a{n} AS MATERIALIZED (SELECT r, p.part, min({{'d': vv - 2 * list_inner_product(p.v, b.v) + list_inner_product(b.v, b.v), 'e': b.e}}) AS best FROM p JOIN b{n} b USING (part) GROUP BY ALL)"""
+        )
+        if n < rounds:
+            steps.append(
+                rf"""m{n} AS (SELECT part, best.e AS e, unnest(v) AS c, generate_subscripts(v, 1) AS i FROM a{n} JOIN p USING (r, part)),
+        b{n + 1} AS MATERIALIZED (SELECT part, e, coalesce(m.v, b{n}.v) AS v FROM b{n} LEFT JOIN (
+            SELECT part, e, list(c ORDER BY i) AS v FROM (SELECT part, e, i, floor(sum(c) / count(*)) AS c FROM m{n} GROUP BY ALL) GROUP BY ALL) m USING (part, e))"""
+            )
+    return rf"""
+        WITH {", ".join(steps)},
+        books AS (SELECT sha256(string_agg(CAST(CAST(c AS BIGINT) AS VARCHAR), ',' ORDER BY part, e, i)) AS codebooks_sha256 FROM (SELECT part, e, unnest(v) AS c, generate_subscripts(v, 1) AS i FROM b{rounds})),
+        coded AS (SELECT r, string_agg(printf('%02x', best.e), '' ORDER BY part) AS code, CAST(sum(best.d) AS BIGINT) AS error FROM a{rounds} GROUP BY r)
+        SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256 FROM k JOIN coded USING (r), books"""
+
+
+SQL = {"op2_chat_format": _CHAT_SQL, "op6_mixing": _MIX_SQL, "op7_licenses": _licenses_sql(), "op9_exact_dedup": _EXACT_SQL, "op12_vector_codes": _codes_sql()}
