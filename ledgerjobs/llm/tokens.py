@@ -76,6 +76,23 @@ class Vocabulary:
         return cls([(raw(a), raw(b)) for a, b in pairs], tuple(t["content"] for t in data["added_tokens"]), classes, str(path))
 
 
+class _Units(dict):
+    """Steps of units met before: of two rounds of up to ``most``, so that what comes often stays."""
+
+    def __init__(self, counter: Prefixes, most: int):
+        super().__init__()
+        self.counter, self.most, self.older = counter, most, {}
+
+    def __missing__(self, unit: str) -> bytes:
+        found = self.older.get(unit) or self.counter.steps_of_unit(unit)
+        if len(unit) <= 32:  # longer ones hardly come again
+            if len(self) >= self.most:
+                self.older = dict(self)
+                self.clear()
+            self[unit] = found
+        return found
+
+
 class Prefixes:
     """Counts tokens at every prefix.
 
@@ -85,7 +102,7 @@ class Prefixes:
     which the halves along the border and the ranks of their merges tell.
     """
 
-    def __init__(self, vocabulary: Vocabulary, most: int = 300_000):
+    def __init__(self, vocabulary: Vocabulary, most: int = 200_000):
         self.bytes = [bytes([b]) for b in range(256)] + [a + b for a, b in vocabulary.merges]
         number = {t: i for i, t in enumerate(self.bytes)}
         self.left, self.right, self.pairs = list(range(256)), list(range(256)), {}
@@ -93,7 +110,7 @@ class Prefixes:
             self.left.append(number[a])
             self.right.append(number[b])
             self.pairs.setdefault((number[a], number[b]), i)
-        self.fit: dict[tuple[int, int], bool] = {}
+        self.fit: dict[int, bool] = {}
         whole = [True] * 256
         for i in range(256, len(self.bytes)):
             whole.append(number[self.bytes[i]] == i and whole[self.left[i]] and whole[self.right[i]] and self._apart(self.left[i], self.right[i], i))
@@ -102,7 +119,7 @@ class Prefixes:
             if whole[i]:  # others are never the encoding of their own bytes
                 self.suffixes.add_word(t.decode("latin-1"), (i, len(t)))
         self.suffixes.make_automaton()
-        self.most, self.units = most, {}
+        self.most, self.units = most, _Units(self, most)
         self.blanks = re.compile(f"[{vocabulary.classes['S']}]*")
         self.unit, self.wide_unit = (self._pattern(*(vocabulary.classes[k] for k in "SLN"), most) for most in (0xFFFF, 0x10FFFF))
         self.specials = sorted(vocabulary.special, key=lambda s: (-len(s), s))
@@ -129,32 +146,31 @@ class Prefixes:
             else:
                 b, begins = self.left[b], b
 
-    def counts(self, word: bytes) -> list[int]:
-        """Tokens of ``word[:j]`` for each j, as one piece."""
+    def counts(self, word: str) -> list[int]:
+        """Tokens of the first j bytes for each j, as one piece; ``word`` has a Latin-1 character for each byte."""
         n = len(word)
         count, last, fit = [0] * (n + 1), [-1] * (n + 1), self.fit
-        for end, (token, size) in self.suffixes.iter(word.decode("latin-1")):
-            j = end + 1
-            i = j - size
-            if last[j] >= 0:
+        for end, (token, size) in self.suffixes.iter(word):
+            if last[end + 1] >= 0:
                 continue
+            i = end + 1 - size
             if i:
-                pair = (last[i], token)
-                ok = fit.get(pair)
-                if ok is None:
-                    if len(fit) > 2_000_000:
+                pair = last[i] << 24 | token
+                if pair not in fit:
+                    if len(fit) >= self.most:
                         fit.clear()
-                    ok = fit[pair] = self._apart(*pair)
-                if not ok:
+                    fit[pair] = self._apart(last[i], token)
+                if not fit[pair]:
                     continue
-            last[j], count[j] = token, count[i] + 1
+            last[end + 1], count[end + 1] = token, count[i] + 1
         return count
 
     def _ends(self, piece: str) -> list[int]:
         """Tokens of ``piece[:j]`` for each j in code points, as one piece."""
-        raw = piece.encode()
-        count = self.counts(raw)
-        return count if len(raw) == len(piece) else [count[j] for j in accumulate((len(c.encode()) for c in piece), initial=0)]
+        if piece.isascii():
+            return self.counts(piece)
+        count = self.counts(piece.encode().decode("latin-1"))
+        return [count[j] for j in accumulate((len(c.encode()) for c in piece), initial=0)]
 
     def steps_of_unit(self, unit: str) -> bytes:
         """Steps within blanks and the word after them, which no prefix cuts apart from the rest of the text.
@@ -165,6 +181,8 @@ class Prefixes:
         """
         n = self.blanks.match(unit).end()
         blanks, word = unit[:n], unit[n:]
+        if blanks == " " or not n and word not in CONTRACTIONS:  # nearly all
+            return self._packed(self._ends(unit))
         counts = self._ends(blanks)
         if word:
             base = (counts[n - 1] if n else 0) + (self._ends(blanks[-1])[1] if n and blanks[-1] != " " else 0)
@@ -172,21 +190,15 @@ class Prefixes:
             if word in CONTRACTIONS and blanks[-1:] != " ":
                 ends = [1, *(1 + c for c in self._ends(word[1:])[1:-1]), ends[-1]]
             counts += [base + c for c in ends]
-        return struct.pack(f"<{len(unit)}h", *(b - a for a, b in pairwise(counts)))
-
-    def __getitem__(self, unit: str) -> bytes:
-        found = self.units.get(unit)
-        if found is None:
-            found = self.steps_of_unit(unit)
-            if len(unit) <= 64:  # longer ones hardly come again
-                if len(self.units) >= self.most:
-                    self.units.clear()
-                self.units[unit] = found
-        return found
+        return self._packed(counts)
+
+    @staticmethod
+    def _packed(counts: list[int]) -> bytes:
+        return struct.pack(f"<{len(counts) - 1}h", *(b - a for a, b in pairwise(counts)))
 
     def _plain(self, text: str) -> bytes:
         narrow = text.isascii() or len(text.encode("utf-16-le")) == 2 * len(text)
-        return b"".join(map(self.__getitem__, (self.unit if narrow else self.wide_unit).findall(text)))
+        return b"".join(map(self.units.__getitem__, (self.unit if narrow else self.wide_unit).findall(text)))
 
     def steps(self, text: str) -> bytes:
         """By how much the number of tokens changes with each code point of ``text``.
@@ -237,9 +249,11 @@ def prefix_counts(docs: DataFrame, path: str, *, doc_id: str = "doc_id", text: s
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         count = _prefixes(shared)
         for batch in batches:
-            steps = [count.steps(t) if t else b"" for t in batch["text"]]
-            size = [int(np.frombuffer(s, STEP).sum(dtype=np.int64)) for s in steps]
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "n_bytes": batch["n_bytes"], "n_chars": [len(s) // STEP.itemsize for s in steps], "n_tokens": size, "steps": steps})
+            for at in range(0, len(batch), 256):
+                part = batch[at : at + 256]
+                steps = [count.steps(t) if t else b"" for t in part["text"]]
+                size = [int(np.frombuffer(s, STEP).sum(dtype=np.int64)) for s in steps]
+                yield pd.DataFrame({"doc_id": part["doc_id"].to_numpy(), "n_bytes": part["n_bytes"].to_numpy(), "n_chars": [len(s) // STEP.itemsize for s in steps], "n_tokens": size, "steps": steps})
 
     body = F.coalesce(F.col(text).cast("string"), F.lit(""))
     slim = docs.select(F.col(doc_id).cast("string").alias("doc_id"), F.octet_length(body).cast("long").alias("n_bytes"), body.alias("text"))
