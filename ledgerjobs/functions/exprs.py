@@ -57,37 +57,41 @@ def layout_of(account_id: Column) -> Column:
     return F.when(account_id == BB_ACCOUNT, "bb").when(account_id == ITAU_ACCOUNT, "itau").otherwise("other")
 
 
+#: What Unicode counts as white space.
+BLANKS = "\t\n\x0b\x0c\r \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
+
+
 def strip(c: Column) -> Column:
-    return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+    return F.trim(c, F.lit(BLANKS))
 
 
 def blank_to_null(c: Column) -> Column:
     return F.when(c != "", c)
 
 
-def raw_field(text: Column, name: str) -> Column:
-    """What follows the first tag of that name (any prefix, any case), blanks skipped, up to the next tag or line end; empty without one."""
-    after = F.try_element_at(F.split(text, rf"(?i)<(?:[\w.-]+:)?{name}>", 2), F.lit(2))
-    value = F.regexp_replace(after, r"^\s+", "")
-    for end in ("<", "\n", "\r"):
-        value = F.substring_index(value, end, 1)
-    return F.coalesce(strip(value), F.lit(""))
+def without_prefixes(text: Column) -> Column:
+    """The text with tags bare of namespace prefixes."""
+    return F.regexp_replace(text, r"(?<=<|</)[^<>/:\s]*:", "")
 
 
-def tag_fields(block: Column) -> Column:
-    """array<struct<name, value>> of all tags of a block in order: the block is cut at each ``<``; names in upper case without prefix, values to the line's end."""
+def ascii_upper(text: Column) -> Column:
+    """ASCII letters in upper case; nothing else changes, so places stay the same."""
+    low = "abcdefghijklmnopqrstuvwxyz"
+    return F.when(text.rlike(r"[^\x00-\x7F]"), F.translate(text, low, low.upper())).otherwise(F.upper(text))
 
-    def one(piece: Column) -> Column:
-        tag = F.substring_index(piece, ">", 1)
-        value = F.regexp_replace(F.substr(piece, F.length(tag) + 2), r"^\s+", "")
-        return F.struct(F.upper(F.substring_index(tag, ":", -1)).alias("name"), strip(F.substring_index(F.substring_index(value, "\n", 1), "\r", 1)).alias("value"))
 
-    return F.transform(F.split(block, "<"), one)
+def field_of(text: Column, upper: Column, name: Column) -> Column:
+    """Value of the first tag of that name (``upper`` is the text in upper case), null without one: it begins after the tag and blanks, and goes to the next tag or the line's end."""
+    tag = F.concat(F.lit("<"), name, F.lit(">"))
+    value = F.ltrim(F.substr(text, F.nullif(F.position(tag, upper), F.lit(0)) + F.length(tag)), F.lit(" \t\r\n\x0b\x0c"))
+    for end in ("<", "\n", "\r"):
+        value = F.substring_index(value, end, 1)
+    return strip(value)
 
 
-def field_of(fields: Column, name: str) -> Column:
-    """Value of the first tag of that name; empty without one."""
-    return F.coalesce(F.get(F.filter(fields, lambda f: f["name"] == name), F.lit(0))["value"], F.lit(""))
+def fields_of(text: Column, upper: Column, wanted: tuple[str, ...]) -> Column:
+    """Values of the first tags of those names, in their order; one expression for all, which keeps the generated code small."""
+    return F.transform(F.array(*map(F.lit, wanted)), lambda n: field_of(text, upper, n))
 
 
 def statement_date(value: Column) -> Column:

@@ -90,14 +90,20 @@ class Jobs:
     def _accounts(self):
         return accounts(self.v.ledger)
 
+    def _contents(self):
+        return files(self.v)
+
     def _files(self):
-        return S.identified(S.with_account(files(self.v), self.get("accounts")))
+        return S.with_account(S.identified(S.digested(self.get("contents"))), self.get("accounts"))
 
     def _parsed(self):
-        return S.parse(self.get("files"))
+        return S.parse(S.records_of(self.get("contents")))
+
+    def _statements(self):
+        return S.statements(self.get("files"), self.get("parsed"))
 
     def _statement_rows(self):
-        return S.transactions(self.get("parsed"))
+        return S.transactions(self.get("parsed"), self.get("statements"))
 
     def _derived(self):
         """Classified rows with their operation dates: what metrics are made of when natures come from rules."""
@@ -107,7 +113,11 @@ class Jobs:
         return S.canonical(self.get("statement_rows"))
 
     def _read_snapshots(self):
-        return S.snapshots(self.get("parsed"))
+        return S.snapshots(self.get("statements"))
+
+    def read(self) -> Jobs:
+        """Each file's content, record and header written once: contents are read from there for digests and for records."""
+        return self.kept("contents", "files", "parsed", "statements")
 
 
 def _query(make):
@@ -137,8 +147,7 @@ def _event_flows(j: Jobs) -> DataFrame:
 
 
 def _inventory(j: Jobs) -> DataFrame:
-    j.kept("files", "parsed")
-    return S.inventory(j.get("files"), j.get("parsed"), j.get("statement_rows")).drop("source_sha256", "file_size_bytes")
+    return S.inventory(j.read().get("files"), j.get("statements"), j.get("statement_rows"))
 
 
 def _source_checks(j: Jobs) -> DataFrame:
@@ -146,9 +155,10 @@ def _source_checks(j: Jobs) -> DataFrame:
     j.kept("accounts")
     known = j.get("accounts")
     every = j.v.staging.table(files(j.v).union(broken_files(known)), "every_file")
-    found = S.identified(S.with_account(every, shared_prefixes(known)))
-    parsed = j.v.staging.table(S.parse(found), "every_parsed")
-    return S.violations(found, parsed, S.transactions(parsed))
+    found = j.v.staging.table(S.with_account(S.identified(S.digested(every)), shared_prefixes(known)), "every_digest")
+    parsed = j.v.staging.table(S.parse(S.records_of(every)), "every_parsed")
+    heads = j.v.staging.table(S.statements(found, parsed), "every_statement")
+    return S.violations(found, heads, S.transactions(parsed, heads))
 
 
 def _knowledge(j: Jobs) -> DataFrame:
@@ -193,9 +203,9 @@ QUERIES = {
         "data_quality": lambda j: daily.data_quality(j.get("dated"), j.get("balances")),
         "anchor_checks": lambda j: daily.anchors(j.v.ledger, j.v.snapshots.where("year(balance_date) < 2000")),
         "source_inventory": _inventory,
-        "canonical_transactions": lambda j: j.kept("parsed").get("canonical").drop("source_sha256", "source_position", "source_file"),
+        "canonical_transactions": lambda j: j.read().get("canonical").drop("source_sha256", "source_position", "source_file"),
         "source_checks": _source_checks,
-        "statement_snapshots": lambda j: j.get("read_snapshots").drop("source_sha256"),
+        "statement_snapshots": lambda j: j.read().get("read_snapshots").drop("source_sha256"),
         "coverage_summary": lambda j: coverage.coverage_summary(j.v.ledger, j.v.snapshots),
         "reconciliation": lambda j: coverage.reconciliation(j.v.ledger, j.v.snapshots),
         "transactions_classified": lambda j: j.get("expanded").select("analytical_transaction_id", "parent_transaction_id", "amount_cents", "original_amount_cents", "is_allocation", "group_id", "channel", "counterparty_key", "counterparty_display", *C.DIMENSIONS, "classification_provenance"),

@@ -55,9 +55,14 @@ ENCODING:{enc}
 
 def read(spark, files, bank="1234"):
     accounts = spark.createDataFrame([("p", "acc", "bank", "acc", bank)], "portfolio_id string, account_id string, institution string, path_prefix string, expected_bank_id string")
-    f = S.identified(S.with_account(spark.createDataFrame(files, "source_file string, content binary"), accounts))
-    parsed = S.parse(f)
-    return f, parsed, S.transactions(parsed)
+    return parsed_files(spark.createDataFrame(files, "source_file string, content binary"), accounts)
+
+
+def parsed_files(files, accounts):
+    f = S.with_account(S.identified(S.digested(files)), accounts)
+    parsed = S.parse(S.records_of(files))
+    heads = S.statements(f, parsed)
+    return f, heads, S.transactions(parsed, heads)
 
 
 def test_statement_parses_in_both_encodings(spark):
@@ -92,9 +97,7 @@ def broken(text=STATEMENT.format(enc="UTF-8", fitid="A1"), **changes):
 def kinds(spark, files, accounts=None):
     accounts = accounts or [("p", "acc", "bank", "acc", "1234")]
     known = spark.createDataFrame(accounts, "portfolio_id string, account_id string, institution string, path_prefix string, expected_bank_id string")
-    f = S.identified(S.with_account(spark.createDataFrame(files, "source_file string, content binary"), known))
-    parsed = S.parse(f)
-    rows = S.transactions(parsed)
+    f, parsed, rows = parsed_files(spark.createDataFrame(files, "source_file string, content binary"), known)
     return sorted(tuple(r) for r in S.violations(f, parsed, rows).collect()), {r["source_file"]: r["status"] for r in S.inventory(f, parsed, rows).collect()}
 
 
@@ -127,9 +130,12 @@ def test_every_kind_of_unfit_source_is_named(spark):
 
 def test_blocks_end_as_the_format_allows(spark):
     text = "<stmttrn>a</stmttrn>x<X:STMTTRN k=1>b<STMTTRN>c</BANKTRANLIST>d<STMTTRN>cut off"
-    assert spark.range(1).select(S.blocks(F.lit(text)).alias("b")).first()["b"] == ["a", "b", "c"]
-    assert spark.range(1).select(S.blocks(F.lit("none")).alias("b")).first()["b"] == []
-    field = lambda t, n: spark.range(1).select(X.raw_field(F.lit(t), n).alias("f")).first()["f"]
+    for x in "abcd":
+        text = text.replace(f">{x}<", f"><NAME>{x}<")
+    _, heads, rows = read(spark, [("acc/a.ofx", text.encode()), ("acc/b.ofx", b"none"), ("acc/c.ofx", b"")])
+    assert [r["name_raw"] for r in rows.orderBy("source_position").collect()] == ["a", "b", "c"]
+    assert {r["source_file"]: (r["blocks"], r["decoded"]) for r in heads.collect()} == {"acc/a.ofx": (3, True), "acc/b.ofx": (0, True), "acc/c.ofx": (0, True)}
+    field = lambda t, n: spark.range(1).select(F.coalesce(X.field_of(X.without_prefixes(F.lit(t)), X.ascii_upper(X.without_prefixes(F.lit(t))), F.lit(n)), F.lit("")).alias("f")).first()["f"]
     assert (field("<ofx:name>\n  A b \r\n<MEMO>m", "NAME"), field("<NAME><MEMO>m", "NAME"), field("<MEMO>m", "NAME"), field("<NAMES>x<NAME>y", "NAME")) == ("A b", "", "", "y")
 
 
