@@ -69,3 +69,11 @@ def word_count(text: Column) -> Column:
 def spread(key: Column, buckets: int) -> Column:
     """Bucket of a lowercase hex digest: equal slices of its first eight digits, in their order."""
     return F.floor(F.conv(F.substring(key, 1, 8), 16, 10).cast("long") * F.lit(buckets) / F.lit(2**32)).cast("long")
+
+
+def one_by_one(df: DataFrame, count: str, nth: str, most: int) -> DataFrame:
+    """Each row as often as ``count`` says, numbered from 1; rows with more than ``most`` are dealt out in parts of that many."""
+    parts = F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col(count) - 1) / most)))
+    often, rare = df.where(F.col(count) > most).withColumn("part", parts).repartition("part"), df.where(F.col(count) <= most).withColumn("part", F.lit(0).cast("long"))
+    first = F.col("part") * most
+    return rare.unionByName(often).withColumn(nth, F.explode(F.sequence(first + 1, F.least(first + most, F.col(count))))).drop("part", count)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from hashlib import blake2b
 from zlib import crc32
 
 import numpy as np
@@ -11,6 +12,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import Workspace
+
 #: Fixed masks over token positions: 1 is hashed, 0 is ignored. Weight 6 each.
 MASKS = ("111111", "11011011", "1101010011", "10110010101")
 #: Further masks, without which the ones above miss some changed fifths in items of 10, 11, 15, 16 and 20 tokens.
@@ -20,14 +23,12 @@ HITS = "array<struct<item_id:long,start:int,matched:int,length:int>>"
 
 
 class _Ids(dict):
-    """64-bit numbers of tokens, remembered up to a bound."""
+    """64-bit numbers of tokens by a cryptographic hash, remembered up to a bound: equal numbers are taken for equal tokens."""
 
     def __missing__(self, token: str) -> int:
         if len(self) > 400_000:
             self.clear()
-        data = token.lower().encode("utf-8", "replace")
-        x = (crc32(data) | crc32(data, 0x9E3779B9) << 32) * 0xBF58476D1CE4E5B9 & (1 << 64) - 1
-        self[token] = x = x ^ x >> 29
+        self[token] = x = int.from_bytes(blake2b(token.lower().encode("utf-8", "replace"), digest_size=8).digest(), "little")
         return x
 
 
@@ -176,21 +177,39 @@ def hits_udf(bench: DataFrame, *, similarity: float = 0.8, window: int = 20, ite
     return hits
 
 
+def _seen(index: DataFrame) -> tuple[np.ndarray, int]:
+    """A bitmap of the seeds of ``index`` by their leading bits, and how far to shift a seed for its place.
+
+    Some eight places a seed, 2 ** 29 (64 MB) at most: however large the index, that is what comes to the driver and goes to tasks.
+    """
+    bits = min(29, max(12, (8 * index.count()).bit_length()))
+    place = F.shiftrightunsigned("seed", 64 - bits)
+    words = index.groupBy(F.shiftright(place, 6).alias("word")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(shiftrightunsigned(seed, {64 - bits}) & 63 as int))")).alias("set")).toPandas()
+    out = np.zeros(max(1, 1 << bits - 6), dtype=np.int64)
+    out[words["word"].to_numpy()] = words["set"].to_numpy()
+    return np.unpackbits(out.view(np.uint8), bitorder="little").view(bool), 64 - bits
+
+
 def _joined(docs: DataFrame, bench: DataFrame, similarity: float, window: int, masks) -> DataFrame:
     """(doc_id, text, rows, hits), ``rows`` being how often a document is repeated, for benchmarks too large for each task: seeds of both sides meet in a shuffle join."""
     index = index_items(bench, masks=masks)
     lengths = [m for m in masks] + [r[0] for r in index.where(~F.col("mask").isin(list(masks))).select("mask").distinct().collect()]
 
+    shared = docs.sparkSession.sparkContext.broadcast(_seen(index))
+
     def emit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         ids = _Ids()
+        bits, shift = shared.value
         for batch in batches:
             rows, size = [], 0
             for doc, body in zip(batch["doc_id"], batch["text"], strict=True):
                 numbers = _numbers(tokens_of(body), ids)
                 key = crc32(("" if body is None else body).encode("utf-8", "replace"))
                 for mask, found in seeds(numbers, lengths).items():
-                    rows.append((key, doc, mask, found.view(np.int64)))
-                    size += len(found)
+                    at = np.flatnonzero(bits[(found >> np.uint64(shift)).astype(np.int64)])
+                    if len(at):  # most seeds are in no item and stay here
+                        rows.append((key, doc, mask, found[at].view(np.int64), at.astype(np.int32)))
+                        size += len(at)
                 if size > 200_000:
                     yield frame(rows)
                     rows, size = [], 0
@@ -199,14 +218,19 @@ def _joined(docs: DataFrame, bench: DataFrame, similarity: float, window: int, m
     def frame(rows: list) -> pd.DataFrame:
         n = [len(r[3]) for r in rows]
         columns = {name: np.repeat(np.array([r[i] for r in rows], dtype=object), n) for i, name in enumerate(("text_key", "doc_id", "mask"))}
-        at = np.concatenate([np.arange(x, dtype=np.int32) for x in n]) if rows else np.empty(0, dtype=np.int32)
+        at = np.concatenate([r[4] for r in rows]) if rows else np.empty(0, dtype=np.int32)
         return pd.DataFrame({**columns, "seed": np.concatenate([r[3] for r in rows]) if rows else np.empty(0, dtype=np.int64), "at": at})
 
     slim = docs.select(F.col("doc_id").cast("string").alias("doc_id"), "text")
     mine = slim.mapInPandas(emit, "text_key long, doc_id string, mask string, seed long, at int").withColumn("doc_id", F.col("doc_id").cast("long"))
     # a text travels once for each item that it shares a seed with; its diagonals are at most its tokens and the item's
-    near = mine.join(index, ["mask", "seed"]).groupBy("doc_id", "text_key", "item_id").agg(F.collect_set(F.col("at") - F.col("pos")).alias("diagonals"))
-    texts = docs.select(F.col("doc_id").alias("t_id"), "text", F.crc32(F.coalesce("text", F.lit("")).cast("binary")).alias("t_key")).groupBy("t_id", "text", "t_key").agg(F.count("*").alias("rows"))
+    space = Workspace(docs.sparkSession)
+    near = space.stage(mine.join(index, ["mask", "seed"]).groupBy("doc_id", "text_key", "item_id").agg(F.collect_set(F.col("at") - F.col("pos")).alias("diagonals")), "near")
+    # of all texts only those with a seed in common are brought together
+    hit = near.select(F.col("doc_id").alias("h_id"), F.col("text_key").alias("h_key")).distinct()
+    keyed = docs.select(F.col("doc_id").alias("t_id"), "text", F.crc32(F.coalesce("text", F.lit("")).cast("binary")).alias("t_key"))
+    keyed = keyed.join(hit, F.col("t_id").eqNullSafe(F.col("h_id")) & (F.col("t_key") == F.col("h_key")), "left_semi")
+    texts = keyed.groupBy("t_id", "text", "t_key").agg(F.count("*").alias("rows"))
     items = bench.select(F.col("item_id").cast("long").alias("i_id"), F.col("text").alias("item_text")).distinct()
     near = near.join(items, F.col("item_id") == F.col("i_id"))
     matched = near.join(texts, F.col("t_id").eqNullSafe(F.col("doc_id")) & (F.col("t_key") == F.col("text_key"))).select("doc_id", "text", "rows", "item_id", "item_text", "diagonals")

@@ -7,7 +7,8 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Workspace, packed, spread, word_count
+from ..sources.tables import small
+from .common import Workspace, one_by_one, packed, spread, word_count
 
 
 def source_targets(sources: DataFrame, weights=(5, 2, 1), share: float = 1.5, max_repeats: int = 2) -> DataFrame:
@@ -56,11 +57,11 @@ def mix(
     finishes at ((n - 1) * source_size + words of its source up to and with it) / target; all
     copies of all sources stand in one queue by finish time, cut where the words reach the
     budget. Both running sums are taken over slices of the sorted range: sums by slice, then
-    rows within a slice, so a source with a third of all rows needs no task of its own.
+    rows within a slice, so neither a source nor an id with a third of all rows needs a task of its own.
 
     Null or empty texts have size 0 and take nothing; null sources are one source; documents
-    that tie in (md5, doc_id, size) are alike in every column returned; repeated rows count
-    each; an empty table gives an empty result. ``extra`` are further columns of ``docs`` to carry, which also break such ties.
+    that tie in (md5, doc_id, size) are alike in every column returned and counted before they
+    are sorted; an id that many rows share is sliced by size; repeated rows count each; an empty table gives an empty result. ``extra`` are further columns of ``docs`` to carry, which also break such ties.
     """
     space = Workspace(docs.sparkSession)
     extra = extra or {}
@@ -74,13 +75,18 @@ def mix(
         ),
         "sizes",
     )
+    # rows that tie in all of the order are one row with a count
+    base = space.stage(base.groupBy(*base.columns).agg(F.count("*").alias("rows")), "counted")
     n = base.count()
     slices = max(1, math.ceil(n / rows_per_bucket))
-    # rows without an id share one digest: they are told apart by size, which is their order, too
-    no_id = F.md5(F.lit("").cast("binary"))
-    part = F.when(F.col("doc_id").isNull(), 1 + F.least(F.col("size"), F.lit(10_000))).when(F.col("key") < no_id, 0).otherwise(20_000)
-    base = base.withColumn("slice", F.struct(spread(F.col("key"), slices).alias("of_key"), part.cast("int").alias("of_size")))
-    sums = space.stage(base.groupBy("source", "slice").agg(F.sum("size").alias("words")), "slices")
+    base = base.withColumn("of_key", spread(F.col("key"), slices))
+    # an id that fills a slice by itself is sliced by size, what lies before and after it in its slice is apart
+    often = base.groupBy("of_key", "key").count().where(F.col("count") > rows_per_bucket)
+    often = space.stage(often.groupBy("of_key").agg(F.sort_array(F.collect_list("key")).alias("often")), "often")
+    base = base.join(small(often), "of_key", "left")
+    at = F.coalesce(F.array_max(F.filter("often", lambda k: k <= F.col("key"))), F.lit(""))
+    base = base.withColumn("slice", F.struct("of_key", at.alias("at"), (at != F.col("key")).alias("beyond"), F.when(at == F.col("key"), F.col("size")).otherwise(0).alias("of_size"))).drop("often", "of_key")
+    sums = space.stage(base.groupBy("source", "slice").agg(F.sum(F.col("size") * F.col("rows")).alias("words")), "slices")
     targets = space.stage(source_targets(sums.groupBy("source").agg(F.sum("words").alias("source_size")), weights, share, max_repeats), "targets")
     before = sums.select(
         F.col("source").alias("b_source"),
@@ -89,8 +95,9 @@ def mix(
     )
     t = targets.select(F.col("source").alias("t_source"), "source_size", "target")
     before = before.join(t, F.col("b_source").eqNullSafe(F.col("t_source"))).drop("t_source")
-    inside = Window.partitionBy("source", "slice").orderBy("key", "doc_id", "size", *extra).rowsBetween(Window.unboundedPreceding, 0)
-    queued = base.withColumn("within", F.sum("size").over(inside)).join(before, F.col("source").eqNullSafe(F.col("b_source")) & (F.col("slice") == F.col("b_slice")))
+    inside = Window.partitionBy("source", "slice").orderBy("key", "doc_id", "size", *extra).rowsBetween(Window.unboundedPreceding, -1)
+    queued = base.withColumn("within", F.coalesce(F.sum(F.col("size") * F.col("rows")).over(inside), F.lit(0))).join(before, F.col("source").eqNullSafe(F.col("b_source")) & (F.col("slice") == F.col("b_slice")))
+    queued = one_by_one(queued, "rows", "nth", rows_per_bucket).withColumn("within", F.col("within") + F.col("nth") * F.col("size"))
     finish = [
         F.when(F.col("size") > 0, (F.lit(r) * F.col("source_size") + F.col("before") + F.col("within")).cast("double") / F.col("target"))
         for r in range(max_repeats)

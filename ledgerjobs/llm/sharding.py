@@ -8,7 +8,8 @@ from zlib import crc32
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Workspace
+from ..operators.joins import attach
+from .common import Workspace, one_by_one
 
 
 class CapacityTree:
@@ -156,32 +157,33 @@ def shard(
     then by both. Rows that are alike in both are counted before anything is sorted, so neither
     a text nor an id with a third of all rows needs a task of its own.
     Null texts count as empty: size 1, one group. Null ids and repeated rows get slots of
-    their own. An empty table gives an empty result.
+    their own; groups with more than one in 10,000 rows are broadcast, so that they meet no
+    shuffle. An empty table gives an empty result.
     """
     spark, space = docs.sparkSession, Workspace(docs.sparkSession)
     body = F.coalesce(F.col(text).cast("string"), F.lit("")).cast("binary")
     one = docs.select(F.col(doc_id).alias("doc_id"), (F.octet_length(body) + 1).cast("long").alias("size"), F.crc32(body).alias("text_crc32"), F.unhex(F.md5(body)).alias("g"))
     rows = space.stage(one.groupBy("doc_id", "g", "size", "text_crc32").agg(F.count("*").alias("n")), "rows")
     count = rows.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    groups = space.stage(rows.groupBy("g").agg(F.sum(F.col("size") * F.col("n")).alias("bytes")).select("g", F.expr(size_class("bytes", digits)).alias("class")), "groups")
+    groups = space.stage(rows.groupBy("g").agg(F.sum(F.col("size") * F.col("n")).alias("bytes"), F.count("*").alias("rows")).select("g", "rows", F.expr(size_class("bytes", digits)).alias("class")), "groups")
     runs = sorted(((r["class"], r["count"]) for r in groups.groupBy("class").count().collect()), reverse=True)
     placed = pack(runs, shards) if shards else best_fit(runs, capacity)
     dealt = groups.join(space.stage(placement(spark, runs, placed), "placement"), "class")
-    whole = dealt.where(F.size("bins") == 1).select("g", F.col("bins")[0].alias("shard"))
+    whole = dealt.where(F.size("bins") == 1).select("g", "rows", F.col("bins")[0].alias("shard"))
     slices = max(1, math.ceil(sum(n for _, n in runs) / rows_per_slice))
     split = running(dealt.where(F.size("bins") > 1).withColumn("slice", F.pmod(F.xxhash64("g"), F.lit(slices))), ["class"], "slice", ["g"], F.lit(1))
     turn = F.size(F.filter("upto", lambda u: u <= F.col("before"))) + 1
-    of_group = whole.union(split.select("g", F.element_at("bins", turn).alias("shard")))
+    of_group = space.stage(whole.union(split.select("g", "rows", F.element_at("bins", turn).alias("shard"))), "of_group")
     slices = max(1, math.ceil(count / rows_per_slice))
-    at = rows.join(of_group, "g").withColumn("slice", F.pmod(F.xxhash64("doc_id", "g"), F.lit(slices)))
-    numbered = running(at, ["shard"], "slice", ["doc_id", "g"], F.col("n")).withColumn("k", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
+    at = attach(rows, of_group, ["g"], "rows").withColumn("slice", F.pmod(F.xxhash64("doc_id", "g"), F.lit(slices)))
+    numbered = one_by_one(running(at, ["shard"], "slice", ["doc_id", "g"], F.col("n")), "n", "k", rows_per_slice)
     out = numbered.select(
         "doc_id",
         "size",
         "text_crc32",
         F.lit("bytes").alias("law"),
         "shard",
-        (F.col("before") + F.col("k")).cast("long").alias("slot"),
+        (F.col("before") + F.col("k") - 1).cast("long").alias("slot"),
         F.lit(None).cast("int").alias("grown_shard"),
     )
     out = space.stage(out, "shards")
