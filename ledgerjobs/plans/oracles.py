@@ -312,19 +312,35 @@ ORDER[ORDER.index("reserve_days") + 1 : ORDER.index("reserve_days") + 1] = ["bac
 PREFIX = "WITH RECURSIVE " + ",\n".join(f"{k} AS ({CHAIN[k]})" for k in ORDER)
 
 _ACCOUNTS = "SELECT DISTINCT portfolio_id, account_id, institution FROM ledger"
+_SAFE = lambda c: f"replace(replace({c}, '&', '&amp;'), '<', '&lt;')"
+_MONEY = lambda c: f"CAST(CAST({c} * CAST(0.01 AS DECIMAL(3, 2)) AS DECIMAL(20, 2)) AS VARCHAR)"
+_NL = "chr(10)"
+_TX = f"""concat('<STMTTRN><TRNTYPE>other', {_NL}, '<DTPOSTED>', strftime(transaction_date, '%Y%m%d'), '120000[-03:EST]', {_NL}, '<TRNAMT>', {_MONEY("amount_cents")},
+        CASE WHEN layout <> 'itau' THEN {_NL} || '<FITID>' || transaction_id ELSE '' END, {_NL}, '<NAME>', {_SAFE("name_raw")}, {_NL}, '<MEMO>', {_SAFE("memo_raw")}, {_NL}, '</STMTTRN>', {_NL})"""
+_TEXT = f"""concat('OFXHEADER:100', {_NL}, 'ENCODING:UTF-8', {_NL}, {_NL}, '<OFX><BANKACCTFROM><BANKID>bank-', account_id, {_NL}, '<ACCTID>', account_id, {_NL}, '</BANKACCTFROM><BANKTRANLIST>', {_NL}, txs,
+        '<STMTTRN><TRNTYPE>OTHER', {_NL}, '<DTPOSTED>', strftime(b, '%Y%m%d'), {_NL}, '<TRNAMT>0.00', {_NL}, '<FITID>', {_NL}, '<NAME>Saldo do dia', {_NL}, '<MEMO>', {_NL}, '</STMTTRN>', {_NL}, '</BANKTRANLIST>',
+        CASE WHEN balance_cents IS NOT NULL THEN concat('<LEDGERBAL><BALAMT>', {_MONEY("balance_cents")}, {_NL}, '<DTASOF>', strftime(b, '%Y%m%d'), {_NL}, '</LEDGERBAL>') ELSE '' END, '</OFX>', {_NL})"""
 INVENTORY = f"""
-SELECT portfolio_id, source_file, institution, account_id, 'ofx' AS format, true AS supported, duplicate_of, 'parsed' AS status, sha256('bank-' || account_id || chr(0) || account_id) AS account_fingerprint,
+SELECT portfolio_id, source_file, sha256(text) AS source_sha256, strlen(text) AS file_size_bytes, institution, account_id, 'ofx' AS format, true AS supported, duplicate_of, 'parsed' AS status, sha256('bank-' || account_id || chr(0) || account_id) AS account_fingerprint,
        a AS coverage_start, b AS coverage_end, balance_date, balance_cents, n + 1 AS ofx_rows, CAST(1 AS BIGINT) AS ignored_balance_markers, n AS transaction_rows
-FROM (WITH periods AS (SELECT portfolio_id, account_id, institution, period, count(*) AS n, count(DISTINCT strftime(d, '%Y-%m')) AS months, min(d) AS a, max(d) AS b
-                       FROM (SELECT portfolio_id, account_id, institution, transaction_date AS d, unnest(['m' || strftime(transaction_date, '%Y-%m'), 'q' || CAST(year(transaction_date) AS VARCHAR) || '-' || CAST(quarter(transaction_date) AS VARCHAR)]) AS period FROM ledger) GROUP BY ALL),
-           full_periods AS (SELECT p.*, s.balance_date, s.balance_cents FROM periods p LEFT JOIN snapshots s ON p.period LIKE 'q%' AND s.account_id = p.account_id AND s.balance_date = p.b)
+FROM (WITH periods AS (SELECT portfolio_id, account_id, institution, period, count(*) AS n, count(DISTINCT strftime(d, '%Y-%m')) AS months, min(d) AS a, max(d) AS b, string_agg(tx, '' ORDER BY d, k) AS txs
+                       FROM (SELECT portfolio_id, account_id, institution, transaction_date AS d, CAST(transaction_id AS BIGINT) AS k, {_TX} AS tx,
+                                    unnest(['m' || strftime(transaction_date, '%Y-%m'), 'q' || CAST(year(transaction_date) AS VARCHAR) || '-' || CAST(quarter(transaction_date) AS VARCHAR)]) AS period FROM ledger) GROUP BY ALL),
+           full_periods AS (SELECT *, {_TEXT} AS text FROM (SELECT p.*, s.balance_date, s.balance_cents FROM periods p LEFT JOIN snapshots s ON p.period LIKE 'q%' AND s.account_id = p.account_id AND s.balance_date = p.b))
       SELECT *, account_id || '/' || period || '.ofx' AS source_file, CASE WHEN period LIKE 'q%' AND months = 1 AND balance_date IS NULL THEN account_id || '/m' || strftime(a, '%Y-%m') || '.ofx' END AS duplicate_of FROM full_periods
       UNION ALL SELECT *, account_id || '/z/' || period || '.ofx', account_id || '/' || period || '.ofx' FROM full_periods WHERE period LIKE 'm%-01') f"""
 
+STATEMENT_FILES = f"""
+SELECT portfolio_id, 'account_id=' || account_id AS folder, sha256(text) AS source_sha256, strlen(text) AS file_size_bytes, 'ofx' AS format, 'parsed' AS status, sha256('bank-' || account_id || chr(0) || account_id) AS account_fingerprint,
+       a AS coverage_start, b AS coverage_end, n AS transaction_rows
+FROM (SELECT *, concat('OFXHEADER:100', {_NL}, 'ENCODING:UTF-8', {_NL}, '<OFX><BANKACCTFROM><BANKID>bank-', account_id, {_NL}, '<ACCTID>', account_id, {_NL}, '</BANKACCTFROM><BANKTRANLIST>', {_NL}, txs, '</BANKTRANLIST></OFX>', {_NL}) AS text
+      FROM (SELECT portfolio_id, account_id, count(*) AS n, min(transaction_date) AS a, max(transaction_date) AS b, string_agg({_TX}, '' ORDER BY transaction_date, CAST(transaction_id AS BIGINT)) AS txs FROM ledger GROUP BY ALL))"""
+
 _FAULTS = (
     ("unknown_account", "'none-' || account_id || '/a.ofx'"), ("ambiguous_account", "'twice-' || account_id || '/a.ofx'"), ("undecodable", "account_id || '/broken/bytes.ofx'"), ("unexpected_bank", "account_id || '/broken/bank.ofx'"),
     ("missing_account_id", "account_id || '/broken/bank.ofx'"), ("missing_account_id", "account_id || '/broken/number.ofx'"), ("no_transactions", "account_id || '/broken/empty.ofx'"), ("bad_balance", "account_id || '/broken/balance.ofx'"),
     ("several_fingerprints", "account_id"), ("bad_date_or_amount", "account_id || '/broken/row.ofx#1'"), ("conflicting_balance", "account_id || '@1990-01-01'"),
+    ("conflicting_transaction", "sha256(concat_ws(chr(0), 'bank-id', sha256('bank-' || account_id || chr(0) || account_id || '-shared'), 'x8', '1990-01-02', '100', 'n | ' || account_id))"),
 )
 SOURCE_CHECKS = " UNION ALL ".join(f"SELECT '{kind}' AS kind, {key} AS key FROM ({_ACCOUNTS})" for kind, key in _FAULTS)
 
@@ -395,6 +411,7 @@ LEFT JOIN (SELECT portfolio_id, string_agg(concat_ws(':', CAST(start_date AS VAR
 
 FINAL = {
     "source_inventory": INVENTORY,
+    "statement_files": STATEMENT_FILES,
     "source_checks": SOURCE_CHECKS,
     "knowledge_checks": KNOWLEDGE,
     "reserve_quality": RESERVE_QUALITY,

@@ -12,7 +12,7 @@ from ledgerjobs.sources import rates as R
 from ledgerjobs.sources import statements as S
 
 from .oracles import SQL  # noqa: F401
-from .statements import accounts, broken_files, files, shared_prefixes
+from .statements import accounts, broken_files, files, shared_prefixes, written_files
 from .views import Ledger
 
 
@@ -150,6 +150,17 @@ def _inventory(j: Jobs) -> DataFrame:
     return S.inventory(j.read().get("files"), j.get("statements"), j.get("statement_rows"))
 
 
+def _statement_files(j: Jobs) -> DataFrame:
+    """Statements written to a folder, listed, digested and read back record by record."""
+    folder, keep = written_files(j.v), j.v.staging.table
+    known = j.kept("accounts").get("accounts").withColumn("path_prefix", F.concat(F.lit("account_id="), "account_id"))
+    found = keep(S.with_account(S.identified(S.read_digests(j.v.spark, folder)), known), "found")
+    parsed = keep(S.parse(S.read_records(j.v.spark, folder)), "records")
+    heads = keep(S.statements(found, parsed), "heads")
+    out = S.inventory(found, heads, S.transactions(parsed, heads))
+    return out.select("portfolio_id", F.substring_index("source_file", "/", 1).alias("folder"), "source_sha256", "file_size_bytes", "format", "status", "account_fingerprint", "coverage_start", "coverage_end", "transaction_rows")
+
+
 def _source_checks(j: Jobs) -> DataFrame:
     """All statements, and for each account one more of every unfit kind."""
     j.kept("accounts")
@@ -204,6 +215,7 @@ QUERIES = {
         "anchor_checks": lambda j: daily.anchors(j.v.ledger, j.v.snapshots.where("year(balance_date) < 2000")),
         "source_inventory": _inventory,
         "canonical_transactions": lambda j: j.read().get("canonical").drop("source_sha256", "source_position", "source_file"),
+        "statement_files": _statement_files,
         "source_checks": _source_checks,
         "statement_snapshots": lambda j: j.read().get("read_snapshots").drop("source_sha256"),
         "coverage_summary": lambda j: coverage.coverage_summary(j.v.ledger, j.v.snapshots),

@@ -1,5 +1,7 @@
 """Golden cases of the ledger operators, on hand-built rows."""
 
+import hashlib
+import re
 from datetime import date
 from decimal import Decimal
 
@@ -139,6 +141,59 @@ def test_blocks_end_as_the_format_allows(spark):
     assert (field("<ofx:name>\n  A b \r\n<MEMO>m", "NAME"), field("<NAME><MEMO>m", "NAME"), field("<MEMO>m", "NAME"), field("<NAMES>x<NAME>y", "NAME")) == ("A b", "", "", "y")
 
 
+@pytest.fixture
+def split(spark):
+    """Parts of files as small as they get."""
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "64b")
+    yield
+    spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+def test_statements_read_in_records_are_those_read_whole(spark, tmp_path, split):
+    text = STATEMENT.format(enc="UTF-8", fitid="A1")
+    many = text.replace("<STMTTRN>", "<STMTTRN><TRNTYPE>x<DTPOSTED>20260102<TRNAMT>1<NAME>n<MEMO>ç</STMTTRN>\n" * 9 + "<STMTTRN>", 1)
+    files = {
+        "acc/a.ofx": text.encode(), "acc/b b+c%20.OFX": many.encode(), "acc/w.ofx": many.replace("UTF-8", "USASCII").encode("cp1252"), "acc/bom.ofx": b"\xef\xbb\xbf" + text.encode(), "acc/tags.ofx": text.replace("STMTTRN", "x:stmtTrn").encode(),
+        "acc/mixed.ofx": text.replace("<STMTTRN>", "<stmttrn a=1>", 1).encode(), "acc/cut.ofx": (text[: text.index("</BANKTRANLIST>")] + "<STMTTRN><NAME>gone").encode(), "acc/end.ofx": (text + "<STMTTRN>").encode(), "acc/bytes.ofx": b"ENCODING:UTF-8\n<STMTTRN>\x81\xff", "acc/tail.txt": b"a<b<", "acc/bom.txt": b"\xef\xbb\xbfx<",
+    }
+    (tmp_path / "in/acc").mkdir(parents=True)
+    for name, content in files.items():
+        (tmp_path / "in" / name).write_bytes(content)
+    folder = str(tmp_path / "in")
+    known = spark.createDataFrame([("p", "acc", "bank", "acc", "1234")], "portfolio_id string, account_id string, institution string, path_prefix string, expected_bank_id string")
+    whole = S.read_files(spark, folder)
+    digests = sorted(map(tuple, S.digested(whole).collect()))
+    assert digests == sorted((n, hashlib.sha256(c).hexdigest(), len(c)) for n, c in files.items())
+    assert sorted(map(tuple, S.read_digests(spark, folder).collect())) == sorted(map(tuple, S.read_digests(spark, folder, most=0).collect())) == digests
+    found = S.with_account(S.identified(S.digested(whole)), known)
+
+    def read(records):
+        parsed = S.parse(records)
+        heads = S.statements(found, parsed)
+        columns = ["source_file", "encoding", "blocks", "bank_id", "acct", "balance_date", "balance_cents"]
+        return sorted(map(str, heads.select(*columns).collect())), sorted(map(str, S.transactions(parsed, heads).collect()))
+
+    records = S.read_records(spark, folder)
+    assert records.rdd.getNumPartitions() > 20
+    a, b = read(records), read(S.records_of(whole))
+    assert a == b and len(a[0]) == 9 and len(a[1]) == 6 * 3 + 2 * 12
+
+
+def test_no_content_is_shuffled(spark):
+    files = spark.createDataFrame([("acc/a.ofx", b"x")], "source_file string, content binary")
+    known = spark.createDataFrame([("p", "acc", "bank", "acc", "1234")], "portfolio_id string, account_id string, institution string, path_prefix string, expected_bank_id string")
+    keep = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        _, heads, rows = parsed_files(files, known)
+        for df in (S.inventory(_, heads, rows), S.canonical(rows), S.snapshots(heads), S.violations(_, heads, rows)):
+            plan = df._jdf.queryExecution().executedPlan().toString()
+            below = [line for part in plan.split("Exchange hashpartitioning")[1:] for line in part.split("\n")[1:2]]
+            assert below and not any(re.search(r"\b(content|record|piece)#", line) for line in below)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", keep)
+
+
 def test_decoding_entities_and_normal_form(spark):
     import html
     import unicodedata
