@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from ledgerjobs.functions import exprs as X
 from ledgerjobs.functions.helpers import normalize
 
+from ledgerjobs.sources.tables import load_order
+
 from .ranks import running
 
 # The dimensions of a classification, statuses of inquiries and what rules may match.
@@ -34,22 +36,17 @@ def identify(rows: DataFrame) -> DataFrame:
 
 
 def load_rules(base: DataFrame, private: DataFrame | None = None) -> DataFrame:
-    """Base rules before private ones; ``load_order`` (layer, then place in its table) breaks ties of priority.
-
-    The place is the ``load_order`` that a table brings, else that of the row as it is read.
-    """
+    """Base rules before private ones; ``load_order`` (layer, then place in its table's files, see ``sources.tables.load_order``) breaks ties of priority."""
     layers = [base] if private is None else [base, private]
-    line = lambda df: F.col("load_order").cast("long") if "load_order" in df.columns else F.monotonically_increasing_id()
-    placed = [df.withColumn("load_order", F.struct(F.lit(i).alias("layer"), line(df).alias("line"))) for i, df in enumerate(layers)]
+    placed = [df.withColumn("load_order", F.struct(F.lit(i).alias("layer"), load_order(df).alias("place"))) for i, df in enumerate(layers)]
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), placed)
 
 
 def last_overrides(overrides: DataFrame) -> DataFrame:
-    """One row per transaction: of repeated overrides the last, by ``load_order`` if there is one, else as they are read."""
-    line = F.col("load_order").cast("long") if "load_order" in overrides.columns else F.monotonically_increasing_id()
+    """One row per transaction: of repeated overrides the last by its place in the files, see ``sources.tables.load_order``."""
     row = F.struct(*[F.nullif(F.col(f), F.lit("")).alias(f"o_{f}") for f in DIMENSIONS])
-    placed = overrides.where(F.col("transaction_id").isNotNull()).select(F.col("transaction_id").alias("o_id"), row.alias("o"), line.alias("line"))
-    return placed.groupBy("o_id").agg(F.max_by("o", "line").alias("o")).select("o_id", "o.*")
+    placed = overrides.where(F.col("transaction_id").isNotNull()).select(F.col("transaction_id").alias("o_id"), row.alias("o"), load_order(overrides).alias("place"))
+    return placed.groupBy("o_id").agg(F.max_by("o", "place").alias("o")).select("o_id", "o.*")
 
 
 def rules_by_group(rows: DataFrame, rules: DataFrame) -> DataFrame:
@@ -180,10 +177,16 @@ def _twice(df: DataFrame, column: str, kind: str) -> DataFrame:
 
 def knowledge_violations(transactions: DataFrame, rules: DataFrame, overrides: DataFrame, allocations: DataFrame, investigations: DataFrame, events: DataFrame) -> DataFrame:
     """(kind, key): missing or repeated ids, values out of domain, dangling references, allocations that do not add up."""
-    ids = transactions.select(F.col("transaction_id").alias("key"))
-    groups = transactions.select(F.col("group_id").alias("key")).distinct()
     blank = lambda df, c, kind: df.where(is_blank(c)).select(F.lit(kind).alias("kind"), F.lit("").alias("key"))
-    dangling = lambda df, c, known, kind: df.select(F.col(c).alias("key")).where(F.col("key").isNotNull()).distinct().join(known, "key", "left_anti").select(F.lit(kind).alias("kind"), "key")
+
+    def dangling(df: DataFrame, c: str, target: str, kind: str) -> DataFrame:
+        """Keys that nothing in their portfolio has; without a portfolio, nothing at all."""
+        of = F.col("portfolio_id") if "portfolio_id" in df.columns else F.lit(None).cast("string")
+        given = df.select(F.col(c).alias("key"), of.alias("of")).where(F.col("key").isNotNull()).distinct()
+        known = transactions.select(F.col(target).alias("key"), F.col("portfolio_id").alias("of")).distinct()
+        lost = given.where("of IS NOT NULL").join(known, ["key", "of"], "left_anti").union(given.where("of IS NULL").join(known, "key", "left_anti"))
+        return lost.select(F.lit(kind).alias("kind"), "key").distinct()
+
     sums = allocations.groupBy("transaction_id").agg(F.sum("amount_cents").alias("total"))
     wrong = sums.join(transactions.select("transaction_id", F.col("amount_cents").alias("whole")), "transaction_id").where("total <> whole")
     found = [
@@ -200,10 +203,10 @@ def knowledge_violations(transactions: DataFrame, rules: DataFrame, overrides: D
         investigations.where(~F.col("status").isin(*STATUSES)).select(F.lit("bad_status"), "investigation_id"),
         blank(events, "event_id", "event_without_id"),
         _twice(events, "transaction_id", "transaction_in_several_events"),
-        dangling(rules.where("match_type = 'group_id'"), "match_value", groups, "rule_group"),
-        dangling(investigations, "group_id", groups, "investigation_group"),
-        dangling(overrides, "transaction_id", ids, "override_transaction"),
-        dangling(allocations, "transaction_id", ids, "allocation_transaction"),
-        dangling(events, "transaction_id", ids, "event_transaction"),
+        dangling(rules.where("match_type = 'group_id'"), "match_value", "group_id", "rule_group"),
+        dangling(investigations, "group_id", "group_id", "investigation_group"),
+        dangling(overrides, "transaction_id", "transaction_id", "override_transaction"),
+        dangling(allocations, "transaction_id", "transaction_id", "allocation_transaction"),
+        dangling(events, "transaction_id", "transaction_id", "event_transaction"),
     ]
     return reduce(DataFrame.union, found)

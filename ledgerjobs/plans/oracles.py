@@ -352,7 +352,25 @@ UNION ALL SELECT 'allocation_sum', p.transaction_id FROM parts p JOIN ledger l U
 UNION ALL SELECT 'duplicate_investigation_id', 'i-' || group_id FROM g WHERE channel = 'pix_received' UNION ALL SELECT 'investigation_group', 'no-' || group_id FROM g WHERE channel = 'pix_received'
 UNION ALL SELECT 'bad_status', 'i-' || group_id FROM g WHERE channel = 'pix_transfer'
 UNION ALL SELECT 'transaction_in_several_events', transaction_id FROM tx_events WHERE transaction_id LIKE '%9' UNION ALL SELECT 'event_transaction', 'none-' || transaction_id FROM tx_events WHERE transaction_id LIKE '%1'
-UNION ALL SELECT 'override_transaction', 'none-' || transaction_id FROM overrides WHERE transaction_id LIKE '%5' UNION ALL SELECT DISTINCT 'allocation_transaction', 'none-' || transaction_id FROM allocations WHERE transaction_id LIKE '%3') k"""
+UNION ALL SELECT 'override_transaction', transaction_id FROM overrides WHERE transaction_id LIKE '%6' UNION ALL SELECT 'override_transaction', 'none-' || transaction_id FROM overrides WHERE transaction_id LIKE '%5' UNION ALL SELECT DISTINCT 'allocation_transaction', 'none-' || transaction_id FROM allocations WHERE transaction_id LIKE '%3') k"""
+
+_DAYS = "(SELECT DISTINCT CAST(o_orderdate AS DATE) AS d, day(CAST(o_orderdate AS DATE)) AS n FROM orders WHERE year(CAST(o_orderdate AS DATE)) < 1997)"
+_ITEM = """concat('{"data":"', CASE n WHEN 7 THEN 'soon' ELSE strftime(d, '%d/%m/%Y') END, '","valor":"', CASE n WHEN 8 THEN '-0,05' WHEN 9 THEN 'none' ELSE '0,05' END, '"}')"""
+RATE_CHECKS = f"""
+SELECT 'bad_payload' AS kind, '[{{' || strftime(d, '%Y%m%d') AS key FROM {_DAYS} WHERE n = 1 UNION ALL SELECT 'not_a_list', {_ITEM} FROM {_DAYS} WHERE n = 2 UNION ALL SELECT 'duplicate_date', CAST(d AS VARCHAR) FROM {_DAYS} WHERE n = 3
+UNION ALL SELECT 'bad_item', '{{"data":"' || strftime(d, '%Y') || '"}}' FROM {_DAYS} WHERE n = 4 UNION ALL SELECT 'bad_item', {_ITEM} FROM {_DAYS} WHERE n IN (7, 9) UNION ALL SELECT 'negative_rate', CAST(d AS VARCHAR) FROM {_DAYS} WHERE n = 8"""
+
+# a private rule after all base rules of its priority; the last file's override
+FROM_FILES = f"""
+SELECT * FROM (WITH all_rules AS (SELECT * FROM rules UNION ALL SELECT * REPLACE ('p01' AS rule_id, 'private' AS category, 100 AS load_order) FROM rules WHERE rule_id = 'r01'),
+c AS (SELECT x.transaction_id, {_LAST}, string_agg(r.rule_id, ';' ORDER BY coalesce(r.priority, 0), r.load_order) AS ids
+      FROM identified x JOIN all_rules r ON CASE r.match_type WHEN 'channel' THEN x.channel WHEN 'group_id' THEN x.group_id ELSE x.counterparty_key END = r.match_value
+           AND (r.valid_from IS NULL OR x.transaction_date >= r.valid_from) AND (r.valid_to IS NULL OR x.transaction_date <= r.valid_to)
+           AND (r.min_amount_cents IS NULL OR x.amount_cents >= r.min_amount_cents) AND (r.max_amount_cents IS NULL OR x.amount_cents <= r.max_amount_cents) GROUP BY x.transaction_id)
+SELECT i.transaction_id, CASE WHEN o.transaction_id IS NULL THEN c.category WHEN o.transaction_id LIKE '%33' THEN 'third' ELSE 'second' END AS category,
+       CASE WHEN o.transaction_id IS NULL OR o.transaction_id LIKE '%33' THEN c.subcategory ELSE repeat('s', 20) END AS subcategory, coalesce(o.recurrence, c.recurrence) AS recurrence,
+       concat_ws(';', c.ids, 'override:' || o.transaction_id) AS classification_provenance
+FROM identified i LEFT JOIN c USING (transaction_id) LEFT JOIN overrides o ON o.transaction_id = i.transaction_id) q"""
 
 RESERVE_CHECKS = """
 SELECT DISTINCT 'no_events' AS kind, portfolio_id AS key FROM reserve_events WHERE portfolio_id = 'p0' UNION ALL SELECT DISTINCT 'anchor_before_events', portfolio_id FROM reserve_events WHERE portfolio_id = 'p1'
@@ -415,6 +433,8 @@ FINAL = {
     "source_checks": SOURCE_CHECKS,
     "knowledge_checks": KNOWLEDGE,
     "reserve_quality": RESERVE_QUALITY,
+    "rate_checks": RATE_CHECKS,
+    "classified_from_files": FROM_FILES,
     "reserve_checks": RESERVE_CHECKS,
     "report_summary": REPORT,
     "classified_metrics": _monthly("derived", alone=True),

@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ledgerjobs.functions.helpers import normalize
 from ledgerjobs.operators import classify as C
 from ledgerjobs.operators import coverage, daily, dates, metrics, peaks, reserve, summary
 from ledgerjobs.sources import rates as R
 from ledgerjobs.sources import statements as S
+from ledgerjobs.sources.tables import read_table
 
 from .oracles import SQL  # noqa: F401
 from .statements import accounts, broken_files, files, shared_prefixes, written_files
@@ -61,7 +63,7 @@ class Jobs:
         text = F.concat(F.lit("0"), F.lit(","), F.lpad((F.lit(20000) + F.pmod(F.date_diff("d", F.lit("1990-01-01").cast("date")) * 37, F.lit(30000))).cast("string"), 6, "0"))
         item = F.struct(F.date_format("d", "dd/MM/yyyy").alias("data"), text.alias("valor"))
         payloads = days.groupBy(F.trunc("d", "MM")).agg(F.to_json(F.collect_list(item)).alias("value"))
-        return R.parse_payload(payloads)
+        return R.parse_payload(payloads).drop("fault", "raw")
 
     def _assumptions(self):
         """The anchor lies at the start of the last year of the ledger."""
@@ -182,13 +184,41 @@ def _knowledge(j: Jobs) -> DataFrame:
     twice = v.rules.where("rule_id = 'r01'")
     rules = v.rules.union(twice).union(twice.withColumns({"rule_id": F.lit("r12"), "match_type": F.lit("name")})).union(twice.withColumn("rule_id", F.lit("")))
     lost = lambda df, end: df.where(F.col("transaction_id").endswith(end)).withColumn("transaction_id", F.concat(F.lit("none-"), "transaction_id"))
-    overrides = v.overrides.union(lost(v.overrides, "5"))
+    elsewhere = v.overrides.where("transaction_id LIKE '%6'").withColumn("portfolio_id", F.concat(F.lit("other-"), "portfolio_id"))
+    overrides = v.overrides.union(lost(v.overrides, "5")).union(elsewhere)
     parts = v.allocations.where("NOT allocation_id LIKE '%7-2'").union(lost(v.allocations, "3").withColumn("allocation_id", F.concat(F.lit("x"), "allocation_id")))
     parts = parts.union(v.allocations.where("allocation_id LIKE '%11-1'").withColumn("amount_cents", F.lit(None).cast("long")))
     events = v.tx_events.union(lost(v.tx_events, "1")).union(v.tx_events.where("transaction_id LIKE '%9'").withColumn("event_id", F.lit("again")))
     return C.knowledge_violations(ids, rules, overrides, parts, inquiries, events)
 
 
+def _rate_checks(j: Jobs) -> DataFrame:
+    """A payload for each order date of five years; some are broken, by the day of the month."""
+    days = j.v.table("orders").select(F.to_date("o_orderdate").alias("d")).where("year(d) < 1997").distinct()
+    day = F.dayofmonth("d")
+    item = F.to_json(F.struct(F.when(day == 7, "soon").otherwise(F.date_format("d", "dd/MM/yyyy")).alias("data"), F.when(day == 8, "-0,05").when(day == 9, "none").otherwise("0,05").alias("valor")))
+    text = F.when(day == 1, F.concat(F.lit("[{"), F.date_format("d", "yyyyMMdd"))).when(day == 2, item).when(day == 3, F.concat(F.lit("["), item, F.lit(","), item, F.lit("]")))
+    text = text.when(day == 4, F.concat(F.lit("["), item, F.lit(',{"data":"'), F.date_format("d", "yyyy"), F.lit('"}]'))).when(day == 5, "[]").otherwise(F.concat(F.lit("["), item, F.lit("]")))
+    return R.violations(j.v.staging.table(R.parse_payload(days.select(text.alias("value"))), "payload_rates"))
+
+
+def _classified_from_files(j: Jobs) -> DataFrame:
+    """Rules and overrides written to several files of unlike size and read back: their order is that of the files."""
+    v, folder = j.v, j.v.staging.root
+    write = lambda df, name: df.coalesce(1).write.option("header", True).csv(f"{folder}/{name}")
+    rules = v.rules.drop("load_order")
+    for name, some in (("rules/1", "rule_id < 'r03'"), ("rules/2", "rule_id BETWEEN 'r03' AND 'r09'"), ("rules/3", "rule_id > 'r09'")):
+        write(rules.where(some).orderBy("rule_id"), name)
+    write(rules.where("rule_id = 'r01'").withColumns({"rule_id": F.lit("p01"), "category": F.lit("private")}), "private/1")
+    large = v.overrides.where("transaction_id LIKE '%3'")
+    write(large, "overrides/a")
+    write(v.overrides.withColumns({"category": F.lit("second"), "subcategory": F.lit("s" * 20)}), "overrides/b")
+    write(large.withColumns({"category": F.lit("third")}).where("transaction_id LIKE '%33'"), "overrides/c")
+    read = lambda name, like: read_table(v.spark, f"{folder}/{name}", T.StructType([f for f in like.schema if f.name != "load_order"]), placed=True)
+    rows = C.classify(j.kept("identified").get("identified"), C.load_rules(read("rules", v.rules), read("private", v.rules)), read("overrides", v.overrides))
+    return rows.select("transaction_id", "category", "subcategory", "recurrence", "classification_provenance")
+
+
 def _reserve_checks(j: Jobs) -> DataFrame:
     """Movements of the wrong sign, and what makes a reserve impossible, with the events and rates of some portfolios cut."""
     j.kept("dated", "rates", "assumptions")
@@ -237,6 +267,8 @@ QUERIES = {
         "peaks_monthly": lambda j: peaks.peaks_monthly(j.kept("dated", "candidates").get("candidates"), j.get("monthly")),
         "peaks_summary": lambda j: peaks.peaks_summary(j.kept("dated", "candidates").get("candidates"), j.kept("monthly").get("monthly")),
         "report_summary": _report,
+        "rate_checks": _rate_checks,
+        "classified_from_files": _classified_from_files,
         "reserve_checks": _reserve_checks,
         "classified_metrics": lambda j: metrics.monthly_metrics(j.kept("derived").get("derived")),
         "classified_categories": lambda j: metrics.monthly_category_spending(j.get("derived")),

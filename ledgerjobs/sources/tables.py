@@ -6,7 +6,7 @@ import re
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -56,19 +56,29 @@ class Staging:
         path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def read_table(spark: SparkSession, path: str, schema: T.StructType | str, required: tuple[str, ...] = (), exact: bool = False, filled: bool = False) -> DataFrame:
-    """A CSV table with a header; blanks are null.
+#: Where a row stands in a table of files: by the file's path, the part of it that a task reads, and the line in that part.
+PLACE = "struct<path:array<string>,block:bigint,line:bigint>"
+
+
+def read_table(spark: SparkSession, path: str, schema: T.StructType | str, required: tuple[str, ...] = (), exact: bool = False, filled: bool = False, placed: bool = False) -> DataFrame:
+    """A CSV table with a header, of one file or of all below a folder; blanks are null.
+
+    With ``placed``, ``load_order`` (``PLACE``) orders rows as the files have them: files by
+    their paths, however the reader packs and splits them.
 
     Columns that ``required`` names must stand in the header, with ``exact`` those of the schema
     in its order and no others; with ``filled`` a table without rows is refused.
     """
     schema = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
-    header = spark.read.option("header", True).csv(path).columns
+    header = spark.read.option("header", True).option("recursiveFileLookup", "true").csv(path).columns
     if missing := [c for c in required if c not in header]:
         raise Unfit(f"{path}: missing columns {missing}")
     if exact and header != schema.names:
         raise Unfit(f"{path}: columns {header} are not {schema.names}")
-    out = spark.read.schema(schema).option("header", True).option("encoding", "UTF-8").option("enforceSchema", False).csv(path)
+    out = spark.read.schema(schema).option("header", True).option("encoding", "UTF-8").option("enforceSchema", False).option("recursiveFileLookup", "true").csv(path)
+    if placed:
+        place = F.struct(F.split("_metadata.file_path", "/").alias("path"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line"))
+        out = out.select("*", place.cast(PLACE).alias("load_order"))
     if filled and out.isEmpty():
         raise Unfit(f"{path}: no rows")
     return out
@@ -80,17 +90,68 @@ def ordered(df: DataFrame, order: tuple[str, ...], partitions: int | None = None
     return (df.repartitionByRange(partitions, *keys) if partitions else df.repartitionByRange(*keys)).sortWithinPartitions(*keys)
 
 
+def place_of(order: Column | None) -> Column:
+    """``load_order`` of any kind as a ``PLACE``: one that is a number counts lines of one file, without one rows stand as they are read (right for one file only)."""
+    line = F.monotonically_increasing_id() if order is None else order.cast("long")
+    return F.struct(F.array().cast("array<string>").alias("path"), F.lit(0).cast("long").alias("block"), line.alias("line"))
+
+
+def load_order(df: DataFrame) -> Column:
+    """The place of a row in its table, see ``read_table`` and ``place_of``."""
+    if "load_order" not in df.columns:
+        return place_of(None)
+    return F.col("load_order") if isinstance(df.schema["load_order"].dataType, T.StructType) else place_of(F.col("load_order"))
+
+
 def write_table(df: DataFrame, path: str, columns: tuple[str, ...] | None = None, form: str = "parquet", order: tuple[str, ...] = ()) -> None:
-    """Replaces ``path``; refuses an empty table and columns that are not the declared ones. ``order`` sorts at the sink only, see ``ordered`` and ``ORDERS``."""
+    """Replaces ``path``; refuses an empty table and columns that are not the declared ones. ``order`` sorts at the sink only, see ``ordered`` and ``ORDERS``.
+
+    The table is written beside ``path`` and takes its place by renaming only when all of it is
+    there: a job that fails, or a table that is refused, leaves the old one. Rows are counted
+    while they are written, so nothing is read twice.
+    """
     if columns is not None and set(columns) != set(df.columns):
         raise Unfit(f"columns {sorted(df.columns)} are not {sorted(columns)}")
-    if df.isEmpty():
-        raise Unfit("an empty table is not written")
     out = df.select(*(columns or df.columns))
     out = ordered(out, order) if order else out
     out = out.select(*[F.array_join(c, ";").alias(c) if form == "csv" and t.startswith("array") else F.col(c) for c, t in out.dtypes])
-    writer = out.write.mode("overwrite")
-    writer.option("header", True).csv(path) if form == "csv" else writer.parquet(path)
+    seen = Observation()
+    # in the folder of ``path``, under a name that readers pass over
+    folder, _, name = path.rstrip("/").rpartition("/")
+    beside = f"{folder}/" if folder else ""
+    new, old = (f"{beside}_{name}.{kind}-{uuid.uuid4().hex}" for kind in ("new", "old"))
+    writer = out.observe(seen, F.count("*").alias("rows")).write
+    try:
+        writer.option("header", True).csv(new) if form == "csv" else writer.parquet(new)
+        if not seen.get["rows"]:
+            raise Unfit("an empty table is not written")
+        _swap(df.sparkSession, path, new, old)
+    finally:
+        _delete(df.sparkSession, new)
+
+
+def _file_system(spark: SparkSession, path: str):
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return place, place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    place, fs = _file_system(spark, path)
+    fs.delete(place, True)
+
+
+def _swap(spark: SparkSession, path: str, new: str, old: str) -> None:
+    """Two renames; if the second fails the first is taken back."""
+    here, fs = _file_system(spark, path)
+    jvm_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    had = fs.exists(here)
+    if had and not fs.rename(here, jvm_path(old)):
+        raise OSError(f"{path} cannot be moved")
+    if not fs.rename(jvm_path(new), here):
+        if had:
+            fs.rename(jvm_path(old), here)
+        raise OSError(f"{new} cannot be moved")
+    _delete(spark, old)
 
 
 def require_empty(violations: DataFrame, what: str = "violations") -> None:

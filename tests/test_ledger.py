@@ -183,13 +183,14 @@ def test_no_content_is_shuffled(spark):
     files = spark.createDataFrame([("acc/a.ofx", b"x")], "source_file string, content binary")
     known = spark.createDataFrame([("p", "acc", "bank", "acc", "1234")], "portfolio_id string, account_id string, institution string, path_prefix string, expected_bank_id string")
     keep = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.debug.maxToStringFields", 1000)
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
     try:
         _, heads, rows = parsed_files(files, known)
         for df in (S.inventory(_, heads, rows), S.canonical(rows), S.snapshots(heads), S.violations(_, heads, rows)):
-            plan = df._jdf.queryExecution().executedPlan().toString()
-            below = [line for part in plan.split("Exchange hashpartitioning")[1:] for line in part.split("\n")[1:2]]
-            assert below and not any(re.search(r"\b(content|record|piece)#", line) for line in below)
+            plan = spark._jvm.PythonSQLUtils.explainString(df._jdf.queryExecution(), "formatted")
+            moved = re.findall(r"\) (?:Broadcast)?Exchange[^\n]*\nInput \[\d+\]: \[([^\n]*)\]", plan)
+            assert len(moved) > 1 and not any(re.search(r"\b(content|record|piece|u_own|w_own)#", columns) for columns in moved), moved
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", keep)
 
@@ -412,6 +413,55 @@ def test_tables_at_the_edges(spark, tmp_path):
             broken()
 
 
+def test_rows_stand_as_their_files_have_them(spark, tmp_path, split):
+    head = "transaction_id," + ",".join(C.DIMENSIONS)
+    line = lambda t, v: f"{t},,{v}" + "," * (len(C.DIMENSIONS) - 2)
+    texts = {"a.csv": [line("t1", "first"), line("t2", "only")], "b/1.csv": [line("t1", "middle")] + [line(f"x{i}", "padding" * 9) for i in range(40)] + [line("t1", "second")], "b/2.csv": [line("x3", "later")]}
+    (tmp_path / "in/b").mkdir(parents=True)
+    for name, rows in texts.items():
+        (tmp_path / "in" / name).write_text("\n".join([head, *rows]) + "\n")
+    schema = "transaction_id string, " + ", ".join(f"{f} string" for f in C.DIMENSIONS)
+    read = tables.read_table(spark, str(tmp_path / "in"), schema, placed=True)
+    assert read.rdd.getNumPartitions() > 10
+    got = {r["o_id"]: r["o_category"] for r in C.last_overrides(read).collect()}
+    assert (got["t1"], got["t2"], got["x3"], len(got)) == ("second", "only", "later", 42)
+    order = [r["transaction_id"] for r in read.orderBy("load_order").collect()]
+    assert order == [r.split(",")[0] for rows in texts.values() for r in rows]
+    rules = read.select(F.col("transaction_id").alias("rule_id"), "category", "load_order")
+    numbered = spark.createDataFrame([("n2", "c", 2), ("n1", "c", 1)], "rule_id string, category string, load_order int")
+    assert [r["rule_id"] for r in C.load_rules(rules, numbered).orderBy("load_order").collect()] == [*order, "n1", "n2"]
+
+
+def test_a_failed_write_leaves_the_old_table(spark, tmp_path):
+    path, old = f"{tmp_path}/out/table", spark.range(3)
+    tables.write_table(old, path)
+    broken = spark.range(100).select(F.when(F.col("id") == 77, F.raise_error(F.lit("no"))).otherwise(F.col("id")).alias("id"))
+    for bad in (broken, old.limit(0)):
+        with pytest.raises(Exception):
+            tables.write_table(bad, path)
+        assert sorted(r["id"] for r in spark.read.parquet(path).collect()) == [0, 1, 2]
+    tables.write_table(spark.range(5), path)
+    assert spark.read.parquet(path).count() == 5 and [p.name for p in (tmp_path / "out").iterdir()] == ["table"]
+
+
+def test_faulty_payloads_are_rows(spark):
+    texts = ["[{", '{"data":"02/01/2026","valor":"1"}', "7", "[]", '["x", null, {"data":"02/01/2026"}, {"data":"02/01/2026","valor":0.05}, {"data":"03/01/2026","valor":"-1,5","more":1}]', "", None]
+    rates = R.parse_payload(spark.createDataFrame([(t,) for t in texts], "value string"))
+    sound = [tuple(r) for r in rates.where("fault IS NULL").orderBy("date").collect()]
+    assert sound == [(D("2026-01-02"), Decimal("0.050000"), "12", None, None), (D("2026-01-03"), Decimal("-1.500000"), "12", None, None)]
+    found = sorted(tuple(r) for r in R.violations(rates).collect())
+    assert found == sorted([("bad_payload", "[{"), ("bad_payload", ""), ("bad_payload", ""), ("not_a_list", texts[1]), ("not_a_list", "7"), ("bad_item", '"x"'), ("bad_item", "null"), ("bad_item", '{"data":"02/01/2026"}'), ("negative_rate", "2026-01-03")])
+
+
+def test_references_stay_in_their_portfolio(spark):
+    rows = spark.createDataFrame([("p", "t1", "g1", 5), ("q", "t2", "g2", 7)], "portfolio_id string, transaction_id string, group_id string, amount_cents long")
+    rules = spark.createDataFrame([("p", "r1", "group_id", "g2"), ("p", "r2", "group_id", "g1"), (None, "r3", "group_id", "g2"), (None, "r4", "group_id", "g3")], "portfolio_id string, rule_id string, match_type string, match_value string")
+    overrides = spark.createDataFrame([("q", "t1"), ("p", "t1")], "portfolio_id string, transaction_id string")
+    none = spark.createDataFrame([], "portfolio_id string, allocation_id string, investigation_id string, event_id string, transaction_id string, group_id string, status string, amount_cents long")
+    found = {tuple(r) for r in C.knowledge_violations(rows, rules, overrides, none, none, none).collect()}
+    assert found == {("rule_group", "g2"), ("rule_group", "g3"), ("override_transaction", "t1")}
+
+
 def test_files_are_found_below_a_folder(spark, tmp_path):
     (tmp_path / "in/acc").mkdir(parents=True)
     (tmp_path / "in/acc/a.ofx").write_bytes(STATEMENT.format(enc="UTF-8", fitid="A1").encode())
