@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -28,6 +30,20 @@ def shared_dir(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
+_GATHERED: list[list[Workspace]] = []
+
+
+@contextmanager
+def gathered() -> Iterator[list[Workspace]]:
+    """The workspaces made meanwhile, for one who writes the result and then drops all that it was read from."""
+    made: list[Workspace] = []
+    _GATHERED.append(made)
+    try:
+        yield made
+    finally:
+        _GATHERED.remove(made)
+
+
 class Workspace:
     """Tables written to the shared folder, so that lineage ends there and a lost executor costs nothing.
 
@@ -37,6 +53,8 @@ class Workspace:
     def __init__(self, spark: SparkSession):
         self.spark, self.root = spark, f"{shared_dir(spark)}/staged/{uuid.uuid4().hex}"
         self._n = 0
+        for made in _GATHERED:
+            made.append(self)
 
     def stage(self, df: DataFrame, name: str) -> DataFrame:
         self._n += 1
@@ -71,9 +89,11 @@ def spread(key: Column, buckets: int) -> Column:
     return F.floor(F.conv(F.substring(key, 1, 8), 16, 10).cast("long") * F.lit(buckets) / F.lit(2**32)).cast("long")
 
 
-def one_by_one(df: DataFrame, count: str, nth: str, most: int) -> DataFrame:
-    """Each row as often as ``count`` says, numbered from 1; rows with more than ``most`` are dealt out in parts of that many."""
-    parts = F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col(count) - 1) / most)))
-    often, rare = df.where(F.col(count) > most).withColumn("part", parts).repartition("part"), df.where(F.col(count) <= most).withColumn("part", F.lit(0).cast("long"))
+def one_by_one(df: DataFrame, count: str, nth: str, most: int, largest: int) -> DataFrame:
+    """Each row as often as ``count`` says, numbered from 1. If ``largest``, the largest count, exceeds ``most``, rows beyond are dealt out in parts of that many."""
+    if largest <= most:
+        return df.withColumn(nth, F.explode(F.sequence(F.lit(1).cast("long"), F.col(count)))).drop(count)
+    part = F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col(count) - 1) / most)))
+    dealt = df.withColumn("part", part).repartition("part", *df.columns)
     first = F.col("part") * most
-    return rare.unionByName(often).withColumn(nth, F.explode(F.sequence(first + 1, F.least(first + most, F.col(count))))).drop("part", count)
+    return dealt.withColumn(nth, F.explode(F.sequence(first + 1, F.least(first + most, F.col(count))))).drop("part", count)

@@ -77,7 +77,7 @@ def mix(
     )
     # rows that tie in all of the order are one row with a count
     base = space.stage(base.groupBy(*base.columns).agg(F.count("*").alias("rows")), "counted")
-    n = base.count()
+    n, largest = base.agg(F.count("*"), F.coalesce(F.max("rows"), F.lit(0))).first()
     slices = max(1, math.ceil(n / rows_per_bucket))
     base = base.withColumn("of_key", spread(F.col("key"), slices))
     # an id that fills a slice by itself is sliced by size, what lies before and after it in its slice is apart
@@ -97,7 +97,7 @@ def mix(
     before = before.join(t, F.col("b_source").eqNullSafe(F.col("t_source"))).drop("t_source")
     inside = Window.partitionBy("source", "slice").orderBy("key", "doc_id", "size", *extra).rowsBetween(Window.unboundedPreceding, -1)
     queued = base.withColumn("within", F.coalesce(F.sum(F.col("size") * F.col("rows")).over(inside), F.lit(0))).join(before, F.col("source").eqNullSafe(F.col("b_source")) & (F.col("slice") == F.col("b_slice")))
-    queued = one_by_one(queued, "rows", "nth", rows_per_bucket).withColumn("within", F.col("within") + F.col("nth") * F.col("size"))
+    queued = one_by_one(queued, "rows", "nth", rows_per_bucket, largest).withColumn("within", F.col("within") + F.col("nth") * F.col("size"))
     finish = [
         F.when(F.col("size") > 0, (F.lit(r) * F.col("source_size") + F.col("before") + F.col("within")).cast("double") / F.col("target"))
         for r in range(max_repeats)

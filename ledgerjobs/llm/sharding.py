@@ -164,7 +164,7 @@ def shard(
     body = F.coalesce(F.col(text).cast("string"), F.lit("")).cast("binary")
     one = docs.select(F.col(doc_id).alias("doc_id"), (F.octet_length(body) + 1).cast("long").alias("size"), F.crc32(body).alias("text_crc32"), F.unhex(F.md5(body)).alias("g"))
     rows = space.stage(one.groupBy("doc_id", "g", "size", "text_crc32").agg(F.count("*").alias("n")), "rows")
-    count = rows.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    count, largest = rows.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.max("n"), F.lit(0))).first()
     groups = space.stage(rows.groupBy("g").agg(F.sum(F.col("size") * F.col("n")).alias("bytes"), F.count("*").alias("rows")).select("g", "rows", F.expr(size_class("bytes", digits)).alias("class")), "groups")
     runs = sorted(((r["class"], r["count"]) for r in groups.groupBy("class").count().collect()), reverse=True)
     placed = pack(runs, shards) if shards else best_fit(runs, capacity)
@@ -176,7 +176,7 @@ def shard(
     of_group = space.stage(whole.union(split.select("g", "rows", F.element_at("bins", turn).alias("shard"))), "of_group")
     slices = max(1, math.ceil(count / rows_per_slice))
     at = attach(rows, of_group, ["g"], "rows").withColumn("slice", F.pmod(F.xxhash64("doc_id", "g"), F.lit(slices)))
-    numbered = one_by_one(running(at, ["shard"], "slice", ["doc_id", "g"], F.col("n")), "n", "k", rows_per_slice)
+    numbered = one_by_one(running(at, ["shard"], "slice", ["doc_id", "g"], F.col("n")), "n", "k", rows_per_slice, largest)
     out = numbered.select(
         "doc_id",
         "size",
