@@ -56,17 +56,20 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The last stage's rows. Each stage's table is dropped once the next one is written.
+    """The last stage's rows. Each stage's table, and what the stages staged for it, is dropped once the next one is written.
 
     Null ids, null and empty texts, repeated rows and empty tables go through all stages as the
     operators define it; without documents the result is empty, without benchmark items or
     labels nothing is taken for contaminated or rejected on their account.
     """
-    from ledgerjobs.llm.common import Workspace
+    from ledgerjobs.llm.common import Workspace, gathered
 
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     space = Workspace(spark)
     for name, stage in STAGES:
-        docs = space.stage(stage(spark, docs, sf_dir), name)
+        with gathered() as made:
+            docs = space.stage(stage(spark, docs, sf_dir), name)
+        for used in made:
+            used.drop()
         space.drop(docs)
     return docs
