@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import html
+import math
 import re
-from bisect import bisect_right
+from bisect import bisect_left, bisect_right
 from collections import defaultdict
 from collections.abc import Iterator
+from heapq import heappop, heappush
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -21,6 +23,8 @@ BLOCK = frozenset(
 )
 SPACED = frozenset("p h1 h2 h3 h4 h5 h6 blockquote dl figure ol ul pre listing xmp plaintext table hr fieldset menu dir".split())
 PREFORMATTED = frozenset("pre listing textarea xmp plaintext".split())
+#: Levels of indentation: trees of browsers are no deeper.
+DEEPEST = 512
 LISTS = frozenset("ul ol menu dir".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 CELLS, ROWS, GROUPS = frozenset("td th".split()), frozenset(["tr"]), frozenset("tbody thead tfoot".split())
@@ -385,8 +389,8 @@ class _Page:
         self.breaks = max(self.breaks, breaks)
 
     def deeper(self) -> None:
-        """Two more blanks, up to 40 levels."""
-        self.indent += "  " if len(self.indent) < 80 else ""
+        """Two more blanks; below ``DEEPEST`` levels no more, as browsers' trees end there."""
+        self.indent += "  " if len(self.indent) < 2 * DEEPEST else ""
 
     def line(self) -> None:
         self.breaks += 1
@@ -433,41 +437,102 @@ class _Page:
         return rows[first:]
 
 
-def lay_out(table: Box, widest: int) -> list[str]:
+class _Columns:
+    """Which columns of a table are free in a row: as intervals, so that a row costs what its cells and the intervals beside them do."""
+
+    def __init__(self):
+        self.free: list[list] = [[0, math.inf]]
+        self.held: list[tuple[float, int, int]] = []  # heap of (row from which on it is free, start, end) of cells that span rows
+        self.tangled = False
+
+    def row(self, y: int) -> None:
+        """Cells that ended before row ``y`` set their columns free."""
+        if not self.held or self.held[0][0] > y:
+            return
+        over = []
+        while self.held and self.held[0][0] <= y:
+            over.append(heappop(self.held)[1:])
+        if self.tangled:  # cells lie over each other: what is still held is taken out of all
+            self.free = [[0, math.inf]]
+            self.take(sorted((a, b) for _, a, b in self.held))
+            return
+        for a, b in over:
+            i = bisect_left(self.free, [a])
+            if i < len(self.free) and self.free[i][0] == b:
+                b = self.free.pop(i)[1]
+            if i and self.free[i - 1][1] == a:
+                self.free[i - 1][1] = b
+            else:
+                self.free.insert(i, [a, b])
+
+    def take(self, held: list[tuple[int, int]]) -> None:
+        for start, end in held:
+            i = max(0, bisect_right(self.free, [start, math.inf]) - 1)
+            while i < len(self.free) and self.free[i][0] < end:
+                a, b = self.free[i]
+                if b <= start:
+                    i += 1
+                    continue
+                left = [[x, y] for x, y in ((a, min(b, start)), (max(a, end), b)) if x < y]
+                self.free[i : i + 1] = left
+                i += len(left) if b > end or not left else 1
+
+    def place(self, cells: list[tuple[int, float]]) -> list[int]:
+        """Columns of a row's cells (span, row from which on it is free, or 0 for this row alone), from left to right."""
+        found, now, i, column = [], [], 0, 0
+        for span, until in cells:
+            while self.free[i][1] <= column:
+                i += 1
+            column = max(column, self.free[i][0])
+            found.append(column)
+            if until:
+                self.tangled |= column + span > self.free[i][1]
+                heappush(self.held, (until, column, column + span))
+                now.append((column, column + span))
+            column += span
+        if now:
+            self.take(now)
+        return found
+
+
+def lay_out(table: Box, widest: int | None) -> list[str]:
     """Lines of a table whose inner tables are laid out: columns aligned, spans kept, cells of several lines side by side.
 
-    Columns are padded up to ``widest`` characters; longer cells push what follows to the right.
+    With ``widest``, columns are padded up to that many characters; longer cells push what follows to the right.
+    Where blanks would be more than a hundred times the text, columns are not aligned: a page of
+    some hundred kilobytes could otherwise ask for gigabytes of them.
     """
     rows, loose = table.grid
     out = [line for part in loose for line in render(part)]
     # places: (row, column, span, lines of the cell); a cell that spans rows keeps its columns in them
-    taken: dict[int, int] = {}
-    places, most = [], sum(c.number("rowspan", 1) != 1 for r in rows for c in r) + max(map(len, rows))
+    taken, places = _Columns(), []
+    most = sum(c.number("rowspan", 1) != 1 for r in rows for c in r) + max(map(len, rows))
     for y, row in enumerate(rows):
-        column, mine = 0, []
-        for cell in row:
-            while taken.get(column, 0) > y:
-                column += 1
-            span = min(max(1, cell.number("colspan", 1)), 100, most)
-            down = cell.number("rowspan", 1)
-            if down != 1:
-                until = y + down if 1 < down <= 65534 else len(rows)
-                taken.update((c, until) for c in range(column, column + span))
-            mine.append((column, span, render(cell)))
-            column += span
-        places.append(mine)
+        taken.row(y)
+        spans = [min(max(1, cell.number("colspan", 1)), 1000, most) for cell in row]
+        down = [cell.number("rowspan", 1) for cell in row]
+        until = [0 if n == 1 else y + n if 1 < n <= 65534 else math.inf for n in down]
+        places.append([(column, span, render(cell)) for column, span, cell in zip(taken.place(list(zip(spans, until, strict=True))), spans, row, strict=True)])
+    # only columns where a cell begins or ends count
+    edges = sorted({e for row in places for c, s, _ in row for e in (c, c + s)})
+    at = {e: i for i, e in enumerate(edges)}
+    places = [[(at[c], at[c + s] - at[c], lines) for c, s, lines in row] for row in places]
     columns = max(c + s for row in places for c, s, _ in row)
     width = [0] * columns
     for wide in (False, True):
         for row in places:
             for column, span, lines in row:
                 if (span > 1) == wide:
-                    need = min(widest, max(map(len, lines), default=0)) - sum(width[column : column + span]) - 2 * (span - 1)
+                    longest = max(map(len, lines), default=0)
+                    need = (longest if widest is None else min(widest, longest)) - sum(width[column : column + span]) - 2 * (span - 1)
                     width[column + span - 1] += max(0, need)
     start = [0]
     for w in width:
         # a column without text takes no room
         start.append(start[-1] + (w + 2 if w else 0))
+    blanks = sum(start[c] * len(lines) for row in places for c, _, lines in row[-1:])
+    if blanks > 100 * (1000 + sum(len(line) for row in places for _, _, lines in row for line in lines)):
+        start = [0] * len(start)
     for row in places:
         for i in range(max((len(lines) for _, _, lines in row), default=0)):
             line = ""
@@ -538,7 +603,7 @@ def render(root: Box) -> list[str]:
     return page.lines()
 
 
-def visible_text(source: str | None, widest: int = 80) -> str:
+def visible_text(source: str | None, widest: int | None = None) -> str:
     if not source:
         return ""
     root, styles = build_tree(source)
@@ -547,12 +612,12 @@ def visible_text(source: str | None, widest: int = 80) -> str:
     return "\n".join(render(root))
 
 
-def extract_text(pages: DataFrame, *, page_id: str = "page_id", html_column: str = "html", widest: int = 80) -> DataFrame:
+def extract_text(pages: DataFrame, *, page_id: str = "page_id", html_column: str = "html", widest: int | None = None) -> DataFrame:
     """(page_id, text, n_chars): the visible text of each row of ``pages``, laid out.
 
     Paragraphs, headings, lists and tables stand apart by a blank line, other blocks by a line
     break; list items carry ``-`` or their number and nested lists are indented. Columns of a
-    table are aligned up to ``widest`` characters, with spans of columns and rows and cells of
+    table are aligned to their real width (``widest`` sets a limit if wanted), with spans of columns and rows and cells of
     several lines; a table of one column is a row of blocks. Left out is what a browser does
     not show: head, scripts, styles, templates, fallbacks of embedded media, options that are
     not chosen, closed dialogs, ``hidden``, and what ``display`` and ``visibility`` hide, in an

@@ -84,14 +84,14 @@ class Automaton:
     def total(self, q: int) -> int:
         return self.end[q] + sum(self.count[q].values())
 
-    def compatible(self, a: int, b: int, alpha: float) -> bool:
-        """Hoeffding's bound holds for ends and symbols of both states, and of what follows."""
+    def compatible(self, a: int, b: int, alpha: float, least: int = 1) -> bool:
+        """Hoeffding's bound holds for ends and symbols of both states, and of what follows, as far as both are passed ``least`` times."""
         width = math.sqrt(0.5 * math.log(2 / alpha))
         todo, seen = [(a, b)], set()
         while todo:
             x, y = todo.pop()
             n, m = self.total(x), self.total(y)
-            if not n or not m or (x, y) in seen:
+            if n < least or m < least or (x, y) in seen:
                 continue
             seen.add((x, y))
             bound = width * (1 / math.sqrt(n) + 1 / math.sqrt(m))
@@ -145,6 +145,35 @@ class Automaton:
             level = kept
         return self
 
+    def looped(self, alpha: float = 0.05, least: int = 5) -> Automaton:
+        """States of any depth are merged, so that what repeats becomes a loop: red and blue states.
+
+        Red states are kept. Of their successors that are not red, the blue ones, the most
+        frequent goes first: it is folded into the first red state whose symbols, and all that
+        follows, are compatible, or becomes red. States passed fewer than ``least`` times are
+        not tested; they are folded with what stands above them or stay as they are. Ends are
+        left to a model of lengths.
+        """
+        red, rare = [0], set()
+        while True:
+            blue = [(-self.count[p][c], p, c) for p in red for c, q in self.next[p].items() if q not in rare and q not in red]
+            if not blue:
+                return self
+            _, p, c = min(blue)
+            q = self.next[p][c]
+            if sum(self.count[q].values()) < least:
+                rare.add(q)
+                continue
+            into = next((r for r in red if self.compatible(r, q, alpha, least)), None)
+            if into is None:
+                red.append(q)
+            else:
+                self.fold(p, c, into)
+
+    def without_ends(self) -> Automaton:
+        self.end = [0] * len(self.end)
+        return self
+
     def frozen(self) -> list[tuple[dict[str, tuple[float, int]], float, float, int]]:
         """The states that are left: log2 likelihood and next state by symbol, that of ending here, that of an unseen symbol, and where it leads.
 
@@ -181,6 +210,18 @@ def automaton_bits(states, word: str, least: float = -math.inf) -> float:
     return total + states[q][1]
 
 
+def loop_bits(states, word: str, least: float = -math.inf) -> float:
+    """Log2 likelihood of the symbols of ``word`` in an automaton without ends, or minus infinity as soon as it is below ``least``."""
+    q, total = 0, 0.0
+    for c in word:
+        steps, _, unseen, ahead = states[q]
+        cost, q = steps.get(c) or (unseen, ahead)
+        total += cost
+        if total < least:
+            return -math.inf
+    return total
+
+
 class Plain:
     """How likely a run of the alphabet is as ordinary text: by the character before, from counts over distinct runs.
 
@@ -218,20 +259,37 @@ _NUMBERS = np.zeros(256, dtype=np.uint8)
 _NUMBERS[[ord(c) for c in ALPHABET]] = np.arange(1, len(ALPHABET) + 1)
 
 
+class Lengths:
+    """Log2 likelihood of a value's length: how often labels have it, and a geometric share for all others."""
+
+    def __init__(self, words: list[str], weight: float = 0.5):
+        self.counts, self.n, self.weight = Counter(map(len, words)), len(words), weight
+        self.stop = 1 / (1 + sum(map(len, words)) / max(1, len(words)))
+
+    def bits(self, n: int) -> float:
+        other = math.log2(self.weight * self.stop / (self.n + self.weight)) + n * math.log2(1 - self.stop)
+        return max(other, math.log2(self.counts[n] / (self.n + self.weight))) if self.counts[n] else other
+
+
 @dataclass
 class Models:
-    """An automaton per kind of credential, the plain model, and the shortest value learned from."""
+    """For each kind of credential an automaton that keeps depths, and one with loops beside a model of lengths; the plain model."""
 
     automata: dict[str, list]
     plain: Plain
-    shortest: int
+    loops: dict[str, tuple[list, Lengths]] | None = None
 
     def gain(self, word: str, least: float = -math.inf) -> float:
-        """Bits by which the best automaton explains ``word`` better than the plain model; minus infinity if less than ``least``."""
-        if not self.automata or len(word) < self.shortest:
+        """Bits by which the best automaton explains ``word`` better than the plain model; minus infinity if less than ``least``. No length is left out: an unusual one costs likelihood."""
+        if not self.automata:
             return -math.inf
         plain = self.plain.word_bits(word)
+        if -plain < least:  # nothing explains it better than surely
+            return -math.inf
         gain = max(automaton_bits(a, word, plain + least) for a in self.automata.values()) - plain
+        for loop, lengths in (self.loops or {}).values():
+            of_length = lengths.bits(len(word))
+            gain = max(gain, loop_bits(loop, word, plain + least - of_length) + of_length - plain)
         return gain if gain >= least else -math.inf
 
 
@@ -263,7 +321,10 @@ def plain_counts(runs: DataFrame) -> dict[int, int]:
 
 
 def learn(docs: DataFrame, known: DataFrame | None = None, *, per_kind: int = 2000, alpha: float = 0.05, depth: int = 128, text: str = "text") -> Models:
-    """One automaton per kind of labelled credential, from a bounded sample, and the plain model of all texts.
+    """Two automata per kind of labelled credential, from a bounded sample, and the plain model of all texts.
+
+    One merges states of equal depth only and so keeps prefix and length; the other merges
+    states of all depths and so knows values of any length, whose likelihood is a factor of its own.
 
     Labels are the base patterns' own finds in all texts and the rows (kind, value) of
     ``known``, of further kinds if need be. Of the distinct values of a kind the ``per_kind``
@@ -281,13 +342,12 @@ def learn(docs: DataFrame, known: DataFrame | None = None, *, per_kind: int = 20
     plain = Plain(plain_counts(seen.where("kind = 'plain'")))
     space.drop()
     automata = {k: Automaton(sorted(words), depth).merged(alpha).frozen() for k, words in samples.items()}
-    return Models(automata, plain, min((len(w) for words in samples.values() for w in words), default=0))
+    loops = {k: (Automaton(sorted(words), depth).without_ends().looped(alpha).frozen(), Lengths(words)) for k, words in samples.items()}
+    return Models(automata, plain, loops)
 
 
 def formats(models: Models, run: str, least: float, rate: float, level: int = 0) -> list[tuple[int, int]]:
     """Where credentials stand in a run: the whole of it, else its parts at =, / and ., else those at any separator."""
-    if len(run) < models.shortest:
-        return []
     if models.gain(run, max(least, rate * len(run))) > -math.inf:
         return [(0, len(run))]
     if level == len(PARTS):
@@ -299,7 +359,7 @@ def formats(models: Models, run: str, least: float, rate: float, level: int = 0)
 
 
 class _Formats(dict):
-    """Where credentials stand in a run, remembered for runs of usual length up to a bound."""
+    """Where credentials stand in a run, remembered for runs of usual length, up to a bound."""
 
     def __init__(self, models: Models, least: float, rate: float):
         super().__init__()
@@ -319,8 +379,8 @@ def scan_secrets(docs: DataFrame, models: Models, *, doc_id: str = "doc_id", tex
     """One row per row of ``docs``: doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_format.
 
     Base spans are those of the patterns. What is left of the text beside them is read in runs
-    of the credential alphabet; each run of the shortest learned length or more, or else each
-    of its parts between separators, is scored. It is a ``format`` span if an automaton
+    of six or more of the credential alphabet; each run, or else each of its parts between
+    separators, is scored, whatever its length. It is a ``format`` span if an automaton
     explains it at least ``least_bits`` better than the plain model of all texts, and at least
     ``bits_per_char`` a character. Null texts count as empty: no spans, the digest of nothing.
     Rows with null or repeated ids each get their own row; empty tables give empty results.

@@ -1,6 +1,7 @@
 """The ten operators against plain Python, and on nulls, empty and repeated rows, ties and empty tables."""
 
 import hashlib
+import math
 import random
 import re
 import time
@@ -595,6 +596,51 @@ def test_formats_that_no_base_pattern_finds(spark):
     assert secrets.scan_secrets(spark.createDataFrame([(1, text)], "doc_id long, text string"), more).first()["n_format"] == 2
 
 
+def brute_loops(states, lengths, word):
+    """Likelihood of a word by a plain product over states, times that of its length."""
+    q, p = 0, 1.0
+    for c in word:
+        steps, _, unseen, ahead = states[q]
+        p, q = (p * 2 ** steps[c][0], steps[c][1]) if c in steps else (p * 2**unseen, ahead)
+    seen = lengths.counts[len(word)] / (lengths.n + lengths.weight)
+    other = lengths.weight / (lengths.n + lengths.weight) * lengths.stop * (1 - lengths.stop) ** len(word)
+    return math.log2(p * max(seen, other))
+
+
+def test_loops_know_values_of_any_length():
+    r = random.Random(12)
+    words = [made(r, "access") for _ in range(300)]
+    loop = secrets.Automaton(sorted(words)).without_ends().looped().frozen()
+    assert len(loop) <= 8  # A, K, I, A and what repeats after them
+    for q, (steps, _, unseen, _) in enumerate(loop):
+        assert abs(sum(2**b for b, _ in steps.values()) - 1) < 0.02 or not steps
+    lengths = secrets.Lengths(words)
+    for n in (6, 10, 16, 30):
+        word = "AKIA" + "".join(r.choices(LETTERS, k=n))
+        got = secrets.loop_bits(loop, word) + lengths.bits(len(word))
+        assert got == pytest.approx(brute_loops(loop, lengths, word))
+        assert got > secrets.loop_bits(loop, "QKIA" + word[4:]) + lengths.bits(len(word)) + 5
+    assert lengths.bits(20) > lengths.bits(19) + 5
+
+
+def test_formats_of_other_lengths_are_found(spark):
+    """All labels are of one length; against a plain model of prose, values of the same format are found shorter and longer, words and numbers are not."""
+    r = random.Random(43)
+    labels = {"access": [made(r, "access") for _ in range(300)], "hex": [made(r, "hex") for _ in range(300)]}
+    words = ["".join(r.choice("bdklmnrst") + r.choice("aeiou") for _ in range(r.randint(3, 6))) for _ in range(3000)] + [str(r.randrange(10**12)) for _ in range(300)]
+    plain = secrets.Plain(dict(enumerate(secrets.Plain.count([*words, *(w.title() for w in words[::9])]).tolist())))
+    learned = {k: secrets.Automaton(sorted(w)).merged().frozen() for k, w in labels.items()}
+    loops = {k: (secrets.Automaton(sorted(w)).without_ends().looped().frozen(), secrets.Lengths(w)) for k, w in labels.items()}
+    hex_, caps = "0123456789abcdef", LETTERS
+    short = ["AKIA" + "".join(r.choices(caps, k=n)) for n in (10, 12, 14)] + ["".join(r.choices(hex_, k=n)) for n in (18, 20, 23)]
+    rows = [(i, f"{r.choice(words)} {x} {r.choice(words)}") for i, x in enumerate(short)] + [(100 + i, f"{w} deadbeef facade 2024-01-15 {i * 7919}") for i, w in enumerate(words[:200])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {x["doc_id"]: x["spans"] for x in secrets.scan_secrets(docs, secrets.Models(learned, plain, loops)).collect()}
+    for i, text in rows:
+        at = text.index(short[i]) if i < 100 else 0
+        assert got[i] == (f"format:{at}:{at + len(short[i])}" if i < 100 else ""), text
+
+
 def test_plain_counts_against_a_loop(spark):
     runs = ["mailers", "abc/def", "x_y.z=9", "mailing"]
     number = lambda c: secrets.Plain.NUMBER.get(c, 0)
@@ -618,6 +664,38 @@ def test_automaton_keeps_prefix_and_length(kind, states):
         assert all(secrets.automaton_bits(automaton, v) < b - 5 for v in (["zz" + w[2:]] if kind != "hex" else []) + [w[:-1], w + w[-1]])
 
 
+def test_table_columns_against_a_plain_grid():
+    r = random.Random(1)
+    for _ in range(500):
+        columns, taken = html._Columns(), {}
+        for y in range(r.randint(1, 8)):
+            columns.row(y)
+            cells = [(r.choice([1, 1, 1, 2, 3]), r.choice([0, 0, y + 2, y + 3, float("inf")])) for _ in range(r.randint(0, 5))]
+            want, c, new = [], 0, []
+            for span, until in cells:
+                while taken.get(c, 0) > y:
+                    c += 1
+                want.append(c)
+                new += [(x, until) for x in range(c, c + span) if until]
+                c += span
+            for x, until in new:
+                taken[x] = max(taken.get(x, 0), until)
+            assert columns.place(cells) == want
+
+
+def test_html_has_no_caps():
+    wide = html.visible_text("<table><tr><td>" + "x" * 300 + "<td>b<tr><td>c<td>d</table>").split("\n")
+    assert wide[0].index("b") == wide[1].index("d") == 302
+    assert html.visible_text("<table><tr><td>" + "x" * 300 + "<td>b<tr><td>c<td>d</table>", widest=80).split("\n")[1].index("d") == 82
+    deep = html.visible_text("<ul><li>x" * 100).split("\n")
+    assert deep[-1] == "  " * 99 + "- x"
+    spanned = html.visible_text("<table><tr><td colspan=300>a<td>z<tr>" + "<td>b" * 301 + "</table>").split("\n")
+    assert spanned[0].index("z") == spanned[1].rindex("b")
+    for page in ("<table><tr>" + "<td rowspan=0>a" * 20_000 + "<tr><td>b" * 20_000, "<table><tr>" + "".join(f"<td rowspan={i}>a<td>c" for i in range(2, 10_000)) + "<tr>" * 20_000):
+        began = time.time()
+        assert len(html.visible_text(page)) < 100 * len(page) and time.time() - began < 20
+
+
 def test_html_layout():
     page = """<html><head><title>no</title><style>p{}</style></head><body><h1>Top &amp; more</h1><p>one<p>two <b>bold</b>
       text<script>var x = "</p>";</script><ul><li>a<li>b<ul><li>c</ul></ul><ol start=3><li>x<li>y</ol><div hidden>gone</div><div style="display: none">gone</div>
