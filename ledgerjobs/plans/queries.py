@@ -11,7 +11,7 @@ from ledgerjobs.operators import classify as C
 from ledgerjobs.operators import coverage, daily, dates, metrics, peaks, reserve, summary
 from ledgerjobs.sources import rates as R
 from ledgerjobs.sources import statements as S
-from ledgerjobs.sources.tables import read_table
+from ledgerjobs.sources.tables import ORDERS, order_violations, read_ordered, read_table, write_table
 
 from .oracles import SQL  # noqa: F401
 from .statements import accounts, broken_files, files, shared_prefixes, written_files
@@ -24,6 +24,7 @@ class Jobs:
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.v = Ledger(spark, sf_dir)
         self._made: dict[str, DataFrame] = {}
+        self._kept: set[str] = set()
 
     def get(self, name: str) -> DataFrame:
         if name not in self._made:
@@ -32,7 +33,9 @@ class Jobs:
 
     def kept(self, *names: str) -> Jobs:
         for name in names:
-            self._made[name] = self.v.staging.table(self.get(name), name)
+            if name not in self._kept:
+                self._made[name] = self.v.staging.table(self.get(name), name)
+                self._kept.add(name)
         return self
 
     def _dated(self):
@@ -48,7 +51,7 @@ class Jobs:
         return C.identify(self.v.ledger.drop("nature", "category", "subcategory", "recurrence", "cost_treatment", "peak_eligible", "channel", "counterparty_display", "analytical_transaction_id", "parent_transaction_id"))
 
     def _classified(self):
-        return C.classify(self.get("identified"), self.v.rules, self.v.overrides)
+        return C.classify(self.kept("identified").get("identified"), self.v.rules, self.v.overrides, self.v.staging.table)
 
     def _expanded(self):
         return C.expand_allocations(self.get("classified"), self.v.allocations)
@@ -56,6 +59,9 @@ class Jobs:
     def _groups(self):
         return C.group_statistics(self.get("identified"), self.get("expanded"))
 
+    def _queue(self):
+        return C.review_queue(self.get("groups"))
+
     def _rates(self):
         """A rate for each weekday of the orders' span, by way of a JSON payload per month."""
         span = self.v.table("orders").agg(F.min(F.to_date("o_orderdate")).alias("a"), F.max(F.to_date("o_orderdate")).alias("b"))
@@ -124,7 +130,10 @@ class Jobs:
 
 def _query(make):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return make(Jobs(spark, sf_dir))
+        jobs = Jobs(spark, sf_dir)
+        out = make(jobs)
+        jobs.v.staging.drop(out)
+        return out
 
     return run
 
@@ -219,6 +228,21 @@ def _classified_from_files(j: Jobs) -> DataFrame:
     return rows.select("transaction_id", "category", "subcategory", "recurrence", "classification_provenance")
 
 
+def _written(name: str, table: str, *needs: str):
+    """The table written in its order, read back, and where its keys stand: ties have one place."""
+
+    def make(j: Jobs) -> DataFrame:
+        path, order = f"{j.v.staging.root}/written", ORDERS[name]
+        df = j.kept(*needs).get(table)
+        keys = [c.lstrip("-") for c in order]
+        write_table(df, path, tuple(df.columns), order=order)
+        rows = read_ordered(j.v.spark, path)
+        wrong = order_violations(rows, order).count()
+        return rows.groupBy(*keys).agg(F.min("position").alias("first_position"), F.count("*").alias("rows")).withColumn("out_of_order", F.lit(wrong).cast("long"))
+
+    return make
+
+
 def _reserve_checks(j: Jobs) -> DataFrame:
     """Movements of the wrong sign, and what makes a reserve impossible, with the events and rates of some portfolios cut."""
     j.kept("dated", "rates", "assumptions")
@@ -267,6 +291,10 @@ QUERIES = {
         "peaks_monthly": lambda j: peaks.peaks_monthly(j.kept("dated", "candidates").get("candidates"), j.get("monthly")),
         "peaks_summary": lambda j: peaks.peaks_summary(j.kept("dated", "candidates").get("candidates"), j.kept("monthly").get("monthly")),
         "report_summary": _report,
+        "written_transactions": _written("transactions", "canonical", "contents", "files", "parsed", "statements"),
+        "written_snapshots": _written("snapshots", "read_snapshots", "contents", "files", "parsed", "statements"),
+        "written_groups": _written("groups", "groups", "identified", "expanded"),
+        "written_review_queue": _written("review_queue", "queue", "identified", "expanded", "groups"),
         "rate_checks": _rate_checks,
         "classified_from_files": _classified_from_files,
         "reserve_checks": _reserve_checks,

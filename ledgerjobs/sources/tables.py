@@ -6,7 +6,7 @@ import re
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -51,9 +51,17 @@ class Staging:
         df.write.mode("overwrite").parquet(f"{self.root}/{name}")
         return self.spark.read.schema(df.schema).parquet(f"{self.root}/{name}")
 
-    def drop(self) -> None:
-        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.root)
-        path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    def drop(self, *keep: DataFrame) -> None:
+        """Deletes the run's tables but for those that ``keep`` reads."""
+        kept = {f.split(f"{_plain_path(self.root)}/")[1].split("/")[0] for df in keep for f in df.inputFiles() if f"{_plain_path(self.root)}/" in f}
+        here, fs = _file_system(self.spark, self.root)
+        for status in fs.listStatus(here) if fs.exists(here) else []:
+            if status.getPath().getName() not in kept:
+                fs.delete(status.getPath(), True)
+
+
+def _plain_path(path: str) -> str:
+    return re.sub(r"^[a-z0-9+.-]+:(//[^/]*)?", "", path)
 
 
 #: Where a row stands in a table of files: by the file's path, the part of it that a task reads, and the line in that part.
@@ -103,12 +111,14 @@ def load_order(df: DataFrame) -> Column:
     return F.col("load_order") if isinstance(df.schema["load_order"].dataType, T.StructType) else place_of(F.col("load_order"))
 
 
-def write_table(df: DataFrame, path: str, columns: tuple[str, ...] | None = None, form: str = "parquet", order: tuple[str, ...] = ()) -> None:
+def write_table(df: DataFrame, path: str, columns: tuple[str, ...] | None = None, form: str = "parquet", order: tuple[str, ...] = (), refuse: dict[str, Column] | None = None) -> None:
     """Replaces ``path``; refuses an empty table and columns that are not the declared ones. ``order`` sorts at the sink only, see ``ordered`` and ``ORDERS``.
 
+    ``refuse`` names conditions that no row may meet: the table is refused if one does.
+
     The table is written beside ``path`` and takes its place by renaming only when all of it is
-    there: a job that fails, or a table that is refused, leaves the old one. Rows are counted
-    while they are written, so nothing is read twice.
+    there: a job that fails, or a table that is refused, leaves the old one. Rows, and those
+    that meet a condition, are counted while they are written, so nothing is read twice.
     """
     if columns is not None and set(columns) != set(df.columns):
         raise Unfit(f"columns {sorted(df.columns)} are not {sorted(columns)}")
@@ -120,11 +130,14 @@ def write_table(df: DataFrame, path: str, columns: tuple[str, ...] | None = None
     folder, _, name = path.rstrip("/").rpartition("/")
     beside = f"{folder}/" if folder else ""
     new, old = (f"{beside}_{name}.{kind}-{uuid.uuid4().hex}" for kind in ("new", "old"))
-    writer = out.observe(seen, F.count("*").alias("rows")).write
+    gates = refuse or {}
+    writer = out.observe(seen, F.count("*").alias("rows"), *[F.count_if(c).alias(f"bad {k}") for k, c in gates.items()]).write
     try:
         writer.option("header", True).csv(new) if form == "csv" else writer.parquet(new)
         if not seen.get["rows"]:
             raise Unfit("an empty table is not written")
+        if bad := {k: seen.get[f"bad {k}"] for k in gates if seen.get[f"bad {k}"]}:
+            raise Unfit(f"rows that are refused: {bad}")
         _swap(df.sparkSession, path, new, old)
     finally:
         _delete(df.sparkSession, new)
@@ -154,6 +167,23 @@ def _swap(spark: SparkSession, path: str, new: str, old: str) -> None:
     _delete(spark, old)
 
 
+def read_ordered(spark: SparkSession, path: str) -> DataFrame:
+    """A Parquet table with ``position``, from 1: where a row stands when its files are read in the order of their names."""
+    rows = spark.read.parquet(path)
+    rows = rows.select("*", F.col("_metadata.file_name").alias("file_"), F.col("_metadata.row_index").alias("row_"))
+    before = F.sum("count").over(Window.orderBy("file_").rowsBetween(Window.unboundedPreceding, -1))  # a row for each file
+    files = rows.groupBy("file_").count().select("file_", F.coalesce(before, F.lit(0)).alias("before_"))
+    return rows.join(F.broadcast(files), "file_").withColumn("position", F.col("before_") + F.col("row_") + 1).drop("file_", "row_", "before_")
+
+
+def order_violations(rows: DataFrame, order: tuple[str, ...]) -> DataFrame:
+    """(position, key): rows of ``read_ordered`` that come before the row in front of them by ``order``, whose descending keys are numbers."""
+    key = F.struct(*[(-F.col(c[1:])).alias(c[1:]) if c.startswith("-") else F.col(c) for c in order])
+    here = rows.select("position", key.alias("key"))
+    front = rows.select((F.col("position") + 1).alias("position"), key.alias("front"))
+    return here.join(front, "position").where("key < front").select("position", "key")
+
+
 def require_empty(violations: DataFrame, what: str = "violations") -> None:
     """Strict mode: raises with a few offenders."""
     if found := violations.limit(5).collect():

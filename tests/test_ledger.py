@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+import statistics
 from datetime import date
 from decimal import Decimal
 
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 from ledgerjobs.functions import exprs as X
 from ledgerjobs.functions.helpers import decode_statement, normalize, unescape
 from ledgerjobs.operators import classify as C
-from ledgerjobs.operators import coverage, daily, dates, metrics, peaks, reserve
+from ledgerjobs.operators import coverage, daily, dates, joins, metrics, peaks, reserve
 from ledgerjobs.sources import rates as R
 from ledgerjobs.sources import statements as S
 from ledgerjobs.sources import tables
@@ -444,6 +445,64 @@ def test_a_failed_write_leaves_the_old_table(spark, tmp_path):
     assert spark.read.parquet(path).count() == 5 and [p.name for p in (tmp_path / "out").iterdir()] == ["table"]
 
 
+def test_refused_rows_are_counted_while_writing(spark, tmp_path):
+    path = f"{tmp_path}/table"
+    sound = spark.createDataFrame([(1, *"abcdefg")], "id int, " + ", ".join(f"{d} string" for d in C.DIMENSIONS))
+    tables.write_table(sound, path, refuse={"unclassified": C.any_blank()})
+    with pytest.raises(tables.Unfit, match="unclassified.: 2"):
+        tables.write_table(sound.union(sound.withColumn("nature", F.lit(""))).union(sound.withColumn("nature", F.lit(None))), path, refuse={"unclassified": C.any_blank()})
+    assert spark.read.parquet(path).count() == 1
+
+
+def test_order_of_written_files_is_proved(spark, tmp_path):
+    df = spark.range(200).select((F.col("id") * 37 % 50).alias("amount_cents"), F.col("id").cast("string").alias("episode_id")).repartition(5)
+    order = tables.ORDERS["peaks"]
+    tables.write_table(df, f"{tmp_path}/sorted", order=order)
+    tables.write_table(df, f"{tmp_path}/not")
+    good, bad = (tables.read_ordered(spark, f"{tmp_path}/{n}") for n in ("sorted", "not"))
+    assert tables.order_violations(good, order).count() == 0 and tables.order_violations(bad, order).count() > 20
+    assert [r["position"] for r in good.orderBy("position").collect()] == list(range(1, 201))
+    want = sorted((-(i * 37 % 50), str(i)) for i in range(200))
+    assert [(-r["amount_cents"], r["episode_id"]) for r in good.orderBy("position").collect()] == want
+
+
+def test_frequent_keys_are_not_dealt_to_one_task(spark):
+    rows = [((0 if i % 3 == 0 else i % 400) if i % 50 else None, i) for i in range(6000)]
+    df = spark.createDataFrame(rows, "k int, v int").repartition(8).select(F.struct("k").alias("k"), "v")
+    table = df.groupBy("k").agg(F.count("*").alias("n"), F.sum("v").alias("total"))
+    want = sorted(map(str, df.join(table.drop("n").withColumnRenamed("k", "l"), F.col("k").eqNullSafe(F.col("l"))).drop("l").collect()))
+    settings = {"spark.sql.adaptive.enabled": "false", "spark.sql.shuffle.partitions": "16"}
+    keep = {k: spark.conf.get(k) for k in settings}
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        for most in (20, 1000):  # beside and below the number of keys
+            out = joins.attach(df, table, ["k"], "n", most=most)
+            assert sorted(map(str, out.collect())) == want
+            tasks = sorted(r["count"] for r in out.groupBy(F.spark_partition_id()).count().collect())
+            assert tasks[-1] <= 2 * statistics.median(tasks)
+    finally:
+        for k, v in keep.items():
+            spark.conf.set(k, v)
+
+
+@pytest.mark.parametrize("most", [2, 10_000])
+def test_rules_are_attached_as_joined(spark, tmp_path, most, monkeypatch):
+    monkeypatch.setattr(C, "attach", lambda *a: joins.attach(*a, most=most))
+    rows = spark.createDataFrame([(p, g, f"c{g[1]}", g, f"t{p}{i}", D("2026-01-10"), i) for p in ("p", "q", None) for i in range(9) for g in ("g1", "g2", "g3")], "portfolio_id string, group_id string, channel string, counterparty_key string, transaction_id string, transaction_date date, amount_cents long")
+    schema = "rule_id string, priority int, match_type string, match_value string, valid_from date, valid_to date, min_amount_cents long, max_amount_cents long, load_order int, " + ", ".join(f"{d} string" for d in C.DIMENSIONS)
+    rules = spark.createDataFrame([("r1", 1, "channel", "c1", None, None, None, None, 1, *"abcdefg"), ("r2", 2, "group_id", "g2", None, None, 4, None, 2, *"hijklmn")], schema)
+    numbers = iter(range(9))
+
+    def staged(df, name):
+        df.write.parquet(f"{tmp_path}/{name}{(n := next(numbers))}")
+        return spark.read.parquet(f"{tmp_path}/{name}{n}")
+
+    a, b = (sorted(map(str, C.classify(rows.where("portfolio_id IS NOT NULL"), rules, staged=s).collect())) for s in (None, staged))
+    assert a == b and len(a) == 54
+    assert C.classify(rows, rules, staged=staged).count() == 81
+
+
 def test_faulty_payloads_are_rows(spark):
     texts = ["[{", '{"data":"02/01/2026","valor":"1"}', "7", "[]", '["x", null, {"data":"02/01/2026"}, {"data":"02/01/2026","valor":0.05}, {"data":"03/01/2026","valor":"-1,5","more":1}]', "", None]
     rates = R.parse_payload(spark.createDataFrame([(t,) for t in texts], "value string"))
