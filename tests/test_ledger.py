@@ -142,6 +142,24 @@ def test_blocks_end_as_the_format_allows(spark):
     assert (field("<ofx:name>\n  A b \r\n<MEMO>m", "NAME"), field("<NAME><MEMO>m", "NAME"), field("<MEMO>m", "NAME"), field("<NAMES>x<NAME>y", "NAME")) == ("A b", "", "", "y")
 
 
+def test_a_late_tag_is_found_in_text_of_many_bytes(spark):
+    """Bytes that are UTF-8 but not declared so are read as Windows-1252, in which the same text has more characters."""
+    text = STATEMENT.format(enc="USASCII", fitid="A1").replace("</STMTTRN>", "<CHECKNUM></STMTTRN>", 1)
+    text = text.replace("<STMTTRN>", "<STMTTRN><TRNTYPE>x<DTPOSTED>20260102<TRNAMT>1<NAME>" + "é" * 40 + "<MEMO>m<FITID>late</STMTTRN><STMTTRN>", 1)
+    _, heads, rows = read(spark, [("acc/a.ofx", text.encode())])
+    assert heads.first()["encoding"] == "w"
+    first = rows.orderBy("source_position").first()
+    assert (first["name_raw"], first["memo_raw"], first["bank_transaction_id"]) == ("Ã©" * 40, "m", "late")
+
+
+@pytest.mark.parametrize("name", ["TRNAMT", "NAME"])
+def test_values_of_tags_are_those_of_fields(spark, name):
+    texts = ["<name>\n A b \r\n<MEMO>m", "<NAME><MEMO>m", "<MEMO>m", "<NAMES>x<nAmE>y", "x<NAME> \t\x0b\x0c\u00a0é\u2003 \nz", "<NAME", "<NAME>a<NAME>b", "<trnamt>1,5\r\n<NAME>\u0131 <x", ""]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    got = df.select(X.tag_value(F.col("t"), name).alias("a"), F.coalesce(X.field_of(F.col("t"), X.ascii_upper(F.col("t")), F.lit(name)), F.lit("")).alias("b")).collect()
+    assert [r["a"] for r in got] == [r["b"] for r in got] and any(r["a"] for r in got)
+
+
 @pytest.fixture
 def split(spark):
     """Parts of files as small as they get."""
