@@ -14,7 +14,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    return secrets.scan_secrets(docs, secrets.learn(docs))
+    return secrets.scan_secrets(docs, secrets.learn(docs), whole=True)
 
 
 def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -39,6 +39,11 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(spans)
 
 
+def assignments(text: str) -> list[tuple[int, int, int]]:
+    """``base_spans`` of kind assign, as whole matches: from the name to the end of its value."""
+    return [(m.start(), 0, m.end()) for m in ASSIGN.finditer(text) if m.end(2) - m.start(2) >= 6]
+
+
 def apart_from(text: str, spans: list[tuple[int, int, int]]) -> str:
     """The text with a blank for each character of a span, so that what is beside one is read by itself."""
     out, at = [], 0
@@ -350,11 +355,13 @@ def formats(models: Models, run: str, least: float, rate: float, level: int = 0)
     """Where credentials stand in a run: the whole of it, else its parts at =, / and ., else those at any separator."""
     if models.gain(run, max(least, rate * len(run))) > -math.inf:
         return [(0, len(run))]
-    if level == len(PARTS):
+    while level < len(PARTS):
+        parts = [(m.start(), m.group()) for m in PARTS[level].finditer(run)]
+        if len(parts) != 1 or len(parts[0][1]) != len(run):
+            break
+        level += 1  # the run itself, which has been scored
+    else:
         return []
-    parts = [(m.start(), m.group()) for m in PARTS[level].finditer(run)]
-    if len(parts) == 1 and len(parts[0][1]) == len(run):
-        return formats(models, run, least, rate, level + 1) if level + 1 < len(PARTS) else []
     return [(at + s, at + e) for at, part in parts for s, e in formats(models, part, least, rate, level + 1)]
 
 
@@ -364,18 +371,49 @@ class _Formats(dict):
     def __init__(self, models: Models, least: float, rate: float):
         super().__init__()
         self.of = models, least, rate
+        self.plain = np.array(models.plain.bits)
+        # what each symbol, and the end (0), costs at best in any state; a model of lengths adds nothing
+        self.best = [self._best(a, True) for a in models.automata.values()] + [self._best(loop, False) for loop, _ in (models.loops or {}).values()]
+
+    @staticmethod
+    def _best(states: list, ends: bool) -> np.ndarray:
+        symbols = [max(steps[c][0] if c in steps else unseen for steps, _, unseen, _ in states) for c in ALPHABET]
+        return np.array([max(end for _, end, _, _ in states) if ends else 0.0, *symbols])
+
+    def hopeful(self, words: list[str]) -> np.ndarray:
+        """Which words may be credentials if each symbol cost as little as in any state: all that are, and few others."""
+        x = _NUMBERS[np.frombuffer(f" {' '.join(words)} ".encode("ascii"), dtype=np.uint8)]
+        size = np.array([len(w) for w in words])
+        at = np.cumsum(size + 1) - size - 1
+        plain = np.add.reduceat(self.plain[x[:-1], x[1:]], at)
+        most = np.max([np.add.reduceat(best[x[1:]], at) for best in self.best], axis=0)
+        _, least, rate = self.of
+        return most - plain >= np.maximum(least, rate * size) - 1e-6  # sums in another order differ in their last digits
+
+    def read(self, runs: set[str]) -> None:
+        """Remembers the runs of which neither the whole nor a part is hopeful."""
+        if len(self) > 200_000:
+            self.clear()
+        new = [r for r in runs if len(r) <= 64 and r not in self]
+        words, of = list(new), list(range(len(new)))
+        for i, run in enumerate(new):
+            if not run.isalnum():
+                parts = [p for cut in PARTS for p in cut.findall(run)]
+                words += parts
+                of += [i] * len(parts)
+        if words:
+            kept = set(np.array(of)[self.hopeful(words)].tolist())
+            self.update((run, []) for i, run in enumerate(new) if i not in kept)
 
     def __missing__(self, run: str) -> list[tuple[int, int]]:
         models, least, rate = self.of
         found = formats(models, run, least, rate)
-        if len(self) > 200_000:
-            self.clear()
         if len(run) <= 64:
             self[run] = found
         return found
 
 
-def scan_secrets(docs: DataFrame, models: Models, *, doc_id: str = "doc_id", text: str = "text", least_bits: float = 24.0, bits_per_char: float = 0.5) -> DataFrame:
+def scan_secrets(docs: DataFrame, models: Models, *, doc_id: str = "doc_id", text: str = "text", least_bits: float = 24.0, bits_per_char: float = 0.5, whole: bool = False) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_format.
 
     Base spans are those of the patterns. What is left of the text beside them is read in runs
@@ -384,23 +422,29 @@ def scan_secrets(docs: DataFrame, models: Models, *, doc_id: str = "doc_id", tex
     explains it at least ``least_bits`` better than the plain model of all texts, and at least
     ``bits_per_char`` a character. Null texts count as empty: no spans, the digest of nothing.
     Rows with null or repeated ids each get their own row; empty tables give empty results.
+    An assignment's span is that of its value, with ``whole`` that of its match, name included;
+    what is beside values is read for formats either way.
     """
     shared = docs.sparkSession.sparkContext.broadcast(models)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         where = _Formats(shared.value, least_bits, bits_per_char)
         for batch in batches:
-            rows = []
-            for body in batch["text"]:
-                body = body or ""
-                spans = base_spans(body)
-                rest = apart_from(body, spans) if spans else body
-                extra = []
-                if shared.value.automata and any(map(where.__getitem__, RUN.findall(rest))):
-                    extra = [(m.start() + s, 3, m.start() + e) for m in RUN.finditer(rest) for s, e in where[m.group()]]
-                n = Counter(k for _, k, _ in spans)
-                base, every = (",".join(f"{KINDS[k]}:{s}:{e}" for s, k, e in some) for some in (spans, sorted(spans + extra)))
-                rows.append((n[0], n[1], n[2], hashlib.sha256(base.encode()).hexdigest(), every, len(extra)))
+            rows, texts = [], [body or "" for body in batch["text"]]
+            for some in (texts[i : i + 64] for i in range(0, len(texts), 64)):
+                found = [base_spans(body) for body in some]
+                rests = [apart_from(body, spans) if spans else body for body, spans in zip(some, found, strict=True)]
+                if shared.value.automata:
+                    where.read({r for rest in rests for r in RUN.findall(rest)})
+                for body, spans, rest in zip(some, found, rests, strict=True):
+                    extra = []
+                    if shared.value.automata and any(map(where.__getitem__, RUN.findall(rest))):
+                        extra = [(m.start() + s, 3, m.start() + e) for m in RUN.finditer(rest) for s, e in where[m.group()]]
+                    if whole and any(k == 0 for _, k, _ in spans):
+                        spans = sorted([x for x in spans if x[1]] + assignments(body))
+                    n = Counter(k for _, k, _ in spans)
+                    base, every = (",".join(f"{KINDS[k]}:{s}:{e}" for s, k, e in chosen) for chosen in (spans, sorted(spans + extra)))
+                    rows.append((n[0], n[1], n[2], hashlib.sha256(base.encode()).hexdigest(), every, len(extra)))
             out = pd.DataFrame(rows, columns=["n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_format"])
             out.insert(0, "doc_id", batch["doc_id"].to_numpy())
             yield out

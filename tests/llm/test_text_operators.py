@@ -542,6 +542,34 @@ def test_base_spans_against_a_scan_of_characters(spark):
     assert got == want
 
 
+def test_the_query_gives_whole_assignments(spark, tmp_path):
+    from ledgerjobs.llm import queries
+
+    texts = ["x API_key = \"q/w+e=r.t_y\" AKIA" + "A1" * 8, "token=short secret: 'deadbeef' " + "0f" * 14, None, "password: token: abcdefg"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {x["doc_id"]: x for x in queries.QUERIES["op1_secret_scan"](spark, str(tmp_path)).collect()}
+    want = {0: "assign:2:24,access:26:46", 1: "assign:12:29,hex:31:59", 2: "", 3: ""}
+    assert {i: x["base_sha256"] for i, x in got.items()} == {i: hashlib.sha256(w.encode()).hexdigest() for i, w in want.items()}
+    assert all(set(filter(None, want[i].split(","))) <= set(x["spans"].split(",")) for i, x in got.items())
+
+
+def test_no_credential_is_passed_over_unscored():
+    r = random.Random(7)
+    hexes = ["".join(r.choices("0123456789abcdef", k=40)) for _ in range(300)]
+    keys = ["AKIA" + "".join(r.choices("ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", k=16)) for _ in range(300)]
+    plain = secrets.Plain(dict(enumerate(secrets.Plain.count(["thethe", "thingthen", "other/thing"] * 200).tolist())))
+    learned = {k: secrets.Automaton(sorted(w)).merged().frozen() for k, w in (("hex", hexes), ("access", keys))}
+    loops = {k: (secrets.Automaton(sorted(w)).without_ends().looped().frozen(), secrets.Lengths(w)) for k, w in (("hex", hexes), ("access", keys))}
+    models = secrets.Models(learned, plain, loops)
+    runs = {w[:n] for w in hexes[:40] + keys[:40] for n in (6, 12, 17, 20, 33, 40)} | {"id=" + k for k in keys[:20]} | {"thethething", "then/other.thing", "a" * 64}
+    runs |= {"".join(r.choices(secrets.ALPHABET, k=r.randint(6, 64))) for _ in range(300)}
+    where = secrets._Formats(models, 24.0, 0.5)
+    where.read(runs)
+    passed = dict(where)
+    assert all(secrets.formats(models, w, 24.0, 0.5) == found for w, found in passed.items()) and "then/other.thing" in passed
+    assert any(where[w] for w in runs) and all(where[w] == secrets.formats(models, w, 24.0, 0.5) for w in runs)
+
+
 def test_secrets(spark):
     r = random.Random(4)
     hexes = ["".join(r.choices("0123456789abcdef", k=40)) for _ in range(80)]
