@@ -160,6 +160,28 @@ def test_values_of_tags_are_those_of_fields(spark, name):
     assert [r["a"] for r in got] == [r["b"] for r in got] and any(r["a"] for r in got)
 
 
+@pytest.mark.parametrize("name", ["TRNAMT", "NAME"])
+def test_usual_tags_are_searched_for_as_spelled(spark, name):
+    usual = ["<NAME>\n A b \r\n<MEMO>m", "<NAME><MEMO>m", "<NAME>\r\n<MEMO>m", "<NAMES>x<NAME>y\t", "x<NAME> \t\x0b\x0c\u00a0é\u2003 \nz", "<NAME>a<NAME>b", "<TRNAMT>1,5 \r\n<NAME>a b  c", "<NAME> \t </X.Y>", "<NAME>", ""]
+    others = ["<nAmE>y", "<NAME", "<x:NAME>y", "<NAME a=1>y", "<NAME>a < b", "<TRNAMT>1</ NAME>"]
+    df = spark.createDataFrame([(t,) for t in usual + others], "t string")
+    got = df.select("t", F.col("t").rlike(X.UNUSUAL).alias("other"), X.strip(X.usual_value(F.col("t"), name)).alias("a"), X.tag_value(F.col("t"), name).alias("b")).collect()
+    assert {r["t"] for r in got if r["other"]} == set(others)
+    assert all(r["a"] == r["b"] for r in got if not r["other"]) and any(r["a"] for r in got)
+
+
+def test_usual_and_other_spellings_are_read_alike(spark):
+    """The same records, as usual and with a tag in small letters behind, which takes them the long way."""
+    one = "<STMTTRN><TRNTYPE>debit\n<DTPOSTED>20260105\n<TRNAMT> -12,34 \n<FITID>%s\n<NAME>Caf\u00e9 &amp; P\u00e3o\t\n<MEMO>\n m &lt;\n</STMTTRN>\n<NAME>late\n"
+    text = "ENCODING:%s\n<BANKID>1234<ACCTID>9<BANKTRANLIST>" + one % "A" + one % "B" + "</BANKTRANLIST><LEDGERBAL><BALAMT>1.00<DTASOF>20260131</LEDGERBAL>"
+    for enc, codec in (("UTF-8", "utf-8"), ("USASCII", "cp1252"), ("USASCII", "utf-8")):
+        rows = []
+        for t in (text % enc, (text % enc).replace("<NAME>late", "<Name>late")):
+            _, heads, got = read(spark, [("acc/a.ofx", t.encode(codec))])
+            rows.append([tuple(r) for r in heads.select("encoding", "blocks", "bank_id", "balance_cents").collect()] + [tuple(r) for r in got.orderBy("source_position").select("transaction_type", "bank_transaction_id", "amount_cents", "name_raw", "memo_raw").collect()])
+        assert rows[0] == rows[1] and len(rows[0]) == 3 and rows[0][1][4] == "m <" and rows[0][1][3].endswith("o")
+
+
 @pytest.fixture
 def split(spark):
     """Parts of files as small as they get."""
