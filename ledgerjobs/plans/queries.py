@@ -296,7 +296,7 @@ QUERIES = {
         "peaks_summary": lambda j: peaks.peaks_summary(j.kept("dated", "candidates").get("candidates"), j.kept("monthly").get("monthly")),
         "report_summary": _report,
         "written_transactions": _written("transactions", "canonical", "contents", "files", "parsed", "statements"),
-        "written_snapshots": _written("snapshots", "read_snapshots", "contents", "files", "parsed", "statements"),
+        "written_snapshots": _written("snapshots", "read_snapshots", "contents", "files", "statements"),
         "written_groups": _written("groups", "groups", "identified", "expanded"),
         "written_review_queue": _written("review_queue", "queue", "identified", "expanded", "groups"),
         "rate_checks": _rate_checks,
