@@ -14,27 +14,24 @@ from ledgerjobs.functions.helpers import normalize
 from ledgerjobs.sources.tables import load_order
 
 from .joins import attach
-from .ranks import middles, running
+from .ranks import middles_of_counts, running
 
 # The dimensions of a classification, statuses of inquiries and what rules may match.
 DIMENSIONS = ("nature", "category", "subcategory", "recurrence", "flexibility", "cost_treatment", "peak_eligible")
 STATUSES = ("needs_investigation", "deprioritized", "resolved")
 MATCH_TYPES = ("group_id", "channel", "counterparty_key")
+#: What ``identify`` adds, and what groups are made of.
+IDENTITY = ("channel", "counterparty_key", "counterparty_display", "group_id")
+GROUPED = ("portfolio_id", *IDENTITY, "transaction_date", "account_id", "transaction_id", "amount_cents", "description_raw")
 
 
 def identify(rows: DataFrame) -> DataFrame:
-    """Adds channel, counterparty_key, counterparty_display and group_id; texts are normalised once per distinct display."""
+    """Adds channel, counterparty_key, counterparty_display and group_id; texts are normalised row by row, so no row is moved for it."""
     layout = F.col("layout") if "layout" in rows.columns else X.layout_of(F.col("account_id"))
-    known = X.with_counterparty(rows, layout)
-    displays = known.select(F.col("party.display").alias("d")).distinct().withColumn("normal", normalize("d"))
-    keyed = known.join(displays, F.col("party.display") == F.col("d"), "left")
+    known = X.with_counterparty(rows, layout).withColumn("counterparty_display", F.col("party.display"))
+    keyed = known.withColumn("normal", normalize("counterparty_display"))
     key = F.when(F.col("party.id_hash") != "", F.concat(F.lit("ID "), "party.id_hash")).otherwise(F.col("normal"))
-    return (
-        keyed.withColumn("counterparty_key", key)
-        .withColumn("counterparty_display", F.col("party.display"))
-        .withColumn("group_id", X.group_id(F.col("channel"), F.col("counterparty_key")))
-        .drop("party", "d", "normal")
-    )
+    return keyed.withColumn("counterparty_key", key).withColumn("group_id", X.group_id(F.col("channel"), F.col("counterparty_key"))).drop("party", "normal")
 
 
 def load_rules(base: DataFrame, private: DataFrame | None = None) -> DataFrame:
@@ -56,41 +53,61 @@ def groups_of(rows: DataFrame) -> DataFrame:
     return rows.groupBy("portfolio_id", "group_id", "channel", "counterparty_key").agg(F.count("*").alias("rows"))
 
 
+def _as_structs(rules: DataFrame) -> DataFrame:
+    """(match_type, match_value, rule, r_portfolio): the fields of each rule, those that decide its place first, and its portfolio, null if it holds in all."""
+    fields = ["rule_id", "valid_from", "valid_to", "min_amount_cents", "max_amount_cents", *DIMENSIONS]
+    rule = F.struct(F.coalesce("priority", F.lit(0)).alias("priority"), "load_order", *fields)
+    of = F.col("portfolio_id") if "portfolio_id" in rules.columns else F.lit(None).cast("string")
+    return rules.select("match_type", "match_value", rule.alias("rule"), of.alias("r_portfolio"))
+
+
 def rules_by_group(groups: DataFrame, rules: DataFrame) -> DataFrame:
     """(portfolio_id, group_id, rules): the rules whose key matches, by priority, then load order. One row per distinct group that has any."""
     groups = groups.select("portfolio_id", "group_id", "channel", "counterparty_key").distinct()
     pairs = F.array(*[F.struct(F.lit(t).alias("match_type"), F.col(t).alias("match_value")) for t in MATCH_TYPES])
     keyed = groups.select("portfolio_id", "group_id", F.explode(pairs).alias("m")).select("portfolio_id", "group_id", "m.*")
-    fields = ["rule_id", "valid_from", "valid_to", "min_amount_cents", "max_amount_cents", *DIMENSIONS]
-    rule = F.struct(F.coalesce("priority", F.lit(0)).alias("priority"), "load_order", *fields)
-    r = rules.select("match_type", "match_value", rule.alias("rule"), *(["portfolio_id"] if "portfolio_id" in rules.columns else []))
-    on = ["match_type", "match_value"]
-    if "portfolio_id" in rules.columns:
-        r = r.withColumnRenamed("portfolio_id", "r_portfolio")
-        joined = keyed.join(r, on).where("r_portfolio IS NULL OR r_portfolio = portfolio_id")
-    else:
-        joined = keyed.join(r, on)
+    joined = keyed.join(_as_structs(rules), ["match_type", "match_value"]).where("r_portfolio IS NULL OR r_portfolio = portfolio_id")
     return joined.groupBy("portfolio_id", "group_id").agg(F.array_sort(F.collect_list("rule")).alias("rules"))
 
 
-def classify(rows: DataFrame, rules: DataFrame, overrides: DataFrame | None = None, staged: Callable[[DataFrame, str], DataFrame] | None = None) -> DataFrame:
+def with_few_rules(rows: DataFrame, rules: DataFrame) -> DataFrame:
+    """``rows`` with the ``rules`` of their group as ``rules_by_group`` has them (null without any): the rules of each value that they match are broadcast, so no row is moved."""
+    by_value = _as_structs(rules).groupBy("match_type", "match_value").agg(F.array_sort(F.collect_list(F.struct("rule.*", "r_portfolio"))).alias("of_value"))
+    held = rows
+    for t in MATCH_TYPES:
+        found = by_value.where(F.col("match_type") == t).select(F.col("match_value").alias(f"v_{t}"), F.col("of_value").alias(f"of_{t}"))
+        held = held.join(F.broadcast(found), F.col(t) == F.col(f"v_{t}"), "left").drop(f"v_{t}")
+    found = [F.col(f"of_{t}") for t in MATCH_TYPES]
+    several = reduce(lambda a, b: a + b, [c.isNotNull().cast("int") for c in found]) > 1
+    kind = by_value.schema["of_value"].dataType
+    all_found = F.concat(*[F.coalesce(c, F.array().cast(kind)) for c in found])
+    held = held.withColumn("rules", F.when(several, F.array_sort(all_found)).otherwise(F.coalesce(*found)))
+    here = F.when(F.col("portfolio_id").isNotNull() & F.col("group_id").isNotNull(), F.col("rules"))
+    if "portfolio_id" in rules.columns:
+        here = F.filter(here, lambda r: r.r_portfolio.isNull() | (r.r_portfolio == F.col("portfolio_id")))
+    return held.withColumn("rules", here).drop(*[f"of_{t}" for t in MATCH_TYPES])
+
+
+def classify(rows: DataFrame, rules: DataFrame, overrides: DataFrame | None = None, staged: Callable[[DataFrame, str], DataFrame] | None = None, *, few: int = 10_000) -> DataFrame:
     """Each identified row with its seven dimensions and the ids of what decided them.
 
-    Rules meet groups, not rows; a row keeps the rules of its group whose dates and signed
-    amounts hold, and the last non-blank value by priority wins, an override over all.
+    A row keeps the rules of its group whose dates and signed amounts hold, and the last
+    non-blank value by priority wins, an override over all.
 
-    With ``staged``, which writes a table and reads it back, and ``rows`` written themselves,
-    rules are attached to rows so that no group, whatever share of the rows it has, is dealt to
-    one task.
+    Up to ``few`` rules are broadcast by what they match. More of them meet groups, not rows;
+    with ``staged``, which writes a table and reads it back, and ``rows`` written themselves,
+    they are then attached to rows so that no group, whatever share of the rows it has, is
+    dealt to one task.
     """
-    groups = groups_of(rows)
-    table = rules_by_group(groups, rules)
-    if staged is None:
-        held = rows.join(table, ["portfolio_id", "group_id"], "left")
+    if rules.limit(few + 1).count() <= few:
+        held = with_few_rules(rows, rules)
+    elif staged is None:
+        held = rows.join(rules_by_group(groups_of(rows), rules), ["portfolio_id", "group_id"], "left")
     else:
+        groups = groups_of(rows)
         key = F.struct("portfolio_id", "group_id")
         sizes = groups.groupBy("portfolio_id", "group_id").agg(F.sum("rows").alias("rows"))
-        every = staged(sizes.join(table, ["portfolio_id", "group_id"], "left").select(key.alias("of_group"), "rules", "rows"), "rules_of_groups")
+        every = staged(sizes.join(rules_by_group(groups, rules), ["portfolio_id", "group_id"], "left").select(key.alias("of_group"), "rules", "rows"), "rules_of_groups")
         held = attach(rows.withColumn("of_group", key), every, ["of_group"], "rows").drop("of_group")
     date, cents = F.col("transaction_date"), F.col("amount_cents")
 
@@ -102,10 +119,11 @@ def classify(rows: DataFrame, rules: DataFrame, overrides: DataFrame | None = No
             & (r.max_amount_cents.isNull() | (cents <= r.max_amount_cents))
         )
 
-    held = held.withColumn("rules", F.filter(F.coalesce("rules", F.expr("array()").cast(table.schema["rules"].dataType)), fits))
-    last = lambda f: F.try_element_at(F.filter("rules", lambda r: F.coalesce(r[f], F.lit("")) != ""), F.lit(-1))[f]
-    by_rule = {f"by_{f}": last(f) for f in DIMENSIONS}
-    held = held.withColumns(by_rule).withColumn("rule_ids", F.transform("rules", lambda r: r.rule_id)).drop("rules", *[f for f in DIMENSIONS if f in rows.columns])
+    held = held.withColumn("rules", F.filter(F.coalesce("rules", F.array().cast(held.schema["rules"].dataType)), fits))
+    none = F.struct(*[F.lit(None).cast("string").alias(f) for f in DIMENSIONS])
+    last = F.aggregate("rules", none, lambda so_far, r: F.struct(*[F.coalesce(F.nullif(r[f], F.lit("")), so_far[f]).alias(f) for f in DIMENSIONS]))
+    by_rule = {f"by_{f}": F.col("by_rule")[f] for f in DIMENSIONS}
+    held = held.withColumn("by_rule", last).withColumns(by_rule).withColumn("rule_ids", F.transform("rules", lambda r: r.rule_id)).drop("rules", "by_rule", *[f for f in DIMENSIONS if f in rows.columns])
     if overrides is None:
         out = held.withColumns({f: F.col(f"by_{f}") for f in DIMENSIONS})
         given = F.array().cast("array<string>")
@@ -154,33 +172,42 @@ def group_statistics(rows: DataFrame, expanded: DataFrame) -> DataFrame:
     """Per (portfolio, group): counts, dates, months, low median and other amounts, three sample texts, missing dimensions.
 
     Counts are over ``rows``, missing dimensions over ``expanded``. Distinct months, texts and
-    amounts are first brought to one row each, so a hot group is small before it meets itself.
+    amounts are first brought to one row each, so a hot group is small before it meets itself;
+    counts and dates are taken with the amounts, and who a group is with the texts.
     """
     key = ["portfolio_id", "group_id"]
-    order = F.struct("transaction_date", "account_id", "transaction_id")
     size = F.abs("amount_cents")
-    main = rows.groupBy(*key).agg(
-        F.min_by(F.struct("channel", "counterparty_key", "counterparty_display"), order).alias("who"),
-        F.count("*").alias("transaction_count"),
-        F.count_if(F.col("amount_cents") > 0).alias("inflow_count"),
-        F.count_if(F.col("amount_cents") < 0).alias("outflow_count"),
-        F.min("transaction_date").alias("first_date"),
-        F.max("transaction_date").alias("last_date"),
-        F.min(size).alias("minimum_abs_cents"),
-        F.max(size).alias("maximum_abs_cents"),
-        F.sum(size).alias("total_abs_cents"),
+    amounts = rows.groupBy(*key, size.alias("v")).agg(
+        F.count("*").alias("n"),
+        F.count_if(F.col("amount_cents") > 0).alias("inflows"),
+        F.count_if(F.col("amount_cents") < 0).alias("outflows"),
+        F.min("transaction_date").alias("first"),
+        F.max("transaction_date").alias("last"),
+    )
+    main = amounts.groupBy(*key).agg(
+        F.sum("n").alias("transaction_count"),
+        F.sum("inflows").alias("inflow_count"),
+        F.sum("outflows").alias("outflow_count"),
+        F.min("first").alias("first_date"),
+        F.max("last").alias("last_date"),
+        F.min("v").alias("minimum_abs_cents"),
+        F.max("v").alias("maximum_abs_cents"),
+        F.sum(F.col("v") * F.col("n")).alias("total_abs_cents"),
     )
     months = rows.select(*key, F.trunc("transaction_date", "MM").alias("m")).distinct().groupBy(*key).agg(F.count("*").alias("active_months"))
-    low = middles(rows.select(*key, size.alias("v")), key, "v").select(*key, F.col("low").alias("median_abs_cents"))
+    low = middles_of_counts(amounts.where("v IS NOT NULL").select(*key, "v", "n"), key, "v").select(*key, F.col("low").alias("median_abs_cents"))
+    order = F.struct("transaction_date", "account_id", "transaction_id", "channel", "counterparty_key", "counterparty_display")
     texts = rows.groupBy(*key, F.coalesce("description_raw", F.lit("")).alias("d")).agg(F.min(order).alias("o"))
     top = texts.withColumn("n", F.row_number().over(Window.partitionBy(*key).orderBy("o"))).where("n <= 3")
-    samples = top.groupBy(*key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", "d"))), lambda x: x.d), " || ").alias("sample_descriptions"))
+    firsts = F.array_sort(F.collect_list(F.struct("n", "d", "o.channel", "o.counterparty_key", "o.counterparty_display")))
+    who = [F.col("firsts")[0][c].alias(c) for c in ("channel", "counterparty_key", "counterparty_display")]
+    samples = top.groupBy(*key).agg(firsts.alias("firsts")).select(*key, *who, F.array_join(F.transform("firsts", lambda x: x.d), " || ").alias("sample_descriptions"))
     flags = expanded.groupBy(*key).agg(*[F.max(is_blank(f)).alias(f"no_{f}") for f in DIMENSIONS])
     names = F.array_join(F.filter(F.array(*[F.when(F.col(f"no_{f}"), f) for f in sorted(DIMENSIONS)]), lambda x: x.isNotNull()), ";")
     missing = flags.select(*key, names.alias("missing_fields"))
     out = main.join(months, key).join(low, key).join(samples, key).join(missing, key, "left")
     return out.select(
-        *key, "who.*", "transaction_count", "inflow_count", "outflow_count", "first_date", "last_date", "active_months", "minimum_abs_cents", "median_abs_cents", "maximum_abs_cents", "total_abs_cents", "sample_descriptions", "missing_fields"
+        *key, "channel", "counterparty_key", "counterparty_display", "transaction_count", "inflow_count", "outflow_count", "first_date", "last_date", "active_months", "minimum_abs_cents", "median_abs_cents", "maximum_abs_cents", "total_abs_cents", "sample_descriptions", "missing_fields"
     )
 
 

@@ -26,14 +26,26 @@ def running(df: DataFrame, keys: list[str], value: str, n: Column, order: list[C
     return sliced.withColumn("inside", inside).join(sums, [*keys, "value_slice"]).withColumn("before", F.col("slices_before") + F.col("inside")).drop("value_slice", "slices_before", "inside")
 
 
+def middles_of_counts(counted: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """``middles`` of distinct values and how often each occurs, ``n``. Only the slices that a median lies in are sorted."""
+    sliced = counted.withColumn("value_slice", slice_of(value))
+    sums = sliced.groupBy(*keys, "value_slice").agg(F.sum("n").alias("of_slice"))
+    by_key = Window.partitionBy(*keys)
+    up_to = F.sum("of_slice").over(by_key.orderBy("value_slice").rowsBetween(Window.unboundedPreceding, 0))
+    sums = sums.withColumns({"up_to": up_to, "all": F.sum("of_slice").over(by_key)})
+    low, high = F.floor((F.col("all") + 1) / 2), F.floor(F.col("all") / 2) + 1
+    sums = sums.select(*keys, "value_slice", (F.col("up_to") - F.col("of_slice")).alias("slices_before"), "up_to", low.alias("low_place"), high.alias("high_place"))
+    held = sums.where("(slices_before < low_place AND low_place <= up_to) OR (slices_before < high_place AND high_place <= up_to)").drop("up_to")
+    placed = sliced.join(held, [*keys, "value_slice"])
+    inside = F.sum("n").over(Window.partitionBy(*keys, "value_slice").orderBy(value).rowsBetween(Window.unboundedPreceding, 0))
+    placed = placed.withColumn("up_to", F.col("slices_before") + inside).withColumn("before", F.col("up_to") - F.col("n"))
+    at = lambda place: F.max(F.when((F.col("before") < F.col(place)) & (F.col(place) <= F.col("up_to")), F.col(value)))
+    return placed.groupBy(*keys).agg(at("low_place").cast("long").alias("low"), at("high_place").cast("long").alias("high"))
+
+
 def middles(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     """(keys, low, high): the lower and the upper median of the non-negative whole ``value``, exact; equal values are counted before they are ordered."""
-    counted = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("n"))
-    totals = counted.groupBy(*keys).agg(F.sum("n").alias("all"))
-    placed = running(counted, keys, value, F.col("n"), [F.col(value)]).join(totals, keys)
-    at = lambda place: F.sum(F.when((F.col("before") < place) & (place <= F.col("before") + F.col("n")), F.col(value)))
-    low, high = F.floor((F.col("all") + 1) / 2), F.floor(F.col("all") / 2) + 1
-    return placed.groupBy(*keys).agg(at(low).cast("long").alias("low"), at(high).cast("long").alias("high"))
+    return middles_of_counts(df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("n")), keys, value)
 
 
 def twice_median(df: DataFrame, keys: list[str], value: str, name: str) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -123,6 +125,12 @@ class Jobs:
     def _read_snapshots(self):
         return S.snapshots(self.get("statements"))
 
+    def grouped(self) -> Jobs:
+        """Identified rows, for jobs that need groups: of the ledger and of these rows only what groups, overrides and allocations are made of is written, and classified rows are not."""
+        self.v.only = ("layout", "name_raw", "memo_raw", "subcategory", *[c for c in C.GROUPED if c not in C.IDENTITY])
+        self._made["identified"] = self.get("identified").select(*C.GROUPED)
+        return self.kept("identified")
+
     def read(self) -> Jobs:
         """Each file's content, record and header written once: contents are read from there for digests and for records."""
         return self.kept("contents", "files", "parsed", "statements")
@@ -232,12 +240,12 @@ def _classified_from_files(j: Jobs) -> DataFrame:
     return rows.select("transaction_id", "category", "subcategory", "recurrence", "classification_provenance")
 
 
-def _written(name: str, table: str, *needs: str):
+def _written(name: str, table: str, *needs: str, before: Callable[[Jobs], Jobs] = lambda j: j):
     """The table written in its order, read back, and where its keys stand: ties have one place."""
 
     def make(j: Jobs) -> DataFrame:
         path, order = f"{j.v.staging.root}/written", ORDERS[name]
-        df = j.kept(*needs).get(table)
+        df = before(j).kept(*needs).get(table)
         keys = [c.lstrip("-") for c in order]
         write_table(df, path, tuple(df.columns), order=order)
         rows = read_ordered(j.v.spark, path)
@@ -298,7 +306,7 @@ QUERIES = {
         "written_transactions": _written("transactions", "canonical", "contents", "files", "parsed", "statements"),
         "written_snapshots": _written("snapshots", "read_snapshots", "contents", "files", "statements"),
         "written_groups": _written("groups", "groups", "identified", "expanded"),
-        "written_review_queue": _written("review_queue", "queue", "identified", "expanded", "groups"),
+        "written_review_queue": _written("review_queue", "queue", "groups", "queue", before=Jobs.grouped),
         "rate_checks": _rate_checks,
         "classified_from_files": _classified_from_files,
         "reserve_checks": _reserve_checks,

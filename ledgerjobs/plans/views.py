@@ -92,7 +92,9 @@ TABLES = ("orders", "customer", "nation", "documents", "events")
 
 
 class Ledger:
-    """The views over one folder of tables, as DataFrames. The ledger is written to the shared folder, as most jobs read it several times."""
+    """The views over one folder of tables, as DataFrames. The ledger is written to the shared folder, as most jobs read it several times; of its columns ``only`` those, if any are named."""
+
+    only: tuple[str, ...] = ()
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.sf_dir, self._known, self.staging = spark, sf_dir, {}, Staging(spark)
@@ -107,7 +109,7 @@ class Ledger:
             sql = VIEWS[name]
             if name == "ledger":
                 joined = self.spark.sql(sql.replace("FROM orders JOIN customer", "FROM {orders} orders JOIN {customer} customer").replace("JOIN nation", "JOIN {nation} nation"), **{t: self.table(t) for t in TABLES[:3]})
-                self._known[name] = self.staging.table(joined, name)
+                self._known[name] = self.staging.table(joined.select(*self.only) if self.only else joined, name)
             elif name == "rules":
                 self._known[name] = self.spark.sql(sql)
             else:
