@@ -287,8 +287,8 @@ QUERIES = {
         "coverage_summary": lambda j: coverage.coverage_summary(j.v.ledger, j.v.snapshots),
         "reconciliation": lambda j: coverage.reconciliation(j.v.ledger, j.v.snapshots),
         "transactions_classified": lambda j: j.get("expanded").select("analytical_transaction_id", "parent_transaction_id", "amount_cents", "original_amount_cents", "is_allocation", "group_id", "channel", "counterparty_key", "counterparty_display", *C.DIMENSIONS, "classification_provenance"),
-        "classification_groups": lambda j: j.kept("identified", "expanded").get("groups"),
-        "review_queue": lambda j: C.review_queue(j.kept("identified", "expanded", "groups").get("groups")).select("portfolio_id", "rank", "group_id", "maximum_abs_cents", "total_abs_cents", "missing_fields"),
+        "classification_groups": lambda j: j.grouped().get("groups"),
+        "review_queue": lambda j: C.review_queue(j.grouped().kept("groups").get("groups")).select("portfolio_id", "rank", "group_id", "maximum_abs_cents", "total_abs_cents", "missing_fields"),
         "unclassified_rows": lambda j: C.unclassified(j.get("expanded")).select("analytical_transaction_id", "amount_cents", *C.DIMENSIONS),
         "channel_of_canonical": lambda j: daily.attach_channel(j.v.ledger, j.get("expanded")).select("transaction_id", "channel"),
         "knowledge_checks": _knowledge,

@@ -84,7 +84,7 @@ def test_medians_of_counts(spark):
     assert got == {k: (statistics.median_low(vs), statistics.median_high(vs)) for k, vs in values.items()}
 
 
-@pytest.mark.parametrize("name", ["written_groups", "written_review_queue"])
+@pytest.mark.parametrize("name", ["review_queue", "written_groups", "written_review_queue", "classification_groups"])
 def test_groups_write_only_what_they_read(spark, name, monkeypatch):
     written, table = {}, Staging.table
     monkeypatch.setattr(Staging, "table", lambda self, df, name: written.update({name: df.columns}) or table(self, df, name))
