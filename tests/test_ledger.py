@@ -230,6 +230,52 @@ def test_statements_read_in_records_are_those_read_whole(spark, tmp_path, split)
     assert a == b and len(a[0]) == 9 and len(a[1]) == 6 * 3 + 2 * 12
 
 
+def test_files_in_pieces_are_those_read_whole(spark):
+    """Digests, headers and transactions of files that come as a head, a transaction each and an end are those of the files as rows."""
+    text = STATEMENT.format(enc="UTF-8", fitid="A1")
+    texts = {"acc/a.ofx": text.encode(), "acc/b.ofx": text.replace("<STMTTRN>", "<STMTTRN><TRNTYPE>x<DTPOSTED>20260102<TRNAMT>1<NAME>n<MEMO>ç</STMTTRN>\n" * 9 + "<STMTTRN>", 1).encode(), "acc/c.ofx": b"<STMTTRN><NAME>first", "acc/d.txt": b"x"}
+    pieces = []
+    for name, content in texts.items():
+        at = [0, *[m.start() for m in re.finditer(b"<STMTTRN>", content) if m.start()], len(content)]
+        pieces += [(name, a, content[a:b]) for a, b in zip(at, at[1:], strict=False)]
+    schema = "source_file string, offset long, content binary"
+    whole, cut = spark.createDataFrame(list(texts.items()), "source_file string, content binary"), spark.createDataFrame(pieces, schema).coalesce(1)
+    digests = sorted((n, hashlib.sha256(c).hexdigest(), len(c)) for n, c in texts.items())
+    assert sorted(map(tuple, S.digested_pieces(cut).collect())) == digests == sorted(map(tuple, S.digested(whole).collect()))
+    assert S.digested_pieces(cut.limit(0)).collect() == []
+    known = spark.createDataFrame([("p", "acc", "bank", "acc", "1234")], "portfolio_id string, account_id string, institution string, path_prefix string, expected_bank_id string")
+    found = S.with_account(S.identified(S.digested(whole)), known)
+
+    def read(files):
+        parsed = S.parse(S.records_of(files))
+        heads = S.statements(found, parsed)
+        return [sorted(map(str, df.collect())) for df in (heads.select("source_file", "encoding", "blocks", "bank_id", "balance_cents"), S.transactions(parsed, heads))]
+
+    assert read(cut) == read(whole) and len(read(cut)[1]) == 3 + 12
+    swapped = spark.createDataFrame([pieces[1], pieces[0], *pieces[2:]], schema).coalesce(1)
+    with pytest.raises(Exception, match="pieces are not in order"):
+        S.digested_pieces(swapped).collect()
+    with pytest.raises(Exception, match="does not begin with a transaction"):
+        S.records_of(spark.createDataFrame([("acc/a.ofx", 0, b"<STM"), ("acc/a.ofx", 4, b"TTRN>")], schema)).collect()
+
+
+def test_no_row_holds_a_file(spark):
+    """Statements are made, written and digested in pieces, whatever their size, and by more tasks where there are more rows."""
+    from ledgerjobs.plans.queries import Jobs
+    from ledgerjobs.plans.statements import files
+
+    jobs = Jobs(spark, "/root/testdata/sf0.001")
+    contents = jobs.kept("contents").get("contents")
+    sizes = {r["source_file"]: r for r in contents.groupBy("source_file").agg(F.max(F.length("content")).alias("most"), F.sum(F.length("content")).alias("size")).collect()}
+    assert max(r["most"] for r in sizes.values()) < 400 < 1200 < max(r["size"] for r in sizes.values())
+    made = files(jobs.v, rows_a_part=100)
+    assert made.rdd.getNumPartitions() == jobs.v.ledger.count() // 100 > spark.sparkContext.defaultParallelism
+    assert sorted(map(tuple, made.collect())) == sorted(map(tuple, contents.collect()))
+    assert {r["source_file"]: r["file_size_bytes"] for r in jobs.get("files").collect()} == {n: r["size"] for n, r in sizes.items()}
+    twice = jobs.get("files").where("source_file LIKE '%/z/%'").select("source_file", "duplicate_of").collect()
+    assert twice and all(r["source_file"] == r["duplicate_of"].replace("/", "/z/") and r["duplicate_of"].endswith("-01.ofx") for r in twice)
+
+
 def test_no_content_is_shuffled(spark):
     files = spark.createDataFrame([("acc/a.ofx", b"x")], "source_file string, content binary")
     known = spark.createDataFrame([("p", "acc", "bank", "acc", "1234")], "portfolio_id string, account_id string, institution string, path_prefix string, expected_bank_id string")
